@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import send_package
 from .common import _arrow_schema
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -120,6 +121,7 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     text is empty; a null conv_id is a conversation of its own.  An empty table gives no windows.
     A conversation's windows stand together and in order within a partition.
     """
+    send_package(conversations.sparkSession)
     schema = _arrow_schema(conversations.sparkSession, WINDOW_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,6 +162,7 @@ def read_turns(window: str) -> list[tuple[str, str]]:
 def window_digests(windows: DataFrame) -> DataFrame:
     """One row a conversation from its windows as ``format_windows`` left them, read as a stream."""
     names = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
+    send_package(windows.sparkSession)
     schema = _arrow_schema(windows.sparkSession, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import send_package
+
 #: The word separators of the word-based operators: space and \t \n \v \f \r.
 WORD_SEPARATORS = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -45,6 +47,7 @@ def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
     ``fn`` may also be a factory marked with ``per_task``: it is then called once a task to set up.
     """
     spark = df.sparkSession
+    send_package(spark)
     arrow_schema = _arrow_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

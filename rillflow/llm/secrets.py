@@ -12,9 +12,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..session import send_package
 from .common import map_columns, per_task, sorted_spans, texts_of
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -146,20 +150,16 @@ def redact(text: str, spans: list[tuple[str, int, int]], mask: str = "[secret]")
 
 def redact_texts(docs: DataFrame, min_cost: float = MIN_COST) -> DataFrame:
     """The documents with every secret of every text masked and n_chars brought up to date; null texts stay null."""
-    columns = docs.columns
 
-    @per_task
-    def start():
+    send_package(docs.sparkSession)
+    @F.pandas_udf("string")
+    def masked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         guesses = GuessCost()
-
-        def work(rows: dict[str, list]) -> dict[str, list]:
-            texts = [t if t is None else redact(t, find_secrets(t, guesses, min_cost)) for t in rows["text"]]
-            out = rows | {"text": texts}
-            if "n_chars" in out:
-                out["n_chars"] = [n if new == old else len(new) for n, new, old in zip(rows["n_chars"], texts, rows["text"])]
-            return out
-
-        return work
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_columns(docs.select(*columns), start, schema)
+        for batch in texts:
+            yield pd.Series([t if t is None else redact(t, find_secrets(t, guesses, min_cost)) for t in batch], dtype=object)
+
+    out = docs.withColumn("__masked", masked(F.col("text")))
+    if "n_chars" in docs.columns:
+        changed = ~F.col("__masked").eqNullSafe(F.col("text"))
+        out = out.withColumn("n_chars", F.when(changed, F.length("__masked").cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col("__masked")).select(*(F.col(f"`{c}`") for c in docs.columns))
