@@ -129,6 +129,22 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = M
     return complete.select(*columns).unionByName(part.select(*columns))
 
 
+def keep_mixed(docs: DataFrame, budget_share: float = BUDGET_SHARE, seed: int = SEED) -> DataFrame:
+    """The documents that a mixture of single epochs takes, with their columns; rows without words go.
+
+    A leaf's rows are a prefix of its order, so its last digest decides: texts do not move.
+    """
+    keys = ["__domain", "__lang", "__source"]
+    taken = mix(docs, budget_share, 1, seed)
+    last = taken.groupBy(*(F.col(c).alias(k) for c, k in zip(LEVELS, keys))).agg(F.max(epoch_digest(F.col("doc_id"), F.lit(0), seed)).alias("__last"))
+    last = cut(last)
+    source = F.coalesce(F.col("source").cast("string"), F.lit("-"))
+    placed = docs.withColumns({"__domain": domain_of(source), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("-")), "__source": source})
+    joined = placed.join(F.broadcast(last) if last.count() <= BROADCAST_LEAVES else last, keys)
+    digest = epoch_digest(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(0), seed)
+    return joined.filter((digest <= F.col("__last")) & (token_count(F.col("text").cast("string")) > 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE r AS (
   SELECT coalesce(doc_id, -1) AS doc_id, coalesce(lang, '-') AS lang, coalesce(source, '-') AS source,
