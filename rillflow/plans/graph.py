@@ -1,0 +1,106 @@
+"""A small job builder: named vertices, typed edges, checked when they are added.
+
+A vertex is a function from its inputs' DataFrames to one DataFrame.  An edge's kind says how rows
+move: ``shuffle`` deals them by key, ``pipeline`` leaves them where they are and needs equal shard counts.
+Feedback has no edge here; iterative jobs are the loops in ``iterate``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+from ..operators.exchange import fan_in
+
+
+@dataclass
+class Vertex:
+    name: str
+    make: Callable[..., DataFrame]
+    shards: int
+    takes: tuple[StructType, ...]
+    gives: StructType | None
+    inputs: list[list[tuple[Vertex, str | None]]] = field(default_factory=list)
+
+
+def same_shape(a: StructType, b: StructType) -> bool:
+    return [(f.name, f.dataType) for f in a] == [(f.name, f.dataType) for f in b]
+
+
+class JobGraph:
+    def __init__(self):
+        self.vertices: dict[str, Vertex] = {}
+
+    def _add(self, name: str, make: Callable[..., DataFrame], shards: int, takes: tuple[StructType, ...], gives: StructType | None) -> Vertex:
+        if name in self.vertices:
+            raise ValueError(f"there is a vertex {name} already")
+        if shards < 1:
+            raise ValueError("a vertex needs at least one shard")
+        self.vertices[name] = Vertex(name, make, shards, takes, gives, [[] for _ in takes])
+        return self.vertices[name]
+
+    def source(self, name: str, make: Callable[[], DataFrame], gives: StructType, shards: int = 1) -> Vertex:
+        return self._add(name, make, shards, (), gives)
+
+    def filter(self, name: str, condition, rows: StructType, shards: int = 1) -> Vertex:
+        return self._add(name, lambda df: df.filter(condition), shards, (rows,), rows)
+
+    def map(self, name: str, fn: Callable[[DataFrame], DataFrame], takes: StructType, gives: StructType, shards: int = 1) -> Vertex:
+        return self._add(name, fn, shards, (takes,), gives)
+
+    aggregate = map
+
+    def join(self, name: str, fn: Callable[[DataFrame, DataFrame], DataFrame], left: StructType, right: StructType, gives: StructType, shards: int = 1) -> Vertex:
+        return self._add(name, fn, shards, (left, right), gives)
+
+    def sink(self, name: str, write: Callable[[DataFrame], DataFrame], takes: StructType, shards: int = 1) -> Vertex:
+        return self._add(name, write, shards, (takes,), None)
+
+    def connect(self, start: Vertex, end: Vertex, key: str | None = None, pipeline: bool = False, port: int | None = None) -> None:
+        """An edge; without ``port`` to the first input of that shape.  Several edges to one input are merged."""
+        if start.gives is None:
+            raise ValueError(f"{start.name} is a sink and gives no rows")
+        fits = [i for i, t in enumerate(end.takes) if same_shape(t, start.gives)]
+        if not fits or (port is not None and port not in fits):
+            raise TypeError(f"{end.name} does not take what {start.name} gives")
+        if pipeline and start.shards != end.shards:
+            raise ValueError(f"a pipeline needs equal shards: {start.name} has {start.shards}, {end.name} {end.shards}")
+        if self._leads_to(end, start):
+            raise ValueError(f"an edge from {start.name} to {end.name} would close a cycle")
+        end.inputs[fits[0] if port is None else port].append((start, None if pipeline else key))
+
+    def _leads_to(self, start: Vertex, goal: Vertex) -> bool:
+        """Whether rows of ``start`` reach ``goal``."""
+        todo, seen = [goal], set()
+        while todo:
+            v = todo.pop()
+            if v is start:
+                return True
+            if v.name not in seen:
+                seen.add(v.name)
+                todo += [up for port in v.inputs for up, _ in port]
+        return False
+
+    def downstream(self, start: Vertex) -> set[str]:
+        """Names of all vertices that rows of this one reach."""
+        return {v.name for v in self.vertices.values() if v is not start and self._leads_to(start, v)}
+
+    def build(self, *ends: Vertex) -> list[DataFrame]:
+        """The DataFrames of these vertices; a vertex that feeds several is made once."""
+        made: dict[str, DataFrame] = {}
+
+        def of(v: Vertex) -> DataFrame:
+            if v.name not in made:
+                if any(not port for port in v.inputs):
+                    raise ValueError(f"{v.name} has an input without an edge")
+                ports = [fan_in(*(of(up).repartition(v.shards, key) if key else of(up) for up, key in port)) for port in v.inputs]
+                out = v.make(*ports)
+                if v.gives is not None and not same_shape(out.schema, v.gives):
+                    raise TypeError(f"{v.name} gives {out.schema.simpleString()}, not {v.gives.simpleString()}")
+                made[v.name] = out
+            return made[v.name]
+
+        return [of(v) for v in ends]
