@@ -20,7 +20,7 @@ def output_record(df: DataFrame, key: str, event_time: str, output_time: Column,
 def parse_compact_time(text: Column) -> Column:
     """Inverse of ``compact_time``."""
     fraction = F.rpad(F.substring(text, 15, 5), 5, "0")
-    return F.to_timestamp(F.concat(F.substring(text, 1, 14), fraction), "yyyyMMddHHmmssSSSSS")
+    return F.to_timestamp(F.concat(F.substring(text, 1, 14), F.lit("."), fraction), "yyyyMMddHHmmss.SSSSS")
 
 
 def parse_record(df: DataFrame, value: str = "value") -> DataFrame:
