@@ -10,10 +10,12 @@ their weighted Jaccard similarity.  Texts that agree in all samples of a band ar
 weighted Jaccard on the whole texts decides.  At a similarity of 0.8 a pair misses all bands with a
 probability of 2e-4.
 
-Buckets are never expanded into pairs.  Each member is first compared with its bucket's smallest
-member, and the links found are closed into components.  Only members of a bucket that lie outside its
-largest component are then compared with members of other components.  Pairs of one component need no
-comparison, since the result is the component.
+Buckets are never expanded into pairs.  A member's signature is compared with that of its bucket's
+smallest member, then those outside a bucket's largest family with members of other families; families
+are the components of pairs whose signatures agree in at least ``AGREE`` samples.  So every pair that
+shares a band and can be similar lies in one family.  A family is cut into blocks of about ``BLOCK``
+texts; each pair of blocks is one unit of work that decides all its pairs by matrix products and sends
+out only the links that join them, fewer than its texts.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ SAMPLES = BANDS * ROWS
 #: Samples that must agree (in their low bytes) before texts are compared; at 0.8, 51 of 64 are expected.
 AGREE = 32
 PLANES = 8
+#: Texts of a block, and features of a slice of the matrices.
+BLOCK, FEATURES = 400, 4096
 BUCKETS, CHUNK = 1 << 20, 1 << 14
 NULL_ID = -(1 << 63)
 _VARIATES = 1 << 14
@@ -205,35 +209,86 @@ def _agreement(a: str, b: str):
     return SAMPLES - F.bit_count(differ)
 
 
-def _close(a: str, b: str):
-    """Whether the signatures and total weights allow a similarity of the threshold."""
-    ta, tb = F.col(f"{a}.total"), F.col(f"{b}.total")
-    return (F.least(ta, tb) >= (THRESHOLD - 1e-6) * F.greatest(ta, tb)) & (_agreement(a, b) >= AGREE)
+def linked_rows(sets: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Pairs of indices that join all sets linked by a weighted Jaccard similarity of ``threshold`` into trees.
 
-
-def _verified(pairs: DataFrame, texts: DataFrame, table) -> DataFrame:
-    """The pairs a, b whose whole texts are similar enough."""
-
-    @per_task
-    def start():
+    ``sets`` are (hashes, weights of one occurrence), ``counts`` the occurrences.  A shingle that stands n
+    times is n features, so shared weight is a product of 0/1 matrices, taken over slices of features.
+    """
+    n = len(sets)
+    totals = np.array([float((w * c).sum(dtype=np.float64)) for (_, w), c in zip(sets, counts)])
+    owner = np.repeat(np.arange(n), [int(c.sum()) for c in counts])
+    hashes = np.concatenate([np.repeat(h, c) for (h, _), c in zip(sets, counts)])
+    rank = np.concatenate([np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) for c in counts]).astype(np.uint64)
+    weight = np.concatenate([np.repeat(w, c) for (_, w), c in zip(sets, counts)])
+    feature = hashes ^ (rank * _MIX2)
+    _, column, many = np.unique(feature, return_inverse=True, return_counts=True)
+    shared = many[column] > 1
+    owner, column, weight = owner[shared], column[shared], weight[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column, weight = owner[order], column[order], weight[order]
+    both = np.zeros((n, n))
+    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + FEATURES + 1, FEATURES))
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        if hi > lo:
+            base = column[lo]
+            x = np.zeros((n, int(column[hi - 1] - base) + 1), np.float32)
+            x[owner[lo:hi], column[lo:hi] - base] = np.sqrt(weight[lo:hi])
+            both += x @ x.T
+    rows, columns = np.nonzero(np.triu(both >= (threshold - 1e-5) * (totals[:, None] + totals[None, :] - both), 1))
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    links = []
+    for i, j in zip(rows.tolist(), columns.tolist()):
+        if (u := root(i)) != (v := root(j)):
+            exact = weighted_jaccard((sets[i][0], sets[i][1] * counts[i]), (sets[j][0], sets[j][1] * counts[j]))
+            if exact >= threshold:
+                parent[u] = v
+                links.append((i, j))
+    return links
+
+
+def _block_links(placed: DataFrame, table) -> DataFrame:
+    """Links within each block of placed texts (group, low, high, doc_id, text), read as a sorted stream."""
+    send_package(placed.sparkSession)
+    schema = "a long, b long"
+    arrow = _arrow_schema(placed.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(*table.value)
-        last: list = [None, None]
-
-        def work(rows: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {"a": [], "b": []}
-            for a, b, text_a, text_b in zip(rows["a"], rows["b"], rows["text_a"], rows["text_b"]):
-                if last[0] != b:
-                    last[:] = [b, weights.of(text_b)]
-                if weighted_jaccard(weights.of(text_a), last[1]) >= THRESHOLD:
-                    out["a"].append(a)
-                    out["b"].append(b)
+        ids: list[int] = []
+        sets: list[tuple[np.ndarray, np.ndarray]] = []
+        counts: list[np.ndarray] = []
+
+        def close() -> pa.RecordBatch:
+            links = linked_rows(sets, counts) if len(ids) > 1 else []
+            out = pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], schema=arrow)
+            ids.clear(), sets.clear(), counts.clear()
             return out
 
-        return work
-
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return map_columns(with_both.select("a", "b", "text_a", "text_b"), start, "a long, b long", 128)
+        now = None
+        for batch in batches:
+            *keys, doc_ids, texts = (batch.column(i).to_pylist() for i in range(5))
+            for key, doc_id, text in zip(zip(*keys), doc_ids, texts):
+                if key != now:
+                    yield close()
+                    now = key
+                h, n = shingles(text)
+                if len(h) and (not ids or ids[-1] != doc_id):
+                    ids.append(doc_id)
+                    sets.append((h, weights.idf[bucket_of(h)]))
+                    counts.append(n)
+        yield close()
+
+    dealt = placed.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "doc_id")
+    return dealt.select("group", "low", "high", "doc_id", "text").mapInArrow(run, schema)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -258,14 +313,11 @@ def classes(docs: DataFrame) -> DataFrame:
     members = cut(bands.join(keys, "key").select("key", "doc_id", "leader"))  # buckets with company only
 
     star = members.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
-    near = star.join(flat.alias("x"), F.col("a") == F.col("x.doc_id")).join(flat.alias("y"), F.col("b") == F.col("y.doc_id")).filter(_close("x", "y")).select("a", "b")
+    near = star.join(flat.alias("x"), F.col("a") == F.col("x.doc_id")).join(flat.alias("y"), F.col("b") == F.col("y.doc_id")).filter(_agreement("x", "y") >= AGREE).select("a", "b")
     near = cut(near)
-    involved = cut(members.select("doc_id").distinct())
-    texts = cut(whole.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    links = cut(_verified(near, texts, table))
-    first = components(links)
+    families = components(near)
 
-    labelled = members.select("key", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    labelled = members.select("key", "doc_id").join(families.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     labelled = cut(labelled)
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     sizes = labelled.join(open_keys, "key", "left_semi").groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -273,11 +325,17 @@ def classes(docs: DataFrame) -> DataFrame:
     rest = labelled.join(largest, "key").join(flat, "doc_id")
     x, y = rest.filter("component <> main").alias("x"), rest.alias("y")
     unlike = F.col("x.component") != F.col("y.component")
-    # of two members outside the main component each meets the other: take such a pair once
+    # of two members outside the main family each meets the other: take such a pair once
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.doc_id") > F.col("y.doc_id"))
-    wide = x.join(y, (F.col("x.key") == F.col("y.key")) & unlike & once & _close("x", "y")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    more = wide.join(near, ["a", "b"], "left_anti").join(near.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(cut(more), texts, table))
+    wide = x.join(y, (F.col("x.key") == F.col("y.key")) & unlike & once & (_agreement("x", "y") >= AGREE)).select(F.col("x.component").alias("a"), F.col("y.component").alias("b")).distinct()
+    joined = components(wide)
+    families = families.withColumnRenamed("component", "mid").join(joined.select(F.col("node").alias("mid"), "component"), "mid", "left").select("node", F.coalesce("component", "mid").alias("component")).unionByName(joined.join(families.select("node"), "node", "left_anti"))
+    families = cut(families)
+
+    count = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocked = families.join(count, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = blocked.select(F.col("component").alias("group"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("node").alias("doc_id"))
+    links = cut(_block_links(rows.join(whole, "doc_id").select("group", "low", "high", "doc_id", "text"), table))
     final = components(links)
 
     placed = member_of.distinct().join(final.withColumnRenamed("node", "exact_id"), "exact_id", "left").select("doc_id", "exact_id", F.coalesce("component", "exact_id").alias("class_id"))
