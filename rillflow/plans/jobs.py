@@ -9,6 +9,7 @@ from ..operators.aggregates import average_of, count_by_window, highest, sum_by_
 from ..operators.filters import even_initial, leader, odd
 from ..operators.joins import join_on, join_within
 from ..operators.maps import to_words
+from .iterate import page_rank
 
 
 def projection(sentences: DataFrame, sentence: str, *keep: str) -> DataFrame:
@@ -55,3 +56,9 @@ def average_selling_price(bids: DataFrame, auctions: DataFrame) -> DataFrame:
     """Average of the closing prices of each seller, one price an auction."""
     prices = bids_in_time(bids, auctions).groupBy("auction_id").agg(F.max("amount").alias("amount"), F.max("seller_id").alias("seller_id"), F.max("bid_time").alias("bid_time"))
     return average_of(prices, "seller_id", "amount", "bid_time")
+
+
+def rank_changes(edges: DataFrame, earlier: int = 5, later: int = 10, least: float = 1e-4) -> DataFrame:
+    """page_id, rank: the ranks of the later epoch that differ from the earlier one's by more than ``least``."""
+    before = page_rank(edges, earlier).withColumnRenamed("rank", "before")
+    return page_rank(edges, later).join(before, "page_id").filter(F.abs(F.col("rank") - F.col("before")) > least).select("page_id", "rank")

@@ -60,3 +60,15 @@ def beyond_line(checkpoints: DataFrame, line: DataFrame) -> DataFrame:
     numbered = checkpoints.withColumn("__at", F.row_number().over(order))
     kept = line.join(numbered.select("instance_name", F.col("id").alias("checkpoint_id"), F.col("__at").alias("__line")), ["instance_name", "checkpoint_id"], "left").select("instance_name", F.when(F.col("checkpoint_id") == RUNNING, F.lit(1 << 30)).otherwise(F.col("__line")).alias("__line"))
     return numbered.join(kept, "instance_name", "left").filter(F.col("__at") > F.coalesce("__line", F.lit(0))).drop("__at", "__line")
+
+
+def last_two(checkpoints: DataFrame) -> DataFrame:
+    """instance_name, last_id, previous_id: the newest checkpoints of each instance, those that others may depend on.
+
+    Two combined maxima instead of a sorted history: each task sends a row an instance.
+    """
+    key = F.struct("created_at", "id")
+    last = checkpoints.groupBy("instance_name").agg(F.max(key).alias("last"))
+    older = checkpoints.join(last, "instance_name").filter(key < F.col("last"))
+    previous = older.groupBy("instance_name").agg(F.max(key)["id"].alias("previous_id"))
+    return last.join(previous, "instance_name", "left").select("instance_name", F.col("last.id").alias("last_id"), "previous_id")

@@ -74,6 +74,11 @@ def tumbling_count(spark, d):
     return aggregates.count_by_window(tables.events(spark, d), ["user_id"], "ts", "1 day")
 
 
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*)::BIGINT AS n, max(ts) AS max_ts FROM events GROUP BY ALL")
+def tumbling_total(spark, d):
+    return aggregates.count_by_window(tables.events(spark, d), [], "ts", "1 day")
+
+
 @query(f"WITH {SLIDING} SELECT window_start, user_id, count(*)::BIGINT AS n, max(ts) AS max_ts FROM win GROUP BY ALL")
 def sliding_count(spark, d):
     return aggregates.count_by_window(tables.events(spark, d), ["user_id"], "ts", "10 hours", "1 hour")
@@ -172,6 +177,15 @@ def pagerank_3(spark, d):
     return iterate.page_rank(tables.edges(spark, d), 3).select("page_id", F.round("rank", 9).alias("rank"))
 
 
+@query(
+    f"WITH {EDGES}, page AS (SELECT from_id AS page_id FROM edge UNION SELECT to_id FROM edge), deg AS (SELECT from_id, count(*) AS degree FROM edge GROUP BY from_id), r0 AS (SELECT page_id, 1.0::DOUBLE / (SELECT count(*) FROM page) AS rank FROM page), "
+    + ", ".join(_RANK.replace("AS (SELECT page.", "AS MATERIALIZED (SELECT page.").replace("{k}", str(k)).replace("{j}", str(k - 1)) for k in range(1, 7))
+    + " SELECT r6.page_id, round(r6.rank, 9) AS rank FROM r6 JOIN r3 USING (page_id) WHERE abs(r6.rank - r3.rank) > 1e-5"
+)
+def pagerank_changes(spark, d):
+    return jobs.rank_changes(tables.edges(spark, d), 3, 6, 1e-5).select("page_id", F.round("rank", 9).alias("rank"))
+
+
 @query(f"WITH RECURSIVE {EDGES}, reach AS (SELECT from_id, to_id FROM edge UNION SELECT reach.from_id, edge.to_id FROM reach JOIN edge ON reach.to_id = edge.from_id) SELECT from_id, to_id FROM reach")
 def reachability(spark, d):
     return iterate.reachable(tables.edges(spark, d))
@@ -263,6 +277,11 @@ def recovery_line(spark, d):
     return recovery.recovery_line(checkpoint_history(spark, d))
 
 
+@query("WITH c AS (SELECT 'instance' || (user_id % 6) AS instance_name, event_id::VARCHAR AS id, row_number() OVER (PARTITION BY user_id % 6 ORDER BY ts DESC, event_id::VARCHAR DESC) AS back FROM events) SELECT instance_name, max(id) FILTER (back = 1) AS last_id, max(id) FILTER (back = 2) AS previous_id FROM c GROUP BY instance_name")
+def last_two_checkpoints(spark, d):
+    return recovery.last_two(checkpoint_history(spark, d))
+
+
 @query()
 def sampler(spark, d):
     """A fifth of the events by hash of the key (Spark's hash, hence no SQL)."""
