@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_columns, texts_of
 
-#: Cuts fall at one byte in 2**MASK_BITS; a chunk has at least and at most so many bytes.
-MASK_BITS, MIN_BYTES, MAX_BYTES = 5, 24, 256
+#: One byte in 2**MASK_BITS qualifies for a cut; a chunk has at least and at most so many bytes (43 on average).
+MASK_BITS, MIN_BYTES, MAX_BYTES = 4, 16, 256
 MIN_WORDS = 20
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=77) for b in range(256)], dtype=np.uint32)
 
@@ -35,24 +35,29 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
 
 
 def chunk_ends(data: bytes) -> list[int]:
-    """Ends of the chunks in bytes, each at the end of a code point; the last is the text's end."""
+    """Ends of the chunks in bytes, each at the end of a code point; the last is the text's end.
+
+    A place qualifies by its hash alone, and cuts if none qualified in the ``MIN_BYTES`` before it: both
+    depend on nearby bytes only, so two texts cut alike as soon as they share so many.
+    """
     if not data:
         return []
     raw = np.frombuffer(data, np.uint8)
     top = np.uint32((1 << MASK_BITS) - 1) << np.uint32(32 - MASK_BITS)  # the high bits depend on all 32 bytes
     starts_next = np.append((raw[1:] & 0xC0) != 0x80, True)
-    ends = (np.flatnonzero((gear_hash(raw) & top == 0) & starts_next) + 1).tolist()
+    places = np.flatnonzero((gear_hash(raw) & top == 0) & starts_next) + 1
+    ends = places[np.diff(places, prepend=0) >= MIN_BYTES].tolist()
+    if not ends or ends[-1] < len(data):
+        ends.append(len(data))
     out, last = [], 0
-    for end in [*ends, len(data)]:
+    for end in ends:
         while end - last > MAX_BYTES:
             last += MAX_BYTES
             while raw[last] & 0xC0 == 0x80:
                 last -= 1
             out.append(last)
-        if end - last >= MIN_BYTES or end == len(data):
-            if end > last:
-                out.append(end)
-            last = end
+        out.append(end)
+        last = end
     return out
 
 
@@ -99,7 +104,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     one = texts_of(docs).filter("text is not null").withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     chunks = chunk_table(one)
     place = F.struct("doc_id", "start")
-    shared = chunks.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hi", "lo", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
+    # cut, so that the join can split a digest that many texts hold
+    shared = cut(chunks.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hi", "lo", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")))
     marked = chunks.join(shared, ["hi", "lo"])
     later = F.struct("doc_id", "start") > F.struct("first_doc", "first_start")
     rows = marked.select("doc_id", F.struct("start", "end", "words", later.alias("later"), "first_doc").alias("chunk"))
