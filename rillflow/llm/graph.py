@@ -12,12 +12,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """node, component (smallest node reached) of every node with an edge to another.
 
     Each step joins nodes with their smallest neighbour, found by a combined aggregate, so a hub's
-    neighbours are never gathered.  Stops when a round changes no edge.
+    neighbours are never gathered.  Stops when all edges point at roots.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     pairs = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
     for _ in range(rounds):
+        # done when the edges are stars: no node has two parents, or is a parent and has one
+        ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        if ends.groupBy("node").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).filter("c > 1 OR c = 1 AND p = 1").isEmpty():
+            break
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -25,9 +28,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         pairs = cut(small.filter("u <> v").distinct())
-        now = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
+    else:
+        raise RuntimeError(f"components are not found after {rounds} rounds")
     found = pairs.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

@@ -20,6 +20,7 @@ out only the links that join them, fewer than its texts.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,8 +42,8 @@ SAMPLES = BANDS * ROWS
 #: Samples that must agree (in their low bytes) before texts are compared; at 0.8, 51 of 64 are expected.
 AGREE = 32
 PLANES = 8
-#: Texts of a block, and features of a slice of the matrices.
-BLOCK, FEATURES = 400, 4096
+#: Texts and total weight of a block at most (on average), and features of a slice of the matrices.
+BLOCK, BLOCK_WEIGHT, FEATURES = 400, 400_000, 4096
 BUCKETS, CHUNK = 1 << 20, 1 << 14
 NULL_ID = -(1 << 63)
 _VARIATES = 1 << 14
@@ -116,6 +117,15 @@ def signature(h: np.ndarray, w: np.ndarray, block: int = 2048) -> np.ndarray:
     return value
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts by byte planes, deflated: most are small, and most tasks see few buckets."""
+    return zlib.compress(np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents with a shingle in each hashed bucket, and the number of documents with a text.
 
@@ -136,14 +146,14 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                     h, _ = shingles(text)
                     total[np.unique(bucket_of(h))] += 1
         if n:
-            chunks = [total[i : i + CHUNK].tobytes() for i in range(0, BUCKETS, CHUNK)]
+            chunks = [_packed(total[i : i + CHUNK]) for i in range(0, BUCKETS, CHUNK)]
             size = len(chunks)
             columns = [[TaskContext.get().partitionId()] * size, list(range(size)), chunks, [n] * size]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(b, np.int64) for b in group["counts"]], axis=0)
-        return pd.DataFrame({"salt": [int(group["salt"].iloc[0])], "chunk": [int(group["chunk"].iloc[0])], "counts": [total.tobytes()], "n": [int(group["n"].sum())]})
+        total = sum(_unpacked(b) for b in group["counts"])
+        return pd.DataFrame({"salt": [int(group["salt"].iloc[0])], "chunk": [int(group["chunk"].iloc[0])], "counts": [_packed(total)], "n": [int(group["n"].sum())]})
 
     tables = docs.select("text").mapInArrow(count, schema)
     while True:
@@ -153,7 +163,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             break
     frequencies, documents = np.zeros(BUCKETS, np.int64), 0
     for row in tables.collect():
-        frequencies[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64)
+        frequencies[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = _unpacked(row["counts"])
         documents = row["n"]
     return frequencies, documents
 
@@ -303,13 +313,13 @@ def classes(docs: DataFrame) -> DataFrame:
     whole = named.filter("text is not null")
     table = spark.sparkContext.broadcast(document_frequencies(whole))  # BUCKETS numbers at any scale
     signed = cut(signatures(whole, table))
-    firsts = signed.groupBy("hi", "lo").agg(F.min("doc_id").alias("exact_id"))
+    firsts = cut(signed.groupBy("hi", "lo").agg(F.min("doc_id").alias("exact_id")))  # cut, so that a join with it can split a hot text
     member_of = signed.select("doc_id", "hi", "lo").join(firsts, ["hi", "lo"]).select("doc_id", "exact_id")
     # one row a distinct text, with its signature as plain columns
-    distinct = signed.join(firsts.select(F.col("exact_id").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").dropDuplicates(["doc_id"])
+    distinct = cut(signed.join(firsts.select(F.col("exact_id").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "total", "low", "bands"))
     flat = distinct.select("doc_id", "total", *(F.get("low", F.lit(i)).alias(f"s{i}") for i in range(PLANES)))
     bands = distinct.select("doc_id", F.explode("bands").alias("key"))
-    keys = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    keys = cut(bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = cut(bands.join(keys, "key").select("key", "doc_id", "leader"))  # buckets with company only
 
     star = members.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
@@ -332,7 +342,8 @@ def classes(docs: DataFrame) -> DataFrame:
     families = families.withColumnRenamed("component", "mid").join(joined.select(F.col("node").alias("mid"), "component"), "mid", "left").select("node", F.coalesce("component", "mid").alias("component")).unionByName(joined.join(families.select("node"), "node", "left_anti"))
     families = cut(families)
 
-    count = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sized = families.join(flat.select(F.col("doc_id").alias("node"), "total"), "node")
+    count = sized.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("total") / BLOCK_WEIGHT)).cast("int").alias("blocks"))
     blocked = families.join(count, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = blocked.select(F.col("component").alias("group"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("node").alias("doc_id"))
     links = cut(_block_links(rows.join(whole, "doc_id").select("group", "low", "high", "doc_id", "text"), table))
