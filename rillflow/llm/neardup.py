@@ -1,9 +1,10 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is the weighted set of its five-word shingles (lower case; all its words where it has fewer):
-count times inverse document frequency.  Frequencies are counted over all documents in ``BUCKETS``
-hashed buckets, a table of fixed size at any scale, and the weight is smoothed to lie between 1 and 2 so
-that a large group of copies doesn't lose the weight of what it shares.
+count times inverse document frequency.  Frequencies are exact: each slice of texts sends its distinct
+shingles, combined and packed by ranges of the 64-bit hash, to be counted over all documents, and gets
+their frequencies back; there is no table of them.  The weight is smoothed to lie between 1 and 2 so that
+a large group of copies doesn't lose the weight of what it shares.
 
 ``BANDS * ROWS`` consistent samples make a signature: two texts agree in a sample with a probability of
 their weighted Jaccard similarity.  Texts that agree in all samples of a band are candidates, and
@@ -20,20 +21,21 @@ out only the links that join them, fewer than its texts.
 
 from __future__ import annotations
 
+import gc
+import time
 import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import send_package
-from .common import _arrow_schema, cut, map_columns, per_task, texts_of
+from .common import _arrow_schema, cut, texts_of
 from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -44,7 +46,9 @@ AGREE = 32
 PLANES = 8
 #: Texts and total weight of a block at most (on average), and features of a slice of the matrices.
 BLOCK, BLOCK_WEIGHT, FEATURES = 400, 400_000, 4096
-BUCKETS, CHUNK = 1 << 20, 1 << 14
+BUCKETS = 1 << 20
+#: Shingles and documents of a slice at most (a text is never cut), bytes of text for a range of hashes, fewest ranges.
+SLICE, SLICE_DOCUMENTS, RANGE_BYTES, RANGES = 1 << 20, 1 << 16, 1 << 24, 64
 NULL_ID = -(1 << 63)
 _VARIATES = 1 << 14
 _rng = np.random.default_rng(20240)
@@ -76,12 +80,16 @@ def bucket_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64)
 
 
+def idf_of(frequencies: np.ndarray, documents: int) -> np.ndarray:
+    ratio = documents / np.maximum(frequencies, 1)
+    return (1 + np.log1p(ratio) / np.log1p(max(documents, 1))).astype(np.float32)
+
+
 class Weights:
-    """Shingle weights from the table of document frequencies."""
+    """Shingle weights from a table of ``BUCKETS`` hashed frequencies: for a few texts only, as it fills up."""
 
     def __init__(self, frequencies: np.ndarray, documents: int):
-        ratio = documents / np.maximum(frequencies, 1)
-        self.idf = (1 + np.log1p(ratio) / np.log1p(max(documents, 1))).astype(np.float32)
+        self.idf = idf_of(frequencies, documents)
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         h, n = shingles(text)
@@ -117,94 +125,151 @@ def signature(h: np.ndarray, w: np.ndarray, block: int = 2048) -> np.ndarray:
     return value
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts by byte planes, deflated: most are small, and most tasks see few buckets."""
-    return zlib.compress(np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+def _packed(x: np.ndarray, plain: int = 0) -> bytes:
+    """Length, then byte planes: the lowest ``plain`` ones (of random bytes) as they are, the others deflated."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return len(x).to_bytes(4, "little") + planes[:plain].tobytes() + zlib.compress(planes[plain:].tobytes(), 1)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+def _unpacked(data: bytes, kind: str, plain: int = 0) -> np.ndarray:
+    edge = 4 + plain * int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(data[4:edge] + zlib.decompress(data[edge:]), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents with a shingle in each hashed bucket, and the number of documents with a text.
+def _packed_hashes(h: np.ndarray) -> bytes:
+    return _packed(np.diff(h, prepend=np.uint64(0)), 5)
 
-    Each task sends one table of fixed size in pieces; pieces are added up in levels of 64, so no
-    group of them grows with the number of tasks.  The driver gets one table.
-    """
-    send_package(docs.sparkSession)
-    partitions = docs.rdd.getNumPartitions()
-    schema = "salt long, chunk int, counts binary, n long"
-    arrow = _arrow_schema(docs.sparkSession, schema)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(BUCKETS, np.int64), 0
+def _unpacked_hashes(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, "<u8", 5), dtype=np.uint64)
+
+
+#: Shingles of a slice in a range of hashes: their differences, and how many documents have each.  One row of a
+#: slice has no shingles but its documents (doc_id, digest, text) and which shingle stands how often in which text.
+SLICED = "part int, slice long, hashes binary, frequencies binary, documents binary, sharers binary, owners binary, counts binary"
+
+
+def _rows(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _slices(whole: DataFrame, ranges: int) -> DataFrame:
+    """The shingles of all texts, combined within slices of each task."""
+    send_package(whole.sparkSession)
+    arrow = _arrow_schema(whole.sparkSession, SLICED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition, made, held = TaskContext.get().partitionId(), 0, 0
+        documents: list[tuple[int, int, int, int]] = []
+        known: dict[int, int] = {}
+        sets: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        times: list[int] = []
+
+        def close() -> pa.RecordBatch:
+            name = partition << 32 | made
+            h = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in sets])
+            order = np.argsort(h, kind="stable")
+            h, owner, n = h[order], owner[order], np.concatenate(counts)[order].astype(np.uint32)
+            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            frequency = np.add.reduceat(np.array(times, np.uint32)[owner], starts, dtype=np.uint32) if len(h) else np.zeros(0, np.uint32)
+            sharers = np.diff(np.append(starts, len(h))).astype(np.uint32)
+            own = [(partition * 7919 + made) % ranges, name, None, None, _packed(np.array(documents, np.int64).T.ravel()), _packed(sharers), _packed(owner, 1), _packed(n)]
+            h = h[starts]
+            part = (h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)  # rises with the hash
+            edges = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
+            out = [own]
+            for p in np.flatnonzero(np.diff(edges)).tolist():
+                at = slice(edges[p], edges[p + 1])
+                out.append([p, name, _packed_hashes(h[at]), _packed(frequency[at]), None, None, None, None])
+            documents.clear(), known.clear(), sets.clear(), counts.clear(), times.clear()
+            return _rows(arrow, list(zip(*out)))
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text is not None:
-                    n += 1
-                    h, _ = shingles(text)
-                    total[np.unique(bucket_of(h))] += 1
-        if n:
-            chunks = [_packed(total[i : i + CHUNK]) for i in range(0, BUCKETS, CHUNK)]
-            size = len(chunks)
-            columns = [[TaskContext.get().partitionId()] * size, list(range(size)), chunks, [n] * size]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(_unpacked(b) for b in group["counts"])
-        return pd.DataFrame({"salt": [int(group["salt"].iloc[0])], "chunk": [int(group["chunk"].iloc[0])], "counts": [_packed(total)], "n": [int(group["n"].sum())]})
-
-    tables = docs.select("text").mapInArrow(count, schema)
-    while True:
-        tables = tables.withColumn("salt", F.floor(F.col("salt") / 64)).groupBy("salt", "chunk").applyInPandas(add, schema)
-        partitions = -(-partitions // 64)
-        if partitions <= 1:
-            break
-    frequencies, documents = np.zeros(BUCKETS, np.int64), 0
-    for row in tables.collect():
-        frequencies[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = _unpacked(row["counts"])
-        documents = row["n"]
-    return frequencies, documents
-
-
-def _signed(x: np.ndarray) -> list[int]:
-    return x.view(np.int64).tolist()
-
-
-def signatures(docs: DataFrame, table) -> DataFrame:
-    """doc_id, hi, lo (digest of the text), total (weight), low (bytes of the samples) and bands."""
-
-    @per_task
-    def start():
-        weights = Weights(*table.value)
-
-        def work(rows: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "hi", "lo", "total", "low", "bands")}
-            kept: dict[int, tuple] = {}  # copies stand near each other more often than not
-            for doc_id, text in zip(rows["doc_id"], rows["text"]):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 digest = xxhash.xxh3_128_intdigest(text)
-                if digest not in kept:
-                    h, w = weights.of(text)
-                    if len(h):
-                        s = signature(h, w)
-                        low = _planes(s)
-                        bands = s.reshape(BANDS, ROWS)
-                        key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX2
-                        for r in range(ROWS):
-                            key = (key ^ bands[:, r]) * _MIX
-                            key ^= key >> np.uint64(31)
-                        kept[digest] = float(w.sum(dtype=np.float64)), low, _signed(key)
-                    else:
-                        kept[digest] = 0.0, [0] * PLANES, []
-                values = (doc_id, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), *kept[digest])
-                for k, v in zip(out, values):
-                    out[k].append(v)
-            return out
+                if digest not in known:
+                    h, n = shingles(text)
+                    known[digest] = len(sets)
+                    sets.append(h), counts.append(n), times.append(0)
+                    held += len(h)
+                times[known[digest]] += 1
+                documents.append((doc_id, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), known[digest]))
+                if held >= SLICE or len(documents) == SLICE_DOCUMENTS:
+                    yield close()
+                    made, held = made + 1, 0
+        if documents:
+            yield close()
+
+    return whole.select("doc_id", "text").mapInArrow(run, SLICED)
+
+
+def _counted(sliced: DataFrame) -> DataFrame:
+    """The same rows with the frequencies over all slices; a range of hashes has at most one of a shingle a slice."""
+
+    def count(group: pa.Table) -> pa.Table:
+        at = [i for i, x in enumerate(group["hashes"].to_pylist()) if x is not None]
+        if not at:
+            return group
+        hashes, found = group["hashes"].to_pylist(), group["frequencies"].to_pylist()
+        parts = [_unpacked_hashes(hashes[i]) for i in at]
+        here = np.concatenate([_unpacked(found[i], "<u4") for i in at])
+        _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(inverse, weights=here).astype(np.uint32)[inverse]
+        for i, x in zip(at, np.split(total, np.cumsum([len(x) for x in parts])[:-1])):
+            found[i] = _packed(x)
+        return group.set_column(group.schema.get_field_index("frequencies"), "frequencies", pa.array(found, pa.binary()))
 
-        return work
+    return sliced.groupBy("part").applyInArrow(count, SLICED)
 
-    return map_columns(docs, start, "doc_id long, hi long, lo long, total double, low array<long>, bands array<long>", 256)
+
+SIGNED = "doc_id long, hi long, lo long, total double, low array<long>, bands array<long>, frequencies binary"
+
+
+def signatures(whole: DataFrame, documents: int, ranges: int = RANGES) -> DataFrame:
+    """doc_id, hi, lo (digest of the text), total (weight), low (bytes of the samples), bands and frequencies.
+
+    ``documents`` counts the rows of ``whole``, whose texts are not null.  ``frequencies``: documents that
+    have each of the text's shingles, in the order of ``shingles``, packed as ``<u4``.
+    """
+    arrow = _arrow_schema(whole.sparkSession, SIGNED)
+
+    def sign(group: pa.Table) -> pa.Table:
+        group = group.sort_by("part")
+        columns = {k: group[k].to_pylist() for k in group.schema.names}
+        own = next(i for i, x in enumerate(columns["documents"]) if x is not None)
+        doc_ids, his, los, texts = (x.tolist() for x in _unpacked(columns["documents"][own], "<i8").reshape(4, -1))
+        at = [i for i, x in enumerate(columns["hashes"]) if x is not None]
+        results: list[tuple] = [(0.0, [0] * PLANES, [], _packed(np.zeros(0, np.uint32)))] * (max(texts) + 1)
+        if at:
+            hashes = np.concatenate([_unpacked_hashes(columns["hashes"][i]) for i in at])
+            found = np.concatenate([_unpacked(columns["frequencies"][i], "<u4") for i in at])
+            which = np.repeat(np.arange(len(hashes)), _unpacked(columns["sharers"][own], "<u4"))
+            owner, n = _unpacked(columns["owners"][own], "<u2", 1), _unpacked(columns["counts"][own], "<u4")
+            order = np.argsort(owner, kind="stable")  # the hashes of a text keep their order
+            which, n = which[order], n[order]
+            edges = np.searchsorted(owner[order], np.arange(len(results) + 1))
+            for text, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                if b > a:
+                    h, frequency = hashes[which[a:b]], found[which[a:b]]
+                    w = n[a:b].astype(np.float32) * idf_of(frequency, documents)
+                    results[text] = float(w.sum(dtype=np.float64)), *_sampled(signature(h, w)), _packed(frequency)
+        rows = [(doc_id, hi, lo, *results[text]) for doc_id, hi, lo, text in zip(doc_ids, his, los, texts)]
+        return pa.Table.from_batches([_rows(arrow, list(zip(*rows)))])
+
+    return _counted(_slices(whole, ranges)).groupBy("slice").applyInArrow(sign, SIGNED)
+
+
+def _sampled(samples: np.ndarray) -> tuple[list[int], list[int]]:
+    """The samples' low bytes as planes, and the keys of the bands."""
+    bands = samples.reshape(BANDS, ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX2
+    for r in range(ROWS):
+        key = (key ^ bands[:, r]) * _MIX
+        key ^= key >> np.uint64(31)
+    return _planes(samples), key.view(np.int64).tolist()
 
 
 def _planes(samples: np.ndarray) -> list[int]:
@@ -265,14 +330,13 @@ def linked_rows(sets: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarr
     return links
 
 
-def _block_links(placed: DataFrame, table) -> DataFrame:
-    """Links within each block of placed texts (group, low, high, doc_id, text), read as a sorted stream."""
+def _block_links(placed: DataFrame, documents: int) -> DataFrame:
+    """Links within each block of placed texts (group, low, high, doc_id, lo, frequencies, text), read as a sorted stream."""
     send_package(placed.sparkSession)
     schema = "a long, b long"
     arrow = _arrow_schema(placed.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = Weights(*table.value)
         ids: list[int] = []
         sets: list[tuple[np.ndarray, np.ndarray]] = []
         counts: list[np.ndarray] = []
@@ -285,20 +349,29 @@ def _block_links(placed: DataFrame, table) -> DataFrame:
 
         now = None
         for batch in batches:
-            *keys, doc_ids, texts = (batch.column(i).to_pylist() for i in range(5))
-            for key, doc_id, text in zip(zip(*keys), doc_ids, texts):
+            *keys, doc_ids, los, found, texts = (batch.column(i).to_pylist() for i in range(7))
+            for key, doc_id, lo, frequencies, text in zip(zip(*keys), doc_ids, los, found, texts):
                 if key != now:
                     yield close()
                     now = key
+                if (ids and ids[-1] == doc_id) or (xxhash.xxh3_128_intdigest(text) & (1 << 64) - 1) - (1 << 63) != lo:
+                    continue  # a repeated row, or another text of one doc_id
                 h, n = shingles(text)
-                if len(h) and (not ids or ids[-1] != doc_id):
+                if len(h):
                     ids.append(doc_id)
-                    sets.append((h, weights.idf[bucket_of(h)]))
+                    sets.append((h, idf_of(_unpacked(frequencies, "<u4"), documents)))
                     counts.append(n)
         yield close()
 
     dealt = placed.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "doc_id")
-    return dealt.select("group", "low", "high", "doc_id", "text").mapInArrow(run, schema)
+    return dealt.select("group", "low", "high", "doc_id", "lo", "frequencies", "text").mapInArrow(run, schema)
+
+
+def _drop_exchanges(spark: SparkSession) -> None:
+    """Let Spark delete the files of exchanges that no plan holds any more: a checkpoint has taken their place."""
+    gc.collect()
+    time.sleep(3)  # Py4J lets go of the plans in a thread that looks once a second
+    spark.sparkContext._jvm.System.gc()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -311,12 +384,14 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     named = texts_of(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
     whole = named.filter("text is not null")
-    table = spark.sparkContext.broadcast(document_frequencies(whole))  # BUCKETS numbers at any scale
-    signed = cut(signatures(whole, table))
+    size = whole.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    documents, ranges = size["n"], max(RANGES, (size["bytes"] or 0) // RANGE_BYTES)
+    signed = cut(signatures(whole, documents, ranges))
+    _drop_exchanges(spark)
     firsts = cut(signed.groupBy("hi", "lo").agg(F.min("doc_id").alias("exact_id")))  # cut, so that a join with it can split a hot text
     member_of = signed.select("doc_id", "hi", "lo").join(firsts, ["hi", "lo"]).select("doc_id", "exact_id")
     # one row a distinct text, with its signature as plain columns
-    distinct = cut(signed.join(firsts.select(F.col("exact_id").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "total", "low", "bands"))
+    distinct = cut(signed.join(firsts.select(F.col("exact_id").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "lo", "total", "low", "bands", "frequencies"))
     flat = distinct.select("doc_id", "total", *(F.get("low", F.lit(i)).alias(f"s{i}") for i in range(PLANES)))
     bands = distinct.select("doc_id", F.explode("bands").alias("key"))
     keys = cut(bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
@@ -346,7 +421,8 @@ def classes(docs: DataFrame) -> DataFrame:
     count = sized.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("total") / BLOCK_WEIGHT)).cast("int").alias("blocks"))
     blocked = families.join(count, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = blocked.select(F.col("component").alias("group"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("node").alias("doc_id"))
-    links = cut(_block_links(rows.join(whole, "doc_id").select("group", "low", "high", "doc_id", "text"), table))
+    weighed = rows.join(distinct.select("doc_id", "lo", "frequencies"), "doc_id")
+    links = cut(_block_links(weighed.join(whole, "doc_id"), documents))
     final = components(links)
 
     placed = member_of.distinct().join(final.withColumnRenamed("node", "exact_id"), "exact_id", "left").select("doc_id", "exact_id", F.coalesce("component", "exact_id").alias("class_id"))

@@ -1,4 +1,5 @@
 import itertools
+from collections import Counter
 
 import numpy as np
 
@@ -49,6 +50,26 @@ def test_classes_are_those_of_all_pairs(make_docs):
     assert len({found[i] for i in range(1, 21) if i not in (3, 4, 5)}) == 17
 
 
+def test_weights_are_those_of_exact_frequencies(make_docs, monkeypatch):
+    monkeypatch.setattr(neardup, "SLICE", 500)  # several slices a task
+    shared, words = prose(900, 30), prose(901, 5000).split()
+    at: dict[int, list[str]] = {}
+    for i in range(len(words) - 4):
+        line = " ".join(words[i : i + 5])
+        at.setdefault(int(neardup.bucket_of(neardup.shingles(line)[0])[0]), []).append(line)
+    rare, common = next(lines for lines in at.values() if len(lines) > 1)[:2]  # one hashed counter of 2^20 for both
+    rows = [(i, prose(i, 100) + " " + (shared if i % 2 else common)) for i in range(40)] + [(50, prose(1, 100) + " " + shared), (51, ""), (52, "one two"), (53, rare)]
+    frequencies = Counter(h for _, text in rows for h in neardup.shingles(text)[0].tolist())
+    found = {r["doc_id"]: r for r in neardup.signatures(make_docs(rows).select("doc_id", "text"), len(rows), 5).collect()}
+    assert set(found) == {i for i, _ in rows} and neardup._unpacked(found[53]["frequencies"], "<u4").tolist() == [1]
+    for i, text in rows:
+        h, n = neardup.shingles(text)
+        exact = np.array([frequencies[x] for x in h.tolist()], np.int64)
+        w = n * (1 + np.log1p(len(rows) / exact) / np.log1p(len(rows)))
+        assert neardup._unpacked(found[i]["frequencies"], "<u4").tolist() == exact.tolist()
+        assert abs(found[i]["total"] - w.sum()) < 1e-3
+
+
 def test_linked_rows_match_brute_force():
     r = np.random.default_rng(1)
     base = np.sort(r.choice(1 << 40, 300, replace=False)).astype(np.uint64)
