@@ -146,7 +146,8 @@ def text_payload(text: str | None) -> tuple[int, bytes]:
 def text_images(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """Each whole text as an image: doc_id, n_bytes, kind, media (bytes), tile (.npy bytes), dhash.
 
-    Odd doc_ids become BMP, others (null too) P6 Netpbm.  A null or empty text is one row of spaces.
+    Payloads with an odd CRC-32 become BMP, others P6 Netpbm, so equal texts have equal images.  A null or
+    empty text is one row of spaces.
     Repeated rows give repeated rows; an empty table gives none.  Memory: one text and its image.
     """
 
@@ -155,7 +156,7 @@ def text_images(docs: DataFrame, tile: int = TILE) -> DataFrame:
         for doc_id, text in zip(rows["doc_id"], rows["text"]):
             n, payload = text_payload(text)
             pixels = np.frombuffer(payload, np.uint8).reshape(-1, PIXELS_PER_ROW, CHANNELS)
-            bmp = doc_id is not None and doc_id % 2 == 1
+            bmp = zlib.crc32(payload) % 2 == 1
             media = write_bmp(pixels) if bmp else write_netpbm(pixels)
             back = decode(media)
             for k, v in (("doc_id", doc_id), ("n_bytes", n), ("kind", "bmp" if bmp else "ppm"), ("media", media), ("tile", npy_tile(back, tile)), ("dhash", difference_hash(back))):

@@ -189,6 +189,16 @@ def test_media_digests(make_docs, odd_rows):
     assert media.media_digests(media.text_images(make_docs([]))).collect() == []
 
 
+def test_copies_have_equal_media(make_docs):
+    from .conftest import prose
+
+    texts = ["", "hello", *(prose(i, 60) for i in range(12))]
+    images = media.text_images(make_docs([(i, t) for k, t in enumerate(texts) for i in (2 * k, 2 * k + 1, None)]))
+    assert {r["kind"] for r in images.collect()} == {"bmp", "ppm"}
+    for df in (images, media.media_digests(images)):
+        assert len({tuple(r) for r in df.drop("doc_id").collect()}) == len(texts)
+
+
 # --- rules
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
