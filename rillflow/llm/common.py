@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from ..session import send_package
 
 #: The word separators of the word-based operators: space and \t \n \v \f \r.
 WORD_SEPARATORS = "\x20\x09\x0a\x0b\x0c\x0d"
+#: Bytes of text that a slice of rows holds, unless one row alone has more.
+SLICE_BYTES = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +28,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -42,7 +48,9 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, rows: int = 512) -> DataFrame:
-    """Run ``fn`` over slices of at most ``rows`` rows (columns as Python lists); it returns columns of any length.
+    """Run ``fn`` over slices of at most ``rows`` rows and ``SLICE_BYTES`` of text (columns as Python lists).
+
+    It returns columns of any length.
 
     ``fn`` may also be a factory marked with ``per_task``: it is then called once a task to set up.
     """
@@ -53,14 +61,27 @@ def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = fn() if getattr(fn, "per_task", False) else fn
         for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
+            for part in row_slices(batch, rows):
                 out = work({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow_schema], schema=arrow_schema)
 
     return df.mapInArrow(run, schema)
 
 
+def row_slices(batch: pa.RecordBatch, rows: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and ``most`` bytes of text; a row is never cut."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes), 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + most, side="right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def per_task(fn):
     fn.per_task = True
     return fn

@@ -2,7 +2,7 @@
 
 Readers take binary and plain Netpbm (P1-P6, maxval up to 255) and uncompressed 8- and 24-bit BMP.
 Resizing integrates each target cell over the image's integral image, fractional edges included, so
-the cost does not depend on the scale.  All functions work on one image and need memory of its size.
+the cost does not depend on the scale.  All functions work on one image and need a few times its bytes.
 """
 
 from __future__ import annotations
@@ -108,18 +108,27 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell, as float64 of shape (height, width, channels)."""
+    """Mean over each target cell, as float64 of shape (height, width, channels).
+
+    Of the integral image only the rows beside the target's edges are kept: sums of the bands between
+    them, carried on downwards and then across.
+    """
     cube = pixels[:, :, None] if pixels.ndim == 2 else pixels
     h, w, depth = cube.shape
-    integral = np.zeros((h + 1, w + 1, depth))
-    np.cumsum(np.cumsum(cube, 0, dtype=np.float64), 1, out=integral[1:, 1:])
-
-    def at(edges: np.ndarray, axis: int, table: np.ndarray) -> np.ndarray:
-        low = np.minimum(edges.astype(np.int64), table.shape[axis] - 2)
-        part = (edges - low).reshape((-1, 1, 1) if axis == 0 else (1, -1, 1))
-        return np.take(table, low, axis) * (1 - part) + np.take(table, low + 1, axis) * part
-
-    sums = at(np.linspace(0, w, width + 1), 1, at(np.linspace(0, h, height + 1), 0, integral))
+    down, across = np.linspace(0, h, height + 1), np.linspace(0, w, width + 1)
+    low = np.minimum(down.astype(np.int64), h - 1)
+    kept = np.unique(np.concatenate((low, low + 1)))  # from 0 to h
+    integral = np.zeros((len(kept), w + 1, depth), np.int64)
+    for i, (top, bottom) in enumerate(zip(kept[:-1], kept[1:])):
+        integral[i + 1, 1:] = integral[i, 1:] + cube[top:bottom].sum(axis=0, dtype=np.int64)
+    np.cumsum(integral, axis=1, out=integral)
+
+    def between(table: np.ndarray, first: np.ndarray, part: np.ndarray, axis: int) -> np.ndarray:
+        part = part.reshape((-1, 1, 1) if axis == 0 else (1, -1, 1))
+        return np.take(table, first, axis) * (1 - part) + np.take(table, first + 1, axis) * part
+
+    left = np.minimum(across.astype(np.int64), w - 1)
+    sums = between(between(integral, np.searchsorted(kept, low), down - low, 0), left, across - left, 1)
     return np.diff(np.diff(sums, axis=0), axis=1) * (height * width / (h * w))
 
 
@@ -146,9 +155,10 @@ def text_payload(text: str | None) -> tuple[int, bytes]:
 def text_images(docs: DataFrame, tile: int = TILE) -> DataFrame:
     """Each whole text as an image: doc_id, n_bytes, kind, media (bytes), tile (.npy bytes), dhash.
 
-    Payloads with an odd CRC-32 become BMP, others P6 Netpbm, so equal texts have equal images.  A null or
-    empty text is one row of spaces.
-    Repeated rows give repeated rows; an empty table gives none.  Memory: one text and its image.
+    Payloads with an odd CRC-32 become BMP, others P6 Netpbm, so equal texts have equal images, whatever
+    their doc_ids.  A null or empty text is one row of spaces, a null doc_id stays null.  Repeated rows
+    give repeated rows; an empty table gives none; further columns are not read.  A very long text is one
+    tall image: memory is a few times its bytes and, beside it, a slice of rows (``common.SLICE_BYTES``).
     """
 
     def images(rows: dict[str, list]) -> dict[str, list]:

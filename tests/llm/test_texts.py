@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -174,6 +175,43 @@ def test_area_resize_is_the_mean_of_the_area():
     assert np.allclose(media.area_resize(pixels, 12, 18)[::2, ::2, 0], pixels)
 
 
+def area_means(pixels, height, width):
+    """Every target cell by a loop over the pixels that it overlaps."""
+    h, w = pixels.shape[:2]
+    out = np.zeros((height, width, pixels.shape[2]))
+    for i in range(height):
+        for j in range(width):
+            top, bottom, left, right = i * h / height, (i + 1) * h / height, j * w / width, (j + 1) * w / width
+            for y in range(int(top), min(h, math.ceil(bottom))):
+                for x in range(int(left), min(w, math.ceil(right))):
+                    share = (min(bottom, y + 1) - max(top, y)) * (min(right, x + 1) - max(left, x))
+                    out[i, j] += share * pixels[y, x]
+            out[i, j] /= (bottom - top) * (right - left)
+    return out
+
+
+@pytest.mark.parametrize("shape", [(1, 64, 3), (2, 64, 3), (7, 64, 3), (33, 64, 3), (5, 3, 3), (40, 11, 3)])
+def test_tile_and_hash_are_those_of_a_loop(shape):
+    import io
+
+    pixels = np.random.default_rng(shape[0]).integers(0, 256, shape, np.uint8)
+    expected = area_means(pixels, media.TILE, media.TILE)
+    assert np.abs(np.load(io.BytesIO(media.npy_tile(pixels))).astype(float) - expected).max() <= 0.5 + 1e-6
+    grey = area_means(pixels, 8, 9).mean(axis=2)
+    bits = "".join("1" if round(right, 6) > round(left, 6) else "0" for row in grey for left, right in zip(row, row[1:]))
+    assert media.difference_hash(pixels) == f"{int(bits, 2):016x}"
+
+
+def test_media_memory_of_a_long_text():
+    import tracemalloc
+
+    pixels = np.random.default_rng(1).integers(0, 256, (50_000, 64, 3), np.uint8)
+    tracemalloc.start()
+    media.npy_tile(pixels), media.difference_hash(pixels)
+    assert tracemalloc.get_traced_memory()[1] < pixels.nbytes
+    tracemalloc.stop()
+
+
 def test_media_digests(make_docs, odd_rows):
     found = {r["doc_id"]: r for r in media.media_digests(media.text_images(make_docs(odd_rows))).collect()}
     for doc_id, text, *_ in odd_rows:
