@@ -12,7 +12,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """node, component (smallest node reached) of every node with an edge to another.
 
     Each step joins nodes with their smallest neighbour, found by a combined aggregate, so a hub's
-    neighbours are never gathered.  Stops when all edges point at roots.
+    neighbours are never gathered; that aggregate is cut off, so that the join can split a hub's edges
+    over tasks.  Stops when all edges point at roots.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     pairs = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -22,9 +23,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if ends.groupBy("node").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).filter("c > 1 OR c = 1 AND p = 1").isEmpty():
             break
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         pairs = cut(small.filter("u <> v").distinct())

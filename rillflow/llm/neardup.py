@@ -11,12 +11,14 @@ their weighted Jaccard similarity.  Texts that agree in all samples of a band ar
 weighted Jaccard on the whole texts decides.  At a similarity of 0.8 a pair misses all bands with a
 probability of 2e-4.
 
-Buckets are never expanded into pairs.  A member's signature is compared with that of its bucket's
-smallest member, then those outside a bucket's largest family with members of other families; families
-are the components of pairs whose signatures agree in at least ``AGREE`` samples.  So every pair that
-shares a band and can be similar lies in one family.  A family is cut into blocks of about ``BLOCK``
-texts; each pair of blocks is one unit of work that decides all its pairs by matrix products and sends
-out only the links that join them, fewer than its texts.
+A member's signature is compared with that of its bucket's smallest member, then those outside a
+bucket's largest family with the bucket's members of other families; families are the components of
+pairs whose signatures agree in at least ``AGREE`` samples.  So every pair that shares a band and can be
+similar lies in one family.  A family of more than a block is first compared with one of its members,
+the one that leads most of its buckets, exactly and text by text: those that link to it are one class
+and need no comparison among themselves.  What is left of it is decided in pairs of blocks of about
+``BLOCK`` texts; each pair of blocks decides all its pairs by matrix products and sends out only the
+links that join them, fewer than its texts.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import send_package
-from .common import _arrow_schema, cut, texts_of
+from .common import _arrow_schema, cut, row_slices, texts_of
 from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -47,8 +49,8 @@ PLANES = 8
 #: Texts and total weight of a block at most (on average), and features of a slice of the matrices.
 BLOCK, BLOCK_WEIGHT, FEATURES = 400, 400_000, 4096
 BUCKETS = 1 << 20
-#: Shingles and documents of a slice at most (a text is never cut), bytes of text for a range of hashes, fewest ranges.
-SLICE, SLICE_DOCUMENTS, RANGE_BYTES, RANGES = 1 << 20, 1 << 16, 1 << 24, 64
+#: Shingles and texts of a slice at most (a text is never cut), bytes of text for a range of hashes, fewest ranges.
+SLICE, SLICE_TEXTS, RANGE_BYTES, RANGES = 1 << 19, 1 << 16, 1 << 24, 64
 NULL_ID = -(1 << 63)
 _VARIATES = 1 << 14
 _rng = np.random.default_rng(20240)
@@ -146,8 +148,8 @@ def _unpacked_hashes(data: bytes) -> np.ndarray:
 
 
 #: Shingles of a slice in a range of hashes: their differences, and how many documents have each.  One row of a
-#: slice has no shingles but its documents (doc_id, digest, text) and which shingle stands how often in which text.
-SLICED = "part int, slice long, hashes binary, frequencies binary, documents binary, sharers binary, owners binary, counts binary"
+#: slice has no shingles but its texts (digests, end to end) and which shingle stands how often in which text.
+SLICED = "part int, slice long, hashes binary, frequencies binary, texts binary, sharers binary, owners binary, counts binary"
 
 
 def _rows(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
@@ -155,14 +157,13 @@ def _rows(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
 
 
 def _slices(whole: DataFrame, ranges: int) -> DataFrame:
-    """The shingles of all texts, combined within slices of each task."""
+    """The shingles of all texts, combined within slices of each task; a slice holds a text once, however often it stands."""
     send_package(whole.sparkSession)
     arrow = _arrow_schema(whole.sparkSession, SLICED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, made, held = TaskContext.get().partitionId(), 0, 0
-        documents: list[tuple[int, int, int, int]] = []
-        known: dict[int, int] = {}
+        known: dict[bytes, int] = {}
         sets: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         times: list[int] = []
@@ -176,34 +177,32 @@ def _slices(whole: DataFrame, ranges: int) -> DataFrame:
             starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
             frequency = np.add.reduceat(np.array(times, np.uint32)[owner], starts, dtype=np.uint32) if len(h) else np.zeros(0, np.uint32)
             sharers = np.diff(np.append(starts, len(h))).astype(np.uint32)
-            own = [(partition * 7919 + made) % ranges, name, None, None, _packed(np.array(documents, np.int64).T.ravel()), _packed(sharers), _packed(owner, 1), _packed(n)]
+            out = [[(partition * 7919 + made) % ranges, name, None, None, b"".join(known), _packed(sharers), _packed(owner, 1), _packed(n)]]
             h = h[starts]
             part = (h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)  # rises with the hash
             edges = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
-            out = [own]
             for p in np.flatnonzero(np.diff(edges)).tolist():
                 at = slice(edges[p], edges[p + 1])
                 out.append([p, name, _packed_hashes(h[at]), _packed(frequency[at]), None, None, None, None])
-            documents.clear(), known.clear(), sets.clear(), counts.clear(), times.clear()
+            known.clear(), sets.clear(), counts.clear(), times.clear()
             return _rows(arrow, list(zip(*out)))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                digest = xxhash.xxh3_128_intdigest(text)
-                if digest not in known:
-                    h, n = shingles(text)
-                    known[digest] = len(sets)
-                    sets.append(h), counts.append(n), times.append(0)
-                    held += len(h)
-                times[known[digest]] += 1
-                documents.append((doc_id, (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), known[digest]))
-                if held >= SLICE or len(documents) == SLICE_DOCUMENTS:
-                    yield close()
-                    made, held = made + 1, 0
-        if documents:
+            for part in row_slices(batch, 512):
+                for digest, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if digest not in known:
+                        h, n = shingles(text)
+                        known[digest] = len(sets)
+                        sets.append(h), counts.append(n), times.append(0)
+                        held += len(h)
+                    times[known[digest]] += 1
+                    if held >= SLICE or len(sets) == SLICE_TEXTS:
+                        yield close()
+                        made, held = made + 1, 0
+        if sets:
             yield close()
 
-    return whole.select("doc_id", "text").mapInArrow(run, SLICED)
+    return whole.select("digest", "text").mapInArrow(run, SLICED)
 
 
 def _counted(sliced: DataFrame) -> DataFrame:
@@ -225,11 +224,11 @@ def _counted(sliced: DataFrame) -> DataFrame:
     return sliced.groupBy("part").applyInArrow(count, SLICED)
 
 
-SIGNED = "doc_id long, hi long, lo long, total double, low array<long>, bands array<long>, frequencies binary"
+SIGNED = "digest binary, total double, low array<long>, bands array<long>, frequencies binary"
 
 
 def signatures(whole: DataFrame, documents: int, ranges: int = RANGES) -> DataFrame:
-    """doc_id, hi, lo (digest of the text), total (weight), low (bytes of the samples), bands and frequencies.
+    """digest, total (weight), low (bytes of the samples), bands and frequencies of texts (digest, text); one row a text and slice.
 
     ``documents`` counts the rows of ``whole``, whose texts are not null.  ``frequencies``: documents that
     have each of the text's shingles, in the order of ``shingles``, packed as ``<u4``.
@@ -239,24 +238,24 @@ def signatures(whole: DataFrame, documents: int, ranges: int = RANGES) -> DataFr
     def sign(group: pa.Table) -> pa.Table:
         group = group.sort_by("part")
         columns = {k: group[k].to_pylist() for k in group.schema.names}
-        own = next(i for i, x in enumerate(columns["documents"]) if x is not None)
-        doc_ids, his, los, texts = (x.tolist() for x in _unpacked(columns["documents"][own], "<i8").reshape(4, -1))
+        own = next(i for i, x in enumerate(columns["texts"]) if x is not None)
+        digests = [columns["texts"][own][i : i + 16] for i in range(0, len(columns["texts"][own]), 16)]
         at = [i for i, x in enumerate(columns["hashes"]) if x is not None]
-        results: list[tuple] = [(0.0, [0] * PLANES, [], _packed(np.zeros(0, np.uint32)))] * (max(texts) + 1)
+        rows: list[tuple] = [(d, 0.0, [0] * PLANES, [], _packed(np.zeros(0, np.uint32))) for d in digests]
         if at:
             hashes = np.concatenate([_unpacked_hashes(columns["hashes"][i]) for i in at])
             found = np.concatenate([_unpacked(columns["frequencies"][i], "<u4") for i in at])
-            which = np.repeat(np.arange(len(hashes)), _unpacked(columns["sharers"][own], "<u4"))
+            which = np.repeat(np.arange(len(hashes), dtype=np.uint32), _unpacked(columns["sharers"][own], "<u4"))
             owner, n = _unpacked(columns["owners"][own], "<u2", 1), _unpacked(columns["counts"][own], "<u4")
+            del columns
             order = np.argsort(owner, kind="stable")  # the hashes of a text keep their order
             which, n = which[order], n[order]
-            edges = np.searchsorted(owner[order], np.arange(len(results) + 1))
+            edges = np.searchsorted(owner[order], np.arange(len(rows) + 1))
             for text, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
                 if b > a:
                     h, frequency = hashes[which[a:b]], found[which[a:b]]
                     w = n[a:b].astype(np.float32) * idf_of(frequency, documents)
-                    results[text] = float(w.sum(dtype=np.float64)), *_sampled(signature(h, w)), _packed(frequency)
-        rows = [(doc_id, hi, lo, *results[text]) for doc_id, hi, lo, text in zip(doc_ids, his, los, texts)]
+                    rows[text] = digests[text], float(w.sum(dtype=np.float64)), *_sampled(signature(h, w)), _packed(frequency)
         return pa.Table.from_batches([_rows(arrow, list(zip(*rows)))])
 
     return _counted(_slices(whole, ranges)).groupBy("slice").applyInArrow(sign, SIGNED)
@@ -330,8 +329,41 @@ def linked_rows(sets: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarr
     return links
 
 
+def _sets_of(frequencies: bytes, text: str, documents: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """(hashes, weights of one occurrence) and occurrences of a text's shingles."""
+    h, n = shingles(text)
+    return (h, idf_of(_unpacked(frequencies, "<u4"), documents)), n
+
+
+def _star_links(placed: DataFrame, documents: int) -> DataFrame:
+    """Links to the leader of each group of texts (group, salt, member, node, frequencies, text), read as a sorted stream.
+
+    ``member`` is false for the leader, which stands first in every salt of its group.
+    """
+    send_package(placed.sparkSession)
+    schema = "a long, b long"
+    arrow = _arrow_schema(placed.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, leader = None, None
+        for batch in batches:
+            links = []
+            for part in row_slices(batch, 256):
+                columns = [part.column(i).to_pylist() for i in range(6)]
+                for group, salt, member, node, frequencies, text in zip(*columns):
+                    (h, w), n = _sets_of(frequencies, text, documents)
+                    if (group, salt) != now:
+                        now, leader = (group, salt), (node, (h, w * n))
+                    elif member and node != leader[0] and weighted_jaccard(leader[1], (h, w * n)) >= THRESHOLD:
+                        links.append((node, leader[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(2)], schema=arrow)
+
+    dealt = placed.repartition("group", "salt").sortWithinPartitions("group", "salt", "member", "node")
+    return dealt.select("group", "salt", "member", "node", "frequencies", "text").mapInArrow(run, schema)
+
+
 def _block_links(placed: DataFrame, documents: int) -> DataFrame:
-    """Links within each block of placed texts (group, low, high, doc_id, lo, frequencies, text), read as a sorted stream."""
+    """Links within each block of placed texts (group, low, high, node, frequencies, text), read as a sorted stream."""
     send_package(placed.sparkSession)
     schema = "a long, b long"
     arrow = _arrow_schema(placed.sparkSession, schema)
@@ -349,22 +381,21 @@ def _block_links(placed: DataFrame, documents: int) -> DataFrame:
 
         now = None
         for batch in batches:
-            *keys, doc_ids, los, found, texts = (batch.column(i).to_pylist() for i in range(7))
-            for key, doc_id, lo, frequencies, text in zip(zip(*keys), doc_ids, los, found, texts):
-                if key != now:
-                    yield close()
-                    now = key
-                if (ids and ids[-1] == doc_id) or (xxhash.xxh3_128_intdigest(text) & (1 << 64) - 1) - (1 << 63) != lo:
-                    continue  # a repeated row, or another text of one doc_id
-                h, n = shingles(text)
-                if len(h):
-                    ids.append(doc_id)
-                    sets.append((h, idf_of(_unpacked(frequencies, "<u4"), documents)))
-                    counts.append(n)
+            for part in row_slices(batch, 512):
+                *keys, nodes, found, texts = (part.column(i).to_pylist() for i in range(6))
+                for key, node, frequencies, text in zip(zip(*keys), nodes, found, texts):
+                    if key != now:
+                        yield close()
+                        now = key
+                    if ids and ids[-1] == node:
+                        continue  # a repeated row
+                    one, n = _sets_of(frequencies, text, documents)
+                    if len(n):
+                        ids.append(node), sets.append(one), counts.append(n)
         yield close()
 
-    dealt = placed.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "doc_id")
-    return dealt.select("group", "low", "high", "doc_id", "lo", "frequencies", "text").mapInArrow(run, schema)
+    dealt = placed.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "node")
+    return dealt.select("group", "low", "high", "node", "frequencies", "text").mapInArrow(run, schema)
 
 
 def _drop_exchanges(spark: SparkSession) -> None:
@@ -374,65 +405,110 @@ def _drop_exchanges(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, exact_id (smallest doc_id with the same text), class_id (smallest doc_id of its component).
+def _families(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of every text with company, and pairs (a, b) of members and leaders of buckets."""
+    flat = distinct.select("node", *(F.get("low", F.lit(i)).alias(f"s{i}") for i in range(PLANES)))
+    bands = distinct.select("node", F.explode("bands").alias("key"))
+    keys = cut(bands.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    members = cut(bands.join(keys, "key").select("key", "node", "leader"))  # buckets with company only
 
-    Components join texts by chains of pairs with a weighted Jaccard similarity of at least 0.8.
-    A null text is a class of its own; a text without words only equals exact copies.  A null doc_id
-    counts as the smallest long.  Rows with one doc_id are one document.  An empty table gives none.
-    """
-    spark = docs.sparkSession
-    named = texts_of(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    whole = named.filter("text is not null")
-    size = whole.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    documents, ranges = size["n"], max(RANGES, (size["bytes"] or 0) // RANGE_BYTES)
-    signed = cut(signatures(whole, documents, ranges))
-    _drop_exchanges(spark)
-    firsts = cut(signed.groupBy("hi", "lo").agg(F.min("doc_id").alias("exact_id")))  # cut, so that a join with it can split a hot text
-    member_of = signed.select("doc_id", "hi", "lo").join(firsts, ["hi", "lo"]).select("doc_id", "exact_id")
-    # one row a distinct text, with its signature as plain columns
-    distinct = cut(signed.join(firsts.select(F.col("exact_id").alias("doc_id"), "hi", "lo"), ["doc_id", "hi", "lo"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "lo", "total", "low", "bands", "frequencies"))
-    flat = distinct.select("doc_id", "total", *(F.get("low", F.lit(i)).alias(f"s{i}") for i in range(PLANES)))
-    bands = distinct.select("doc_id", F.explode("bands").alias("key"))
-    keys = cut(bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = cut(bands.join(keys, "key").select("key", "doc_id", "leader"))  # buckets with company only
-
-    star = members.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
-    near = star.join(flat.alias("x"), F.col("a") == F.col("x.doc_id")).join(flat.alias("y"), F.col("b") == F.col("y.doc_id")).filter(_agreement("x", "y") >= AGREE).select("a", "b")
+    star = members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    near = star.join(flat.alias("x"), F.col("a") == F.col("x.node")).join(flat.alias("y"), F.col("b") == F.col("y.node")).filter(_agreement("x", "y") >= AGREE).select("a", "b")
     near = cut(near)
     families = components(near)
 
-    labelled = members.select("key", "doc_id").join(families.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    labelled = members.select("key", "node").join(families, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     labelled = cut(labelled)
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     sizes = labelled.join(open_keys, "key", "left_semi").groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
-    rest = labelled.join(largest, "key").join(flat, "doc_id")
+    largest = cut(sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main")))
+    rest = cut(labelled.join(largest, "key").join(flat, "node"))  # cut, so that the join can split a hot bucket
     x, y = rest.filter("component <> main").alias("x"), rest.alias("y")
     unlike = F.col("x.component") != F.col("y.component")
     # of two members outside the main family each meets the other: take such a pair once
-    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.doc_id") > F.col("y.doc_id"))
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.node") > F.col("y.node"))
     wide = x.join(y, (F.col("x.key") == F.col("y.key")) & unlike & once & (_agreement("x", "y") >= AGREE)).select(F.col("x.component").alias("a"), F.col("y.component").alias("b")).distinct()
     joined = components(wide)
-    families = families.withColumnRenamed("component", "mid").join(joined.select(F.col("node").alias("mid"), "component"), "mid", "left").select("node", F.coalesce("component", "mid").alias("component")).unionByName(joined.join(families.select("node"), "node", "left_anti"))
-    families = cut(families)
+    mid = families.withColumnRenamed("component", "mid").join(joined.select(F.col("node").alias("mid"), "component"), "mid", "left").select("node", F.coalesce("component", "mid").alias("component"))
+    return cut(mid.unionByName(joined.join(families.select("node"), "node", "left_anti"))), near
+
+
+def _links(distinct: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
+    """Pairs (a, b) of nodes that join all similar texts of each family; ``texts``: exact_id, digest, text."""
+    families, near = _families(distinct)
+    told = distinct.select("node", "exact_id", "digest", "frequencies")
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        return rows.join(told, "node").join(texts, ["exact_id", "digest"])
+
+    blocks = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("total") / BLOCK_WEIGHT)).cast("int").alias("blocks")
+    sized = cut(families.join(distinct.select("node", "total"), "node"))
+    counts = cut(sized.groupBy("component").agg(blocks()))
+    large = sized.join(counts.filter("blocks > 1"), "component")
+    # the member of each large family that leads most of its pairs; a family without one has its smallest member
+    support = near.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("led"))
+    led = large.join(support, "node", "left").groupBy("component", "blocks").agg(F.max(F.struct(F.coalesce("led", F.lit(0)).alias("led"), (-F.col("node")).alias("down"), "node"))["node"].alias("leader"))
+    leaders = cut(led)
+    first = leaders.select(F.col("component").alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("leader").alias("node"))
+    others = large.select(F.col("component").alias("group"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("salt"), F.lit(True).alias("member"), "node")
+    star = cut(_star_links(with_texts(first.unionByName(others)), documents))
+    main = star.select(F.col("a").alias("node")).unionByName(leaders.select(F.col("leader").alias("node"))).withColumn("rest", F.lit(0))
+
+    # blocks of what links to the leader (numbered from 0) and of the rest (from ``mains``); a small family is one block of the rest
+    sides = cut(sized.join(main, "node", "left").withColumn("rest", F.coalesce("rest", F.lit(1))))
+    per_side = sides.groupBy("component", "rest").agg(blocks())
+    shape = cut(per_side.groupBy("component").agg(F.coalesce(F.max(F.when(F.col("rest") == 0, F.col("blocks"))), F.lit(0)).alias("mains"), F.max(F.when(F.col("rest") == 1, F.col("blocks"))).alias("rests")).filter("rests is not null"))
+    dealt = sides.join(shape, "component").withColumn("block", F.when(F.col("rest") == 0, F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), F.col("rests"))).cast("int"))
+    rest_blocks, main_blocks = F.sequence(F.col("mains"), F.col("mains") + F.col("rests") - 1), F.when(F.col("mains") > 0, F.sequence(F.lit(0), F.col("mains") - 1)).otherwise(F.array().cast("array<int>"))
+    partner = F.when(F.col("rest") == 0, rest_blocks).otherwise(F.concat(main_blocks, rest_blocks))
+    paired = dealt.withColumn("other", F.explode(partner))
+    rows = paired.select(F.col("component").alias("group"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node")
+    return star.unionByName(cut(_block_links(with_texts(rows), documents)))
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """doc_id (the smallest long for null), text and its digest (null for a null text)."""
+    return texts_of(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text", F.unhex(F.md5("text")).alias("digest"))
 
-    sized = families.join(flat.select(F.col("doc_id").alias("node"), "total"), "node")
-    count = sized.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("total") / BLOCK_WEIGHT)).cast("int").alias("blocks"))
-    blocked = families.join(count, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = blocked.select(F.col("component").alias("group"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("node").alias("doc_id"))
-    weighed = rows.join(distinct.select("doc_id", "lo", "frequencies"), "doc_id")
-    links = cut(_block_links(weighed.join(whole, "doc_id"), documents))
-    final = components(links)
 
-    placed = member_of.distinct().join(final.withColumnRenamed("node", "exact_id"), "exact_id", "left").select("doc_id", "exact_id", F.coalesce("component", "exact_id").alias("class_id"))
-    per_id = placed.groupBy("doc_id").agg(F.min("exact_id").alias("exact_id"), F.min("class_id").alias("class_id"))
-    alone = named.filter("text is null").select("doc_id").distinct().join(per_id, "doc_id", "left_anti")
-    return per_id.unionByName(alone.select("doc_id", F.col("doc_id").alias("exact_id"), F.col("doc_id").alias("class_id")))
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (of the text), exact_id (smallest doc_id with the same text), class_id (smallest doc_id of its component), component.
+
+    Components join texts by chains of pairs with a weighted Jaccard similarity of at least 0.8.  One row a
+    document: repeated rows (same doc_id and text) are one, different texts of one doc_id stay apart.
+    A null text is a class of its own; a text without words only equals exact copies.  A null doc_id
+    counts as the smallest long.  Texts are read whole, however long.  An empty table gives none.
+    ``component`` names a class also where different texts of one doc_id make two classes' ``class_id`` equal.
+    """
+    spark = docs.sparkSession
+    named = _identified(docs)
+    whole = named.filter("text is not null")
+    size = whole.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    documents, ranges = size["n"], max(RANGES, (size["bytes"] or 0) // RANGE_BYTES)
+    signed = cut(signatures(whole, documents, ranges))
+    _drop_exchanges(spark)
+    firsts = cut(whole.groupBy("digest").agg(F.min("doc_id").alias("exact_id")))  # cut, so that a join with it can split a hot text
+    # texts that share their smallest doc_id (a null one, say) are told apart by a hash
+    shared = firsts.groupBy("exact_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("exact_id", F.lit(True).alias("many"))
+    nodes = cut(firsts.join(shared, "exact_id", "left").select("digest", "exact_id", F.when(F.col("many"), F.xxhash64("digest")).otherwise(F.col("exact_id")).alias("node")))
+    distinct = cut(signed.dropDuplicates(["digest"]).join(nodes, "digest"))
+    links = _links(distinct, whole.select(F.col("doc_id").alias("exact_id"), "digest", "text"), documents)
+
+    placed = nodes.join(components(links), "node", "left").select("digest", "exact_id", F.coalesce("component", "node").alias("component"))
+    class_ids = placed.groupBy("component").agg(F.min("exact_id").alias("class_id"))
+    told = cut(placed.join(class_ids, "component").select("digest", "exact_id", "class_id", "component"))
+    found = whole.select("doc_id", "digest").distinct().join(told, "digest").select("doc_id", "digest", "exact_id", "class_id", "component")
+    alone = named.filter("text is null").select("doc_id").distinct()
+    return found.unionByName(alone.select("doc_id", F.lit(None).cast("binary").alias("digest"), F.col("doc_id").alias("exact_id"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each class, once, with its columns; null doc_ids all stay."""
-    leaders = classes(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("__leader"))
-    kept = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(leaders, F.col("doc_id") == F.col("__leader"), "left_semi")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """One document of each class, with its columns: of those with the smallest doc_id the one with the smallest digest.
+
+    A null doc_id is the smallest.  Of repeated rows one stays.  Rows with a null text all stay.
+    """
+    found = classes(docs).filter("digest is not null")
+    leaders = found.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__leader"))
+    keyed = docs.filter("text is not null").withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__leader": F.unhex(F.md5(F.col("text").cast("string")))})
+    kept = keyed.dropDuplicates(["__id", "__leader"]).join(leaders, ["__id", "__leader"], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return kept.unionByName(docs.filter("text is null"))

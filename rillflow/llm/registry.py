@@ -23,7 +23,7 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents"))
+    return neardup.classes(table(spark, sf_dir, "documents")).drop("digest", "component")
 
 
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

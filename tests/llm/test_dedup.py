@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 from collections import Counter
 
@@ -60,14 +61,15 @@ def test_weights_are_those_of_exact_frequencies(make_docs, monkeypatch):
     rare, common = next(lines for lines in at.values() if len(lines) > 1)[:2]  # one hashed counter of 2^20 for both
     rows = [(i, prose(i, 100) + " " + (shared if i % 2 else common)) for i in range(40)] + [(50, prose(1, 100) + " " + shared), (51, ""), (52, "one two"), (53, rare)]
     frequencies = Counter(h for _, text in rows for h in neardup.shingles(text)[0].tolist())
-    found = {r["doc_id"]: r for r in neardup.signatures(make_docs(rows).select("doc_id", "text"), len(rows), 5).collect()}
-    assert set(found) == {i for i, _ in rows} and neardup._unpacked(found[53]["frequencies"], "<u4").tolist() == [1]
-    for i, text in rows:
+    digest = lambda t: hashlib.md5(t.encode()).digest()
+    found = {bytes(r["digest"]): r for r in neardup.signatures(neardup._identified(make_docs(rows)), len(rows), 5).collect()}
+    assert set(found) == {digest(t) for _, t in rows} and neardup._unpacked(found[digest(rare)]["frequencies"], "<u4").tolist() == [1]
+    for _, text in rows:
         h, n = neardup.shingles(text)
         exact = np.array([frequencies[x] for x in h.tolist()], np.int64)
         w = n * (1 + np.log1p(len(rows) / exact) / np.log1p(len(rows)))
-        assert neardup._unpacked(found[i]["frequencies"], "<u4").tolist() == exact.tolist()
-        assert abs(found[i]["total"] - w.sum()) < 1e-3
+        assert neardup._unpacked(found[digest(text)]["frequencies"], "<u4").tolist() == exact.tolist()
+        assert abs(found[digest(text)]["total"] - w.sum()) < 1e-3
 
 
 def test_linked_rows_match_brute_force():
@@ -103,10 +105,49 @@ def test_classes_of_odd_rows(make_docs, odd_rows, spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10, 11]
 
 
-def test_large_family_is_cut_into_blocks(make_docs, monkeypatch):
+def test_large_families_are_decided_exactly(make_docs, monkeypatch):
+    """A family of one star, and one that drifts away from its leader, so that the rest meets all blocks."""
     monkeypatch.setattr(neardup, "BLOCK", 7)
     rows = [(i, edited(77, 150, [i % 145])) for i in range(60)]
-    assert {r["class_id"] for r in neardup.classes(make_docs(rows)).collect()} == {0}
+    rows += [(100 + i, edited(78, 150, range(3, 3 + 4 * i, 4))) for i in range(30)]
+    texts = {i: neardup.shingles(t) for i, t in rows}
+    frequencies = Counter(h for h, _ in texts.values() for h in h.tolist())
+    sets = {i: (h, n * neardup.idf_of(np.array([frequencies[x] for x in h.tolist()]), len(rows))) for i, (h, n) in texts.items()}
+    same = dict(rows)
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if same[a] == same[b] or neardup.weighted_jaccard(sets[a], sets[b]) >= 0.8]
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(make_docs(rows)).collect()} == union(links, sets)
+    assert len({union(links, sets)[i] for i, _ in rows}) > 1
+
+
+def test_texts_that_share_a_doc_id_stay_apart(make_docs):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, c), (None, a), (None, c + " more"), (4, None), (4, None)]
+    found = sorted((r["doc_id"], r["exact_id"], r["class_id"]) for r in neardup.classes(make_docs(rows)).collect())
+    low = neardup.NULL_ID
+    assert found == sorted([(1, low, low), (low, low, low), (1, 1, 1), (2, 1, 1), (3, 3, low), (low, low, low), (4, 4, 4)])
+    kept = sorted(((r["doc_id"], r["text"]) for r in neardup.keep_one(make_docs(rows)).collect()), key=repr)
+    assert kept == sorted([(None, a), (1, b), (None, c + " more"), (4, None), (4, None)], key=repr)
+
+
+def test_recall_against_all_pairs(spark):
+    """Every pair of sf0.01 at 0.8 or more, found by an inverted index over all shingles, lies in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"] is not None}
+    raw = {i: neardup.shingles(t) for i, t in texts.items()}
+    frequencies = Counter(x for h, _ in raw.values() for x in h.tolist())
+    sets = {i: (h, (n * neardup.idf_of(np.array([frequencies[x] for x in h.tolist()], np.int64), len(texts))).astype(np.float32)) for i, (h, n) in raw.items()}
+    holders: dict[int, list[int]] = {}
+    for i, (h, _) in raw.items():
+        for x in h.tolist():
+            if frequencies[x] > 1:
+                holders.setdefault(x, []).append(i)
+    pairs = {p for ids in holders.values() for p in itertools.combinations(ids, 2)}
+    links = [p for p in pairs if neardup.weighted_jaccard(sets[p[0]], sets[p[1]]) >= 0.8]
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
+    met = sum(found[a] == found[b] for a, b in links)
+    assert len(links) > 50 and met == len(links)
+    expected = union([*links, *((a, b) for a, b in itertools.combinations(texts, 2) if texts[a] == texts[b])], texts)
+    assert {i: found[i] for i in texts} == expected  # and no class joins what no chain of links joins
 
 
 def test_components(spark):
