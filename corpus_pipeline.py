@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.llm import mixing, neardup, pieces, secrets, toxicity
 from rillflow.llm.common import checkpoint_dir, table
-from rillflow.llm.registry import piece_model
+from rillflow.llm.registry import piece_model, word_vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secrets are masked."""
-    return secrets.redact_texts(docs)
+    return secrets.redact_texts(docs, secrets.learn(docs, word_vocabulary()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

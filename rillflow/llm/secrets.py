@@ -1,15 +1,21 @@
 """Secret scans: fixed patterns, and values in a credential context judged by their guess cost.
 
 The guess cost of a value is the cheapest way to write it as a row of segments, in log10 guesses: a
-common word (any case, usual letter substitutions), a date, a repeat, a keyboard walk, or characters
-tried one by one.  The minimum is found by dynamic programming over the value's positions; segments
-are at most ``LONGEST`` characters, so the work is linear in the value's length.  A value that
-follows a credential word and costs at least ``MIN_COST`` is a secret of kind ``guess``.
+word by its rank (any case, usual letter substitutions), a date, a repeat, a keyboard walk, or characters
+tried one by one.  The minimum is found by dynamic programming over the value's positions and whether
+the last segment was a single character, which decides what the next one costs.  Segments have at most
+``LONGEST`` characters and longer repeats are read as so many, so the work is linear in the value's
+length, and it ends where no way to the end can cost less than asked.  A value that follows a
+credential word and costs at least ``MIN_COST`` is a secret of kind ``guess``.
+
+Words and ranks come from three lists: common passwords, a public tokenizer's vocabulary in its order,
+and the corpus's own words by their number over all documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -19,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import send_package
-from .common import map_columns, per_task, sorted_spans, texts_of
+from .common import cut, map_columns, per_task, sorted_spans, texts_of
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -29,9 +35,12 @@ HEX = re.compile(r"[0-9a-f]{32,}", re.A)
 CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|credentials?|login)["'`]?\x20*(?:[:=]>?|->|\x20(?:is|was)\x20)\x20*["'`]?([^\s"'`<>(){}\[\],;]{6,})""", re.I | re.A)
 LONGEST = 32
 MIN_COST = 8.0
+#: A word of the corpus is in the dictionary if it is at least this share of all words: 50,000 words at most.
+WORD_SHARE = 2e-5
 #: Per further segment: an attacker has to try the ways to put segments together.
 SEGMENT_COST = 0.5
-WORDS = (
+#: Common passwords and words in them, first in the dictionary.
+COMMON = (
     "password pass admin root user login welcome secret token letmein master monkey dragon shadow sunshine "
     "princess football baseball iloveyou hello love summer winter spring autumn monday friday january june "
     "july august october november december test guest default changeme hunter computer internet server "
@@ -40,64 +49,107 @@ WORDS = (
 UNLEET = str.maketrans("013457@$!", "oieastasi")
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "azerty")
 NEXT_KEYS = {pair for row in KEY_ROWS for a, b in zip(row, row[1:]) for pair in (a + b, b + a)}
-DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d", re.A)
+#: A year, a year and month, and a whole date in either order; what each costs.
+DATES = tuple(
+    (re.compile(pattern, re.A), math.log10(ways))
+    for pattern, ways in (
+        (r"(?:19|20)\d\d", 120),
+        (r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])", 12 * 120),
+        (r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])", 366 * 120),
+        (r"(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d", 366 * 120),
+    )
+)
+LONG_REPEATS = tuple((re.compile(r"(.{%d})\1{%d,}" % (unit, LONGEST // unit), re.S), LONGEST // unit) for unit in (1, 2, 3, 4))
 
 
 def _class_size(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 1000
 
 
+def vocabulary_words(path: str) -> list[str]:
+    """Whole words of three letters or more in a word-end vocabulary file (tokens that end with ``</w>``), by their ids."""
+    with open(path, encoding="utf-8") as file:
+        ids: dict[str, int] = json.load(file)["model"]["vocab"]
+    words = (t[:-4] for t in sorted(ids, key=ids.get) if t.endswith("</w>"))
+    return [w for w in words if w.isascii() and w.isalpha() and 3 <= len(w) <= LONGEST]
+
+
+def corpus_words(docs: DataFrame, least_share: float = WORD_SHARE) -> list[str]:
+    """Words of 3 to ``LONGEST`` letters with at least ``least_share`` of all words of all texts, most frequent first.
+
+    At most ``1 / least_share`` words come to the driver.
+    """
+    words = texts_of(docs).select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
+    counts = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    known = counts.filter((F.length("word") >= 3) & (F.length("word") <= LONGEST) & (F.col("n") >= least_share * total))
+    return [r["word"] for r in sorted(known.collect(), key=lambda r: (-r["n"], r["word"]))]
+
+
+def dictionary(*lists: list[str]) -> dict[str, int]:
+    """The rank of each word: its best place in any of the lists, from 1."""
+    ranks: dict[str, int] = {}
+    for words in lists:
+        for place, word in enumerate(words, 1):
+            ranks[word] = min(place, ranks.get(word, place))
+    return ranks
+
+
 class GuessCost:
-    def __init__(self, words: list[str] = WORDS, longest: int = LONGEST):
-        self.words = {w: math.log10(i + 2) for i, w in enumerate(words)}
-        self.longest = longest
-        self.longest_word = min(longest, max(map(len, words), default=0))
-
-    def segments(self, value: str, end: int) -> list[tuple[int, float, str]]:
-        """(start, cost, kind) of the segments that end at ``end``."""
-        found = [(end - 1, math.log10(_class_size(value[end - 1])), "brute")]
-        for n in range(3, min(self.longest_word, end) + 1):
-            raw = value[end - n : end]
-            low = raw.lower()
-            rank = self.words.get(low)
-            plain = low.translate(UNLEET)
-            if rank is None and plain != low:
-                rank = self.words.get(plain)
-            if rank is not None:
-                found.append((end - n, rank + 0.3 * (raw != low) + 0.6 * (plain != low), "word"))
-        for n in range(4, min(10, end) + 1):
-            if DATE.fullmatch(value, end - n, end):
-                found.append((end - n, math.log10(366 * 120), "date"))
-        for unit in (1, 2, 3, 4):  # the unit is guessed once, then how often it stands
-            n = unit
-            while n + unit <= min(self.longest, end) and value[end - n - unit : end - n] == value[end - unit : end]:
-                n += unit
-            if n >= max(3, 2 * unit):
-                found.append((end - n, sum(math.log10(_class_size(c)) for c in value[end - unit : end]) + math.log10(n // unit), "repeat"))
-        n, low = 1, value.lower()
-        while n < min(self.longest, end) and low[end - n - 1 : end - n + 1] in NEXT_KEYS:
-            n += 1
-            if n >= 3:
-                found.append((end - n, math.log10(2 * 47 * n), "walk"))
-        return found
-
-    def cost(self, value: str) -> float:
-        """log10 of the guesses that the cheapest segmentation needs; 0 for an empty value."""
-        best: list[tuple[float, str]] = [(0.0, "brute")]
+    def __init__(self, ranks: dict[str, int] | None = None):
+        ranks = dictionary(COMMON) if ranks is None else ranks
+        self.words = {w: math.log10(rank + 1) for w, rank in ranks.items() if len(w) <= LONGEST}
+        self.longest_word = max(map(len, self.words), default=0)
+
+    def cost(self, value: str, enough: float = math.inf) -> float:
+        """log10 of the guesses that the cheapest segmentation needs, or what is at least ``enough`` if it needs that; 0 for an empty value."""
+        for pattern, times in LONG_REPEATS:
+            value = pattern.sub(lambda m: m[1] * times, value)
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in value)
+        plain, words = low.translate(UNLEET), self.words
+        single = [math.log10(_class_size(c)) for c in value]
+        # cheapest ways to each position: where a single character ends them, and where another segment does
+        ones, others, best = [0.0], [math.inf], [0.0]
+        run, walk, dear = [0] * 5, 1, 0
         for end in range(1, len(value) + 1):
-            options = []
-            for start, cost, kind in self.segments(value, end):
-                before, last = best[start]
-                joined = kind == last == "brute" or start == 0
-                options.append((before + cost + (0 if joined else SEGMENT_COST), kind))
-            best.append(min(options))
-        return best[-1][0]
+            cheapest = math.inf
+
+            def offer(length: int, cost: float) -> None:
+                nonlocal cheapest
+                start = end - length
+                cheapest = min(cheapest, best[start] + cost + (SEGMENT_COST if start else 0.0))
+
+            for length in range(3, min(self.longest_word, end) + 1):
+                word = low[end - length : end]
+                changed = 0.3 * (value[end - length : end] != word)
+                if (cost := words.get(word)) is not None:
+                    offer(length, cost + changed)
+                if (spelled := plain[end - length : end]) != word and (cost := words.get(spelled)) is not None:
+                    offer(length, cost + changed + 0.6)
+            if value[end - 1].isdigit():
+                for length in range(4, min(10, end) + 1):
+                    for pattern, cost in DATES:
+                        if pattern.fullmatch(value, end - length, end):
+                            offer(length, cost)
+            for unit in (1, 2, 3, 4):  # the unit is guessed once, then how often it stands
+                run[unit] = run[unit] + 1 if end > unit and value[end - 1] == value[end - 1 - unit] else 0
+                for times in range(2, min(run[unit] + unit, LONGEST) // unit + 1):
+                    if unit * times >= 3:
+                        offer(unit * times, sum(single[end - unit : end]) + math.log10(times))
+            walk = walk + 1 if end > 1 and low[end - 2 : end] in NEXT_KEYS else 1
+            for length in range(3, min(walk, LONGEST) + 1):
+                offer(length, math.log10(2 * 47 * length))
+            ones.append(min(ones[-1], others[-1] + SEGMENT_COST) + single[end - 1])
+            others.append(cheapest)
+            best.append(min(ones[-1], cheapest))
+            dear = dear + 1 if best[-1] >= enough else 0
+            if dear == LONGEST:  # every way on comes through one of these positions
+                return min(best[-LONGEST:])
+        return best[-1]
 
 
 def is_guess_secret(value: str, guesses: GuessCost, min_cost: float = MIN_COST) -> bool:
-    """Two kinds of characters at least (prose follows credential words too), and dear enough."""
-    kinds = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
-    return kinds > 1 and guesses.cost(value) >= min_cost
+    return guesses.cost(value, min_cost) >= min_cost
 
 
 def find_secrets(text: str, guesses: GuessCost, min_cost: float = MIN_COST) -> list[tuple[str, int, int]]:
@@ -112,16 +164,23 @@ def find_secrets(text: str, guesses: GuessCost, min_cost: float = MIN_COST) -> l
     return spans
 
 
-def scan(docs: DataFrame, min_cost: float = MIN_COST) -> DataFrame:
+def learn(docs: DataFrame, vocabulary: str | None = None, least_share: float = WORD_SHARE) -> dict[str, int]:
+    """The dictionary for a corpus; ``vocabulary`` is the path of a word-end vocabulary file, read by the driver."""
+    return dictionary(list(COMMON), vocabulary_words(vocabulary) if vocabulary else [], corpus_words(docs, least_share))
+
+
+def scan(docs: DataFrame, ranks: dict[str, int] | None = None, min_cost: float = MIN_COST) -> DataFrame:
     """doc_id, counts by kind, the digest of the base spans and all spans, for each whole text.
 
-    A null or empty text has none: zero counts, the digest of the empty string, an empty ``spans``.
-    Overlapping spans of different kinds all stay.  Repeated rows give repeated rows.
+    ``ranks``: the dictionary of ``learn``; without it common passwords only.  A null or empty text has no
+    spans: zero counts, the digest of the empty string, an empty ``spans``; a null doc_id stays null.
+    Overlapping spans of different kinds all stay.  Repeated rows give repeated rows, an empty table none.
+    Texts and values of any length are read whole, in linear time; further columns are not read.
     """
 
     @per_task
     def start():
-        guesses = GuessCost()
+        guesses = GuessCost(ranks)
 
         def work(rows: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {k: [] for k in ("doc_id", "n_assign", "n_access", "n_hex", "n_guess", "base_sha256", "spans")}
@@ -148,13 +207,16 @@ def redact(text: str, spans: list[tuple[str, int, int]], mask: str = "[secret]")
     return "".join(out) + text[at:]
 
 
-def redact_texts(docs: DataFrame, min_cost: float = MIN_COST) -> DataFrame:
-    """The documents with every secret of every text masked and n_chars brought up to date; null texts stay null."""
+def redact_texts(docs: DataFrame, ranks: dict[str, int] | None = None, min_cost: float = MIN_COST) -> DataFrame:
+    """The documents with every secret of every text masked and n_chars brought up to date; null texts stay null.
+
+    All rows and columns stay, repeated ones too.
+    """
 
     send_package(docs.sparkSession)
     @F.pandas_udf("string")
     def masked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        guesses = GuessCost()
+        guesses = GuessCost(ranks)
         for batch in texts:
             yield pd.Series([t if t is None else redact(t, find_secrets(t, guesses, min_cost)) for t in batch], dtype=object)
 
