@@ -36,10 +36,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark deletes the shuffle files of a finished execution where this is set.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a reliable checkpoint in the shared folder; the shuffle files that led to it go."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
