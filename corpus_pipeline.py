@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.llm import mixing, neardup, pieces, secrets, toxicity
 from rillflow.llm.common import checkpoint_dir, table
-from rillflow.llm.registry import piece_model, word_vocabulary
+from rillflow.llm.registry import MIXTURE, piece_model, word_vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the target weights take, each once."""
-    return mixing.keep_mixed(docs)
+    return mixing.keep_mixed(docs, targets=MIXTURE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

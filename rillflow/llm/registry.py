@@ -12,6 +12,17 @@ from .common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Target weights of the production mixture: domains of the sources, and weights of nodes among their siblings.
+MIXTURE = mixing.Targets(
+    domains={f"src{i}": ("web", "books", "code", "talk")[i % 4] for i in range(20)},
+    weights={
+        ("web",): 4.0, ("books",): 2.0, ("code",): 1.5, ("talk",): 0.5,
+        ("web", "en"): 3.0, ("web", "de"): 1.5, ("books", "en"): 2.0, ("books", "fr"): 2.0, ("code", "en"): 4.0,
+        ("web", "en", "src0"): 0.5, ("web", "en", "src4"): 2.0, ("books", "en", "src1"): 3.0, ("talk", "es", "src3"): 2.0,
+    },
+)
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -56,7 +67,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"), targets=MIXTURE)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +84,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.oracle_sql()}
+    return {"op8_mixing": mixing.oracle_sql(targets=MIXTURE)}

@@ -11,7 +11,7 @@ def test_stages_are_the_operators_one_after_another(spark):
     classes = {r["doc_id"]: r["class_id"] for r in neardup.classes(clean).collect()}
     leaders = clean.filter(clean.doc_id.isin([i for i, c in classes.items() if i == c]))
     masked = secrets.redact_texts(leaders, secrets.learn(leaders, registry.word_vocabulary()))
-    taken = [r["doc_id"] for r in mixing.mix(masked, mixing.BUDGET_SHARE, 1).collect()]
+    taken = [r["doc_id"] for r in mixing.mix(masked, mixing.BUDGET_SHARE, 1, targets=registry.MIXTURE).collect()]
     expected = pieces.round_trip_digests(masked.filter(masked.doc_id.isin(taken)), registry.piece_model())
     found = corpus_pipeline.run(spark, d)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))

@@ -351,13 +351,24 @@ def test_chi2():
 
 def test_mixing_is_its_sql(make_docs, odd_rows, spark, small):
     extra = [(100 + i, "w " * (i % 17 + 1), "en" if i % 3 else "fr", f"src{i % 11}") for i in range(400)]
+    quoted = mixing.Targets({"odd source": "it's", "-": "none"}, {("it's",): 0.25, ("other", "fr"): 8, ("it's", "de", "odd source"): 2.0})
     for docs in (make_docs(odd_rows + extra), spark.read.parquet(f"{small}/documents.parquet")):
         con = duckdb.connect()
         con.register("documents", docs.toArrow())
-        for share, epochs in ((0.5, 2), (1.7, 2), (0.3, 1), (5.0, 3)):
-            expected = con.sql(mixing.oracle_sql(share, epochs)).fetchall()
-            assert rows_of(mixing.mix(docs, share, epochs)) == sorted(map(tuple, expected), key=repr)
+        for share, epochs, targets in ((0.5, 2, registry.MIXTURE), (1.7, 2, mixing.Targets()), (0.3, 1, quoted), (5.0, 3, registry.MIXTURE)):
+            expected = con.sql(mixing.oracle_sql(share, epochs, targets=targets)).fetchall()
+            assert rows_of(mixing.mix(docs, share, epochs, targets=targets)) == sorted(map(tuple, expected), key=repr)
     assert mixing.mix(make_docs([])).collect() == []
+    for wrong in ({("web",): 0.0}, {("web",): -1}, {(): 1.0}):
+        with pytest.raises(ValueError):
+            mixing.Targets({}, wrong)
+
+
+def test_weights_change_the_mixture(make_docs):
+    docs = make_docs([(i, "w " * 10, "en", f"src{i % 2}") for i in range(400)])
+    targets = mixing.Targets({"src0": "a", "src1": "b"}, {("a",): 3.0, ("b",): 1.0})
+    taken = Counter(r["source"] for r in mixing.mix(docs, 0.4, 1, targets=targets).collect())
+    assert taken == {"src0": 120, "src1": 40}
 
 
 def fill(budget, children):
@@ -380,12 +391,13 @@ def test_shortages_go_to_siblings_first(spark):
     df = spark.createDataFrame(leaves, "domain STRING, lang STRING, source STRING, tokens LONG")
     weight = lambda n: len(n) % 4 + 1
     total = sum(x[3] for x in leaves)
+    targets = mixing.Targets({}, {p: float(weight(p[-1])) for x in leaves for p in (x[:1], x[:2], x[:3])})
     expected = {}
     cap = lambda sel: 2 * sum(x[3] for x in leaves if sel(x))
     for d, b in fill(total * 0.9, {d: (cap(lambda x: x[0] == d), weight(d)) for d in {x[0] for x in leaves}}).items():
         for l, c in fill(b, {l: (cap(lambda x: x[:2] == (d, l)), weight(l)) for l in {x[1] for x in leaves}}).items():
             expected |= {(d, l, s): v for s, v in fill(c, {x[2]: (2 * x[3], weight(x[2])) for x in leaves if x[:2] == (d, l)}).items()}
-    found = {(x["domain"], x["lang"], x["source"]): x["share"] for x in mixing.leaf_budgets(df, 0.9, 2).collect()}
+    found = {(x["domain"], x["lang"], x["source"]): x["share"] for x in mixing.leaf_budgets(df, 0.9, 2, targets).collect()}
     assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-6 for k in found)
     assert abs(sum(found.values()) - total * 0.9) < 1e-6
 
