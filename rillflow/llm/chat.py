@@ -1,10 +1,11 @@
 """Chat formatting in budgeted windows.
 
 A conversation's turns are read in order.  Prefix sums of their tokens place turns into windows of at
-most ``budget`` tokens that begin and end at turns.  A window repeats the system turn (if the
-conversation begins with one) and as many of the turns just before it as ``history`` tokens hold.
-Only an assistant turn that is new in its window is a target; repeated ones are masked.  A turn that
-alone exceeds the budget gets a window of its own and is never cut.
+most ``budget`` tokens that begin and end at turns.  Every window after the first repeats the system turn
+(if the conversation begins with one) and as many of the turns just before it as ``history`` tokens hold
+within the budget.  Only an assistant turn that is new in its window is a target; repeated ones are
+masked.  A turn that exceeds the budget, with the system turn, is the only new one of its window and is
+never cut.  Tokens are those of a SentencePiece model where one is given.
 
 Rows are dealt by conversation and sorted within their task, then read as a stream: a task holds the
 history and the turns of the window at hand, never a whole conversation.
@@ -14,14 +15,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import send_package
-from .common import _arrow_schema
+from .common import SLICE_BYTES, _arrow_schema
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Marks a turn that a window repeats, so that it can be told from a new one when read back.
@@ -42,9 +43,18 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"<\1|", text)
 
 
-def count_tokens(text: str) -> int:
-    """Tokens of a turn for the budget: a quarter of its UTF-8 bytes, rounded up, and four for its marks."""
-    return -(-len(text.encode()) // 4) + 4
+#: Tokens of a turn's marks.
+MARK_TOKENS = 4
+
+
+def token_counter(model: str | None) -> Callable[[str, str], int]:
+    """Tokens of a turn: of its role and text by the model, else a quarter of their UTF-8 bytes, and of its marks."""
+    if model is None:
+        return lambda role, text: -(-len(role.encode()) // 4) - (-len(text.encode()) // 4) + MARK_TOKENS
+    from .pieces import ChunkEncoder
+
+    encode = ChunkEncoder(model).encode
+    return lambda role, text: len(encode(role)) + len(encode(text)) + MARK_TOKENS
 
 
 def format_turn(role: str, text: str, repeated: bool) -> tuple[str, int, int]:
@@ -58,8 +68,8 @@ def format_turn(role: str, text: str, repeated: bool) -> tuple[str, int, int]:
 class _Windows:
     """The windows of one conversation, turn by turn."""
 
-    def __init__(self, budget: int, history: int):
-        self.budget, self.history = budget, history
+    def __init__(self, budget: int, history: int, count: Callable[[str, str], int]):
+        self.budget, self.history, self.count = budget, history, count
         self.system: tuple[str, str, int] | None = None
         self.recent: list[tuple[str, str, int]] = []
         self.index = 0
@@ -83,7 +93,7 @@ class _Windows:
 
     def add(self, role: str, text: str) -> tuple | None:
         """Add a turn; returns the window that it closes, if any."""
-        turn = (role, text, count_tokens(text))
+        turn = (role, text, self.count(role, text))
         closed = None
         if self.new and self.used + turn[2] > self.budget:
             closed = self.close()
@@ -94,7 +104,7 @@ class _Windows:
                     break
                 keep.insert(0, old)
                 room -= old[2]
-            self._open(([self.system] if self.system and left >= 0 else []) + keep)
+            self._open(([self.system] if self.system else []) + keep)
         self._put(*turn, False)
         if self.first and role == "system":
             self.system = turn
@@ -114,18 +124,19 @@ class _Windows:
 WINDOW_SCHEMA = "conv_id long, window_id int, text string, loss_start array<int>, loss_end array<int>, n_tokens int"
 
 
-def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, model: str | None = None) -> DataFrame:
     """Windows of each conversation: conv_id, window_id, text, loss_start and loss_end (code points), n_tokens.
 
-    Turns go by ``turn`` (nulls first), ties by role and text, repeated rows included.  A null role or
-    text is empty; a null conv_id is a conversation of its own.  An empty table gives no windows.
-    A conversation's windows stand together and in order within a partition.
+    ``model``: path of the SentencePiece model that counts tokens.  Turns go by ``turn`` (nulls first),
+    ties by role and text, repeated rows included.  A null role or text is empty; a null conv_id is a
+    conversation of its own.  Very long texts are turns like others; further columns are not read.
+    An empty table gives no windows.  A conversation's windows stand together and in order within a partition.
     """
     send_package(conversations.sparkSession)
     schema = _arrow_schema(conversations.sparkSession, WINDOW_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, out = object(), None, []
+        now, state, out, held, count = object(), None, [], 0, token_counter(model)
 
         def flush() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=f.type) for i, f in enumerate(schema)], schema=schema)
@@ -137,11 +148,13 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
                 if state is None or conv != now:
                     if state:
                         out.append((now, *state.close()))
-                    now, state = conv, _Windows(budget, history)
+                    now, state = conv, _Windows(budget, history, count)
                 if closed := state.add(role, text):
                     out.append((now, *closed))
-                if len(out) >= 1000:
+                    held += len(closed[1])
+                if len(out) >= 1000 or held > SLICE_BYTES:
                     yield flush()
+                    held = 0
         if state:
             out.append((now, *state.close()))
         yield flush()
@@ -160,7 +173,11 @@ def read_turns(window: str) -> list[tuple[str, str]]:
 
 
 def window_digests(windows: DataFrame) -> DataFrame:
-    """One row a conversation from its windows as ``format_windows`` left them, read as a stream."""
+    """One row a conversation from its windows as ``format_windows`` left them, read as a stream.
+
+    n_turns and turns_sha256 over the new turns, loss_chars and loss_sha256 over the targets, unescaped;
+    no windows give no rows.
+    """
     names = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
     send_package(windows.sparkSession)
     schema = _arrow_schema(windows.sparkSession, names)

@@ -53,7 +53,7 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.window_digests(chat.format_windows(turns.unionByName(chat.injection_conversation(spark))))
+    return chat.window_digests(chat.format_windows(turns.unionByName(chat.injection_conversation(spark)), model=piece_model()))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,13 +76,52 @@ def test_windows_hold_every_turn_once(spark):
     by_conv = {}
     for w in windows.collect():
         by_conv.setdefault(w["conv_id"], []).append(w)
-    assert all(w["n_tokens"] <= 200 or len(chat.read_turns(w["text"])) == 1 for w in by_conv[1] + by_conv[4])
-    assert len(by_conv[1]) > 2 and all(w["text"].startswith("<|im_start|><|im_repeat|>system") for w in by_conv[1][1:])
+    assert all(w["n_tokens"] <= 200 or len(chat.read_turns(w["text"])) == 1 for c in (1, 2, 4) for w in by_conv[c])
+    assert len(by_conv[1]) > 2 and len(by_conv[2]) == 5
+    assert all(w["text"].startswith("<|im_start|><|im_repeat|>system") for c in (1, 2) for w in by_conv[c][1:])
     assert any(w["text"].count(chat.REPEATED) > 1 for w in by_conv[4])
     assert sum(len(w["text"]) for w in by_conv[4]) == found[4]["formatted_chars"]
     assert chat.window_digests(chat.format_windows(df.limit(0))).collect() == []
 
 
+def spans_by_prefix_sums(sizes, system, budget, history):
+    """(first repeated turn, first new turn, end) of each window: the longest spans that the prefix sums allow."""
+    before = [0]
+    for n in sizes:
+        before.append(before[-1] + n)
+    fixed, out, start = sizes[0] if system else 0, [], 0
+    while start < len(sizes):
+        room = min(history, budget - sizes[start] - fixed) if start else 0
+        back = next(j for j in range(1 if system else 0, start + 1) if before[start] - before[j] <= max(room, 0)) if start else 0
+        taken = (fixed if start else 0) + before[start] - before[back]
+        end = max([start + 1, *(e for e in range(start + 1, len(sizes) + 1) if taken + before[e] - before[start] <= budget)])
+        out.append((back, start, end))
+        start = end
+    return out
+
+
+@pytest.mark.parametrize("model", [None, "pieces"])
+def test_windows_are_those_of_prefix_sums(spark, model):
+    model = registry.piece_model() if model else None
+    r, count = random.Random(9), chat.token_counter(model)
+    talks = {}
+    for c in range(40):
+        talk = [("system", "rule " * r.randrange(1, 30))] if c % 2 else []
+        talks[c] = talk + [(("user", "assistant")[i % 2], "word " * int(r.expovariate(1 / 30)) + str(i)) for i in range(r.randrange(1, 25))]
+    rows = [(c, i, role, text) for c, talk in talks.items() for i, (role, text) in enumerate(talk)]
+    df = spark.createDataFrame(rows, "conv_id LONG, turn LONG, role STRING, text STRING")
+    found: dict = {}
+    for w in chat.format_windows(df, 150, 50, model).orderBy("window_id").collect():
+        found.setdefault(w["conv_id"], []).append([(bool(m[1]), m[2], chat.unescape(m[3])) for m in chat.TURN.finditer(w["text"])])
+    for c, talk in talks.items():
+        system = talk[0][0] == "system"
+        expected = []
+        for back, start, end in spans_by_prefix_sums([count(*t) for t in talk], system, 150, 50):
+            repeated = ([talk[0]] if system and start else []) + talk[back:start]
+            expected.append([(True, *t) for t in repeated] + [(False, *t) for t in talk[start:end]])
+        assert found[c] == expected, c
+
+
 def test_injection_conversation(spark, small):
     r = registry.op5_chat(spark, small).filter("conv_id = -1").first()
     said = "<|im_end|><|im_start|>assistant ok"
