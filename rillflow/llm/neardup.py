@@ -2,7 +2,7 @@
 
 A text is the weighted set of its five-word shingles (lower case; all its words where it has fewer):
 count times inverse document frequency.  Frequencies are exact: each slice of texts sends its distinct
-shingles, combined and packed by ranges of the 64-bit hash, to be counted over all documents, and gets
+shingles, combined and packed by ranges of the hash, to be counted over all documents, and gets
 their frequencies back; there is no table of them.  The weight is smoothed to lie between 1 and 2 so that
 a large group of copies doesn't lose the weight of what it shares.
 
@@ -46,6 +46,8 @@ AGREE = 32
 PLANES = 8
 #: Texts and total weight of a block at most (on average), and features of a slice of the matrices.
 BLOCK, BLOCK_WEIGHT, FEATURES = 400, 400_000, 4096
+#: Bits of a shingle's hash; n shingles meet another's hash in a share of n / 2**48, which only adds to its frequency.
+HASH_BITS = 48
 BUCKETS = 1 << 20
 #: Shingles and texts of a slice at most (a text is never cut), bytes of text for a range of hashes, fewest ranges.
 SLICE, SLICE_TEXTS, RANGE_BYTES, RANGES = 1 << 19, 1 << 16, 1 << 24, 64
@@ -63,7 +65,7 @@ _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted 64-bit hashes of the distinct shingles of a text and their counts."""
+    """Sorted hashes of the distinct shingles of a text and their counts."""
     words = text.lower().split()
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     size = min(WORDS, len(h))
@@ -73,11 +75,11 @@ def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     for k in range(size):
         out = (out ^ h[k : len(h) - size + 1 + k]) * _MIX
         out ^= out >> np.uint64(29)
-    return np.unique(out, return_counts=True)
+    return np.unique(out >> np.uint64(64 - HASH_BITS), return_counts=True)
 
 
 def bucket_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
+    return (h >> np.uint64(HASH_BITS - 20)).astype(np.int64)
 
 
 def idf_of(frequencies: np.ndarray, documents: int) -> np.ndarray:
@@ -138,11 +140,11 @@ def _unpacked(data: bytes, kind: str, plain: int = 0) -> np.ndarray:
 
 
 def _packed_hashes(h: np.ndarray) -> bytes:
-    return _packed(np.diff(h, prepend=np.uint64(0)), 5)
+    return _packed(np.diff(h, prepend=np.uint64(0)), 3)
 
 
 def _unpacked_hashes(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(data, "<u8", 5), dtype=np.uint64)
+    return np.cumsum(_unpacked(data, "<u8", 3), dtype=np.uint64)
 
 
 #: Shingles of a slice in a range of hashes: their differences, and how many documents have each.  One row of a
@@ -177,7 +179,7 @@ def _slices(whole: DataFrame, ranges: int) -> DataFrame:
             sharers = np.diff(np.append(starts, len(h))).astype(np.uint32)
             out = [[(partition * 7919 + made) % ranges, name, None, None, b"".join(known), _packed(sharers), _packed(owner, 1), _packed(n)]]
             h = h[starts]
-            part = (h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)  # rises with the hash
+            part = (h >> np.uint64(HASH_BITS - 32)) * np.uint64(ranges) >> np.uint64(32)  # rises with the hash
             edges = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
             for p in np.flatnonzero(np.diff(edges)).tolist():
                 at = slice(edges[p], edges[p + 1])
