@@ -1,13 +1,15 @@
 """Quality rules by robust multivariate outliers.  DataFrame functions only.
 
-Each language and source gets a minimum-covariance-determinant estimate of transformed text
-statistics: from medians and quartile ranges as a start, concentration steps keep the ``KEPT_SHARE`` of
-rows with the smallest distance and re-estimate mean and covariance from them.  A row is rejected when
-its squared Mahalanobis distance exceeds ``CUTOFF``.  Groups are drawn towards their language's pooled
-estimate as if it were ``PRIOR_ROWS`` further rows, which decides for small groups.
-
-Quantiles come from counts of fixed bins, so any group, however hot, is combined before it moves and
-the result does not depend on the partitioning.
+Each language and source gets a minimum-covariance-determinant estimate of transformed text statistics.
+Three starts (quartiles; hyperbolic tangents; spatial signs, all around the medians) are each improved by
+concentration steps: the ``KEPT_SHARE`` of the group's weight with the smallest distances gives the next
+mean and covariance.  Steps go on until no determinant falls any more, and of a group's starts the one with
+the smallest determinant is taken.  The covariance is regularised, as if ``PRIOR_ROWS`` further rows had the
+language's quartile spreads, which decides for small groups; the mean of the winner is drawn in the same way
+to the language's.  A row is rejected when its squared Mahalanobis distance exceeds ``CUTOFF``.
+
+Quantiles come from counts of fixed bins, and a group's share ends with a part of its last bin's weight, so
+any group, however hot, is combined before it moves and the result does not depend on the partitioning.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GROUP = ("lang", "source")
 WIDTH = 4
-KEPT_SHARE, STEPS, PRIOR_ROWS = 0.75, 3, 20
+KEPT_SHARE, PRIOR_ROWS = 0.75, 20
+#: A step that lowers no log determinant by more than ``FALL`` is the last; there are ``STEPS`` at most.
+FALL, STEPS = 1e-3, 30
 #: Smallest standard deviations of the transformed statistics: a line that stands twice is no outlier.
 FLOORS = (0.03, 0.04, 0.06, 0.05)
 TAIL = 1e-6
-BIN = 0.004
+BIN, DISTANCE_BINS = 0.004, 50
 #: Groups whose estimates are broadcast at most; more are joined by Spark's skew join.
 BROADCAST_GROUPS = 50_000
 
@@ -116,84 +120,112 @@ def _add(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def _with_groups(rows: DataFrame, groups: DataFrame, small: bool) -> DataFrame:
-    return rows.join(F.broadcast(groups) if small else groups, list(GROUP))
+PAIRS = [(a, b) for a in range(WIDTH) for b in range(a + 1)]
+AXES = range(WIDTH)
+ESTIMATE = ("n", *(f"m{a}" for a in AXES), *(f"i{a}{b}" for a, b in PAIRS))
 
 
-def bin_quantile(binned: DataFrame, keys: list[str], share: float, name: str) -> DataFrame:
-    """For each key the first bin at which the counts reach ``share`` of the rows, from rows of keys and ``bin``."""
-    counts = binned.groupBy(*keys, "bin").count()
-    up = W.partitionBy(*keys).orderBy("bin")
-    reached = counts.withColumn("__so_far", F.sum("count").over(up)).withColumn("__all", F.sum("count").over(W.partitionBy(*keys)))
-    return reached.filter(F.col("__so_far") >= F.lit(share) * F.col("__all")).groupBy(*keys).agg(F.min("bin").alias(name))
+def _with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    return rows.join(F.broadcast(groups) if small else groups, keys)
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """lang, source, m0.., i00..: medians, and one over the quartile range's standard deviation on the diagonal."""
-    long = rows.select(*GROUP, F.posexplode(F.array(*(F.floor(F.col(f"x{j}") / BIN) for j in range(WIDTH)))).alias("axis", "bin"))
-    keys = [*GROUP, "axis"]
-    counts = long.groupBy(*keys, "bin").count()
-    up = W.partitionBy(*keys).orderBy("bin")
-    reached = counts.withColumn("__so_far", F.sum("count").over(up) / F.sum("count").over(W.partitionBy(*keys)))
+def _quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, mid0.. and spread0.. (the quartile range as a standard deviation, at least the axis' floor) from counts of bins by axis."""
+    by = [*keys, "axis"]
+    up = W.partitionBy(*by).orderBy("bin")
+    reached = counts.groupBy(*by, "bin").agg(F.sum("count").alias("count")).withColumn("__so_far", F.sum("count").over(up) / F.sum("count").over(W.partitionBy(*by)))
     at = lambda share: F.min(F.when(F.col("__so_far") >= share, F.col("bin"))) * BIN + BIN / 2
-    quartiles = reached.groupBy(*keys).agg(at(0.25).alias("low"), at(0.5).alias("mid"), at(0.75).alias("high"))
+    found = reached.groupBy(*by).agg(at(0.25).alias("low"), at(0.5).alias("mid"), at(0.75).alias("high"))
     pick = lambda j, value: F.max(F.when(F.col("axis") == j, value))
-    spread = lambda j: 1 / F.greatest(F.lit(FLOORS[j]), (F.col("high") - F.col("low")) / 1.349)
-    found = quartiles.groupBy(*GROUP).agg(*(pick(j, F.col("mid")).alias(f"m{j}") for j in range(WIDTH)), *(pick(j, spread(j)).alias(f"i{j}{j}") for j in range(WIDTH)))
-    return found.select("*", *(F.lit(0.0).alias(f"i{a}{b}") for a in range(WIDTH) for b in range(a)))
+    return found.groupBy(*keys).agg(*(pick(j, F.col("mid")).alias(f"mid{j}") for j in AXES), *(F.greatest(F.lit(FLOORS[j]), pick(j, (F.col("high") - F.col("low")) / 1.349)).alias(f"spread{j}") for j in AXES))
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance: the inverse Cholesky factor's rows times the centred vector."""
-    return _add([F.pow(_add([F.col(f"i{a}{b}") * (F.col(f"x{b}") - F.col(f"m{b}")) for b in range(a + 1)]), F.lit(2)) for a in range(WIDTH)])
+def _factored(found: DataFrame, spreads: DataFrame, consistency: float) -> DataFrame:
+    """lang, source, start, logdet and ``ESTIMATE`` from rows with n, m.., c.. (plain covariances) and the languages' spreads.
 
-
-def _estimate(kept: DataFrame) -> DataFrame:
-    """Means, covariances and inverse Cholesky factors of each group from its kept rows."""
-    pairs = [(a, b) for a in range(WIDTH) for b in range(a + 1)]
-    sums = kept.groupBy(*GROUP).agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(f"x{a}").alias(f"s{a}") for a in range(WIDTH)), *(F.sum(F.col(f"x{a}") * F.col(f"x{b}")).alias(f"p{a}{b}") for a, b in pairs))
-    lang = W.partitionBy("lang")  # over groups, not rows
-    own = sums.select(
-        *GROUP,
-        "n",
-        *((F.col(f"s{a}") / F.col("n")).alias(f"own{a}") for a in range(WIDTH)),
-        *((F.sum(f"s{a}").over(lang) / F.sum("n").over(lang)).alias(f"pool{a}") for a in range(WIDTH)),
-        *((F.col(f"p{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") / F.col("n")).alias(f"d{a}{b}") for a, b in pairs),
-    )
-    weight = F.col("n") + PRIOR_ROWS
-    drawn = own.select(
-        *GROUP,
-        *(((F.col("n") * F.col(f"own{a}") + PRIOR_ROWS * F.col(f"pool{a}")) / weight).alias(f"m{a}") for a in range(WIDTH)),
-        *((CONSISTENCY * (F.col(f"d{a}{b}") + PRIOR_ROWS * F.sum(f"d{a}{b}").over(lang) / F.sum("n").over(lang)) / weight + (F.lit(FLOORS[a] ** 2) if a == b else F.lit(0.0))).alias(f"c{a}{b}") for a, b in pairs),
-    )
-    factor = drawn
-    for a, b in pairs:  # covariance to Cholesky factor, column names l..
-        rest = F.col(f"c{a}{b}") - _add([F.lit(0.0), *(F.col(f"l{a}{k}") * F.col(f"l{b}{k}") for k in range(b))])
+    The covariance is regularised; i.. is its inverse Cholesky factor.
+    """
+    weight = F.col("n") / (F.col("n") + PRIOR_ROWS)
+    own = found.join(spreads.select("lang", *(F.col(f"spread{a}").alias(f"t{a}") for a in AXES)), "lang")
+    factor = own.select("*", *((weight * consistency * F.col(f"c{a}{b}") + ((1 - weight) * F.pow(f"t{a}", F.lit(2)) + FLOORS[a] ** 2 if a == b else F.lit(0.0))).alias(f"k{a}{b}") for a, b in PAIRS))
+    for a, b in PAIRS:  # covariance to Cholesky factor, column names l..
+        rest = F.col(f"k{a}{b}") - _add([F.lit(0.0), *(F.col(f"l{a}{k}") * F.col(f"l{b}{k}") for k in range(b))])
         factor = factor.withColumn(f"l{a}{b}", F.sqrt(rest) if a == b else rest / F.col(f"l{b}{b}"))
-    for a in range(WIDTH):  # and its inverse, by rows
+    for a in AXES:  # and its inverse, by rows
         factor = factor.withColumn(f"i{a}{a}", 1 / F.col(f"l{a}{a}"))
         for b in range(a):
             factor = factor.withColumn(f"i{a}{b}", -_add([F.col(f"l{a}{k}") * F.col(f"i{k}{b}") for k in range(b, a)]) / F.col(f"l{a}{a}"))
-    return factor.select(*GROUP, *(f"m{a}" for a in range(WIDTH)), *(f"i{a}{b}" for a, b in pairs))
+    return factor.select(*GROUP, "start", (2 * _add([F.log(f"l{a}{a}") for a in AXES])).alias("logdet"), *ESTIMATE)
+
+
+def _starts(good: DataFrame, middles: DataFrame, spreads: DataFrame, small: bool) -> DataFrame:
+    """Three estimates of each group around its medians, from its rows scaled by its quartile spreads."""
+    z = [(F.col(f"x{a}") - F.col(f"mid{a}")) / F.col(f"spread{a}") for a in AXES]
+    length = F.sqrt(_add([F.pow(v, F.lit(2)) for v in z]))
+    scaled = _with_groups(good, middles, list(GROUP), small).select(*GROUP, *(F.tanh(v).alias(f"y{a}") for a, v in enumerate(z)), *(F.when(length > 0, v / length).otherwise(0.0).alias(f"u{a}") for a, v in enumerate(z)))
+    sums = scaled.groupBy(*GROUP).agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.avg(f"y{a}").alias(f"y{a}") for a in AXES), *(F.avg(F.col(f"y{a}") * F.col(f"y{b}")).alias(f"y{a}{b}") for a, b in PAIRS), *(F.avg(F.col(f"u{a}") * F.col(f"u{b}")).alias(f"u{a}{b}") for a, b in PAIRS))
+    known = sums.join(middles, list(GROUP))
+    covariances = (
+        lambda a, b: F.lit(1.0 if a == b else 0.0),
+        lambda a, b: F.col(f"y{a}{b}") - F.col(f"y{a}") * F.col(f"y{b}"),
+        lambda a, b: WIDTH * F.col(f"u{a}{b}"),
+    )
+    parts = [F.struct(F.lit(i).alias("start"), *((c(a, b) * F.col(f"spread{a}") * F.col(f"spread{b}")).alias(f"c{a}{b}") for a, b in PAIRS)) for i, c in enumerate(covariances)]
+    rows = known.select(*GROUP, "n", *(F.col(f"mid{a}").alias(f"m{a}") for a in AXES), F.explode(F.array(*parts)).alias("s"))
+    return _factored(rows.select(*GROUP, "n", *(f"m{a}" for a in AXES), "s.*"), spreads, 1.0)
+
+
+def _distance() -> Column:
+    """Squared Mahalanobis distance: the inverse Cholesky factor's rows times the centred vector."""
+    return _add([F.pow(_add([F.col(f"i{a}{b}") * (F.col(f"x{b}") - F.col(f"m{b}")) for b in range(a + 1)]), F.lit(2)) for a in AXES])
+
+
+def _concentrated(good: DataFrame, estimate: DataFrame, spreads: DataFrame, small: bool) -> DataFrame:
+    """One concentration step of every group and start."""
+    keys = [*GROUP, "start"]
+    measured = _with_groups(good, estimate, list(GROUP), small).select(*keys, *(f"x{a}" for a in AXES), F.floor(F.log(_distance() + 1e-6) * DISTANCE_BINS).alias("bin"))
+    counts = measured.groupBy(*keys, "bin").count()
+    so_far, whole = W.partitionBy(*keys).orderBy("bin"), W.partitionBy(*keys)
+    reached = counts.withColumn("__so_far", F.sum("count").over(so_far)).withColumn("__kept", KEPT_SHARE * F.sum("count").over(whole))
+    last = reached.filter(F.col("__so_far") >= F.col("__kept")).groupBy(*keys).agg(F.min(F.struct("bin", "__so_far", "count", "__kept")).alias("l"))
+    edge = last.select(*keys, F.col("l.bin").alias("last"), (1 - (F.col("l.__so_far") - F.col("l.__kept")) / F.col("l.count")).alias("part"))
+    weighed = _with_groups(measured, edge, keys, small).filter("bin <= last").withColumn("w", F.when(F.col("bin") < F.col("last"), 1.0).otherwise(F.col("part")))
+    sums = weighed.groupBy(*keys).agg(F.sum("w").alias("n"), *(F.sum(F.col("w") * F.col(f"x{a}")).alias(f"s{a}") for a in AXES), *(F.sum(F.col("w") * F.col(f"x{a}") * F.col(f"x{b}")).alias(f"p{a}{b}") for a, b in PAIRS))
+    found = sums.select(*keys, "n", *((F.col(f"s{a}") / F.col("n")).alias(f"m{a}") for a in AXES), *((F.col(f"p{a}{b}") / F.col("n") - F.col(f"s{a}") / F.col("n") * F.col(f"s{b}") / F.col("n")).alias(f"c{a}{b}") for a, b in PAIRS))
+    return _factored(found, spreads, CONSISTENCY)
+
+
+def estimates(good: DataFrame) -> tuple[DataFrame, bool]:
+    """lang, source, m.., i.. of each group of rows with x.., and whether the groups are few enough to broadcast."""
+    counts = cut(good.select(*GROUP, F.posexplode(F.array(*(F.floor(F.col(f"x{a}") / BIN) for a in AXES))).alias("axis", "bin")).groupBy(*GROUP, "axis", "bin").count())
+    middles, spreads = cut(_quartiles(counts, list(GROUP))), cut(_quartiles(counts, ["lang"]))
+    small = middles.count() <= BROADCAST_GROUPS
+    keys = [*GROUP, "start"]
+    found = cut(_concentrated(good, cut(_starts(good, middles, spreads, small)), spreads, small))
+    for _ in range(STEPS - 1):
+        both = found.withColumn("__old", F.lit(True)).unionByName(_concentrated(good, found, spreads, small).withColumn("__old", F.lit(False)))
+        lower = both.groupBy(*keys).agg(F.min(F.struct("logdet", *ESTIMATE)).alias("e"), F.max(F.when(F.col("__old"), F.col("logdet"))).alias("before"))
+        lower = cut(lower.select(*keys, "e.*", (F.col("before") - F.col("e.logdet")).alias("fall")))
+        found = lower.drop("fall")
+        if (lower.agg(F.max("fall")).first()[0] or 0.0) <= FALL:
+            break
+    best = found.groupBy(*GROUP).agg(F.min(F.struct("logdet", "start", *ESTIMATE)).alias("e")).select(*GROUP, "e.*")
+    lang, weight = W.partitionBy("lang"), F.col("n") + PRIOR_ROWS  # over groups, not rows
+    drawn = ((F.col("n") * F.col(f"m{a}") + PRIOR_ROWS * F.sum(F.col("n") * F.col(f"m{a}")).over(lang) / F.sum("n").over(lang)) / weight for a in AXES)
+    return cut(best.select(*GROUP, *(m.alias(f"m{a}") for a, m in enumerate(drawn)), *(f"i{a}{b}" for a, b in PAIRS))), small
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, the four base counts, base_failed, distance (squared, null where base_failed) and kept.
 
-    Null lang and source are groups of their own; null and empty texts fail the base rule.  Repeated rows
-    are judged each.  A group of one row has its language's spread; an empty table gives none.
+    Null lang and source are groups of their own; null and empty texts fail the base rule; a null doc_id
+    stays null.  Repeated rows are judged each.  A group of one row has its language's spread.  Very long
+    texts are counted whole; further columns are not read.  An empty table gives none.
     """
     counted = cut(text_statistics(docs))  # texts are read once; what follows moves counts
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = counted.withColumn("base_failed", failed).select("*", *(x.alias(f"x{j}") for j, x in enumerate(transformed())))
-    good = rows.filter(~F.col("base_failed")).select(*GROUP, *(f"x{j}" for j in range(WIDTH)))
-    estimate = cut(_start(good))
-    small = estimate.count() <= BROADCAST_GROUPS
-    for _ in range(STEPS):
-        measured = _with_groups(good, estimate, small).select(*GROUP, *(f"x{j}" for j in range(WIDTH)), F.floor(F.log(_distance() + 1e-6) * 50).alias("bin"))
-        nearest = bin_quantile(measured, list(GROUP), KEPT_SHARE, "last")
-        kept = _with_groups(measured, nearest, small).filter("bin <= last")
-        estimate = cut(_estimate(kept))
+    estimate, small = estimates(rows.filter(~F.col("base_failed")).select(*GROUP, *(f"x{a}" for a in AXES)))
     judged = rows.join(F.broadcast(estimate) if small else estimate, list(GROUP), "left")
     distance = F.when(~F.col("base_failed"), _distance())
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"), (~F.col("base_failed") & (F.coalesce(_distance(), F.lit(0.0)) <= CUTOFF)).alias("kept"))

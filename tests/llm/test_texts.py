@@ -381,6 +381,95 @@ def test_outliers_go_and_the_rest_stays(make_docs):
     assert kept == set(range(120))
 
 
+def brute_estimates(groups):
+    """{(lang, source): points} to {(lang, source): (mean, covariance)}: starts and steps with numpy, group by group."""
+    bins = lambda v: np.floor(v / rules.BIN)
+
+    def quartile(v, share):
+        values, counts = np.unique(bins(v), return_counts=True)
+        return values[np.argmax(np.cumsum(counts) / len(v) >= share)] * rules.BIN + rules.BIN / 2
+
+    floors = np.array(rules.FLOORS)
+    spread = lambda x: np.maximum(floors, [(quartile(v, 0.75) - quartile(v, 0.25)) / 1.349 for v in x.T])
+    target = {lang: np.diag(spread(np.vstack([x for (l, _), x in groups.items() if l == lang])) ** 2) for lang, _ in groups}
+
+    def regular(lang, n, covariance):
+        w = n / (n + rules.PRIOR_ROWS)
+        return w * covariance + (1 - w) * target[lang] + np.diag(floors**2)
+
+    def step(lang, x, mean, covariance):
+        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(covariance), x - mean)
+        place, left, weight = np.floor(np.log(d + 1e-6) * rules.DISTANCE_BINS), rules.KEPT_SHARE * len(x), np.zeros(len(x))
+        for b in np.unique(place):
+            here = place == b
+            weight[here] = min(1.0, max(0.0, left / here.sum()))
+            left -= here.sum()
+        m = np.average(x, axis=0, weights=weight)
+        return m, regular(lang, weight.sum(), rules.CONSISTENCY * np.cov(x.T, aweights=weight, bias=True).reshape(4, 4))
+
+    found, logdet = {}, lambda c: np.linalg.slogdet(c)[1]
+    for (lang, source), x in groups.items():
+        mid, scale = np.array([quartile(v, 0.5) for v in x.T]), spread(x)
+        z = (x - mid) / scale
+        length = np.linalg.norm(z, axis=1, keepdims=True)
+        signs = np.divide(z, length, out=np.zeros_like(z), where=length > 0)
+        for start, c in enumerate((np.eye(4), np.cov(np.tanh(z).T, bias=True).reshape(4, 4), 4 * signs.T @ signs / len(z))):
+            found[lang, source, start] = step(lang, x, mid, regular(lang, len(x), c * np.outer(scale, scale)))
+    for _ in range(rules.STEPS - 1):
+        falls = []
+        for (lang, source, start), (m, c) in found.items():
+            fresh = step(lang, groups[lang, source], m, c)
+            falls.append(max(0.0, logdet(c) - logdet(fresh[1])))
+            if falls[-1] > 0:
+                found[lang, source, start] = fresh
+        if max(falls) <= rules.FALL:
+            break
+    best = {k: min((logdet(found[*k, i][1]), i) for i in range(3))[1] for k in groups}
+    out = {}
+    for lang, source in groups:
+        size = {k: rules.KEPT_SHARE * len(groups[k]) for k in groups if k[0] == lang}
+        pool = sum(n * found[*k, best[k]][0] for k, n in size.items()) / sum(size.values())
+        m, c = found[lang, source, best[lang, source]]
+        n = size[lang, source]
+        out[lang, source] = (n * m + rules.PRIOR_ROWS * pool) / (n + rules.PRIOR_ROWS), c
+    return out, best
+
+
+def test_estimates_are_those_of_numpy(make_docs):
+    """Distances and verdicts of groups of very different sizes, with outliers that a plain covariance would hide."""
+    from .conftest import prose
+
+    r = random.Random(11)
+    rows = []
+    for i in range(420):
+        lang, source = r.choice(["en", "de"]), r.choice("aaaabbc")
+        text = prose(i, r.randrange(12, 120), r.choice(["w", "longer", "x"]))
+        if lang == "de" and r.random() < 0.3:
+            text = " ".join(w.upper() + r.choice(["$", "", "##"]) for w in text.split())
+        if r.random() < 0.15:
+            text += "\n" + text[:60] + "\n" + text[:60]
+        rows.append((i, text, lang, source))
+    rows += [(1000, prose(1, 40), "fr", "z"), (1001, prose(2, 40), "en", "z"), (1002, prose(2, 40), "en", None), (1003, prose(2, 40), "en", None)]
+    found = {x["doc_id"]: x for x in rules.judge(make_docs(rows)).collect()}
+    points, groups = {}, {}
+    for i, text, lang, source in rows:
+        n_words, chars, symbols, dup_lines, repeats = base_counts(text)
+        if n_words < 10 or 100 * repeats > 20 * n_words:
+            assert not found[i]["kept"] and found[i]["distance"] is None
+            continue
+        capitals, lines = sum(c in rules.CAPITALS for c in text), len([x for x in text.split("\n") if WORD.search(x)])
+        points[i] = np.array([math.log((chars + 100) / (n_words + 20)), math.sqrt(symbols / chars), math.sqrt(capitals / chars), min(1.0, (repeats / n_words + dup_lines / lines) / 2)])
+        groups.setdefault((lang, source or "-"), []).append(points[i])
+    expected, best = brute_estimates({k: np.array(v) for k, v in groups.items()})
+    assert min(map(len, groups.values())) == 1 and max(map(len, groups.values())) > 100
+    for i, _, lang, source in rows:
+        if i in points:
+            m, c = expected[lang, source or "-"]
+            d = (points[i] - m) @ np.linalg.inv(c) @ (points[i] - m)
+            assert abs(found[i]["distance"] - d) <= 1e-6 * (1 + d) and found[i]["kept"] == (d <= rules.CUTOFF), i
+    assert 10 < sum(not x["kept"] for x in found.values()) < 200
+
+
 def test_chi2():
     assert abs(rules.chi2_quantile(0.75, 4) - 5.3853) < 1e-3 and abs(rules.chi2_quantile(0.99, 4) - 13.2767) < 1e-3
 
