@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,15 +34,25 @@ def savgol(df: DataFrame, series: str, value: str, order: list[str], window: int
     return df.withColumn(name, F.when(total.isNotNull(), F.greatest(total, F.lit(0.0))))
 
 
-def savgol_mirrored(values: pd.Series, window: int = 19, degree: int = 2) -> pd.Series:
-    """The same for one whole series, with both ends mirrored through the end points."""
+def savgol_mirrored(df: DataFrame, series: str, value: str, order: list[str], window: int = 19, degree: int = 2, name: str = "smooth") -> DataFrame:
+    """The same for every point: a series goes on beyond its ends as its mirror image, turned downwards before the
+    first value and upwards after the last.  Series of half a window or less stay as they are.
+
+    All that a point's mirror needs lies within half a window of it.
+    """
     half = window // 2
-    y = values.to_numpy(float)
-    if len(y) <= half:
-        return values
-    first = y[0] - np.abs(y[half:0:-1] - y[0])
-    last = y[-1] + np.abs(y[-2 : -half - 2 : -1] - y[-1])
-    return pd.Series(np.maximum(0, np.convolve(np.concatenate((first, y, last)), savgol_weights(window, degree)[::-1], "valid")), index=values.index)
+    w = W.partitionBy(series).orderBy(*order)
+    near = F.collect_list(value).over(w.rowsBetween(-half, half))
+    left, right = F.count(F.lit(1)).over(w.rowsBetween(-half, -1)), F.count(F.lit(1)).over(w.rowsBetween(1, half))
+    framed = df.withColumns({"__near": near, "__left": left, "__right": right})
+    first, last = F.get("__near", F.lit(0)), F.get("__near", F.size("__near") - 1)
+    before = F.transform(F.slice(F.reverse(F.slice("__near", 2, F.lit(half) - F.col("__left"))), 1, half), lambda v: first - F.abs(v - first))
+    after = F.transform(F.slice(F.reverse("__near"), 2, F.lit(half) - F.col("__right")), lambda v: last + F.abs(v - last))
+    weights = F.array(*(F.lit(c) for c in savgol_weights(window, degree)))
+    products = F.zip_with(F.concat(before, "__near", after), weights, lambda v, c: v * c)
+    total = F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
+    long = F.count(F.lit(1)).over(W.partitionBy(series)) > half
+    return framed.withColumn(name, F.when(long, F.greatest(total, F.lit(0.0))).otherwise(F.col(value))).drop("__near", "__left", "__right")
 
 
 __all__ = ["low_pass", "savgol", "savgol_mirrored", "savgol_weights"]

@@ -28,12 +28,11 @@ def first_by_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, key: str, one_in: int = 5) -> DataFrame:
-    """One row in ``one_in`` by key, the same rows on every run."""
-    return df.filter(F.pmod(F.hash(key), F.lit(one_in)) == 0)
+    """One row in ``one_in`` by the first digits of the key's MD5: the same rows on every run and in every engine."""
+    return df.filter(F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 7), 16, 10).cast("long") % one_in == 0)
 
 
-def leader(df: DataFrame, group: list[str], count: str, tie: str) -> DataFrame:
-    """Of each group the row with the largest ``count``; the smallest ``tie`` decides."""
-    best = df.groupBy(*group).agg(F.max_by(tie, F.struct(F.col(count), (-F.col(tie)).alias("t"))).alias(tie), F.max(count).alias(count))
-    return best.select(*group, tie, count)
-
+def leader(df: DataFrame, group: list[str], count: str, tie: str, *carry: str) -> DataFrame:
+    """Of each group the row with the largest ``count``, with its ``carry`` columns; the smallest ``tie`` decides."""
+    best = df.groupBy(*group).agg(F.max_by(F.struct(tie, *carry), F.struct(F.col(count), (-F.col(tie)).alias("t"))).alias("__best"), F.max(count).alias(count))
+    return best.select(*group, f"__best.{tie}", count, *(f"__best.{c}" for c in carry))

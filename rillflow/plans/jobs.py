@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import average_of, count_by_window, highest, sum_by_window
 from ..operators.filters import even_initial, leader, odd
 from ..operators.joins import join_on, join_within
-from ..operators.maps import to_words
+from ..operators.maps import cents, to_words
 from .iterate import page_rank
 
 
@@ -52,10 +52,39 @@ def selling_prices(sold: DataFrame) -> DataFrame:
     return highest(sold, "auction_id", "amount", "bid_no", "bid_time", "seller_id")
 
 
+def closing_prices(sold: DataFrame) -> DataFrame:
+    """auction_id, amount, seller_id, bid_time: the highest amount and the latest bid so far; of such rows, the same again."""
+    return sold.groupBy("auction_id").agg(F.max("amount").alias("amount"), F.max("seller_id").alias("seller_id"), F.max("bid_time").alias("bid_time"))
+
+
+def seller_averages(prices: DataFrame) -> DataFrame:
+    return average_of(prices, "seller_id", "amount", "bid_time")
+
+
 def average_selling_price(bids: DataFrame, auctions: DataFrame) -> DataFrame:
     """Average of the closing prices of each seller, one price an auction."""
-    prices = bids_in_time(bids, auctions).groupBy("auction_id").agg(F.max("amount").alias("amount"), F.max("seller_id").alias("seller_id"), F.max("bid_time").alias("bid_time"))
-    return average_of(prices, "seller_id", "amount", "bid_time")
+    return seller_averages(closing_prices(bids_in_time(bids, auctions)))
+
+
+def windowed_average_price(sold: DataFrame, size: str, slide: str, tumbling: str) -> DataFrame:
+    """window_start, seller_id, avg_amount, n, max_ts: averages, by tumbling windows, of the prices of sliding ones.
+
+    A sliding window's price of an auction is its highest bid, at the time of its latest; an auction
+    counts once for each sliding window that holds bids of it.
+    """
+    prices = sold.groupBy(F.window("bid_time", size, slide).alias("sliding"), "auction_id").agg(F.max("amount").alias("amount"), F.max("seller_id").alias("seller_id"), F.max("bid_time").alias("bid_time"))
+    found = prices.groupBy(F.window("bid_time", tumbling), "seller_id").agg(F.round(F.sum(cents(F.col("amount"))) / 100 / F.count(F.lit(1)), 4).alias("avg_amount"), F.count(F.lit(1)).alias("n"), F.max("bid_time").alias("max_ts"))
+    return found.select(F.col("window.start").alias("window_start"), "seller_id", "avg_amount", "n", "max_ts")
+
+
+def local_item_events(auctions: DataFrame, people: DataFrame) -> DataFrame:
+    """The local items with ``event_time``, the later of the auction's and the person's time."""
+    return local_item(auctions, people).withColumn("event_time", F.greatest("start_time", "person_time"))
+
+
+def word_report(totals: DataFrame) -> DataFrame:
+    """``line``, word=total, sorted by word (by code point)."""
+    return totals.orderBy("word").select(F.concat_ws("=", "word", F.col("total").cast("string")).alias("line"))
 
 
 def rank_changes(edges: DataFrame, earlier: int = 5, later: int = 10, least: float = 1e-4) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 THROUGHPUT_LOG = "timestamp STRING, throughput LONG"
@@ -38,9 +39,9 @@ def latency(records: DataFrame) -> DataFrame:
     return records.withColumn("latency_ms", F.when(gap > 0, gap))
 
 
-def first_per_bin(records: DataFrame, partition: str, time: str, width: str = "333 milliseconds") -> DataFrame:
-    """partition, bin and latency of the first record of each bin."""
-    return records.groupBy(partition, F.window(time, width)).agg(F.min_by("latency_ms", time).alias("latency_ms")).select(partition, F.col("window.start").alias("bin_start"), "latency_ms")
+def first_per_bin(records: DataFrame, partition: str, time: str, tie: str, width: str = "333 milliseconds") -> DataFrame:
+    """partition, bin and latency of the first record of each bin; the smallest ``tie`` decides."""
+    return records.groupBy(partition, F.window(time, width)).agg(F.min_by("latency_ms", F.struct(time, tie)).alias("latency_ms")).select(partition, F.col("window.start").alias("bin_start"), "latency_ms")
 
 
 def throughput(records: DataFrame, time: str, width: str = "333 milliseconds") -> DataFrame:
@@ -48,12 +49,38 @@ def throughput(records: DataFrame, time: str, width: str = "333 milliseconds") -
     return records.groupBy(F.window(time, width)).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("bin_start"), "n")
 
 
-def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """min, max, mean, 90th, 95th and 99th percentile (linear interpolation) and sample deviation by group."""
+def ordered_values(df: DataFrame, keys: list[str], value: str, wanted: DataFrame, cells: int = 1024) -> DataFrame:
+    """keys, rank, value: the values at the ranks (from 0) of ``wanted`` (keys, rank, low, high) in each group's order.
+
+    ``low`` and ``high`` are the group's least and largest value.  Values are counted by equal cells
+    between them; only cells that hold a wanted rank are counted value by value.  So no task sorts a group.
+    """
+    bounds = wanted.groupBy(*keys).agg(F.first("low").alias("low"), F.first("high").alias("high"))
+    width = F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / cells).otherwise(F.lit(1.0))
+    placed = df.filter(F.col(value).isNotNull()).join(bounds, keys).select(*keys, F.col(value).alias("v"), F.least(F.floor((F.col(value) - F.col("low")) / width), F.lit(cells - 1)).alias("cell"))
+    up = W.partitionBy(*keys).orderBy("cell")
+    filled = placed.groupBy(*keys, "cell").count().withColumn("until", F.sum("count").over(up))
+    cells_of = wanted.select(*keys, "rank").join(filled, keys).filter((F.col("rank") < F.col("until")) & (F.col("rank") >= F.col("until") - F.col("count"))).select(*keys, "rank", "cell", (F.col("until") - F.col("count")).alias("before"))
+    inside = placed.join(cells_of.select(*keys, "cell").distinct(), [*keys, "cell"]).groupBy(*keys, "cell", "v").count()
+    in_cell = inside.withColumn("up_to", F.sum("count").over(W.partitionBy(*keys, "cell").orderBy("v")))
+    at = in_cell.join(cells_of, [*keys, "cell"]).filter((F.col("rank") < F.col("before") + F.col("up_to")) & (F.col("rank") >= F.col("before") + F.col("up_to") - F.col("count")))
+    return at.select(*keys, "rank", F.col("v").alias("value"))
+
+
+def summary(df: DataFrame, keys: list[str], value: str, percents: tuple[int, ...] = (90, 95, 99)) -> DataFrame:
+    """min, max, mean, percentiles (linear interpolation) and sample deviation of each group; groups without values are left out."""
     v = F.col(value)
-    return df.groupBy(*keys).agg(
-        F.min(v).alias("min"), F.max(v).alias("max"), F.round(F.avg(v), 4).alias("mean"), *(F.round(F.percentile(v, F.lit(p / 100)), 6).alias(f"p{p}") for p in (90, 95, 99)), F.round(F.stddev_samp(v), 4).alias("std")
-    )
+    plain = df.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("avg"), F.stddev_samp(v).alias("dev"), F.count(v).alias("n")).filter("n > 0")
+    place = lambda p: (F.col("n") - 1) * F.lit(p / 100)
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(p)), F.ceil(place(p))) for p in percents))))
+    wanted = plain.select(*keys, F.col("min").alias("low"), F.col("max").alias("high"), F.explode(ranks).alias("rank"))
+    found = ordered_values(df, keys, value, wanted).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))  # two entries a percentile
+
+    def percentile(p: int) -> Column:
+        low, high = F.element_at("at", F.floor(place(p))), F.element_at("at", F.ceil(place(p)))
+        return F.round(low + (high - low) * (place(p) - F.floor(place(p))), 6).alias(f"p{p}")
+
+    return plain.join(found, keys).select(*keys, "min", "max", F.round("avg", 4).alias("mean"), *(percentile(p) for p in percents), F.round("dev", 4).alias("std"))
 
 
 def checkpoint_summary(log: DataFrame, keys: list[str], run: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.records import output_record
 from .functions.smoothing import low_pass, savgol, savgol_weights
+from .functions.smoothing import savgol_mirrored as mirrored
 from .operators import aggregates, exchange, filters, joins, maps
 from .plans import iterate, jobs, metrics, recovery
 from .sources import tables
@@ -30,10 +31,12 @@ def query(sql: str | None = None):
     return register
 
 
-EDGES = "edge AS (SELECT DISTINCT o_custkey AS from_id, l_suppkey AS to_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 48)"
+EDGES = "edge AS (SELECT DISTINCT o_custkey AS from_id, l_suppkey AS to_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 SOLD = "sold AS (SELECT l_orderkey AS auction_id, l_linenumber AS bid_no, o_custkey AS seller_id, l_extendedprice AS amount, l_shipdate AS bid_time FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_shipdate > o_orderdate AND l_shipdate < o_orderdate + INTERVAL 60 DAYS)"
 PRICES = f"{SOLD}, price AS (SELECT auction_id, max(amount) AS amount, max(seller_id) AS seller_id, max(bid_time) AS bid_time FROM sold GROUP BY auction_id)"
 WORDS = "w AS (SELECT doc_id, unnest(string_split(translate(text, ',.', '  '), ' ')) AS word FROM documents)"
+PERSON = "person AS (SELECT o_custkey AS person_id, min(o_orderdate) AS person_time FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey)"
+LOCAL = "CAST(substr(o_orderpriority, 1, 1) AS INT) % 2 <> 0 AND length(c_mktsegment) > 0 AND ascii(c_mktsegment) % 2 = 0"
 SLIDING = "win AS (SELECT ts, user_id, date_trunc('hour', ts) - INTERVAL 1 HOUR * h AS window_start FROM events, range(10) r(h))"
 
 
@@ -53,6 +56,21 @@ def local_item(spark, d):
     return jobs.local_item(tables.auctions(spark, d), tables.people(spark, d))
 
 
+def _compact(time: str) -> str:
+    return f"strftime({time}, '%Y%m%d%H%M%S') || rtrim(substr(strftime({time}, '%f'), 1, 5), '0')"
+
+
+@query(f"WITH {PERSON} SELECT o_orderkey AS id, o_custkey AS seller_id, o_orderdate AS start_time, person_time, greatest(o_orderdate, person_time) AS event_time FROM orders JOIN customer ON o_custkey = c_custkey JOIN person ON person.person_id = o_custkey WHERE {LOCAL}")
+def local_item_events(spark, d):
+    return jobs.local_item_events(tables.auctions(spark, d), tables.people_events(spark, d)).select("id", "seller_id", "start_time", "person_time", "event_time")
+
+
+@query(f"WITH {PERSON} SELECT o_orderkey AS key, {_compact('greatest(o_orderdate, person_time)')} || '$' || {_compact('(o_orderdate + INTERVAL 60 DAYS)')} || '$1' AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN person ON person.person_id = o_custkey WHERE {LOCAL}")
+def local_item_records(spark, d):
+    found = jobs.local_item_events(tables.auctions(spark, d), tables.people_events(spark, d))
+    return output_record(found, "id", "event_time", F.col("end_time"))
+
+
 @query(f"WITH {WORDS} SELECT doc_id, word, 1 AS count FROM w WHERE word <> ''")
 def projection_words(spark, d):
     return jobs.projection(tables.read(spark, d, "documents"), "text", "doc_id")
@@ -63,6 +81,11 @@ def wordcount_total(spark, d):
     return jobs.word_totals(jobs.projection(tables.read(spark, d, "documents"), "text"))
 
 
+@query(f"WITH {WORDS} SELECT word || '=' || count(*)::VARCHAR AS line FROM w WHERE word <> '' GROUP BY word")
+def word_report(spark, d):
+    return jobs.word_report(wordcount_total(spark, d))
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type AS word, count(*)::BIGINT AS total, max(ts) AS max_ts, count(*)::BIGINT AS n FROM events GROUP BY ALL HAVING count(*) <> 0")
 def wordcount_tumbling(spark, d):
     words = tables.events(spark, d).select("ts", F.col("event_type").alias("word"), F.lit(1).alias("count"))
@@ -89,6 +112,13 @@ def hot_item(spark, d):
     return jobs.hot_item(tables.events(spark, d), "user_id", "ts", "10 hours", "1 hour")
 
 
+@query(f"WITH {SLIDING}, c AS (SELECT window_start, user_id, count(*)::BIGINT AS n, max(ts) AS max_ts FROM win GROUP BY ALL), top AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY window_start ORDER BY n DESC, user_id) = 1) SELECT user_id AS key, {_compact('max_ts')} || '$' || {_compact('(window_start + INTERVAL 10 HOURS)')} || '$' || n AS value FROM top")
+def hot_item_records(spark, d):
+    counts = aggregates.count_by_window(tables.events(spark, d), ["user_id"], "ts", "10 hours", "1 hour")
+    top = filters.leader(counts, ["window_start"], "n", "user_id", "max_ts")
+    return output_record(top, "user_id", "max_ts", F.col("window_start") + F.expr("INTERVAL 10 HOURS"), F.col("n"))
+
+
 @query(f"WITH {SOLD} SELECT auction_id, bid_no, seller_id, amount, bid_time FROM sold")
 def bid_auction_join(spark, d):
     return jobs.bids_in_time(tables.bids(spark, d), tables.auctions(spark, d)).select("auction_id", "bid_no", "seller_id", "amount", "bid_time")
@@ -109,6 +139,22 @@ def avg_price_by_seller(spark, d):
     return jobs.average_selling_price(tables.bids(spark, d), tables.auctions(spark, d))
 
 
+@query(f"WITH {PRICES} SELECT seller_id AS key, {_compact('max(bid_time)')} || '$' || {_compact('(max(bid_time) + INTERVAL 1 DAY)')} || '$' || count(*) AS value FROM price GROUP BY seller_id")
+def avg_price_records(spark, d):
+    found = avg_price_by_seller(spark, d)
+    return output_record(found, "seller_id", "max_ts", F.col("max_ts") + F.expr("INTERVAL 1 DAY"), F.col("n"))
+
+
+@query(
+    f"WITH {SOLD}, win AS (SELECT *, time_bucket(INTERVAL 5 DAYS, bid_time, TIMESTAMP '1970-01-01') - INTERVAL 5 DAYS * h AS sliding FROM sold, range(3) r(h)), "
+    "price AS (SELECT sliding, auction_id, max(amount) AS amount, max(seller_id) AS seller_id, max(bid_time) AS bid_time FROM win GROUP BY ALL) "
+    "SELECT time_bucket(INTERVAL 5 DAYS, bid_time, TIMESTAMP '1970-01-01') AS window_start, seller_id, round(sum(CAST(round(amount * 100) AS BIGINT))::BIGINT / 100 / count(*), 4) AS avg_amount, count(*)::BIGINT AS n, max(bid_time) AS max_ts FROM price GROUP BY ALL"
+)
+def windowed_avg_price(spark, d):
+    sold = jobs.bids_in_time(tables.bids(spark, d), tables.auctions(spark, d))
+    return jobs.windowed_average_price(sold, "15 days", "5 days", "5 days")
+
+
 @query("SELECT user_id, ts, event_id, round(sum(CAST(round(value * 100) AS BIGINT)) OVER w::BIGINT / 100 / count(*) OVER w, 6) AS running_avg FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)".replace("OVER w::BIGINT / 100 / count(*) OVER w, 6)", "OVER w / 100 / count(*) OVER w, 6)"))
 def running_avg(spark, d):
     return maps.running_average(tables.events(spark, d), "user_id", "value", ["ts", "event_id"]).select("user_id", "ts", "event_id", "running_avg")
@@ -215,10 +261,10 @@ def throughput_bins(spark, d):
     return metrics.throughput(tables.events(spark, d), "ts", "1 hour")
 
 
-@query("SELECT user_id % 7 AS partition, time_bucket(INTERVAL 1 HOUR, ts) AS bin_start, arg_min(value, ts) AS latency_ms FROM events GROUP BY ALL")
+@query("SELECT user_id % 7 AS partition, time_bucket(INTERVAL 1 HOUR, ts) AS bin_start, arg_min(value, (ts, event_id)) AS latency_ms FROM events GROUP BY ALL")
 def latency_first_per_bin(spark, d):
-    records = tables.events(spark, d).select((F.col("user_id") % 7).alias("partition"), "ts", F.col("value").alias("latency_ms"))
-    return metrics.first_per_bin(records, "partition", "ts", "1 hour")
+    records = tables.events(spark, d).select((F.col("user_id") % 7).alias("partition"), "ts", "event_id", F.col("value").alias("latency_ms"))
+    return metrics.first_per_bin(records, "partition", "ts", "event_id", "1 hour")
 
 
 @query("SELECT event_id, event_type, user_id, round(coalesce(0.25 * lag(value) OVER w + 0.5 * value + 0.25 * lead(value) OVER w, value), 6) AS smooth FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -236,6 +282,20 @@ def savgol_smooth(spark, d):
     return smooth.filter("smooth IS NOT NULL").select("event_id", "user_id", F.round("smooth", 5).alias("smooth"))
 
 
+_EXTENDED = "list_concat([near[1] - abs(near[k + 1] - near[1]) for k in range(9 - before, 0, -1)], near, [near[-1] + abs(near[-1 - k] - near[-1]) for k in range(1, 10 - after)])"
+_WEIGHTS = "[" + ", ".join(f"{c!r}::DOUBLE" for c in savgol_weights(19, 2)) + "]"
+
+
+@query(
+    "WITH f AS (SELECT event_id, user_id, value, list(value) OVER (w ROWS BETWEEN 9 PRECEDING AND 9 FOLLOWING) AS near, count(*) OVER (w ROWS BETWEEN 9 PRECEDING AND 1 PRECEDING) AS before, count(*) OVER (w ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING) AS after, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+    f"x AS (SELECT *, {_EXTENDED} AS ext FROM f) "
+    f"SELECT event_id, user_id, round(CASE WHEN n > 9 THEN greatest(list_sum([ext[k] * {_WEIGHTS}[k] for k in range(1, 20)]), 0) ELSE value END, 5) AS smooth FROM x"
+)
+def savgol_mirrored(spark, d):
+    smooth = mirrored(tables.events(spark, d), "user_id", "value", ["ts", "event_id"])
+    return smooth.select("event_id", "user_id", F.round("smooth", 5).alias("smooth"))
+
+
 def _checkpoint_log(spark: SparkSession, d: str) -> DataFrame:
     """Events read as a log of checkpoints: runs by user, forced ones by kind, sizes by value."""
     return tables.events(spark, d).select(F.col("event_type").alias("protocol"), (F.col("user_id") % 5).alias("run"), (F.col("event_id") % 3 == 0).alias("forced"), (F.col("event_id") % 1000 + 100).cast("double").alias("taken_ms"), (F.col("event_id") * 977 % 1000003).alias("bytes"))
@@ -282,22 +342,25 @@ def last_two_checkpoints(spark, d):
     return recovery.last_two(checkpoint_history(spark, d))
 
 
-@query()
+@query("SELECT event_id, user_id, event_type FROM events WHERE ('0x' || substr(md5(event_id::VARCHAR), 1, 7))::BIGINT % 5 = 0")
 def sampler(spark, d):
-    """A fifth of the events by hash of the key (Spark's hash, hence no SQL)."""
     return filters.hash_sample(tables.events(spark, d), "event_id", 5).select("event_id", "user_id", "event_type")
 
 
 def _register_streams() -> None:
     from .streaming import jobs as streams
 
-    same = {"stream_running_avg": "running_avg", "stream_near_in_time": "near_in_time", "stream_tumbling_count": "tumbling_count", "stream_word_totals": "wordcount_total"}
-    for name in (*same, "stream_selection", "stream_nhop"):
+    same = {
+        "stream_running_avg": "running_avg", "stream_near_in_time": "near_in_time", "stream_tumbling_count": "tumbling_count", "stream_word_totals": "wordcount_total",
+        "stream_local_item": "local_item", "stream_hot_item": "hot_item", "stream_avg_price": "avg_price_by_seller", "stream_distinct_by_key": "distinct_by_key",
+    }
+    for name in (*same, "stream_selection", "stream_nhop", "stream_echo"):
         QUERIES[name] = getattr(streams, name)
     SQL.update({stream: SQL[batch] for stream, batch in same.items()})
     SQL["stream_selection"] = "SELECT l_orderkey AS auction_id, l_linenumber AS bid_no, l_extendedprice AS amount FROM lineitem WHERE l_orderkey % 2 <> 0"
+    SQL["stream_echo"] = "SELECT doc_id, text FROM documents"
     SQL["stream_nhop"] = (
-        "WITH e AS (SELECT DISTINCT user_id AS from_id, event_id % 150 AS to_id FROM events WHERE event_type = 'error'), "
+        "WITH e AS (SELECT DISTINCT user_id AS from_id, event_id // 20 AS to_id FROM events), "
         "p AS (SELECT from_id, to_id, 1 AS hops FROM e UNION ALL SELECT a.from_id, b.to_id, 2 FROM e a JOIN e b ON a.to_id = b.from_id) "
         "SELECT from_id, to_id, min(hops)::INT AS hops FROM p GROUP BY ALL"
     )

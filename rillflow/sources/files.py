@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.exchange import shard_of
@@ -62,6 +64,35 @@ def sentences_of(topic: DataFrame) -> DataFrame:
     return topic.select(F.when(F.length(text) > 0, F.ascii(text)).alias("key"), F.col("timestamp").alias("event_time"), text.alias("sentence"))
 
 
+#: Values of the structured topics, and the column that is an event's key.
+TOPICS = {
+    "bids": ("time INT, person_id INT, auction_id INT, amount DOUBLE", "auction_id"),
+    "auctions": ("id INT, person_id INT, item_id INT, category_id INT, quantity INT, start_time INT, end_time INT", "id"),
+    "people": (
+        "id INT, full_name STRING, email STRING, phone_number STRING, website STRING, credit_card STRING, profile STRUCT<interests: ARRAY<INT>, income: DOUBLE, is_business: BOOLEAN, age: INT, gender: STRING, education: STRING>, "
+        "address STRUCT<street: STRING, city: STRING, country: STRING, province: STRING, zipcode: STRING>",
+        "id",
+    ),
+    "neighbours": ("from_id INT, to_id INT, hops INT", "from_id"),
+    "adjacency": ("page_id INT, neighbours ARRAY<INT>", "page_id"),
+}
+
+
+def protobuf_values(message: str, descriptor: str) -> Callable[[Column], Column]:
+    """Decoding of Protobuf values, for ``events_of``; needs Spark's Protobuf package on the class path."""
+    from pyspark.sql.protobuf.functions import from_protobuf
+
+    return lambda value: from_protobuf(value, message, descFilePath=descriptor)
+
+
+def events_of(topic: DataFrame, name: str, decode: Callable[[Column], Column] | None = None) -> DataFrame:
+    """key, event_time and the fields of a structured topic's values, JSON unless ``decode`` is given; unreadable values are dropped."""
+    schema, key = TOPICS[name]
+    value = F.from_json(F.col("value").cast("string"), schema) if decode is None else decode(F.col("value"))
+    rows = topic.select(F.col("timestamp").alias("event_time"), value.alias("v")).filter(F.col(f"v.{key}").isNotNull())
+    return rows.select(F.col(f"v.{key}").alias("key"), "event_time", "v.*")
+
+
 def shard_of_partition(topic: DataFrame, shards: int) -> DataFrame:
     """Which of ``shards`` readers a topic's partition belongs to."""
     return topic.withColumn("shard", shard_of(F.col("partition"), shards))

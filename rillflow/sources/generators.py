@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The sentences of the built-in word-count source, in turn.
@@ -39,10 +40,9 @@ def bernoulli_edges(spark: SparkSession, vertices: int, probability: float, seed
     """
     expected = max(1, int(vertices * probability + 6 * (vertices * probability) ** 0.5 + 6))
     gap = lambda v, k: F.floor(F.log((F.pmod(F.xxhash64(v, k, F.lit(seed)), F.lit(1 << 40)) + 0.5) / (1 << 40)) / F.log(F.lit(1 - probability))).cast("long") + 1
-    steps = F.transform(F.sequence(F.lit(1), F.lit(expected)), lambda k: gap(F.col("id"), k))
-    start = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all"))
-    walked = F.aggregate(steps, start, lambda s, g: F.struct((s["at"] + g).alias("at"), F.array_append(s["all"], s["at"] + g).alias("all")), lambda s: s["all"])
-    return spark.range(vertices).select(F.col("id").alias("from_id"), F.explode(walked).alias("to_id")).filter(F.col("to_id") < vertices).withColumn("hops", F.lit(1))
+    steps = spark.range(vertices).select(F.col("id").alias("from_id"), F.explode(F.sequence(F.lit(1), F.lit(expected))).alias("k")).withColumn("gap", gap(F.col("from_id"), F.col("k")))
+    so_far = W.partitionBy("from_id").orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return steps.select("from_id", (F.sum("gap").over(so_far) - 1).alias("to_id"), F.lit(1).alias("hops")).filter(F.col("to_id") < vertices)
 
 
 def auction_data(spark: SparkSession, rounds: int, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:

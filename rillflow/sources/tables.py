@@ -12,14 +12,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_bids(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("l_orderkey").alias("auction_id"), F.col("l_linenumber").alias("bid_no"), F.col("l_suppkey").alias("bidder_id"), F.col("l_extendedprice").alias("amount"), F.col("l_shipdate").alias("bid_time"))
+
+
 def bids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("auction_id"), F.col("l_linenumber").alias("bid_no"), F.col("l_suppkey").alias("bidder_id"), F.col("l_extendedprice").alias("amount"), F.col("l_shipdate").alias("bid_time")
-    )
+    return as_bids(read(spark, sf_dir, "lineitem"))
 
 
-def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select(
+def as_auctions(orders: DataFrame) -> DataFrame:
+    return orders.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("seller_id"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("category_id"),
@@ -28,13 +30,23 @@ def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_auctions(read(spark, sf_dir, "orders"))
+
+
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("province"))
 
 
+def people_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People with ``person_time``: the day of their first urgent order."""
+    urgent = read(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("person_id")).agg(F.min("o_orderdate").alias("person_time"))
+    return people(spark, sf_dir).join(urgent, "person_id")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct customer-to-supplier edges of large returned lines, with one hop."""
-    lines = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 48")
+    """Distinct customer-to-supplier edges of all lines, with one hop; an id names one vertex on either side."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     found = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return found.select(F.col("o_custkey").alias("from_id"), F.col("l_suppkey").alias("to_id")).distinct().withColumn("hops", F.lit(1))

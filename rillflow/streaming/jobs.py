@@ -5,26 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, joins
+from ..operators import aggregates, filters, joins
 from ..plans import jobs
+from ..sources import tables
 from . import processors, run
 
 
+def stream_echo(spark: SparkSession, d: str) -> DataFrame:
+    """What comes in goes out: the pipe that other jobs are measured against."""
+    return run.run_append(run.stream_table(spark, d, "documents").select("doc_id", "text"), run.shared_folder(spark))
+
+
 def stream_selection(spark: SparkSession, d: str) -> DataFrame:
-    lines = run.stream_table(spark, d, "lineitem")
-    bids = lines.select(F.col("l_orderkey").alias("auction_id"), F.col("l_linenumber").alias("bid_no"), F.col("l_extendedprice").alias("amount"))
-    return run.run_append(jobs.selection(bids), run.shared_folder(spark))
+    bids = tables.as_bids(run.stream_table(spark, d, "lineitem"))
+    return run.run_append(jobs.selection(bids).select("auction_id", "bid_no", "amount"), run.shared_folder(spark))
+
+
+def stream_local_item(spark: SparkSession, d: str) -> DataFrame:
+    """Auctions as they open, joined with the table of people."""
+    auctions = tables.as_auctions(run.stream_table(spark, d, "orders"))
+    return run.run_append(jobs.local_item(auctions, tables.people(spark, d)), run.shared_folder(spark))
+
+
+def stream_hot_item(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of sliding windows as they change; the leader of each window."""
+    events = run.stream_table(spark, d, "events").withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", "1 day")
+    counted = run.run_updates(aggregates.count_by_window(events, ["user_id"], "time", "10 hours", "1 hour"), run.shared_folder(spark), ["window_start", "user_id"])
+    return filters.leader(counted.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), ["window_start"], "n", "user_id")
+
+
+def stream_avg_price(spark: SparkSession, d: str) -> DataFrame:
+    """Bids as they come, joined with the table of auctions; each batch adds its highest bids."""
+    sold = jobs.bids_in_time(tables.as_bids(run.stream_table(spark, d, "lineitem")), tables.auctions(spark, d))
+    prices = run.run_changes(sold, run.shared_folder(spark), lambda batch, _: jobs.closing_prices(batch), jobs.closing_prices)
+    return jobs.seller_averages(prices)
 
 
 def stream_word_totals(spark: SparkSession, d: str) -> DataFrame:
     words = jobs.projection(run.stream_table(spark, d, "documents"), "text")
-    return run.run_merged(words, run.shared_folder(spark), run.merge_totals)
+    return run.run_changes(words, run.shared_folder(spark), run.word_changes, run.word_totals)
 
 
 def stream_tumbling_count(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of windows as they change: a window's state ends with the watermark, and no batch rewrites another's rows."""
     events = run.stream_table(spark, d, "events").withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", "1 day")
-    counted = aggregates.count_by_window(events, ["user_id"], "time", "1 day")
-    table = run.run_complete(counted, run.shared_folder(spark))
+    table = run.run_updates(aggregates.count_by_window(events, ["user_id"], "time", "1 day"), run.shared_folder(spark), ["window_start", "user_id"])
     return table.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id", "n", F.col("max_ts").cast("timestamp_ntz").alias("max_ts"))
 
 
@@ -33,6 +58,11 @@ def stream_running_avg(spark: SparkSession, d: str) -> DataFrame:
     return run.run_append(processors.running_average(events, "user_id", "value", {"ts": "TIMESTAMP_NTZ", "event_id": "LONG"}), run.shared_folder(spark))
 
 
+def stream_distinct_by_key(spark: SparkSession, d: str) -> DataFrame:
+    events = run.stream_table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    return run.run_append(processors.first_rows(events, "user_id", ["ts", "event_id"]), run.shared_folder(spark))
+
+
 def stream_near_in_time(spark: SparkSession, d: str) -> DataFrame:
     """Clicks and purchases of a user within half an hour: a join of two streams with watermarks."""
 
@@ -45,6 +75,6 @@ def stream_near_in_time(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_nhop(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs within two hops of events' users: edges from each event's user to a user of its value."""
-    edges = run.stream_table(spark, d, "events").filter("event_type = 'error'").select(F.col("user_id").alias("from_id"), (F.col("event_id") % 150).alias("to_id"), F.lit(1).alias("hops"))
-    return run.run_merged(edges, run.shared_folder(spark), run.merge_hops(2))
+    """Pairs within two hops as edges come: each event leads from its user to the number of its block of twenty events."""
+    edges = run.stream_table(spark, d, "events").select(F.col("user_id").alias("from_id"), F.floor(F.col("event_id") / 20).alias("to_id"), F.lit(1).alias("hops"))
+    return run.run_changes(edges, run.shared_folder(spark), run.hop_changes(2), run.hop_distances)

@@ -1,27 +1,30 @@
-"""Stateful processors: running average, leader of latest counts, first row of a key, arrival-driven windows."""
+"""Stateful processors: running average, leader of latest counts, first row of a key, arrival-driven windows.
+
+A batch's rows of a key are put in order by the processor: the stream's files or offsets per trigger bound them.
+``run`` sets the state store that these need.
+"""
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
 
-def _transform(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
-    spark = df.sparkSession
-    spark.conf.set(*ROCKS)  # the only provider that keeps this kind of state
+def _transform(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, pandas: bool = False) -> DataFrame:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the driver's state worker gets no archives
-    return df.groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    grouped = df.groupBy(key)
+    transform = grouped.transformWithStateInPandas if pandas else grouped.transformWithState
+    return transform(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
 
 
 class _RunningAverage(StatefulProcessor):
-    """Sum of hundredths and count of a key; rows of a batch go by time, then id."""
+    """Sum of hundredths and count of a key; rows of a batch go by time, then id, as columns."""
 
     def __init__(self, key: str, value: str, order: list[str]):
         self.key, self.value, self.order = key, value, order
@@ -29,12 +32,13 @@ class _RunningAverage(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("so_far", "cents LONG, n LONG")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         cents, n = self.state.get() if self.state.exists() else (0, 0)
-        for row in sorted(rows, key=lambda r: [r[c] for c in self.order]):
-            cents, n = cents + round(row[self.value] * 100), n + 1
-            yield Row(**{self.key: key[0]}, **{c: row[c] for c in self.order}, cents=cents, n=n)
-        self.state.update((cents, n))
+        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        so_far = (batch[self.value] * 100).round().astype("int64").cumsum() + cents
+        out = batch[self.order].assign(**{self.key: key[0]}, cents=so_far, n=range(n + 1, n + len(batch) + 1))
+        self.state.update((int(so_far.iloc[-1]), n + len(batch)))
+        yield out[[self.key, *self.order, "cents", "n"]]
 
     def close(self) -> None:
         pass
@@ -43,10 +47,35 @@ class _RunningAverage(StatefulProcessor):
 def running_average(df: DataFrame, key: str, value: str, order: dict[str, str]) -> DataFrame:
     """The running average of each key, on each row; ``order`` maps the ordering columns to their types."""
     schema = ", ".join([f"{key} LONG", *(f"{c} {t}" for c, t in order.items()), "cents LONG", "n LONG"])
-    summed = _transform(df, key, _RunningAverage(key, value, list(order)), schema)
+    summed = _transform(df, key, _RunningAverage(key, value, list(order)), schema, pandas=True)
     return summed.select(key, *order, F.round(F.col("cents") / 100 / F.col("n"), 6).alias("running_avg"))
 
 
+class _First(StatefulProcessor):
+    """Whether a key has been seen; the first row by order of the batch that brings it goes on."""
+
+    def __init__(self, columns: list[str], order: list[str]):
+        self.columns, self.order = columns, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "yes BOOLEAN")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if not self.seen.exists():
+            first = min(rows, key=lambda r: [r[c] for c in self.order])
+            self.seen.update((True,))
+            yield Row(**{c: first[c] for c in self.columns})
+
+    def close(self) -> None:
+        pass
+
+
+def first_rows(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of each key that is not null."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    return _transform(df.filter(F.col(key).isNotNull()), key, _First(df.columns, order), schema)
+
+
 class _Leader(StatefulProcessor):
     """Every item's latest count, and whether it is the first that reached the highest."""
 

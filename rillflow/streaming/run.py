@@ -1,4 +1,4 @@
-"""Running jobs as streams over files, with results that survive a repeated batch."""
+"""Running jobs as streams over files, with results that survive a repeated batch and a quiet restart."""
 
 from __future__ import annotations
 
@@ -8,78 +8,122 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
+#: The only state store that keeps values, maps and lists of a processor.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Files of a micro-batch: what a task holds of a key in one batch follows from it.
+FILES_PER_TRIGGER = 64
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+Change = Callable[[DataFrame, DataFrame | None], DataFrame]
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """A table of Parquet files as a stream; files already there are read first."""
     path = f"{sf_dir}/{name}.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    pattern = f"{sf_dir}/{name}.parque[t]"  # a pattern may stand for one file, a plain path only for a folder
-    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(pattern)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(f"{sf_dir}/{name}.parque[t]")  # a pattern may stand for one file, a plain path only for a folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder under ``spark.checkpoint.dir``; a temporary one only in a local session where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
+
+
+def _run(spark: SparkSession, writer: DataStreamWriter, folder: str) -> None:
+    """Run what is there to its end.  A query keeps the state store that is set when it starts; the session's setting stays."""
+    before = spark.conf.get(ROCKS[0])
+    spark.conf.set(*ROCKS)
+    try:
+        query = writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(ROCKS[0], before)
+    query.awaitTermination()
 
 
 def run_append(df: DataFrame, folder: str, out: str | None = None) -> DataFrame:
     """Run what is there to its end into Parquet files; the file sink's log makes repeated batches harmless."""
     out = out or f"{folder}/out"
-    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    _run(df.sparkSession, df.writeStream.format("parquet").option("path", out), folder)
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def run_batches(df: DataFrame, folder: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    query = df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    query.start().awaitTermination()
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def run_complete(df: DataFrame, folder: str) -> DataFrame:
-    """The whole result table after all that is there; each batch replaces it under its own number."""
-    seen: list[int] = []
+def run_changes(df: DataFrame, folder: str, change: Change, result: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """A table kept as the changes that each batch makes: ``result`` of all changes so far, with their ``batch``.
+
+    ``change`` makes a batch's changes from it and the changes before it (None for the first).  A batch
+    writes its changes once, under its own number, from what earlier batches wrote: repeated, it writes the
+    same again.  A run without new data gives the table of the runs before it.
+    """
+    spark, place = df.sparkSession, f"{folder}/changes"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/table/{number}")
-        seen.append(number)
+        before = spark.read.parquet(place).filter(F.col("batch") < number) if number and _exists(spark, place) else None
+        change(batch, before).write.mode("overwrite").parquet(f"{place}/batch={number}")
 
-    run_batches(df, folder, put, "complete")
-    spark = df.sparkSession
-    return spark.read.schema(df.schema).parquet(f"{folder}/table/{max(seen)}") if seen else spark.createDataFrame([], df.schema)
+    _run(spark, df.writeStream.outputMode(mode).foreachBatch(put), folder)
+    if _exists(spark, place):
+        return result(spark.read.parquet(place))
+    return result(change(spark.createDataFrame([], df.schema), None).withColumn("batch", F.lit(0)))
 
 
-def run_merged(df: DataFrame, folder: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
-    """A table that each batch is merged into: version n + 1 from version n and the batch, written once.
+def run_updates(df: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """The rows of an aggregate as they were last updated; only rows that a batch changes are written, and its watermark ends its state."""
+    rest = [c for c in df.columns if c not in keys]
 
-    A repeated batch writes the same version from the same predecessor, so nothing counts twice.
-    """
-    spark = df.sparkSession
-    last: list[str] = []
+    def latest(changes: DataFrame) -> DataFrame:
+        last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+        return last.select(*keys, "last.*")
 
-    def put(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{folder}/version/{number - 1}") if number else None
-        merge(batch, before).write.mode("overwrite").parquet(f"{folder}/version/{number}")
-        last[:] = [f"{folder}/version/{number}"]
+    return run_changes(df, folder, lambda batch, _: batch, latest, "update")
 
-    run_batches(df, folder, put)
-    return spark.read.parquet(last[0])
 
+def word_changes(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+    """A batch's totals of words: what it adds."""
+    return batch.groupBy("word").agg(F.sum("count").cast("long").alias("total"))
+
+
+def word_totals(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("word").agg(F.sum("total").cast("long").alias("total"))
+
+
+def hop_changes(limit: int) -> Change:
+    """The pairs that a batch of edges brings within ``limit`` hops, or nearer.
+
+    A path with a new edge is a known path (or none), its first new edge, and edges of either kind: only
+    such paths are built.
+    """
+
+    def change(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        edges = batch.groupBy("from_id", "to_id").agg(F.min("hops").alias("hops")).filter(F.col("hops") <= limit)
+        if before is None:
+            known = edges.limit(0)
+        else:
+            known = hop_distances(before)
+            edges = edges.join(known.withColumnRenamed("hops", "old"), ["from_id", "to_id"], "left").filter("old IS NULL OR hops < old").drop("old")
+        steps = known.filter(F.col("hops") < limit).unionByName(edges).groupBy("from_id", "to_id").agg(F.min("hops").alias("hops"))
+        paths = edges.unionByName(_joined(known, edges, limit))
+        for _ in range(limit - 1):
+            paths = paths.unionByName(_joined(paths, steps, limit)).groupBy("from_id", "to_id").agg(F.min("hops").alias("hops"))
+        if before is None:
+            return paths
+        return paths.join(known.withColumnRenamed("hops", "old"), ["from_id", "to_id"], "left").filter("old IS NULL OR hops < old").drop("old")
 
-def merge_totals(batch: DataFrame, before: DataFrame | None) -> DataFrame:
-    """Running totals of words."""
-    fresh = batch.groupBy("word").agg(F.sum("count").cast("long").alias("total"))
-    return fresh if before is None else before.unionByName(fresh).groupBy("word").agg(F.sum("total").cast("long").alias("total"))
+    return change
 
 
-def merge_hops(limit: int) -> Callable[[DataFrame, DataFrame | None], DataFrame]:
-    """Hop distances up to ``limit`` as edges arrive: the known edges are the one-hop rows."""
-    from ..plans.iterate import within_hops
+def _joined(paths: DataFrame, steps: DataFrame, limit: int) -> DataFrame:
+    onward = steps.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("next_id"), F.col("hops").alias("more"))
+    return paths.join(onward, "to_id").select("from_id", F.col("next_id").alias("to_id"), (F.col("hops") + F.col("more")).alias("hops")).filter(F.col("hops") <= limit)
 
-    def merge(batch: DataFrame, before: DataFrame | None) -> DataFrame:
-        edges = batch.select("from_id", "to_id", "hops")
-        if before is not None:
-            edges = edges.unionByName(before.filter("hops = 1").select("from_id", "to_id", "hops"))
-        return within_hops(edges, limit)
 
-    return merge
+def hop_distances(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("from_id", "to_id").agg(F.min("hops").alias("hops"))

@@ -2,7 +2,6 @@ import datetime as dt
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +53,15 @@ def test_band_join_is_the_theta_join(spark):
     assert sorted((x["l"], x["r"]) for x in found.collect()) == sorted((i, j) for i, a in left for j, b in right if abs(a - b) <= 13)
 
 
+def test_join_near_is_the_plain_join(spark):
+    r = random.Random(2)
+    rows = lambda: [(i, r.randrange(3), T0 + dt.timedelta(seconds=r.randrange(4000))) for i in range(60)]
+    left, right = rows(), rows()
+    found = joins.join_near(spark.createDataFrame(left, "a INT, k INT, t TIMESTAMP"), spark.createDataFrame(right, "b INT, l INT, u TIMESTAMP"), "k", "l", "t", "u", 300)
+    assert sorted((x["a"], x["b"]) for x in found.collect()) == sorted((a, b) for a, k, t in left for b, l, u in right if k == l and abs((t - u).total_seconds()) <= 300)
+    assert set(found.columns) == {"a", "k", "t", "b", "l", "u"}
+
+
 def test_join_within_is_strict(spark):
     bids = spark.createDataFrame([(1, t) for t in range(5)], "k INT, t INT")
     sale = spark.createDataFrame([(1, 1, 4)], "id INT, a INT, b INT")
@@ -97,6 +105,13 @@ def test_smoothing(spark):
     sg = [r["smooth"] for r in smoothing.savgol(df, "s", "v", ["i"]).orderBy("i").collect()]
     assert sg[8] is None and sg[-9] is None
     fits = [max(0, np.polyval(np.polyfit(range(-9, 10), y[i - 9 : i + 10], 2), 0)) for i in range(9, 51)]
-    assert np.allclose(sg[9:51], fits) and np.allclose(smoothing.savgol_mirrored(pd.Series(y))[9:51], fits)
+    assert np.allclose(sg[9:51], fits)
+    for n in (60, 25, 12, 10, 9, 1):
+        found = [r["smooth"] for r in smoothing.savgol_mirrored(df.filter(F.col("i") < n), "s", "v", ["i"]).orderBy("i").collect()]
+        part = np.array(y[:n])
+        if n > 9:
+            ends = np.concatenate((part[0] - abs(part[9:0:-1] - part[0]), part, part[-1] + abs(part[-2:-11:-1] - part[-1])))
+            part = [max(0, np.polyval(np.polyfit(range(-9, 10), ends[i : i + 19], 2), 0)) for i in range(n)]
+        assert np.allclose(found, part), n
     with pytest.raises(ValueError):
         smoothing.savgol_weights(4, 2)

@@ -1,68 +1,28 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillflow.plans import graph, iterate, metrics, recovery
+from rillflow.plans import iterate, metrics, recovery
 
 DAY = dt.datetime(2024, 1, 1)
 
 
-class History:
-    """Checkpoints of connected instances; each has seen the latest ones of those that send to it."""
+def random_history(seed, sends, count=25):
+    """(id, instance, time, dependencies) of ``count`` checkpoints; each has seen the last or the one before of those that send to it."""
+    r, rows, taken = random.Random(str(seed)), [], {}
+    for i in range(count):
+        name = r.choice(sorted({x for pair in sends for x in pair}))
+        seen = {a: taken[a][-1 - r.randrange(min(2, len(taken[a])))] for a, b in sends if b == name and taken.get(a)}
+        rows.append((f"c{i}", name, DAY + dt.timedelta(seconds=i), seen))
+        taken.setdefault(name, []).append(f"c{i}")
+    return rows
 
-    def __init__(self, *connections):
-        self.connections, self.rows = connections, []
-        self.first = {n: self.add(n, False) for n in sorted({x for c in connections for x in c})}
 
-    def latest(self, name, back=0):
-        own = [r for r in self.rows if r[1] == name]
-        return own[-1 - back][0] if len(own) > back else None
-
-    def add(self, name, depends=True, skip=()):
-        needs = {a: self.latest(a, int(a in skip)) for a, b in self.connections if b == name and depends}
-        self.rows.append((f"c{len(self.rows)}", name, DAY + dt.timedelta(seconds=len(self.rows)), {k: v for k, v in needs.items() if v}))
-        return self.rows[-1][0]
-
-    def frames(self, spark, *failed):
-        checkpoints = spark.createDataFrame(self.rows, "id STRING, instance_name STRING, created_at TIMESTAMP, dependencies MAP<STRING,STRING>")
-        return checkpoints, spark.createDataFrame([(f,) for f in failed], "instance_name STRING"), spark.createDataFrame(list(self.connections), "from_name STRING, to_name STRING")
-
-    def line(self, spark, *failed, running=True):
-        checkpoints, names, connections = self.frames(spark, *failed)
-        found = recovery.recovery_line(checkpoints, names, connections) if running else recovery.recovery_line(checkpoints)
-        return {r["instance_name"]: r["checkpoint_id"] for r in found.collect()}
-
-
-FORK = (("1", "2"), ("1", "3"), ("2", "4"), ("3", "4"))
-
-
-def test_source_failure_takes_all_back(spark):
-    h = History(*FORK)
-    assert h.line(spark, "1") == h.first
-    last = [h.add("1") for _ in range(3)][-1]
-    assert h.line(spark, "1") == h.first | {"1": last}
-
-
-def test_middle_failure_spares_the_rest(spark):
-    h = History(*FORK)
-    assert h.line(spark, "2") == {"1": "", "2": h.first["2"], "3": "", "4": h.first["4"]}
-    h.add("1")
-    two = h.add("2")
-    h.add("3")
-    h.add("4")
-    assert h.line(spark, "2") == {"1": "", "2": two, "3": "", "4": h.first["4"]}
-    assert h.line(spark, "4") == {"1": "", "2": "", "3": "", "4": h.rows[-1][0]}
-
-
-def test_line_without_running_states(spark):
-    h = History(*FORK)
-    h.add("1")
-    h.add("2")
-    h.add("1")
-    two, one = h.add("2"), h.add("1")
-    assert h.line(spark, running=False) == h.first | {"1": one, "2": two}
+def checkpoints_of(spark, rows):
+    return spark.createDataFrame(rows, "id STRING, instance_name STRING, created_at TIMESTAMP, dependencies MAP<STRING,STRING>")
 
 
 def brute_line(rows):
@@ -84,22 +44,28 @@ def brute_line(rows):
     return {n: stacks[n][h - 1] for n, h in heads.items() if h}
 
 
-@pytest.mark.parametrize("shape", [(("1", "2"), ("2", "3")), FORK, (("1", "2"), ("2", "3"), ("3", "2"))])
-def test_lines_match_brute_force(spark, shape):
-    r = random.Random(str(shape))
-    for _ in range(3):
-        h = History(*shape)
-        for _ in range(25):
-            h.add(r.choice(list(h.first)), skip=r.sample(sorted(h.first), 1))
-        found = h.line(spark, running=False)
-        assert found == brute_line(h.rows)
-        checkpoints, *_ = h.frames(spark)
-        line = spark.createDataFrame(list(found.items()), "instance_name STRING, checkpoint_id STRING")
+@pytest.mark.parametrize("sends", ["ab bc", "ab ac bd cd", "ab bc cb"])
+def test_lines_match_brute_force(spark, sends):
+    for seed in range(3):
+        rows = random_history((seed, sends), sends.split())
+        checkpoints = checkpoints_of(spark, rows)
+        line = recovery.recovery_line(checkpoints)
+        found = {r["instance_name"]: r["checkpoint_id"] for r in line.collect()}
+        assert found == brute_line(rows)
         newer = {x["id"] for x in recovery.beyond_line(checkpoints, line).collect()}
-        assert all((i in newer) == (int(i[1:]) > int(found[n][1:])) for i, n, *_ in h.rows if n in found)
+        assert all((i in newer) == (int(i[1:]) > int(found[n][1:])) for i, n, *_ in rows if n in found)
         assert recovery.affected(line).count() == len(found)
 
 
+def test_running_instances_stay_where_they_can(spark):
+    """A reader of another's output goes back with it; one that sends only keeps its running state."""
+    rows = random_history(7, ["ab", "bc"], 30)
+    names = spark.createDataFrame([("b",)], "instance_name STRING")
+    sends = spark.createDataFrame([("a", "b"), ("b", "c")], "from_name STRING, to_name STRING")
+    found = {r["instance_name"]: r["checkpoint_id"] for r in recovery.recovery_line(checkpoints_of(spark, rows), names, sends).collect()}
+    assert found["a"] == "" and found["b"] == [i for i, n, *_ in rows if n == "b"][-1] and found["c"] != ""
+
+
 def random_edges(seed, n=40, m=70):
     r = random.Random(seed)
     return sorted({(r.randrange(n), r.randrange(n)) for _ in range(m)})
@@ -134,25 +100,18 @@ def test_page_rank(spark):
         iterate.page_rank(spark.createDataFrame(pairs, "from_id LONG, to_id LONG"), 1, 1.5)
 
 
-def test_graph_builder(spark):
-    rows, counts = spark.createDataFrame([], "k INT, v INT").schema, spark.createDataFrame([], "k INT, n LONG").schema
-    g = graph.JobGraph()
-    a = g.source("a", lambda: spark.createDataFrame([(1, 1), (2, 2)], rows), rows, 2)
-    b = g.source("b", lambda: spark.createDataFrame([(1, 5)], rows), rows, 2)
-    keep = g.filter("keep", "v <> 2", rows, 2)
-    count = g.aggregate("count", lambda df: df.groupBy("k").agg(F.count(F.lit(1)).alias("n")), rows, counts, 3)
-    sink = g.sink("sink", lambda df: df, counts)
-    g.connect(a, keep, pipeline=True)
-    g.connect(b, keep, key="k")
-    g.connect(keep, count, key="k")
-    g.connect(count, sink)
-    assert [tuple(r) for r in g.build(sink)[0].collect()] == [(1, 2)]
-    assert g.downstream(a) == {"keep", "count", "sink"}
-    for error, call in ((TypeError, lambda: g.connect(a, sink)), (ValueError, lambda: g.connect(sink, keep)), (ValueError, lambda: g.connect(keep, keep)), (ValueError, lambda: g.connect(keep, count, pipeline=True)), (ValueError, lambda: g.filter("keep", "v = 1", rows)), (ValueError, lambda: g.filter("none", "v = 1", rows, 0))):
-        with pytest.raises(error):
-            call()
-    with pytest.raises(ValueError):
-        g.build(g.filter("open", "v = 1", rows))
+@pytest.mark.parametrize("n", [1, 2, 3, 20, 500])
+def test_percentiles_are_exact(spark, n):
+    r = random.Random(n)
+    rows = [(g, float(v)) for g in ("a", "b") for v in ([r.choice([1, 1, 2, 5]) for _ in range(n)] if g == "a" else [r.gauss(0, 1) ** 3 for _ in range(n)])] + [("b", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE")
+    found = {x["g"]: x for x in metrics.summary(df, ["g"], "v").collect()}
+    assert set(found) == {"a", "b"}
+    for g in found:
+        values = [v for k, v in rows if k == g and v is not None]
+        for p in (90, 95, 99):
+            assert abs(found[g][f"p{p}"] - np.percentile(values, p)) < 1e-5
+        assert (found[g]["min"], found[g]["max"]) == (min(values), max(values))
 
 
 def test_metric_logs(spark, tmp_path):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillflow import queries
+from rillflow.plans import jobs
 from rillflow.sources import files, generators
 from rillflow.streaming import processors, run
 
@@ -32,22 +33,57 @@ def test_query_is_its_sql(spark, small, name):
 
 
 def test_stream_survives_a_restart(spark, tmp_path):
-    """The second run reads only the new file, and a batch that is written again changes nothing."""
+    """A run reads only the new files; one without any gives the same table, and a batch that is run again changes nothing."""
     src, folder = str(tmp_path / "in"), str(tmp_path / "out")
-    for part, words in enumerate((["a", "b", "a"], ["a", "c"])):
-        spark.createDataFrame([(w, 1) for w in words], "word STRING, count INT").coalesce(1).write.mode("append").parquet(src)
+
+    def table():
         stream = spark.readStream.schema("word STRING, count INT").parquet(src)
-        table = run.run_merged(stream, folder, run.merge_totals)
-        assert {r["word"]: r["total"] for r in table.collect()} == ({"a": 2, "b": 1}, {"a": 3, "b": 1, "c": 1})[part]
+        found = run.run_changes(stream, folder, run.word_changes, run.word_totals)
+        return {r["word"]: r["total"] for r in found.collect()}
 
+    (tmp_path / "in").mkdir()
+    assert table() == {}
+    for words, expected in ((["a", "b", "a"], {"a": 2, "b": 1}), (["a", "c"], {"a": 3, "b": 1, "c": 1})):
+        spark.createDataFrame([(w, 1) for w in words], "word STRING, count INT").coalesce(1).write.mode("append").parquet(src)
+        assert table() == expected and table() == expected
+    last = max((tmp_path / "out/state/commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    for f in (last, last.with_name(f".{last.name}.crc")):
+        f.unlink(missing_ok=True)
+    assert table() == expected
 
-def test_hops_as_edges_arrive(spark, tmp_path):
-    src = str(tmp_path / "in")
-    for pair in ((1, 2), (2, 3), (3, 4), (1, 3)):
-        spark.createDataFrame([(*pair, 1)], "from_id LONG, to_id LONG, hops INT").coalesce(1).write.mode("append").parquet(src)
+
+def test_updates_survive_a_restart(spark, tmp_path):
+    src, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    for words in (["a", "b"], ["a"], []):
+        if words:
+            spark.createDataFrame([(w, DAY) for w in words], "word STRING, t TIMESTAMP").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("word STRING, t TIMESTAMP").parquet(src).withWatermark("t", "1 day")
+        table = run.run_updates(stream.groupBy(F.window("t", "1 day")["start"].alias("day"), "word").count(), folder, ["day", "word"])
+    assert {r["word"]: r["count"] for r in table.collect()} == {"a": 2, "b": 1}
+
+
+@pytest.mark.parametrize("limit", [2, 3])
+def test_hops_as_edges_arrive(spark, tmp_path, limit):
+    import random
+
+    r, src = random.Random(limit), str(tmp_path / "in")
+    pairs = [(r.randrange(9), r.randrange(9)) for _ in range(14)]
+    for i in range(0, len(pairs), 4):
+        spark.createDataFrame([(*p, 1) for p in pairs[i : i + 4]], "from_id LONG, to_id LONG, hops INT").coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema("from_id LONG, to_id LONG, hops INT").option("maxFilesPerTrigger", 1).parquet(src)
-    table = run.run_merged(stream, str(tmp_path / "out"), run.merge_hops(2))
-    assert {tuple(r) for r in table.collect()} == {(1, 2, 1), (2, 3, 1), (3, 4, 1), (1, 3, 1), (2, 4, 2), (1, 4, 2)}
+    table = run.run_changes(stream, str(tmp_path / "out"), run.hop_changes(limit), run.hop_distances)
+    best, front = {}, {(a, a) for p in pairs for a in p}
+    for hops in range(1, limit + 1):
+        front = {(a, d) for a, b in front for c, d in pairs if b == c}
+        for p in front:
+            best.setdefault(p, hops)
+    assert {(x["from_id"], x["to_id"]): x["hops"] for x in table.collect()} == best
+
+
+def test_session_keeps_its_state_store(spark, tmp_path):
+    before = spark.conf.get(run.ROCKS[0])
+    run_state(spark, tmp_path, [(1, 1)], "k LONG, t LONG", lambda df: processors.first_rows(df, "k", ["t"]))
+    assert spark.conf.get(run.ROCKS[0]) == before
 
 
 def run_state(spark, tmp_path, rows, schema, make):
@@ -110,6 +146,30 @@ def test_generators(spark):
     assert generators.path_edges(spark, 4).filter("to_id - from_id = 1").count() == 4
 
 
+def test_internal_word_count(spark):
+    """The built-in generator through the word-count job."""
+    words = jobs.projection(generators.cycle_sentences(spark, 40), "sentence", "id").withColumn("t", F.timestamp_seconds(F.col("id") / 4))
+    per_second = jobs.word_count(words, "word", "count", "t", "1 second")
+    assert {(r["word"], r["total"]) for r in per_second.collect()} == {("A", 4), ("B", 3), ("C", 2), ("D", 1)}
+    lines = jobs.word_report(jobs.word_totals(words)).collect()
+    assert [r["line"] for r in lines] == ["A=40", "B=30", "C=20", "D=10"]
+
+
+def test_structured_topics(spark):
+    def topic(*values):
+        return spark.createDataFrame([(bytearray(v.encode()), DAY) for v in values], "value BINARY, timestamp TIMESTAMP")
+
+    bids = files.events_of(topic('{"time": 3, "person_id": 8, "auction_id": 5, "amount": 2.5}', "broken"), "bids").collect()
+    assert [tuple(r) for r in bids] == [(5, DAY, 3, 8, 5, 2.5)]
+    people = files.events_of(topic('{"id": 7, "full_name": "Ann", "profile": {"interests": [1, 2], "age": 30}, "address": {"province": "Hesse"}}'), "people").first()
+    assert (people["key"], people["profile"]["interests"], people["address"]["province"], people["email"]) == (7, [1, 2], "Hesse", None)
+    assert files.events_of(topic('{"from_id": 1, "to_id": 2, "hops": 1}'), "neighbours").first()["key"] == 1
+    assert files.events_of(topic('{"page_id": 4, "neighbours": [1, 2]}'), "adjacency").first()["neighbours"] == [1, 2]
+    assert files.events_of(topic('{"id": 9, "person_id": 7, "start_time": 1, "end_time": 2}'), "auctions").first()["end_time"] == 2
+    upper = files.events_of(topic("x"), "neighbours", lambda v: F.struct(F.length(v).alias("from_id"), F.lit(3).alias("to_id"), F.lit(1).alias("hops"))).first()
+    assert (upper["key"], upper["to_id"]) == (1, 3)
+
+
 def test_topic_helpers(spark):
     topic = spark.createDataFrame([(bytearray(b"hello you"), 5, DAY), (bytearray(b""), 2, DAY)], "value BINARY, partition INT, timestamp TIMESTAMP")
     assert [(r["key"], r["sentence"]) for r in files.sentences_of(topic).collect()] == [(104, "hello you"), (None, "")]
