@@ -1,9 +1,11 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over a text's UTF-8 bytes; where its low bits are all zero a chunk ends, so cuts
+A gear hash rolls over a text's UTF-8 bytes; where its high bits are all zero a chunk ends, so cuts
 follow content and an insertion moves only the cuts beside it.  Chunks are keyed by a 128-bit digest.
 Each digest's first place (smallest doc_id, then position) stays, all later ones are repeats.  Runs of
-repeated chunks of a text that hold at least ``MIN_WORDS`` words are its repeated passages.
+repeated chunks are joined back to another place that holds them and extended, character by character, to
+what they share with it on either side.  Extended runs of at least ``MIN_WORDS`` whole words are a text's
+repeated passages.
 
 The rolling hash has a window of 32 bytes: the sum of 32 shifted table entries, which five doubling
 steps give for a whole text at once.
@@ -11,16 +13,21 @@ steps give for a whole text at once.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_columns, texts_of
+from .common import checkpoint_dir, cut, map_columns, texts_of
 
 #: One byte in 2**MASK_BITS qualifies for a cut; a chunk has at least and at most so many bytes (43 on average).
 MASK_BITS, MIN_BYTES, MAX_BYTES = 4, 16, 256
-MIN_WORDS = 20
+#: Whole words of a passage at least, and characters that a run is extended by on a side at most: a passage
+#: that goes on for longer holds a chunk, and so a part of the run, there.
+MIN_WORDS, EDGE = 40, 512
+NULL_ID = -(1 << 63)
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=77) for b in range(256)], dtype=np.uint32)
 
 
@@ -74,18 +81,85 @@ def chunks_of(text: str) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """doc_id, hi, lo, start, words: every chunk of every text."""
+CHUNKS = "doc_id long, at long, hi long, lo long, size int, words int, ends boolean"
+
+
+def _place(doc_id: str, at: str) -> Column:
+    return F.struct(F.col(doc_id), F.col(at))
+
+
+def chunk_table(texts: DataFrame) -> DataFrame:
+    """doc_id, at, hi, lo, size, words, ends: every chunk of every text (doc_id, tid, text).
+
+    ``at`` holds the text's ``tid`` above the chunk's start; ``ends`` tells a text's last chunk.
+    """
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "hi", "lo", "start", "end", "words")}
-        for doc_id, text in zip(rows["doc_id"], rows["text"]):
-            for hi, lo, start, end, words in chunks_of(text or ""):
-                for k, v in zip(out, (doc_id, hi, lo, start, end, words)):
+        out: dict[str, list] = {k: [] for k in ("doc_id", "at", "hi", "lo", "size", "words", "ends")}
+        for doc_id, tid, text in zip(rows["doc_id"], rows["tid"], rows["text"]):
+            chunks = chunks_of(text)
+            for hi, lo, start, end, words in chunks:
+                for k, v in zip(out, (doc_id, tid << 32 | start, hi, lo, end - start, words, end == chunks[-1][3])):
                     out[k].append(v)
         return out
 
-    return map_columns(docs, work, "doc_id long, hi long, lo long, start int, end int, words int", 128)
+    return map_columns(texts.select("doc_id", "tid", "text"), work, CHUNKS, 128)
+
+
+def _runs(gathered: DataFrame) -> DataFrame:
+    """doc_id, tid, runs from each text's repeated chunks in order: a run's chunks adjoin."""
+
+    def work(rows: dict[str, list]) -> dict[str, list]:
+        out: list[list[dict]] = []
+        for chunks in rows["chunks"]:
+            runs: list[dict] = []
+            for c in chunks:
+                if not (runs and runs[-1]["end"] == c["start"]):
+                    runs.append({"start": c["start"], "left": (c["other_doc"], c["other_at"]) if c["start"] else None, "later": [], "chunks": 0, "firsts": []})
+                run = runs[-1]
+                end = c["start"] + c["size"]
+                run["end"], run["right"] = end, None if c["ends"] else (c["other_doc"], c["other_at"] + c["size"])
+                run["chunks"] += 1
+                if c["later"]:
+                    if c["first_doc"] not in run["firsts"]:
+                        run["firsts"].append(c["first_doc"])
+                    if run["later"] and run["later"][-1][1] == c["start"]:
+                        run["later"][-1][1:] = [end, run["later"][-1][2] + 1]
+                    else:
+                        run["later"].append([c["start"], end, 1])
+            out.append([{**r, "left": dict(zip(("doc", "at"), r["left"])) if r["left"] else None, "right": dict(zip(("doc", "at"), r["right"])) if r["right"] else None} for r in runs])
+        return {"doc_id": rows["doc_id"], "tid": rows["tid"], "runs": out}
+
+    run = "struct<start: int, end: int, chunks: int, later: array<array<int>>, firsts: array<long>, left: struct<doc: long, at: long>, right: struct<doc: long, at: long>>"
+    return map_columns(gathered, work, f"doc_id long, tid long, runs array<{run}>", 256)
+
+
+def _edges(runs: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, tid, edges: for each run (number, side) the characters before or after it at another place that holds it."""
+    one = runs.select("doc_id", "tid", F.posexplode("runs").alias("run", "r"))
+    asked = one.select("doc_id", "tid", "run", F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"r.{side}").alias("p")) for i, side in enumerate(("left", "right"))))).alias("q")).filter("q.p IS NOT NULL")
+    wanted = asked.select(F.col("q.p.doc").alias("their_id"), F.shiftright("q.p.at", 32).alias("their_tid"), F.col("q.p.at").bitwiseAND((1 << 32) - 1).cast("int").alias("pos"), "q.side", "doc_id", "tid", "run")
+    theirs = texts.select(F.col("doc_id").alias("their_id"), F.col("tid").alias("their_tid"), "text")
+    first = F.when(F.col("side") == 0, F.greatest(F.col("pos") - EDGE, F.lit(0))).otherwise(F.col("pos"))
+    beside = F.substring("text", first + 1, F.when(F.col("side") == 0, F.col("pos") - first).otherwise(F.lit(EDGE)))
+    found = wanted.join(theirs, ["their_id", "their_tid"]).select("doc_id", "tid", F.struct("run", "side", beside.alias("beside")).alias("edge"))
+    return found.groupBy("doc_id", "tid").agg(F.collect_set("edge").alias("edges"))  # two for each run of one text
+
+
+def whole_words(text: str, start: int, end: int) -> int:
+    """Words of a text that lie within [start, end)."""
+    words = len(text[start:end].split())
+    if start < end and words:
+        cut_first = start > 0 and not text[start - 1].isspace() and not text[start].isspace()
+        cut_last = end < len(text) and not text[end].isspace() and not text[end - 1].isspace()
+        words -= 1 if words == 1 and (cut_first or cut_last) else cut_first + cut_last
+    return words
+
+
+def _shared(a: str, b: str) -> int:
+    """Characters that two texts share from their beginning."""
+    most = min(len(a), len(b))
+    return next((i for i in range(most) if a[i] != b[i]), most)
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -94,47 +168,71 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     doc_id; n_repeated, repeated_chars: chunks and characters of its repeated passages; n_removed,
     removed_chars: those whose first place is elsewhere before it; spans: the passages as start:end
     (code points), joined by commas; removed: those to cut; first_doc_ids: documents where they stand
-    first.  Passages need ``min_words`` words in adjoining repeated chunks.
+    first.  Passages need ``min_words`` whole words.
 
-    Null and empty texts have no chunks.  A null doc_id sorts first and is treated as one document;
-    rows with one doc_id are read as copies, and only one of them is described.  The whole text is
-    chunked.  Chunks move twice by digest as five numbers, never as text; counts are combined before
-    they move, and a digest that many texts hold is joined by Spark's skew join, not gathered.
+    Null and empty texts have no chunks.  A null doc_id sorts first, as the smallest long.  Different texts
+    of one doc_id, or of none, are documents of their own, each with a row; repeated rows are one document
+    and do not count as a repeat.  The whole text is chunked, however long; further columns are not read; an
+    empty table gives none.  Texts are chunked once, into a table of numbers in the shared folder; a digest
+    that many texts hold, and a text that many ask for, are joined by Spark's skew join, not gathered.
     """
-    one = texts_of(docs).filter("text is not null").withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    chunks = chunk_table(one)
-    place = F.struct("doc_id", "start")
+    spark = docs.sparkSession
+    texts = texts_of(docs).filter("text is not null").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.hash("text").cast("long").alias("tid"), "text")
+    folder = f"{checkpoint_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    chunk_table(texts).write.parquet(folder)
+    chunks = spark.read.schema(CHUNKS).parquet(folder)
+    places = chunks.groupBy("hi", "lo").agg(F.min(_place("doc_id", "at")).alias("first"), F.max(_place("doc_id", "at")).alias("last"))
     # cut, so that the join can split a digest that many texts hold
-    shared = cut(chunks.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hi", "lo", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start")))
-    marked = chunks.join(shared, ["hi", "lo"])
-    later = F.struct("doc_id", "start") > F.struct("first_doc", "first_start")
-    rows = marked.select("doc_id", F.struct("start", "end", "words", later.alias("later"), "first_doc").alias("chunk"))
-    gathered = rows.groupBy("doc_id").agg(F.sort_array(F.collect_set("chunk")).alias("chunks"))  # bounded by one text's chunks
-    return map_columns(gathered, passages_of(min_words), "doc_id long, n_repeated long, repeated_chars long, n_removed long, removed_chars long, spans string, removed string, first_doc_ids array<long>", 256)
-
-
-def passages_of(min_words: int):
-    def join_up(pieces: list[dict]) -> list[list[dict]]:
-        runs: list[list[dict]] = []
-        for c in pieces:
-            if runs and runs[-1][-1]["end"] == c["start"]:
-                runs[-1].append(c)
-            else:
-                runs.append([c])
-        return [r for r in runs if sum(c["words"] for c in r) >= min_words]
-
+    shared = cut(places.filter("first < last").select("hi", "lo", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"), F.col("last.doc_id").alias("last_doc"), F.col("last.at").alias("last_at")))
+    later = _place("doc_id", "at") > _place("first_doc", "first_at")
+    start, tid = F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("start"), F.shiftright("at", 32).alias("tid")
+    other = [F.when(later, F.col(f"first_{c}")).otherwise(F.col(f"last_{c}")).alias(f"other_{c}") for c in ("doc", "at")]
+    marked = chunks.join(shared, ["hi", "lo"]).select("doc_id", tid, F.struct(start, "size", "ends", later.alias("later"), "first_doc", *other).alias("chunk"))
+    gathered = marked.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set("chunk")).alias("chunks"))  # bounded by one text's chunks
+    runs = cut(_runs(gathered))
+    edged = runs.join(cut(_edges(runs, texts)), ["doc_id", "tid"], "left")
+    found = cut(map_columns(edged.join(texts, ["doc_id", "tid"]), _passages(min_words), "doc_id long, tid long, n_repeated long, repeated_chars long, n_removed long, removed_chars long, spans string, removed string, first_doc_ids array<long>", 256).distinct().drop("tid"))  # repeated rows
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return found
+
+
+def _passages(min_words: int):
     def work(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_repeated", "repeated_chars", "n_removed", "removed_chars", "spans", "removed", "first_doc_ids")}
-        for doc_id, chunks in zip(rows["doc_id"], rows["chunks"]):
-            passages = join_up(chunks)
-            if not passages:
-                continue
-            gone = join_up([c for p in passages for c in p if c["later"]])
-            size = lambda runs: sum(c["end"] - c["start"] for r in runs for c in r)
-            write = lambda runs: ",".join(f"{r[0]['start']}:{r[-1]['end']}" for r in runs)
-            firsts = sorted({c["first_doc"] for p in passages for c in p} - {doc_id})
-            for k, v in zip(out, (doc_id, sum(map(len, passages)), size(passages), sum(map(len, gone)), size(gone), write(passages), write(gone), firsts)):
-                out[k].append(v)
+        out: dict[str, list] = {k: [] for k in ("doc_id", "tid", "n_repeated", "repeated_chars", "n_removed", "removed_chars", "spans", "removed", "first_doc_ids")}
+        for doc_id, tid, runs, edges, text in zip(rows["doc_id"], rows["tid"], rows["runs"], rows["edges"], rows["text"]):
+            beside = {(e["run"], e["side"]): e["beside"] for e in edges or []}
+            spans, gone, chunks, gone_chunks, firsts = [], [], 0, 0, set()
+            for i, r in enumerate(runs):
+                a = r["start"] - _shared(text[max(0, r["start"] - EDGE) : r["start"]][::-1], beside.get((i, 0), "")[::-1])
+                b = r["end"] + _shared(text[r["end"] : r["end"] + EDGE], beside.get((i, 1), ""))
+                if whole_words(text, a, b) < min_words:
+                    continue
+                spans.append((a, b))
+                chunks += r["chunks"]
+                firsts |= set(r["firsts"])
+                for start, end, n in r["later"]:
+                    start, end = a if start == r["start"] else start, b if end == r["end"] else end
+                    if whole_words(text, start, end) >= min_words:
+                        gone.append((start, end))
+                        gone_chunks += n
+            if spans:
+                spans, gone = _united(spans), _united(gone)
+                size = lambda x: sum(b - a for a, b in x)
+                write = lambda x: ",".join(f"{a}:{b}" for a, b in x)
+                for k, v in zip(out, (doc_id, tid, chunks, size(spans), gone_chunks, size(gone), write(spans), write(gone), sorted(firsts - {doc_id}))):
+                    out[k].append(v)
         return out
 
     return work
+
+
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out

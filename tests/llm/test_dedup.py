@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import re
 from collections import Counter
 
 import numpy as np
@@ -185,26 +186,114 @@ def test_repeats(make_docs):
     assert found[3]["n_removed"] == 0 and found[7]["first_doc_ids"] == [3] and found[9]["first_doc_ids"] == [3]
     for i in (3, 7, 9):
         (a, b), text = map(int, found[i]["spans"].split(":")), dict(rows)[i]
-        assert text[a:b] in passage and b - a > len(passage) / 2
-
-
-def test_repeats_match_brute_force(make_docs, odd_rows):
-    rows = odd_rows + [(i, prose(i % 3, 90)) for i in range(20, 26)]
-    seen, expected = {}, set()
-    texts = {(-(1 << 63) if i is None else i): t for i, t, *_ in rows if t is not None}
-    for i, t in sorted(texts.items()):
-        for hi, lo, s, _, _ in substrings.chunks_of(t):
-            seen.setdefault((hi, lo), set()).add((i, s))
-    for i, t in texts.items():
-        runs, last = [], None
-        for hi, lo, s, e, w in substrings.chunks_of(t):
-            if len(seen[hi, lo]) > 1:
-                if runs and last == s:
-                    runs[-1] += w
+        assert passage in text[a:b] and b - a <= len(passage) + 8  # line feeds and first letters around it are shared too
+
+
+def naive_chunks(text):
+    """(start, end) of the chunks in code points, byte by byte."""
+    data, h, ends, last_good, cuts = text.encode(), 0, [], None, []
+    for i, byte in enumerate(data):
+        h = ((h << 1) + int(substrings.GEAR[byte])) & 0xFFFFFFFF
+        border = i + 1 == len(data) or data[i + 1] & 0xC0 != 0x80
+        if h >> (32 - substrings.MASK_BITS) == 0 and border:
+            if i + 1 - (last_good or 0) >= substrings.MIN_BYTES:
+                cuts.append(i + 1)
+            last_good = i + 1
+    for end in [*cuts, *([len(data)] if data and (not cuts or cuts[-1] < len(data)) else [])]:
+        while end - (ends[-1] if ends else 0) > substrings.MAX_BYTES:
+            at = (ends[-1] if ends else 0) + substrings.MAX_BYTES
+            while data[at] & 0xC0 == 0x80:
+                at -= 1
+            ends.append(at)
+        ends.append(end)
+    marks = [len(data[:e].decode()) for e in [0, *ends]]
+    return list(zip(marks[:-1], marks[1:]))
+
+
+def naive_repeats(rows, min_words):
+    """Every column of the result from chunks as plain texts, their places in lists, and loops over characters."""
+    low = -(1 << 63)
+    texts = {(low if i is None else i, substrings_tid(t), t) for i, t, *_ in rows if t}
+    places: dict[str, list] = {}
+    for key in texts:
+        for a, b in naive_chunks(key[2]):
+            places.setdefault(key[2][a:b], []).append((*key[:2], a))
+    by_key = {k[:2]: k[2] for k in texts}
+    out = []
+    for doc_id, tid, text in texts:
+        runs = []
+        for a, b in naive_chunks(text):
+            held = sorted(places[text[a:b]])
+            if len(held) > 1:
+                own = (doc_id, tid, a)
+                chunk = (a, b, own != held[0], held[0], held[0] if own != held[0] else held[-1])
+                if runs and runs[-1][-1][1] == a:
+                    runs[-1].append(chunk)
                 else:
-                    runs.append(w)
-                last = e
-        if any(w >= substrings.MIN_WORDS for w in runs):
-            expected.add(i)
-    assert {r["doc_id"] for r in substrings.repeats(make_docs(rows)).collect()} == expected
+                    runs.append([chunk])
+        spans, gone, n, n_gone, firsts = set(), set(), 0, 0, set()
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        inside = lambda a, b: sum(a <= x and y <= b for x, y in words)
+        for run in runs:
+            a, other = run[0][0], run[0][4]
+            their = by_key[other[:2]]
+            k = 0
+            while k < substrings.EDGE and a - k > 0 and other[2] - k > 0 and text[a - k - 1] == their[other[2] - k - 1]:
+                k += 1
+            left, b, other = a - k, run[-1][1], run[-1][4]
+            their, at, k = by_key[other[:2]], other[2] + run[-1][1] - run[-1][0], 0
+            while k < substrings.EDGE and b + k < len(text) and at + k < len(their) and text[b + k] == their[at + k]:
+                k += 1
+            right = b + k
+            if inside(left, right) < min_words:
+                continue
+            spans |= set(range(left, right))
+            n += len(run)
+            firsts |= {c[3][0] for c in run if c[2]}
+            for later, part in itertools.groupby(run, key=lambda c: c[2]):
+                part = list(part)
+                x, y = left if part[0][0] == a else part[0][0], right if part[-1][1] == b else part[-1][1]
+                if later and inside(x, y) >= min_words:
+                    gone |= set(range(x, y))
+                    n_gone += len(part)
+        if spans:
+            ranges = lambda s: ",".join(f"{x}:{y + 1}" for x, y in zip(sorted(i for i in s if i - 1 not in s), sorted(i for i in s if i + 1 not in s)))
+            out.append((doc_id, n, len(spans), n_gone, len(gone), ranges(spans), ranges(gone), tuple(sorted(firsts - {doc_id}))))
+    return sorted(out)
+
+
+def substrings_tid(text):
+    """Order of texts that share a doc_id: any, but the same as the operator's."""
+    return TIDS[text]
+
+
+TIDS: dict[str, int] = {}
+
+
+def test_repeats_match_brute_force(spark, make_docs, odd_rows):
+    from pyspark.sql import functions as F
+
+    shared = [prose(900 + k, 60) for k in range(4)]
+    rows = odd_rows + [(i, prose(i % 3, 90)) for i in range(20, 26)]
+    rows += [(30 + i, f"{prose(i + 60, 30)} {shared[i % 4]}é {shared[(i * 3) % 4][:200]}\n{prose(i + 90, 30)}") for i in range(16)]
+    rows += [(50, shared[0] + " tail " + prose(200, 50)), (50, "head " + prose(201, 50) + shared[0]), (None, shared[1] + " x"), (None, "y " + shared[1])]
+    docs = make_docs(rows)
+    TIDS.update({r["text"]: r["tid"] for r in docs.filter("text IS NOT NULL").select("text", F.hash("text").alias("tid")).collect()})
+    for least in (substrings.MIN_WORDS, 12):
+        found = sorted((*tuple(r)[:-1], tuple(r["first_doc_ids"])) for r in substrings.repeats(docs, least).collect())
+        assert found == naive_repeats(rows, least)
     assert substrings.repeats(make_docs([])).collect() == []
+
+
+def test_passages_of_51_words_are_found(make_docs):
+    """Passages between unlike contexts: a run holds one whole chunk of each at least."""
+    rows = []
+    for k in range(150):
+        passage = prose(5000 + k, 51, "ab")
+        rows += [(2 * k + j, f"{prose(k * 7 + j, 20)} {passage} {prose(k * 11 + j, 20, 'q')}") for j in (0, 1)]
+    found = {r["doc_id"]: r["spans"] for r in substrings.repeats(make_docs(rows)).collect()}
+    assert len(found) >= 0.99 * len(rows)
+    texts = dict(rows)
+    for i, spans in found.items():
+        a, b = map(int, spans.split(",")[0].split(":"))
+        assert prose(5000 + i // 2, 51, "ab") in texts[i][a:b]
