@@ -2,8 +2,10 @@
 
 Where no piece crosses from an ordinary character to a white-space marker, a merge never spans two
 chunks of the form ``markers + other characters``, so each chunk can be segmented by itself.  A task
-segments each distinct chunk once, keeps its ids in a table of bounded size and joins them back by
-position.  The model is checked for that property; one without it is run on whole texts.
+keeps the ids of distinct chunks in a table and joins them back by position.  The table is bounded: chunks
+of more than ``LONGEST_KEPT`` characters are segmented each time, and a full table is begun anew, so a
+chunk is segmented once a task and table; ids do not depend on it.  The model is checked for that
+property; one without it is run on whole texts.
 """
 
 from __future__ import annotations
@@ -68,7 +70,10 @@ class ChunkEncoder:
 
 
 def encode_texts(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id and the ids of each whole text; a null or empty text has none.  Rows stay as they are, repeated ones too."""
+    """doc_id and the ids of each whole text; a null or empty text has none.
+
+    Very long texts are encoded whole.  Repeated rows give repeated rows, an empty table none.
+    """
 
     @per_task
     def start():
@@ -92,7 +97,11 @@ def decode_ids(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def round_trip_digests(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text decoded from them, in one pass over the texts."""
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them, in one pass over the texts.
+
+    A null or empty text has no ids and the digests of the empty string; a null doc_id stays null.  Very long
+    texts are encoded whole.  Repeated rows give repeated rows, an empty table none; further columns are not read.
+    """
 
     @per_task
     def start():

@@ -111,7 +111,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Quali
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """doc_id, held_out, score, predicted for each whole text; a null text counts as empty."""
+    """doc_id, held_out, score, predicted for each whole text; a null text counts as empty.
+
+    Equal texts have equal scores; a score of just 0.5 is predicted 1.  Repeated rows give repeated rows, an
+    empty table none; a null doc_id stays null and counts as 0 for the fold.  Very long texts are counted
+    whole; further columns are not read.
+    """
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         x = np.array([statistics(t or "") for t in rows["text"]]).reshape(-1, len(FEATURES))

@@ -1,4 +1,8 @@
-"""The queries of the training-data operators, with production parameters over whole tables."""
+"""The queries of the training-data operators, with production parameters over whole tables.
+
+What nulls, empty and very long texts, ties, repeated rows, empty tables and further columns give is told by
+the operator that each query calls.
+"""
 
 from __future__ import annotations
 
@@ -36,46 +40,56 @@ def word_vocabulary() -> str:
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of documents: ``substrings.repeats``."""
     return substrings.repeats(table(spark, sf_dir, "documents"))
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of documents: ``neardup.classes``."""
     return neardup.classes(table(spark, sf_dir, "documents")).drop("digest", "component")
 
 
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and outliers by language and source: ``rules.judge``."""
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of piece ids and of what they decode to: ``pieces.round_trip_digests``."""
     return pieces.round_trip_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations' windows, and of conversation -1: ``chat.format_windows``, ``chat.window_digests``."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.window_digests(chat.format_windows(turns.unionByName(chat.injection_conversation(spark)), model=piece_model()))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets, with the words of a vocabulary and of all documents as dictionary: ``secrets.learn``, ``secrets.scan``."""
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.learn(docs, word_vocabulary()))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores: ``quality.fit``, ``quality.score``."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of ``MIXTURE``: ``mixing.mix``."""
     return mixing.mix(table(spark, sf_dir, "documents"), targets=MIXTURE)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores: ``toxicity.fit``, ``toxicity.score``."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of texts stored as images: ``media.text_images``, ``media.media_digests``."""
     return media.media_digests(media.text_images(table(spark, sf_dir, "documents")))
 
 

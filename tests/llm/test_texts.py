@@ -36,6 +36,19 @@ def test_chunk_encoder_is_the_library(encoder, text):
     assert encoder.encode(text) == encoder.library.encode(text)
 
 
+def test_inseparable_models_run_on_whole_texts(encoder, monkeypatch):
+    text = "some words  and\tmore, é😀 " * 20
+    monkeypatch.setattr(pieces.ChunkEncoder, "_separable", lambda self: False)
+    whole = pieces.ChunkEncoder(registry.piece_model())
+    assert not whole.separable and whole.encode(text) == encoder.encode(text) and not whole.table
+
+
+def test_table_of_chunks_is_bounded(encoder):
+    small = pieces.ChunkEncoder(registry.piece_model(), entries=5)
+    for text in ("a b c d e f g h i j k", "x" * 100 + " y", "a b c"):
+        assert small.encode(text) == encoder.encode(text) and len(small.table) <= 5
+
+
 def test_piece_digests(make_docs, odd_rows, encoder):
     lib = sentencepiece.SentencePieceProcessor(model_file=registry.piece_model())
     expected = []
