@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint_dir, cut, map_columns, texts_of
 
-#: One byte in 2**MASK_BITS qualifies for a cut; a chunk has at least and at most so many bytes (43 on average).
-MASK_BITS, MIN_BYTES, MAX_BYTES = 4, 16, 256
+#: One byte in 2**MASK_BITS qualifies for a cut; a chunk has at least and at most so many bytes (about 40 on average).
+MASK_BITS, MIN_BYTES, MAX_BYTES = 4, 16, 96
 #: Whole words of a passage at least, and characters that a run is extended by on a side at most: a passage
 #: that goes on for longer holds a chunk, and so a part of the run, there.
 MIN_WORDS, EDGE = 40, 512
@@ -52,16 +52,17 @@ def chunk_ends(data: bytes) -> list[int]:
     raw = np.frombuffer(data, np.uint8)
     top = np.uint32((1 << MASK_BITS) - 1) << np.uint32(32 - MASK_BITS)  # the high bits depend on all 32 bytes
     starts_next = np.append((raw[1:] & 0xC0) != 0x80, True)
-    places = np.flatnonzero((gear_hash(raw) & top == 0) & starts_next) + 1
+    hashes = gear_hash(raw)
+    places = np.flatnonzero((hashes & top == 0) & starts_next) + 1
     ends = places[np.diff(places, prepend=0) >= MIN_BYTES].tolist()
     if not ends or ends[-1] < len(data):
         ends.append(len(data))
     out, last = [], 0
     for end in ends:
-        while end - last > MAX_BYTES:
-            last += MAX_BYTES
-            while raw[last] & 0xC0 == 0x80:
-                last -= 1
+        while end - last > MAX_BYTES:  # as in a text of one repeated word: the last of the smallest hashes, so that cuts follow content here too
+            window = slice(last + MIN_BYTES - 1, last + MAX_BYTES)
+            ranked = np.where(starts_next[window], hashes[window], np.uint32(0xFFFFFFFF))
+            last += MAX_BYTES - int(ranked[::-1].argmin())
             out.append(last)
         out.append(end)
         last = end

@@ -168,6 +168,14 @@ def test_chunks_cover_the_text_and_resist_shifts():
     assert len(moved & {c[:2] for c in chunks}) > 0.97 * len(chunks)
 
 
+def test_chunks_of_one_repeated_word_follow_it():
+    """Without a place that qualifies, cuts follow the content too."""
+    for word in ("Und ", "a", "straße "):
+        one, two = ("x" * k + " " + word * (600 // len(word)) for k in (3, 50))
+        a, b = ({c[:2] for c in substrings.chunks_of(t)} for t in (one, two))
+        assert a & b, word
+
+
 def test_gear_hash_is_the_rolling_one():
     data = np.frombuffer(prose(3, 50).encode(), np.uint8)
     h, out = 0, []
@@ -191,20 +199,20 @@ def test_repeats(make_docs):
 
 def naive_chunks(text):
     """(start, end) of the chunks in code points, byte by byte."""
-    data, h, ends, last_good, cuts = text.encode(), 0, [], None, []
+    data, h, ends, last_good, cuts, hashes = text.encode(), 0, [], None, [], {}
     for i, byte in enumerate(data):
         h = ((h << 1) + int(substrings.GEAR[byte])) & 0xFFFFFFFF
         border = i + 1 == len(data) or data[i + 1] & 0xC0 != 0x80
+        if border:
+            hashes[i + 1] = h
         if h >> (32 - substrings.MASK_BITS) == 0 and border:
             if i + 1 - (last_good or 0) >= substrings.MIN_BYTES:
                 cuts.append(i + 1)
             last_good = i + 1
     for end in [*cuts, *([len(data)] if data and (not cuts or cuts[-1] < len(data)) else [])]:
         while end - (ends[-1] if ends else 0) > substrings.MAX_BYTES:
-            at = (ends[-1] if ends else 0) + substrings.MAX_BYTES
-            while data[at] & 0xC0 == 0x80:
-                at -= 1
-            ends.append(at)
+            last = ends[-1] if ends else 0
+            ends.append(min((h, -at) for at, h in hashes.items() if last + substrings.MIN_BYTES <= at <= last + substrings.MAX_BYTES)[1] * -1)
         ends.append(end)
     marks = [len(data[:e].decode()) for e in [0, *ends]]
     return list(zip(marks[:-1], marks[1:]))
