@@ -24,6 +24,16 @@ def sum_by_window(df: DataFrame, keys: list[str], value: str, time: str, size: s
     return found.filter("total <> 0").select(F.col("window.start").alias("window_start"), *keys, "total", "max_ts", "n")
 
 
+def rows_above(df: DataFrame, keys: list[str], value: str, time: str, size: str, deviations: float = 2.0) -> DataFrame:
+    """Of each window and key the rows more than ``deviations`` standard deviations above its mean, with ``window_start``: none, some or many.
+
+    A window's whole content decides, yet only its figures move: the rows are joined with them.
+    """
+    placed = df.withColumn("window_start", window_of(time, size)["start"])
+    figures = placed.groupBy("window_start", *keys).agg((F.avg(value) + deviations * F.stddev_samp(value)).alias("__limit"))
+    return placed.join(figures, ["window_start", *keys]).filter(F.col(value) > F.col("__limit")).drop("__limit")
+
+
 def highest(df: DataFrame, key: str, amount: str, *carry: str) -> DataFrame:
     """The largest ``amount`` of each key with the columns of its row; ties go to the smallest of them, in this order."""
     best = F.min(F.struct((-F.col(amount)).alias("__down"), *carry)).alias("__best")

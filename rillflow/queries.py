@@ -102,6 +102,11 @@ def tumbling_total(spark, d):
     return aggregates.count_by_window(tables.events(spark, d), [], "ts", "1 day")
 
 
+@query("WITH f AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, avg(value) + 2 * stddev_samp(value) AS most FROM events GROUP BY ALL) SELECT f.window_start, event_id, events.event_type, value FROM events JOIN f ON f.event_type = events.event_type AND f.window_start = time_bucket(INTERVAL 1 DAY, ts) WHERE value > most")
+def window_outliers(spark, d):
+    return aggregates.rows_above(tables.events(spark, d), ["event_type"], "value", "ts", "1 day").select("window_start", "event_id", "event_type", "value")
+
+
 @query(f"WITH {SLIDING} SELECT window_start, user_id, count(*)::BIGINT AS n, max(ts) AS max_ts FROM win GROUP BY ALL")
 def sliding_count(spark, d):
     return aggregates.count_by_window(tables.events(spark, d), ["user_id"], "ts", "10 hours", "1 hour")

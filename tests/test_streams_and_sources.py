@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillflow import queries
-from rillflow.plans import jobs
+from rillflow.plans import jobs, metrics
 from rillflow.sources import files, generators
 from rillflow.streaming import processors, run
 
@@ -80,6 +80,15 @@ def test_hops_as_edges_arrive(spark, tmp_path, limit):
     assert {(x["from_id"], x["to_id"]): x["hops"] for x in table.collect()} == best
 
 
+def test_progress_rows(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.range(7).coalesce(1).write.parquet(src)
+    query = spark.readStream.schema("id LONG").parquet(src).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = metrics.progress_rows(spark, query).collect()
+    assert sum(r["rows"] for r in rows) == 7 and all(r["batch_ms"] >= r["commit_ms"] >= 0 for r in rows)
+
+
 def test_session_keeps_its_state_store(spark, tmp_path):
     before = spark.conf.get(run.ROCKS[0])
     run_state(spark, tmp_path, [(1, 1)], "k LONG, t LONG", lambda df: processors.first_rows(df, "k", ["t"]))
