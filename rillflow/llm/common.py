@@ -47,7 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEAN_SHUFFLES, "false")
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # a frame takes the setting up when it is made
     finally:
         spark.conf.set(CLEAN_SHUFFLES, before)
 

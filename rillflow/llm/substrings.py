@@ -1,7 +1,8 @@
 """Substring dedup by content-defined chunking.
 
 A gear hash rolls over a text's UTF-8 bytes; where its high bits are all zero a chunk ends, so cuts
-follow content and an insertion moves only the cuts beside it.  Chunks are keyed by a 128-bit digest.
+follow content and an insertion moves only the cuts beside it.  Chunks are keyed by a 96-bit digest
+(10**12 chunks have a collision with a probability of 1e-5).
 Each digest's first place (smallest doc_id, then position) stays, all later ones are repeats.  Runs of
 repeated chunks are joined back to another place that holds them and extended, character by character, to
 what they share with it on either side.  Extended runs of at least ``MIN_WORDS`` whole words are a text's
@@ -69,20 +70,20 @@ def chunk_ends(data: bytes) -> list[int]:
     return out
 
 
-def chunks_of(text: str) -> list[tuple[int, int, int, int, int]]:
-    """(digest high, digest low, start, end, words) of each chunk; places in code points, end exclusive."""
+def chunks_of(text: str) -> list[tuple[int, int, int, int]]:
+    """(64 and 32 bits of a digest, start, end) of each chunk; places in code points, end exclusive."""
     data = text.encode()
     out, at, start = [], 0, 0
     for end in chunk_ends(data):
         piece = data[at:end]
         digest = xxhash.xxh3_128_intdigest(piece)
         part = piece.decode()
-        out.append(((digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), start, start + len(part), len(part.split())))
+        out.append(((digest >> 64) - (1 << 63), (digest & (1 << 32) - 1) - (1 << 31), start, start + len(part)))
         at, start = end, start + len(part)
     return out
 
 
-CHUNKS = "doc_id long, at long, hi long, lo long, size int, words int, ends boolean"
+CHUNKS = "doc_id long, at long, hi long, lo int, size int"
 
 
 def _place(doc_id: str, at: str) -> Column:
@@ -90,17 +91,16 @@ def _place(doc_id: str, at: str) -> Column:
 
 
 def chunk_table(texts: DataFrame) -> DataFrame:
-    """doc_id, at, hi, lo, size, words, ends: every chunk of every text (doc_id, tid, text).
+    """doc_id, at, hi, lo, size: every chunk of every text (doc_id, tid, text).
 
-    ``at`` holds the text's ``tid`` above the chunk's start; ``ends`` tells a text's last chunk.
+    ``at`` holds the text's ``tid`` above the chunk's start; the size of a text's last chunk is negative.
     """
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "at", "hi", "lo", "size", "words", "ends")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "at", "hi", "lo", "size")}
         for doc_id, tid, text in zip(rows["doc_id"], rows["tid"], rows["text"]):
-            chunks = chunks_of(text)
-            for hi, lo, start, end, words in chunks:
-                for k, v in zip(out, (doc_id, tid << 32 | start, hi, lo, end - start, words, end == chunks[-1][3])):
+            for hi, lo, start, end in chunks_of(text):
+                for k, v in zip(out, (doc_id, tid << 32 | start, hi, lo, end - start if end < len(text) else start - end)):
                     out[k].append(v)
         return out
 
@@ -118,8 +118,8 @@ def _runs(gathered: DataFrame) -> DataFrame:
                 if not (runs and runs[-1]["end"] == c["start"]):
                     runs.append({"start": c["start"], "left": (c["other_doc"], c["other_at"]) if c["start"] else None, "later": [], "chunks": 0, "firsts": []})
                 run = runs[-1]
-                end = c["start"] + c["size"]
-                run["end"], run["right"] = end, None if c["ends"] else (c["other_doc"], c["other_at"] + c["size"])
+                end = c["start"] + abs(c["size"])
+                run["end"], run["right"] = end, None if c["size"] < 0 else (c["other_doc"], c["other_at"] + c["size"])
                 run["chunks"] += 1
                 if c["later"]:
                     if c["first_doc"] not in run["firsts"]:
@@ -180,7 +180,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spark = docs.sparkSession
     texts = texts_of(docs).filter("text is not null").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.hash("text").cast("long").alias("tid"), "text")
     folder = f"{checkpoint_dir(spark)}/chunks-{uuid.uuid4().hex}"
-    chunk_table(texts).write.parquet(folder)
+    # version 2 of the format writes places as small differences
+    chunk_table(texts).write.option("compression", "zstd").option("parquet.writer.version", "v2").parquet(folder)
     chunks = spark.read.schema(CHUNKS).parquet(folder)
     places = chunks.groupBy("hi", "lo").agg(F.min(_place("doc_id", "at")).alias("first"), F.max(_place("doc_id", "at")).alias("last"))
     # cut, so that the join can split a digest that many texts hold
@@ -188,14 +189,14 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     later = _place("doc_id", "at") > _place("first_doc", "first_at")
     start, tid = F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("start"), F.shiftright("at", 32).alias("tid")
     other = [F.when(later, F.col(f"first_{c}")).otherwise(F.col(f"last_{c}")).alias(f"other_{c}") for c in ("doc", "at")]
-    marked = chunks.join(shared, ["hi", "lo"]).select("doc_id", tid, F.struct(start, "size", "ends", later.alias("later"), "first_doc", *other).alias("chunk"))
+    marked = chunks.join(shared, ["hi", "lo"]).select("doc_id", tid, F.struct(start, "size", later.alias("later"), "first_doc", *other).alias("chunk"))
     gathered = marked.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set("chunk")).alias("chunks"))  # bounded by one text's chunks
     runs = cut(_runs(gathered))
-    edged = runs.join(cut(_edges(runs, texts)), ["doc_id", "tid"], "left")
-    found = cut(map_columns(edged.join(texts, ["doc_id", "tid"]), _passages(min_words), "doc_id long, tid long, n_repeated long, repeated_chars long, n_removed long, removed_chars long, spans string, removed string, first_doc_ids array<long>", 256).distinct().drop("tid"))  # repeated rows
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    return found
+    edged = runs.join(cut(_edges(runs, texts)), ["doc_id", "tid"], "left")
+    found = map_columns(edged.join(texts, ["doc_id", "tid"]), _passages(min_words), "doc_id long, tid long, n_repeated long, repeated_chars long, n_removed long, removed_chars long, spans string, removed string, first_doc_ids array<long>", 256)
+    return found.distinct().drop("tid")  # repeated rows
 
 
 def _passages(min_words: int):

@@ -161,8 +161,8 @@ def test_components(spark):
 def test_chunks_cover_the_text_and_resist_shifts():
     text = prose(1, 3000) + " é😀" * 200
     chunks = substrings.chunks_of(text)
-    assert "".join(text[s:e] for _, _, s, e, _ in chunks) == text
-    sizes = [len(text[s:e].encode()) for _, _, s, e, _ in chunks]
+    assert "".join(text[s:e] for _, _, s, e in chunks) == text
+    sizes = [len(text[s:e].encode()) for _, _, s, e in chunks]
     assert max(sizes) <= substrings.MAX_BYTES and min(sizes[:-1]) >= substrings.MIN_BYTES - 3
     moved = {c[:2] for c in substrings.chunks_of("zz " + text)}
     assert len(moved & {c[:2] for c in chunks}) > 0.97 * len(chunks)
