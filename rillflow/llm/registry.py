@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, mixing, neardup, pieces, quality, rules, secrets, substrings, toxicity
+from . import chat, importance, media, mixing, neardup, pieces, quality, rules, secrets, substrings, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,9 +93,15 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.text_images(table(spark, sf_dir, "documents")))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark's texts: ``importance.learn_gains``, ``importance.resample``."""
+    docs = table(spark, sf_dir, "documents")
+    return importance.resample(docs, importance.learn_gains(docs, table(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substrings, op2_neardup, op3_rules, op4_pieces, op5_chat, op6_secrets, op7_quality, op8_mixing, op9_toxicity, op10_media)}
+    return {f.__name__: f for f in (op1_substrings, op2_neardup, op3_rules, op4_pieces, op5_chat, op6_secrets, op7_quality, op8_mixing, op9_toxicity, op10_media, op12_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.oracle_sql(targets=MIXTURE)}
+    return {"op8_mixing": mixing.oracle_sql(targets=MIXTURE), "op12_importance": importance.oracle_sql()}
