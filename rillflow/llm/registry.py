@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, importance, media, mixing, neardup, pieces, quality, rules, secrets, substrings, toxicity
+from . import chat, importance, media, mixing, neardup, negatives, pieces, quality, rules, secrets, substrings, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +94,13 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.text_images(table(spark, sf_dir, "documents")))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, with every seventh label moved on: ``negatives.mine``."""
+    rows = negatives.whole_vectors(table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn towards the benchmark's texts: ``importance.learn_gains``, ``importance.resample``."""
     docs = table(spark, sf_dir, "documents")
@@ -100,8 +108,8 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substrings, op2_neardup, op3_rules, op4_pieces, op5_chat, op6_secrets, op7_quality, op8_mixing, op9_toxicity, op10_media, op12_importance)}
+    return {f.__name__: f for f in (op1_substrings, op2_neardup, op3_rules, op4_pieces, op5_chat, op6_secrets, op7_quality, op8_mixing, op9_toxicity, op10_media, op11_negatives, op12_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.oracle_sql(targets=MIXTURE), "op12_importance": importance.oracle_sql()}
+    return {"op8_mixing": mixing.oracle_sql(targets=MIXTURE), "op11_negatives": negatives.ORACLE_SQL, "op12_importance": importance.oracle_sql()}
