@@ -13,6 +13,7 @@ from collections.abc import Iterator
 #: Comments that begin boilerplate and main text.
 MARKS = ("rest", "main")
 SYLLABLES = "an at be con de di en er es fi ge ha in ing ja ka la le ma mi na no on or pa qui ra re sa se sh st ta te ti to un ve vi wo ä é ç ñ ou".split()
+LETTERS = "abcdefghiklmnoprstuvw"
 #: Words that pages use around their main text, in four languages.
 CUES = (
     "home menu login register search subscribe newsletter cookies privacy policy terms contact about imprint copyright advertisement sponsored share tweet follow "
@@ -48,6 +49,7 @@ class _Page:
         self.sloppy = self.r.random() < 0.4
         self.named = self.r.random()  # how likely parts without an element of their own have a telling name
         self.junk = self.r.random() < 0.15
+        self.inside = False
 
     def chance(self, p: float) -> bool:
         return self.r.random() < p
@@ -56,6 +58,10 @@ class _Page:
         w = "".join(self.r.choices(SYLLABLES, k=self.r.randint(1, 4)))
         return w + self.r.choice(("***", "###", "%%%", "$$$", "&amp;&amp;")) if self.junk and self.chance(0.7) else w
 
+    def name(self) -> str:
+        """A class name that says nothing."""
+        return "-".join("".join(self.r.choices(LETTERS, k=self.r.randint(3, 8))) for _ in range(self.r.randint(1, 2)))
+
     def words(self, n: int, cues: float = 0.01) -> str:
         return " ".join(self.r.choice(CUES) if self.chance(cues) else self.word() for _ in range(n))
 
@@ -72,11 +78,13 @@ class _Page:
     def attributes(self, part: str, tag: str) -> str:
         plain = tag in ("div", "p", "ul", "ol", "td", "section", "ins")
         out = ""
-        if self.chance(0.9 if plain and self.named > 0.12 else 0.35):
+        if self.inside and part != "main" or self.chance(0.9 if plain and self.named > 0.12 else 0.35):  # within main text only a name tells
             extra = [f"c{self.r.randint(1, 99)}"] if self.chance(0.2) else []
             out += f' {self.r.choice(("class", "class", "id"))}="{" ".join([self.r.choice(NAMES[part]), *extra])}"'
         elif self.chance(0.3):
             out += f' class="{self.r.choice("abcdefgh")}{self.r.randint(1, 99)}"'
+        if self.chance(0.15):
+            out = out.replace('"', f'"{self.name()} ', 1) if out else f' class="{self.name()}"'
         if part in ROLES and self.chance(0.12):
             out += f' role="{ROLES[part]}"'
         return out
@@ -134,7 +142,9 @@ class _Page:
         return self.part("footer", self.r.choice((line, f"<p>{line}</p>", f"<div>{line}</div>")) + (self.links(5) if self.chance(0.4) else "") + (f"<address>{self.words(5)}</address>" if self.chance(0.15) else ""))
 
     def paragraph(self) -> str:
-        kind, text = self.r.random(), self.inline(self.sentences(self.r.choice((1, 2, 6, 15)), 0.02))
+        kind, text = self.r.random(), self.inline(self.sentences(self.r.choice((1, 2, 6, 15)), self.r.choice((0.02, 0.02, 0.02, 0.3))))
+        if self.chance(0.06):
+            text = f"{self.words(self.r.randint(1, 3), 0.1)} " * self.r.choice((3, 20, 200))
         if kind < 0.62:
             return f"<p>{text}" + ("" if self.sloppy and self.chance(0.5) else "</p>")
         if kind < 0.70:
@@ -159,10 +169,13 @@ class _Page:
         title = f"<{(tag := self.r.choice(('h1', 'h1', 'h2')))}>{self.words(self.r.randint(1, 9))}</{tag}>"
         out = [main + (title if self.chance(0.85) else "")]
         inner = (self.advert, self.share, self.form, self.notice, lambda: self.part("sidebar", self.links(4), "aside"))
-        for _ in range(self.r.choice((1, 1, 2, 3, 5, 8, 12))):
-            out.append(self.paragraph())
-            if self.chance(0.05):
+        count, same = self.r.choice((1, 1, 2, 3, 5, 8, 12, 12, 30, 90)), self.paragraph() if self.chance(0.12) else ""
+        for _ in range(count):
+            out.append(same or self.paragraph())
+            if self.chance(0.7 / count):
+                self.inside = True
                 out.append(rest + self.r.choice(inner)() + main)
+                self.inside = False
         if self.chance(0.12):
             out.append(rest + self.comments())
         body = "".join(out) + rest
@@ -178,8 +191,9 @@ class _Page:
         after = some(0.3, self.sidebar, self.share) + some(0.35, self.comments) + some(0.2, self.advert, self.form, self.notice)
         head = f'<head><meta charset="utf-8"><title>{self.words(4)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head>'
         end = "" if self.sloppy else "</body></html>"
-        wrap = self.r.choice((("", ""), ("", ""), ('<div class="wrapper">', "</div>"), ('<div id="page"><div class="container">', "</div></div>")))
-        return f"<!DOCTYPE html><html>{head}<body>{wrap[0]}<!--{MARKS[0]}-->{before}{self.main()}{after}{some(0.85, self.footer)}{wrap[1]}{end}"
+        wrap = self.r.choice((("", ""), ("", ""), ('<div class="wrapper">', "</div>"), ('<div id="page"><div class="container">', "</div></div>"), (f'<div class="{self.name()}">', "</div>")))
+        body = self.r.choice(("", "", f' class="{self.name()} {self.name()}"', f' id="{self.r.choice(CUES)}"', ' class="home page"'))
+        return f"<!DOCTYPE html><html>{head}<body{body}>{wrap[0]}<!--{MARKS[0]}-->{before}{self.main()}{after}{some(0.85, self.footer)}{wrap[1]}{end}"
 
 
 def generate(count: int, seed: int) -> Iterator[str]:

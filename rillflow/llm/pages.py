@@ -1,8 +1,8 @@
 """Main text of web pages: a recurrent labeller over a page's leaf blocks.
 
-A page is read into its leaf blocks, the runs of text between block-level tags.  A block is a vector of its
-tag path (hashed tags, class, id and role words of all open elements), its words (hashed), its own tag and a
-few figures; a bidirectional LSTM reads the blocks of a page in order, so each is judged in the context of the
+A page is read into its leaf blocks, the runs of text between block-level tags.  A block is the bag of its
+tag path (hashed tags, and names and words of class, id and role, of all open elements) and a vector of its words
+(hashed), its own tag and a few figures; a bidirectional LSTM reads the blocks of a page in order, so each is judged in the context of the
 whole page.  The model is trained on generated pages of many layouts (``layouts``), once a driver.
 """
 
@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from . import layouts
 from .common import map_columns
-from .labeller import Labeller
+from .labeller import Labeller, Places
 
-#: Widths of the hashed parts of a block's vector, and of its figures.
-PATHS, WORDS, TAGS, FIGURES = 256, 128, 32, 8
-WIDTH = PATHS + WORDS + TAGS + FIGURES
+#: Numbers that stand for tag paths, and widths of the parts of a block's vector: hashed words, its tag, figures.
+PATHS, WORDS, TAGS, FIGURES = 4096, 128, 32, 6
+WIDTH = WORDS + TAGS + FIGURES
 #: Generated pages that the model is trained on, and passes over them.
-TRAINING_PAGES, EPOCHS = 900, 5
+TRAINING_PAGES, EPOCHS = 3000, 8
 THRESHOLD = 0.5
 #: Elements that never show text, and those that have no content.
 UNSEEN = frozenset("script style noscript template svg iframe object canvas audio video title".split())
@@ -41,11 +41,16 @@ def bucket(token: str, width: int) -> int:
     return zlib.crc32(token.encode("utf-8", "replace")) % width
 
 
+@lru_cache(1 << 10)
+def tag_bucket(tag: str) -> int:
+    return bucket(tag, TAGS)
+
+
 @lru_cache(1 << 14)
 def element_tokens(tag: str, names: str) -> frozenset[int]:
-    """Buckets of a tag and of the words of its class, id and role, whole and by their first four letters."""
+    """Numbers of a tag, of its class, id and role names, and of their words, whole and by the first four letters."""
     words = {w.lower() for w in NAME.findall(names)}
-    return frozenset(bucket(t, PATHS) for t in (f"<{tag}", *(f".{w}" for w in words), *(f".{w[:4]}*" for w in words)))
+    return frozenset(bucket(t, PATHS) for t in (f"<{tag}", *(f"={n.lower()}" for n in names.split()), *(f".{w}" for w in words), *(f".{w[:4]}*" for w in words)))
 
 
 class BlockReader(HTMLParser):
@@ -54,14 +59,19 @@ class BlockReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, frozenset[int], str]] = []
-        self.open: list[tuple[str, frozenset[int]]] = [("", frozenset())]
+        self.open: list[tuple[str, frozenset[int]]] = [("", frozenset({0}))]
         self.counts: dict[str, int] = {}
         self.parts: list[str] = []
         self.linked = self.links = 0
         self.unseen: str | None = None
         self.depth = 0
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # nobody asks for lines
+
     def end_block(self) -> None:
+        if not self.parts:
+            return
         text = " ".join("".join(self.parts).split())
         if text:
             self.blocks.append((text, self.linked, self.open[-1][1], self.open[-1][0]))
@@ -155,34 +165,60 @@ class TruthReader(BlockReader):
         self.begun = None
 
 
-@lru_cache(1 << 16)
-def word_bucket(word: str) -> int:
-    return bucket(word.lower().strip(".,:;!?()[]\"'"), WORDS)
+#: Odd numbers that weigh a word's bytes by their place, and the bytes of punctuation, which weigh nothing.
+PLACES = (np.arange(1, 33, dtype=np.uint32) * np.uint32(2654435761)) | np.uint32(1)
+COUNTED = np.array([0 if chr(b) in " \n.,:;!?()[]\"'" else 1 for b in range(256)], np.uint32)
+
+
+def word_shares(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(n, WORDS) square roots of the shares of hashed words in each text, and the number of its words.
+
+    A word's hash is the sum of its bytes in lower case, weighed by their places: a few passes over all bytes.
+    """
+    data = np.frombuffer("\n".join(texts).lower().encode("utf-8", "replace"), np.uint8)
+    apart = (data == 32) | (data == 10)
+    begins = ~apart & np.concatenate(([True], apart[:-1]))
+    starts = np.flatnonzero(begins)
+    place = np.arange(len(data)) - np.maximum.accumulate(np.where(begins, np.arange(len(data)), 0))
+    weighed = data * COUNTED[data] * PLACES[place & 31]
+    hashes = np.add.reduceat(weighed, starts, dtype=np.uint32)
+    owner = np.cumsum(data == 10)[starts]
+    counts = np.bincount(owner * WORDS + ((hashes * np.uint32(2246822519)) >> np.uint32(16)).astype(np.int64) % WORDS, minlength=len(texts) * WORDS).reshape(-1, WORDS)
+    words = counts.sum(axis=1)
+    return np.sqrt(counts / words[:, None]), words
+
+
+@lru_cache(1 << 14)
+def path_bag(path: frozenset[int]) -> np.ndarray:
+    return np.array(sorted(path), np.int64)
 
 
-def block_vectors(blocks: list[tuple[str, int, frozenset[int], str]], first: int, last: int) -> np.ndarray:
-    """The vectors of blocks ``first`` to ``last`` of a page."""
-    out = np.zeros((last - first, WIDTH), np.float32)
-    for row, (text, linked, path, tag) in zip(out, blocks[first:last]):
-        row[list(path)] = 1.0
-        words = text.split(" ")
-        counts = np.bincount(np.fromiter(map(word_bucket, words), np.int64, len(words)), minlength=WORDS)
-        row[PATHS : PATHS + WORDS] = np.sqrt(counts / len(words))
-        row[PATHS + WORDS + bucket(tag, TAGS)] = 1.0
-        n = len(text)
-        row[-FIGURES:] = (np.log1p(len(words)) / 5, min(1.0, linked / n), text[-1] in ".!?", np.log1p(n / len(words)) / 3, sum(map(str.isdigit, text)) / n, "©" in text, 0, len(blocks) < 4)
-    out[:, -2] = np.arange(first, last) / len(blocks)
-    return out
+def block_places(blocks: list[tuple[str, int, frozenset[int], str]], first: int, last: int) -> Places:
+    """The places of blocks ``first`` to ``last`` of a page."""
+    texts, linked, paths, tags = zip(*blocks[first:last])
+    out, n = np.zeros((last - first, WIDTH), np.float32), np.array(list(map(len, texts)))
+    out[:, :WORDS], words = word_shares(texts)
+    out[np.arange(len(texts)), [WORDS + tag_bucket(tag) for tag in tags]] = 1.0
+    signs = [(text[-1] in ".!?", sum(map(text.count, "0123456789")) / len(text), "©" in text) for text in texts]
+    figures = out[:, -FIGURES:]
+    figures[:, 0], figures[:, 1], figures[:, 2] = np.log1p(words) / 5, np.minimum(1.0, np.array(linked) / n), np.log1p(n / words) / 3
+    figures[:, 3:6] = signs
+    known: dict[frozenset[int], int] = {}
+    which = np.array([known.setdefault(path, len(known)) for path in paths])
+    return Places(out, list(map(path_bag, known)), which)
 
 
 def train(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = 11) -> Labeller:
-    """A labeller trained on ``pages`` generated pages."""
-    model, read = Labeller(WIDTH), []
-    for html in layouts.generate(pages, seed):
+    """A labeller trained on ``pages`` generated pages; every other one without its words, so that they decide little."""
+    model, read = Labeller(WIDTH, PATHS), []
+    for number, html in enumerate(layouts.generate(pages, seed)):
         reader = TruthReader()
         blocks = reader.read(html)
         if blocks:
-            read.append((block_vectors(blocks, 0, len(blocks)), np.array(reader.truth)))
+            places = block_places(blocks, 0, len(blocks))
+            if number % 2:
+                places.vectors[:, :WORDS] = 0
+            read.append((places, np.array(reader.truth)))
     model.train(read, epochs)
     return model
 
@@ -198,7 +234,7 @@ def label_pages(model: Labeller, pages: list[str], part: int = 512) -> list[list
     lengths = np.array([len(b) for b in read], np.int64)
     if not lengths.sum():
         return [[] for _ in pages]
-    sent = np.concatenate([model.project(block_vectors(b, at, min(at + part, len(b)))) for b in read for at in range(0, len(b), part)])
+    sent = np.concatenate([model.project(block_places(b, at, min(at + part, len(b)))) for b in read for at in range(0, len(b), part)])
     scores, starts = model.scores(sent, lengths), np.cumsum(lengths) - lengths
     return [[block[0] for block, s in zip(b, scores[start : start + len(b)]) if s >= THRESHOLD] for b, start in zip(read, starts)]
 

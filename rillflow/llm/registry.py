@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, importance, media, mixing, neardup, negatives, pieces, quality, rules, secrets, substrings, toxicity
+from . import chat, importance, media, mixing, neardup, negatives, pages, pieces, quality, rules, secrets, substrings, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,8 +107,13 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(docs, importance.learn_gains(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: ``pages.main_text``, with the model trained on generated pages."""
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substrings, op2_neardup, op3_rules, op4_pieces, op5_chat, op6_secrets, op7_quality, op8_mixing, op9_toxicity, op10_media, op11_negatives, op12_importance)}
+    return {f.__name__: f for f in (op1_substrings, op2_neardup, op3_rules, op4_pieces, op5_chat, op6_secrets, op7_quality, op8_mixing, op9_toxicity, op10_media, op11_negatives, op12_importance, op13_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
