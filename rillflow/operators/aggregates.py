@@ -18,6 +18,11 @@ def count_by_window(df: DataFrame, keys: list[str], time: str, size: str, slide:
     return found.select(F.col("window.start").alias("window_start"), *keys, "n", "max_ts")
 
 
+def merge_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of parts of the rows, as ``count_by_window`` gives them, as one."""
+    return counts.groupBy("window_start", *keys).agg(F.sum("n").cast("long").alias("n"), F.max("max_ts").alias("max_ts"))
+
+
 def sum_by_window(df: DataFrame, keys: list[str], value: str, time: str, size: str) -> DataFrame:
     """window_start, keys, total, max_ts, n; groups whose total is 0 are left out."""
     found = df.groupBy(window_of(time, size), *keys).agg(F.sum(value).cast("long").alias("total"), F.max(time).alias("max_ts"), F.count(F.lit(1)).alias("n"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scan import MOST, running_sums
+
 
 def word_array(sentence: Column) -> Column:
     """Words between spaces, with commas and full stops read as spaces; line feeds stay inside words."""
@@ -27,7 +28,7 @@ def cents(amount: Column) -> Column:
     return F.round(amount * 100).cast("long")
 
 
-def running_average(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    """The average of a key's values so far, on each row."""
-    so_far = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn("running_avg", F.round(F.sum(cents(F.col(value))).over(so_far) / 100 / F.count(F.lit(1)).over(so_far), 6))
+def running_average(df: DataFrame, key: str, value: str, order: list[str], most: int = MOST) -> DataFrame:
+    """The average of a key's values so far, on each row; keys of over ``most`` rows are summed by ranges of their order."""
+    summed = running_sums(df, key, order, {"__cents": cents(F.col(value)), "__count": F.lit(1)}, most)
+    return summed.withColumn("running_avg", F.round(F.col("__cents") / 100 / F.col("__count"), 6)).drop("__cents", "__count")

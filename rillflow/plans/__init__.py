@@ -1 +1 @@
-"""Jobs, iterative plans, metrics, recovery lines and the job builder."""
+"""Jobs, iterative plans, metrics and recovery lines."""

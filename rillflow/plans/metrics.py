@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.asof import asof_join, ticks
+from ..operators.lineage import cut
+
 THROUGHPUT_LOG = "timestamp STRING, throughput LONG"
 LATENCY_LOG = "timestamp STRING, latency STRING, shard INT"
 CHECKPOINT_LOG = "timestamp STRING, forced BOOLEAN, taken_ms DOUBLE, bytes LONG"
@@ -49,40 +54,53 @@ def throughput(records: DataFrame, time: str, width: str = "333 milliseconds") -
     return records.groupBy(F.window(time, width)).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("bin_start"), "n")
 
 
-def ordered_values(df: DataFrame, keys: list[str], value: str, wanted: DataFrame, cells: int = 1024) -> DataFrame:
-    """keys, rank, value: the values at the ranks (from 0) of ``wanted`` (keys, rank, low, high) in each group's order.
+#: Of a group's ranks, the share by which sampled percentiles may be off: one in so many.
+ACCURACY = 10_000
+
+
+def summary(df: DataFrame, keys: list[str], value: str, percents: tuple[int, ...] = (90, 95, 99), accuracy: int = ACCURACY) -> DataFrame:
+    """min, max, mean, percentiles (exact, linear interpolation) and sample deviation of each group; groups without values are left out.
 
-    ``low`` and ``high`` are the group's least and largest value.  Values are counted by equal cells
-    between them; only cells that hold a wanted rank are counted value by value.  So no task sorts a group.
+    One pass brackets each percentile by approximate ones, which are off by a known share of the ranks at most;
+    a second counts what lies between brackets, and value by value what lies in them.  So whatever the values, only
+    some thousandths of a group's distinct values are put in order, or all of a group of up to ``accuracy`` rows.
     """
-    bounds = wanted.groupBy(*keys).agg(F.first("low").alias("low"), F.first("high").alias("high"))
-    width = F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / cells).otherwise(F.lit(1.0))
-    placed = df.filter(F.col(value).isNotNull()).join(bounds, keys).select(*keys, F.col(value).alias("v"), F.least(F.floor((F.col(value) - F.col("low")) / width), F.lit(cells - 1)).alias("cell"))
-    up = W.partitionBy(*keys).orderBy("cell")
-    filled = placed.groupBy(*keys, "cell").count().withColumn("until", F.sum("count").over(up))
-    cells_of = wanted.select(*keys, "rank").join(filled, keys).filter((F.col("rank") < F.col("until")) & (F.col("rank") >= F.col("until") - F.col("count"))).select(*keys, "rank", "cell", (F.col("until") - F.col("count")).alias("before"))
-    inside = placed.join(cells_of.select(*keys, "cell").distinct(), [*keys, "cell"]).groupBy(*keys, "cell", "v").count()
-    in_cell = inside.withColumn("up_to", F.sum("count").over(W.partitionBy(*keys, "cell").orderBy("v")))
-    at = in_cell.join(cells_of, [*keys, "cell"]).filter((F.col("rank") < F.col("before") + F.col("up_to")) & (F.col("rank") >= F.col("before") + F.col("up_to") - F.col("count")))
-    return at.select(*keys, "rank", F.col("v").alias("value"))
-
-
-def summary(df: DataFrame, keys: list[str], value: str, percents: tuple[int, ...] = (90, 95, 99)) -> DataFrame:
-    """min, max, mean, percentiles (linear interpolation) and sample deviation of each group; groups without values are left out."""
     v = F.col(value)
-    plain = df.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("avg"), F.stddev_samp(v).alias("dev"), F.count(v).alias("n")).filter("n > 0")
+    beside = [min(max(p / 100 + side * 3 / accuracy, 0.0), 1.0) for p in percents for side in (-1, 1)]
+    bounds = F.percentile_approx(v, beside, accuracy)
+    plain = df.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("avg"), F.stddev_samp(v).alias("dev"), F.count(v).alias("n"), bounds.alias("bounds")).filter("n > 0")
+    plain = cut(plain)
+    placed = df.filter(v.isNotNull()).select(*keys, v.alias("v")).join(plain.select(*keys, "bounds", "n"), keys)
+    inside = reduce(Column.__or__, (F.col("v").between(F.get("bounds", F.lit(2 * i)), F.get("bounds", F.lit(2 * i + 1))) for i in range(len(percents))))
+    above = reduce(Column.__add__, ((F.col("v") >= F.get("bounds", F.lit(i))).cast("int") for i in range(len(beside))))
+    counted = placed.groupBy(*keys, above.alias("cell"), F.when(inside | (F.col("n") <= accuracy), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    up = W.partitionBy(*keys).orderBy("cell", F.col("v").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = counted.withColumn("until", F.sum("c").over(up)).filter("v IS NOT NULL").join(plain.select(*keys, "n"), keys)
     place = lambda p: (F.col("n") - 1) * F.lit(p / 100)
-    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(p)), F.ceil(place(p))) for p in percents))))
-    wanted = plain.select(*keys, F.col("min").alias("low"), F.col("max").alias("high"), F.explode(ranks).alias("rank"))
-    found = ordered_values(df, keys, value, wanted).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))  # two entries a percentile
+    holds = lambda rank: (rank < F.col("until")) & (rank >= F.col("until") - F.col("c"))
+    ends = {f"{side}{p}": F.max(F.when(holds(f(place(p))), F.col("v"))) for p in percents for side, f in (("low", F.floor), ("high", F.ceil))}
+    found = ranked.groupBy(*keys).agg(*(c.alias(name) for name, c in ends.items()))
 
     def percentile(p: int) -> Column:
-        low, high = F.element_at("at", F.floor(place(p))), F.element_at("at", F.ceil(place(p)))
+        low, high = F.col(f"low{p}"), F.col(f"high{p}")
         return F.round(low + (high - low) * (place(p) - F.floor(place(p))), 6).alias(f"p{p}")
 
     return plain.join(found, keys).select(*keys, "min", "max", F.round("avg", 4).alias("mean"), *(percentile(p) for p in percents), F.round("dev", 4).alias("std"))
 
 
+def sampled_latency(records: DataFrame, partition: str, time: str, tie: str, every_ms: int = 333, behind_ms: int = 5000, cell_seconds: float = 3600) -> DataFrame:
+    """partition, tick, latency_ms: at every tick of a partition the latency of the next record delivered, at that time or later.
+
+    Ticks run from a partition's first record to ``behind_ms`` before its last; a latency that is not above zero is
+    null.  ``records`` has ``latency_ms``; a partition's records are compared by cells of ``cell_seconds``.
+    """
+    at = ticks(records, partition, time, every_ms, behind_ms).withColumnRenamed("tick", time)
+    outputs = records.select(partition, F.col(time).cast("timestamp").alias(time), tie, "latency_ms")
+    found = asof_join(at, outputs, [partition], time, tie, cell_seconds, forward=True)
+    latency_ms = F.when(F.col("found.latency_ms") > 0, F.col("found.latency_ms"))
+    return found.select(partition, F.col(time).cast("timestamp_ntz").alias("tick"), latency_ms.alias("latency_ms"))
+
+
 def checkpoint_summary(log: DataFrame, keys: list[str], run: str) -> DataFrame:
     """Checkpoints a run (all, regular, forced), and mean and deviation of kilobytes and milliseconds, by group."""
     kb = F.round(F.col("bytes") / 1000)

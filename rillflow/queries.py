@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.records import output_record
 from .functions.smoothing import low_pass, savgol, savgol_weights
 from .functions.smoothing import savgol_mirrored as mirrored
-from .operators import aggregates, exchange, filters, joins, maps
+from .operators import aggregates, combine, exchange, filters, joins, maps
 from .plans import iterate, jobs, metrics, recovery
 from .sources import tables
 from .sources.files import adjacency_from_edges
@@ -35,7 +36,7 @@ EDGES = "edge AS (SELECT DISTINCT o_custkey AS from_id, l_suppkey AS to_id FROM
 SOLD = "sold AS (SELECT l_orderkey AS auction_id, l_linenumber AS bid_no, o_custkey AS seller_id, l_extendedprice AS amount, l_shipdate AS bid_time FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_shipdate > o_orderdate AND l_shipdate < o_orderdate + INTERVAL 60 DAYS)"
 PRICES = f"{SOLD}, price AS (SELECT auction_id, max(amount) AS amount, max(seller_id) AS seller_id, max(bid_time) AS bid_time FROM sold GROUP BY auction_id)"
 WORDS = "w AS (SELECT doc_id, unnest(string_split(translate(text, ',.', '  '), ' ')) AS word FROM documents)"
-PERSON = "person AS (SELECT o_custkey AS person_id, min(o_orderdate) AS person_time FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey)"
+PERSON = "person AS (SELECT o_custkey AS person_id, min(o_orderdate) AS person_time FROM orders GROUP BY o_custkey)"
 LOCAL = "CAST(substr(o_orderpriority, 1, 1) AS INT) % 2 <> 0 AND length(c_mktsegment) > 0 AND ascii(c_mktsegment) % 2 = 0"
 SLIDING = "win AS (SELECT ts, user_id, date_trunc('hour', ts) - INTERVAL 1 HOUR * h AS window_start FROM events, range(10) r(h))"
 
@@ -107,6 +108,43 @@ def window_outliers(spark, d):
     return aggregates.rows_above(tables.events(spark, d), ["event_type"], "value", "ts", "1 day").select("window_start", "event_id", "event_type", "value")
 
 
+#: User aggregates of windows of events: the aggregate, its keys beside the window, and the window's size.
+WINDOW_AGGREGATES = {
+    "window_top_rows": (combine.TopRows("value", "event_id", 3), ["event_type"], "1 day"),
+    "window_sessions": (combine.Sessions("ts", 1800), ["event_type"], "1 day"),
+    "window_longest_gap": (combine.LongestGap("ts", 3600), ["user_id"], "7 days"),
+}
+
+
+def _window_aggregate(spark: SparkSession, d: str, name: str) -> DataFrame:
+    aggregate, keys, size = WINDOW_AGGREGATES[name]
+    placed = tables.events(spark, d).withColumn("window_start", aggregates.window_of("ts", size)["start"])
+    return combine.combined(placed, ["window_start", *keys], aggregate)
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, (row_number() OVER w)::INT AS place, event_id, value FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type, time_bucket(INTERVAL 1 DAY, ts) ORDER BY value DESC, event_id) QUALIFY place <= 3")
+def window_top_rows(spark, d):
+    return _window_aggregate(spark, d, "window_top_rows")
+
+
+@query(
+    "WITH e AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, ts, event_id FROM events), "
+    "b AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS begins FROM e WINDOW w AS (PARTITION BY window_start, event_type ORDER BY ts, event_id)), "
+    "s AS (SELECT *, (sum(begins) OVER (PARTITION BY window_start, event_type ORDER BY ts, event_id))::INT AS session FROM b) "
+    "SELECT window_start, event_type, session, min(ts) AS first_ts, max(ts) AS last_ts, count(*)::BIGINT AS n FROM s GROUP BY ALL"
+)
+def window_sessions(spark, d):
+    return _window_aggregate(spark, d, "window_sessions")
+
+
+@query(
+    "WITH g AS (SELECT time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-01') AS window_start, user_id, lag(ts) OVER (PARTITION BY user_id, time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-01') ORDER BY ts) AS gap_start, ts FROM events) "
+    "SELECT window_start, user_id, gap_start, (epoch_us(ts) - epoch_us(gap_start)) / 1e6::DOUBLE AS gap_seconds FROM g WHERE ts - gap_start >= INTERVAL 1 HOUR QUALIFY row_number() OVER (PARTITION BY window_start, user_id ORDER BY gap_seconds DESC, gap_start) = 1"
+)
+def window_longest_gap(spark, d):
+    return _window_aggregate(spark, d, "window_longest_gap")
+
+
 @query(f"WITH {SLIDING} SELECT window_start, user_id, count(*)::BIGINT AS n, max(ts) AS max_ts FROM win GROUP BY ALL")
 def sliding_count(spark, d):
     return aggregates.count_by_window(tables.events(spark, d), ["user_id"], "ts", "10 hours", "1 hour")
@@ -237,6 +275,28 @@ def pagerank_changes(spark, d):
     return jobs.rank_changes(tables.edges(spark, d), 3, 6, 1e-5).select("page_id", F.round("rank", 9).alias("rank"))
 
 
+@query(
+    f"WITH {EDGES}, page AS (SELECT from_id AS page_id FROM edge UNION SELECT to_id FROM edge), deg AS (SELECT from_id, count(*) AS degree FROM edge GROUP BY from_id), r0 AS (SELECT page_id, 1.0::DOUBLE / (SELECT count(*) FROM page) AS rank FROM page), "
+    + ", ".join(_RANK.replace("AS (SELECT page.", "AS MATERIALIZED (SELECT page.").replace("{k}", str(k)).replace("{j}", str(k - 1)) for k in range(1, 7))
+    + " SELECT page_id, round(rank, 8) AS rank FROM r6"
+)
+def pagerank_residual(spark, d):
+    return iterate.page_rank_by_residual(tables.edges(spark, d), 6).select("page_id", F.round("rank", 8).alias("rank"))
+
+
+@query(
+    "WITH e AS (SELECT o_custkey AS page_id, o_orderkey AS arrival, (year(o_orderdate) - 1991)::INT AS epoch, o_totalprice AS value FROM orders), "
+    "f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY arrival) = 1 AS begins FROM e), "
+    "n AS (SELECT *, max(CASE WHEN begins OR epoch <= 5 THEN epoch END) OVER w AS newest FROM f WINDOW w AS (PARTITION BY page_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
+    "k AS (SELECT *, last_value(CASE WHEN begins OR (epoch <= 5 AND epoch > newest) THEN value END IGNORE NULLS) OVER w AS kept FROM n WINDOW w AS (PARTITION BY page_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) "
+    "SELECT page_id, arrival, epoch, CASE WHEN begins OR epoch > newest THEN value ELSE kept END AS value FROM k WHERE begins OR (epoch <= 5 AND epoch >= newest)"
+)
+def epoch_collect(spark, d):
+    """Orders as arrivals at their customers' pages, with the year as epoch, of which the fifth is the last."""
+    arrivals = tables.read(spark, d, "orders").select(F.col("o_custkey").alias("page_id"), F.col("o_orderkey").alias("arrival"), (F.year("o_orderdate") - 1991).alias("epoch"), F.col("o_totalprice").alias("value"))
+    return filters.newest_epoch(arrivals, "page_id", "epoch", ["arrival"], ["value"], 5)
+
+
 @query(f"WITH RECURSIVE {EDGES}, reach AS (SELECT from_id, to_id FROM edge UNION SELECT reach.from_id, edge.to_id FROM reach JOIN edge ON reach.to_id = edge.from_id) SELECT from_id, to_id FROM reach")
 def reachability(spark, d):
     return iterate.reachable(tables.edges(spark, d))
@@ -272,6 +332,19 @@ def latency_first_per_bin(spark, d):
     return metrics.first_per_bin(records, "partition", "ts", "event_id", "1 hour")
 
 
+@query(
+    "WITH r AS (SELECT user_id % 7 AS partition, ts, event_id, value AS latency_ms FROM events), "
+    "span AS (SELECT partition, ceil(epoch_us(min(ts)) / 600e6)::BIGINT AS lo, floor((epoch_us(max(ts)) - 5000000) / 600e6)::BIGINT AS hi FROM r GROUP BY partition), "
+    "t AS (SELECT partition, make_timestamp(n * 600000000) AS tick FROM (SELECT partition, unnest(range(lo, hi + 1)) AS n FROM span)), "
+    "o AS (SELECT partition, ts, arg_min(latency_ms, event_id) AS latency_ms FROM r GROUP BY ALL) "
+    "SELECT t.partition, tick, CASE WHEN latency_ms > 0 THEN latency_ms END AS latency_ms FROM t ASOF LEFT JOIN o ON t.partition = o.partition AND t.tick <= o.ts"
+)
+def latency_sampled(spark, d):
+    """At every tenth minute the latency of the next record of each partition."""
+    records = tables.events(spark, d).select((F.col("user_id") % 7).alias("partition"), "ts", "event_id", F.col("value").alias("latency_ms"))
+    return metrics.sampled_latency(records, "partition", "ts", "event_id", 600_000, 5000, 86_400)
+
+
 @query("SELECT event_id, event_type, user_id, round(coalesce(0.25 * lag(value) OVER w + 0.5 * value + 0.25 * lead(value) OVER w, value), 6) AS smooth FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def lowpass(spark, d):
     smooth = low_pass(tables.events(spark, d), "user_id", "value", ["ts", "event_id"])
@@ -358,7 +431,11 @@ def _register_streams() -> None:
     same = {
         "stream_running_avg": "running_avg", "stream_near_in_time": "near_in_time", "stream_tumbling_count": "tumbling_count", "stream_word_totals": "wordcount_total",
         "stream_local_item": "local_item", "stream_hot_item": "hot_item", "stream_avg_price": "avg_price_by_seller", "stream_distinct_by_key": "distinct_by_key",
+        "stream_local_item_events": "local_item_events", "stream_windowed_avg_price": "windowed_avg_price",
     }
+    for name, (aggregate, keys, size) in WINDOW_AGGREGATES.items():
+        QUERIES[f"stream_{name}"] = partial(streams.stream_window_aggregate, aggregate=aggregate, keys=keys, size=size)
+        SQL[f"stream_{name}"] = SQL[name]
     for name in (*same, "stream_selection", "stream_nhop", "stream_echo"):
         QUERIES[name] = getattr(streams, name)
     SQL.update({stream: SQL[batch] for stream, batch in same.items()})

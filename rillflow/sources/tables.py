@@ -34,14 +34,22 @@ def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_auctions(read(spark, sf_dir, "orders"))
 
 
+def as_people(customers: DataFrame) -> DataFrame:
+    return customers.select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("province"))
+
+
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("province"))
+    return as_people(read(spark, sf_dir, "customer"))
+
+
+def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """person_id, person_time: the day of each person's first order."""
+    return read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("person_id")).agg(F.min("o_orderdate").alias("person_time"))
 
 
 def people_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """People with ``person_time``: the day of their first urgent order."""
-    urgent = read(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("person_id")).agg(F.min("o_orderdate").alias("person_time"))
-    return people(spark, sf_dir).join(urgent, "person_id")
+    """All people with ``person_time``, the day of their first order; null for those without one."""
+    return people(spark, sf_dir).join(first_orders(spark, sf_dir), "person_id", "left")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

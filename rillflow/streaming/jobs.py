@@ -1,14 +1,22 @@
-"""The jobs over streams of the given tables, run to the end of what is there."""
+"""The jobs over streams of the given tables, run to the end of what is there.
+
+Files may come in any order and any batches: what can be merged (counts, maxima, firsts, pairs) is kept as
+changes of batches, without a watermark, so no row is ever late; what needs state has its lateness as a
+parameter, and ``run.late_rows`` tells what came later still.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, filters, joins
+from ..operators import aggregates, combine, filters, joins, maps
 from ..plans import jobs
 from ..sources import tables
-from . import processors, run
+from . import chained, run
+
+#: Lateness of streams that replay a table whose files are in no order: more than the time that any table spans.
+ANY_ORDER = "20000 days"
 
 
 def stream_echo(spark: SparkSession, d: str) -> DataFrame:
@@ -27,11 +35,29 @@ def stream_local_item(spark: SparkSession, d: str) -> DataFrame:
     return run.run_append(jobs.local_item(auctions, tables.people(spark, d)), run.shared_folder(spark))
 
 
+def stream_local_item_events(spark: SparkSession, d: str) -> DataFrame:
+    """People and auctions as they come, two streams joined within a time: ``chained.local_items``."""
+    return chained.run_local_items(spark, d, run.shared_folder(spark), within=ANY_ORDER, lateness=ANY_ORDER)
+
+
+def stream_windowed_avg_price(spark: SparkSession, d: str) -> DataFrame:
+    """Bids and auctions joined, sliding windows and tumbling ones, as one query: ``chained.average_prices``."""
+    return chained.run_average_prices(spark, d, run.shared_folder(spark), lateness=ANY_ORDER)
+
+
+def _counted(spark: SparkSession, d: str, size: str, slide: str | None = None) -> DataFrame:
+    """Events of each window and user: a batch adds its counts."""
+    events = run.stream_table(spark, d, "events")
+    return run.run_changes(events, run.shared_folder(spark), lambda batch, _: aggregates.count_by_window(batch, ["user_id"], "ts", size, slide), lambda counts: aggregates.merge_counts(counts, ["user_id"]))
+
+
 def stream_hot_item(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of sliding windows as they change; the leader of each window."""
-    events = run.stream_table(spark, d, "events").withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", "1 day")
-    counted = run.run_updates(aggregates.count_by_window(events, ["user_id"], "time", "10 hours", "1 hour"), run.shared_folder(spark), ["window_start", "user_id"])
-    return filters.leader(counted.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), ["window_start"], "n", "user_id")
+    """Counts of sliding windows; the leader of each window."""
+    return filters.leader(_counted(spark, d, "10 hours", "1 hour"), ["window_start"], "n", "user_id")
+
+
+def stream_tumbling_count(spark: SparkSession, d: str) -> DataFrame:
+    return _counted(spark, d, "1 day")
 
 
 def stream_avg_price(spark: SparkSession, d: str) -> DataFrame:
@@ -46,29 +72,30 @@ def stream_word_totals(spark: SparkSession, d: str) -> DataFrame:
     return run.run_changes(words, run.shared_folder(spark), run.word_changes, run.word_totals)
 
 
-def stream_tumbling_count(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of windows as they change: a window's state ends with the watermark, and no batch rewrites another's rows."""
-    events = run.stream_table(spark, d, "events").withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", "1 day")
-    table = run.run_updates(aggregates.count_by_window(events, ["user_id"], "time", "1 day"), run.shared_folder(spark), ["window_start", "user_id"])
-    return table.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id", "n", F.col("max_ts").cast("timestamp_ntz").alias("max_ts"))
-
-
 def stream_running_avg(spark: SparkSession, d: str) -> DataFrame:
+    """The average of a user's values so far, by time, then id: a row that comes late counts where it belongs.
+
+    Each batch adds its rows; the averages are those of ``maps.running_average``, which splits hot users.
+    ``processors.running_average`` gives them by arrival instead, with one state a key.
+    """
     events = run.stream_table(spark, d, "events").select("user_id", "value", "ts", "event_id")
-    return run.run_append(processors.running_average(events, "user_id", "value", {"ts": "TIMESTAMP_NTZ", "event_id": "LONG"}), run.shared_folder(spark))
+    rows = run.run_changes(events, run.shared_folder(spark), lambda batch, _: batch, lambda changes: changes.drop("batch"))
+    return maps.running_average(rows, "user_id", "value", ["ts", "event_id"]).select("user_id", "ts", "event_id", "running_avg")
 
 
 def stream_distinct_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """The first row of each user by time, then id; ``processors.first_rows`` gives the first to arrive instead."""
     events = run.stream_table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
-    return run.run_append(processors.first_rows(events, "user_id", ["ts", "event_id"]), run.shared_folder(spark))
+    first = lambda rows: filters.first_by_key(rows.select("event_id", "ts", "user_id", "event_type"), "user_id", ["ts", "event_id"])
+    return run.run_changes(events, run.shared_folder(spark), lambda batch, _: first(batch), first)
 
 
-def stream_near_in_time(spark: SparkSession, d: str) -> DataFrame:
+def stream_near_in_time(spark: SparkSession, d: str, lateness: str = ANY_ORDER) -> DataFrame:
     """Clicks and purchases of a user within half an hour: a join of two streams with watermarks."""
 
     def side(kind: str, name: str) -> DataFrame:
         events = run.stream_table(spark, d, "events").filter(F.col("event_type") == kind)
-        return events.select(F.col("event_id").alias(f"{name}_id"), F.col("user_id").alias(f"{name}_user"), F.col("ts").cast("timestamp").alias(f"{name}_ts")).withWatermark(f"{name}_ts", "1 hour")
+        return events.select(F.col("event_id").alias(f"{name}_id"), F.col("user_id").alias(f"{name}_user"), F.col("ts").cast("timestamp").alias(f"{name}_ts")).withWatermark(f"{name}_ts", lateness)
 
     pairs = joins.join_near(side("click", "left"), side("purchase", "right"), "left_user", "right_user", "left_ts", "right_ts", 1800)
     return run.run_append(pairs.select("left_id", "right_id"), run.shared_folder(spark))
@@ -78,3 +105,12 @@ def stream_nhop(spark: SparkSession, d: str) -> DataFrame:
     """Pairs within two hops as edges come: each event leads from its user to the number of its block of twenty events."""
     edges = run.stream_table(spark, d, "events").select(F.col("user_id").alias("from_id"), F.floor(F.col("event_id") / 20).alias("to_id"), F.lit(1).alias("hops"))
     return run.run_changes(edges, run.shared_folder(spark), run.hop_changes(2), run.hop_distances)
+
+
+def stream_window_aggregate(spark: SparkSession, d: str, aggregate: combine.Combinable, keys: list[str], size: str) -> DataFrame:
+    """A user aggregate of each window of events and ``keys``: batches add states, which are merged and finished."""
+    events = run.stream_table(spark, d, "events")
+    placed = lambda rows: rows.withColumn("window_start", aggregates.window_of("ts", size)["start"])
+    keys = ["window_start", *keys]
+    states = run.run_changes(events, run.shared_folder(spark), lambda batch, _: combine.partial_states(placed(batch), keys, aggregate), lambda changes: combine.merged_states(changes, keys, aggregate))
+    return combine.finished(states, keys, aggregate)

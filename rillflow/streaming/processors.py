@@ -1,4 +1,4 @@
-"""Stateful processors: running average, leader of latest counts, first row of a key, arrival-driven windows.
+"""Stateful processors: running average, leader of latest counts, first row of a key, newest epoch of a key.
 
 A batch's rows of a key are put in order by the processor: the stream's files or offsets per trigger bound them.
 ``run`` sets the state store that these need.
@@ -110,39 +110,33 @@ def leaders(df: DataFrame, part: str, item: str, count: str, order: dict[str, st
     return _transform(df, part, _Leader(item, count, list(order)), schema)
 
 
-class _Sliding(StatefulProcessor):
-    """Windows (start, start + size] of arrival times, which advance only when an event arrives.
+class _NewestEpoch(StatefulProcessor):
+    """The row of the newest epoch that a key has had, as ``filters.newest_epoch`` has it."""
 
-    Tumbling windows give the content that an advance closes, sliding ones what is open after it.
-    """
-
-    def __init__(self, size: int, slide: int, origin: int):
-        if size <= 0 or slide <= 0:
-            raise ValueError("size and slide must be above zero")
-        self.size, self.slide, self.origin = size, slide, origin
+    def __init__(self, key: str, epoch: str, order: list[str], carry: list[str], types: list[str], last_epoch: int):
+        self.key, self.epoch, self.order, self.carry, self.last_epoch = key, epoch, order, carry, last_epoch
+        self.schema = ", ".join(f"{c} {t}" for c, t in zip((epoch, *carry), types))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.start = handle.getValueState("start", "at LONG")
-        self.held = handle.getListState("held", "at LONG, id LONG")
+        self.held = handle.getValueState("held", self.schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        start = self.start.get()[0] if self.start.exists() else self.origin
-        held = [tuple(x) for x in self.held.get()] if self.held.exists() else []
-        for row in sorted(rows, key=lambda r: (r["at"], r["id"])):
-            before, closed = start, held
-            if row["at"] > start + self.size:
-                start += -(-(row["at"] - start - self.size) // self.slide) * self.slide
-            held = [x for x in held if x[0] > start] + [(row["at"], row["id"])]
-            if start > before:
-                content = closed if self.size == self.slide else held
-                yield Row(key=key[0], window_start=before if self.size == self.slide else start, ids=[i for _, i in content])
-        self.start.update((start,))
-        self.held.put(held)
+        held = tuple(self.held.get()) if self.held.exists() else None
+        for row in sorted(rows, key=lambda r: [r[c] for c in self.order]):
+            now = tuple(row[c] for c in (self.epoch, *self.carry))
+            if held is not None and (now[0] > self.last_epoch or now[0] < held[0]):
+                continue
+            held = now if held is None or now[0] > held[0] else held
+            yield Row(**{self.key: row[self.key]}, **{c: row[c] for c in self.order}, **dict(zip((self.epoch, *self.carry), held)))
+        if held is not None:
+            self.held.update(held)
 
     def close(self) -> None:
         pass
 
 
-def arrival_windows(df: DataFrame, size: int, slide: int, origin: int = 0) -> DataFrame:
-    """key, window_start, ids from rows (key, at, id) by whole-number arrival times."""
-    return _transform(df, "key", _Sliding(size, slide, origin), "key LONG, window_start LONG, ids ARRAY<LONG>")
+def newest_epoch(df: DataFrame, key: str, epoch: str, order: list[str], carry: list[str], last_epoch: int = 100) -> DataFrame:
+    """``filters.newest_epoch`` for rows as they arrive; those of one batch go by ``order``."""
+    kind = {f.name: f.dataType.simpleString() for f in df.schema}
+    columns = [key, *order, epoch, *carry]
+    return _transform(df.select(*columns), key, _NewestEpoch(key, epoch, order, carry, [kind[c] for c in (epoch, *carry)], last_epoch), ", ".join(f"{c} {kind[c]}" for c in columns))

@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 #: The only state store that keeps values, maps and lists of a processor.
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 #: Files of a micro-batch: what a task holds of a key in one batch follows from it.
 FILES_PER_TRIGGER = 64
 
+#: Batches after which the changes of a table are merged into one.
+MERGE_EVERY = 16
+
 Change = Callable[[DataFrame, DataFrame | None], DataFrame]
 
 
@@ -33,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base or tempfile.mkdtemp(prefix='spark-stream-')}/stream-{uuid.uuid4().hex}"
 
 
-def _run(spark: SparkSession, writer: DataStreamWriter, folder: str) -> None:
+def _run(spark: SparkSession, writer: DataStreamWriter, folder: str) -> StreamingQuery:
     """Run what is there to its end.  A query keeps the state store that is set when it starts; the session's setting stays."""
     before = spark.conf.get(ROCKS[0])
     spark.conf.set(*ROCKS)
@@ -42,37 +46,89 @@ def _run(spark: SparkSession, writer: DataStreamWriter, folder: str) -> None:
     finally:
         spark.conf.set(ROCKS[0], before)
     query.awaitTermination()
+    return query
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and were dropped, over the recent batches of a query."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
 
+def run_append(df: DataFrame, folder: str, out: str | None = None, ended: Callable[[StreamingQuery], None] = lambda query: None) -> DataFrame:
+    """Run what is there to its end into Parquet files; the file sink's log makes repeated batches harmless.
 
-def run_append(df: DataFrame, folder: str, out: str | None = None) -> DataFrame:
-    """Run what is there to its end into Parquet files; the file sink's log makes repeated batches harmless."""
+    ``ended`` is told of the query, for ``late_rows`` or ``metrics.progress_rows``.
+    """
     out = out or f"{folder}/out"
-    _run(df.sparkSession, df.writeStream.format("parquet").option("path", out), folder)
+    ended(_run(df.sparkSession, df.writeStream.format("parquet").option("path", out), folder))
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
+class Changes:
+    """A table kept as what its batches change, under one folder.
 
-def run_changes(df: DataFrame, folder: str, change: Change, result: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """A table kept as the changes that each batch makes: ``result`` of all changes so far, with their ``batch``.
+    ``batch=N`` holds the changes of one batch, ``upto=N`` all changes until then, merged.  A folder counts once it is
+    complete.  What a merge took up goes at the next merge but one, so that the batch that merged can be repeated.
+    """
 
-    ``change`` makes a batch's changes from it and the changes before it (None for the first).  A batch
-    writes its changes once, under its own number, from what earlier batches wrote: repeated, it writes the
-    same again.  A run without new data gives the table of the runs before it.
+    def __init__(self, spark: SparkSession, place: str):
+        self.spark, self.place = spark, place
+
+    def _path(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.place}/{name}" if name else self.place)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _numbers(self, kind: str) -> list[int]:
+        files, top = self._path()
+        if not files.exists(top):
+            return []
+        found = [status.getPath().getName() for status in files.listStatus(top)]
+        numbers = (int(name.split("=")[1]) for name in found if name.startswith(f"{kind}="))
+        return sorted(n for n in numbers if files.exists(self._path(f"{kind}={n}/_SUCCESS")[1]))
+
+    def rows(self, before: int = 1 << 62) -> DataFrame | None:
+        """The changes of all batches under ``before``, with ``batch``; None if there are none."""
+        merged = [n for n in self._numbers("upto") if n < before]
+        since = merged[-1] if merged else -1
+        parts = [self.spark.read.parquet(f"{self.place}/upto={since}").withColumn("batch", F.lit(since).cast("long"))] if merged else []
+        later = [f"{self.place}/batch={n}" for n in self._numbers("batch") if since < n < before]
+        if later:
+            rows = self.spark.read.option("basePath", self.place).parquet(*later)
+            parts.append(rows.withColumn("batch", F.col("batch").cast("long")))
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def put(self, number: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.place}/batch={number}")
+
+    def merge(self, number: int, merge: Callable[[DataFrame], DataFrame]) -> None:
+        """Merge everything up to a batch into one table."""
+        older = [n for n in self._numbers("upto") if n < number]
+        merge(self.rows(number + 1)).drop("batch").write.mode("overwrite").parquet(f"{self.place}/upto={number}")
+        if older:
+            gone = [f"batch={n}" for n in self._numbers("batch") if n <= older[-1]] + [f"upto={n}" for n in older[:-1]]
+            for name in gone:
+                files, path = self._path(name)
+                files.delete(path, True)
+
+
+def run_changes(df: DataFrame, folder: str, change: Change, merge: Callable[[DataFrame], DataFrame], mode: str = "append", merge_every: int = MERGE_EVERY) -> DataFrame:
+    """A table kept as the changes that each batch makes: ``merge`` of all changes so far, with their ``batch``.
+
+    ``change`` makes a batch's changes from it and the changes before it (None for the first); it must not matter
+    to ``merge`` in which batches rows came.  A batch writes its changes once, under its own number, from what
+    earlier batches wrote: repeated, it writes the same again.  Every ``merge_every`` batches the changes so far become
+    one table, so that a batch reads at most so many.  A run without new data gives the table of the runs before it.
     """
-    spark, place = df.sparkSession, f"{folder}/changes"
+    spark, table = df.sparkSession, Changes(df.sparkSession, f"{folder}/changes")
 
     def put(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(place).filter(F.col("batch") < number) if number and _exists(spark, place) else None
-        change(batch, before).write.mode("overwrite").parquet(f"{place}/batch={number}")
+        table.put(number, change(batch, table.rows(number)))
+        if (number + 1) % merge_every == 0:
+            table.merge(number, merge)
 
     _run(spark, df.writeStream.outputMode(mode).foreachBatch(put), folder)
-    if _exists(spark, place):
-        return result(spark.read.parquet(place))
-    return result(change(spark.createDataFrame([], df.schema), None).withColumn("batch", F.lit(0)))
+    rows = table.rows()
+    return merge(change(spark.createDataFrame([], df.schema), None).withColumn("batch", F.lit(0).cast("long")) if rows is None else rows)
 
 
 def run_updates(df: DataFrame, folder: str, keys: list[str]) -> DataFrame:

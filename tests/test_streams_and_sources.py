@@ -101,20 +101,6 @@ def run_state(spark, tmp_path, rows, schema, make):
     return run.run_append(make(spark.readStream.schema(schema).parquet(src)), str(tmp_path / "out")).collect()
 
 
-def test_arrival_driven_windows(spark, tmp_path):
-    rows = [(0, t, t) for t in (1000, 2000, 3000, 5000)]
-    found = run_state(spark, tmp_path, rows, "key LONG, at LONG, id LONG", lambda df: processors.arrival_windows(df, 2000, 1000, 999))
-    assert sorted((r["window_start"], r["ids"]) for r in found) == [(1999, [2000, 3000]), (3999, [5000])]
-    with pytest.raises(ValueError):
-        processors.arrival_windows(spark.createDataFrame(rows, "key LONG, at LONG, id LONG"), 0, 1)
-
-
-def test_tumbling_windows_give_each_event_once(spark, tmp_path):
-    rows = [(0, t, t) for t in (10, 100, 240, 251, 400, 900)]
-    found = run_state(spark, tmp_path, rows, "key LONG, at LONG, id LONG", lambda df: processors.arrival_windows(df, 250, 250))
-    assert sorted((r["window_start"], r["ids"]) for r in found) == [(0, [10, 100, 240]), (250, [251, 400])]
-
-
 def test_leaders(spark, tmp_path):
     rows = [(0, 1, 1, 1), (0, 2, 1, 2), (0, 2, 2, 3), (0, 1, 2, 4), (0, 2, 1, 5), (0, 1, 3, 6)]
     found = run_state(spark, tmp_path, rows, "part LONG, item LONG, n LONG, t LONG", lambda df: processors.leaders(df, "part", "item", "n", {"t": "LONG"}))
