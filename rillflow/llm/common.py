@@ -52,6 +52,17 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEAN_SHUFFLES, before)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Helper names that no column has, in any case: the given ones, lengthened where they are taken."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id and text only: further columns, whatever their names, do not reach an operator."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

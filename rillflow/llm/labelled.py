@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts_of
+
 
 def fold(doc_id, folds: int):
     """crc32 of the decimal doc_id modulo ``folds``."""
@@ -15,8 +17,9 @@ def fold(doc_id, folds: int):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """doc_id, text, label of at most ``per_class`` training rows of each class, and the class sizes.
 
-    A class with more rows gives those with the smallest hash of doc_id.  Rows of the held-out fold
-    never take part.  The ids that are broadcast number at most twice ``per_class``.
+    A class with more labelled ids gives those with the smallest hash of doc_id, and an id with several rows the one
+    with the smallest text.  Rows of the held-out fold never take part.  The ids that are broadcast number at
+    most twice ``per_class``, and so do the rows.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -28,7 +31,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     ranked = known.withColumn("rank", F.xxhash64("doc_id"))
     taken = [ranked.filter(F.col("label") == c).orderBy("rank", "doc_id").limit(per_class) for c in (0, 1)]
     ids = taken[0].unionByName(taken[1]).drop("rank")
-    return docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label"), sizes
+    return texts_of(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), sizes
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarray, strength: float = 1.0, steps: int = 50) -> np.ndarray:

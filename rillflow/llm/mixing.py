@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 
 LEVELS = ("domain", "lang", "source")
 SEED = 20240
@@ -158,15 +158,15 @@ def keep_mixed(docs: DataFrame, budget_share: float = BUDGET_SHARE, seed: int =
 
     A leaf's rows are a prefix of its order, so its last digest decides: texts do not move.
     """
-    keys = ["__domain", "__lang", "__source"]
+    *keys, reached = unused(docs, "__domain", "__lang", "__source", "__last")
     taken = mix(docs, budget_share, 1, seed, targets)
-    last = taken.groupBy(*(F.col(c).alias(k) for c, k in zip(LEVELS, keys))).agg(F.max(epoch_digest(F.col("doc_id"), F.lit(0), seed)).alias("__last"))
+    last = taken.groupBy(*(F.col(c).alias(k) for c, k in zip(LEVELS, keys))).agg(F.max(epoch_digest(F.col("doc_id"), F.lit(0), seed)).alias(reached))
     last = cut(last)
     source = F.coalesce(F.col("source").cast("string"), F.lit("-"))
-    placed = docs.withColumns({"__domain": targets.domain_of(source), "__lang": F.coalesce(F.col("lang").cast("string"), F.lit("-")), "__source": source})
+    placed = docs.withColumns(dict(zip(keys, (targets.domain_of(source), F.coalesce(F.col("lang").cast("string"), F.lit("-")), source))))
     joined = placed.join(F.broadcast(last) if last.count() <= BROADCAST_LEAVES else last, keys)
     digest = epoch_digest(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(0), seed)
-    return joined.filter((digest <= F.col("__last")) & (token_count(F.col("text").cast("string")) > 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return joined.filter((digest <= F.col(reached)) & (token_count(F.col("text").cast("string")) > 0)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE_SQL = r"""

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import send_package
-from .common import _arrow_schema, cut, row_slices, texts_of
+from .common import _arrow_schema, cut, row_slices, texts_of, unused
 from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -498,8 +498,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     A null doc_id is the smallest.  Of repeated rows one stays.  Rows with a null text all stay.
     """
-    found = classes(docs).filter("digest is not null")
-    leaders = found.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__leader"))
-    keyed = docs.filter("text is not null").withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__leader": F.unhex(F.md5(F.col("text").cast("string")))})
-    kept = keyed.dropDuplicates(["__id", "__leader"]).join(leaders, ["__id", "__leader"], "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    found, names = classes(docs).filter("digest is not null"), unused(docs, "__id", "__leader")
+    first = F.min(F.struct("doc_id", "digest")).alias("first")
+    leaders = found.groupBy("component").agg(first).select(*(F.col(f"first.{c}").alias(n) for c, n in zip(("doc_id", "digest"), names)))
+    keyed = docs.filter("text is not null").withColumns(dict(zip(names, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.unhex(F.md5(F.col("text").cast("string")))))))
+    kept = keyed.dropDuplicates(names).join(leaders, names, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
     return kept.unionByName(docs.filter("text is null"))

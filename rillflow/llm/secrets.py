@@ -9,7 +9,8 @@ length, and it ends where no way to the end can cost less than asked.  A value t
 credential word and costs at least ``MIN_COST`` is a secret of kind ``guess``.
 
 Words and ranks come from three lists: common passwords, a public tokenizer's vocabulary in its order,
-and the corpus's own words by their number over all documents.
+and the corpus's own words by their number over all documents.  What stands in a credential context is not
+counted, and a word needs many different texts: a secret cannot make itself a word, however often its text is copied.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import send_package
-from .common import cut, map_columns, per_task, sorted_spans, texts_of
+from .common import cut, map_columns, per_task, sorted_spans, texts_of, unused
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -37,6 +38,8 @@ LONGEST = 32
 MIN_COST = 8.0
 #: A word of the corpus is in the dictionary if it is at least this share of all words: 50,000 words at most.
 WORD_SHARE = 2e-5
+#: It also needs so many of the 64 groups that a hash deals different texts to; copies of a text are in one group.
+LEAST_GROUPS = 8
 #: Per further segment: an attacker has to try the ways to put segments together.
 SEGMENT_COST = 0.5
 #: Common passwords and words in them, first in the dictionary.
@@ -74,16 +77,21 @@ def vocabulary_words(path: str) -> list[str]:
     return [w for w in words if w.isascii() and w.isalpha() and 3 <= len(w) <= LONGEST]
 
 
-def corpus_words(docs: DataFrame, least_share: float = WORD_SHARE) -> list[str]:
+def corpus_words(docs: DataFrame, least_share: float = WORD_SHARE, least_groups: int = LEAST_GROUPS) -> list[str]:
     """Words of 3 to ``LONGEST`` letters with at least ``least_share`` of all words of all texts, most frequent first.
 
-    At most ``1 / least_share`` words come to the driver.
+    Credential contexts with their values do not count, nor do words whose texts fall into fewer than
+    ``least_groups`` of 64 groups.  At most ``1 / least_share`` words come to the driver.
     """
-    words = texts_of(docs).select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
-    counts = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    texts = texts_of(docs).filter("text is not null")
+    group = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("text"), F.lit(64)).cast("int"))
+    outside = F.lower(F.regexp_replace("text", f"(?i){CONTEXT.pattern}", " "))
+    words = texts.select(group.alias("grp"), F.explode(F.split(outside, r"[^\p{L}]+")).alias("word"))
+    counts = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.bit_or("grp").alias("groups")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    known = counts.filter((F.length("word") >= 3) & (F.length("word") <= LONGEST) & (F.col("n") >= least_share * total))
-    return [r["word"] for r in sorted(known.collect(), key=lambda r: (-r["n"], r["word"]))]
+    sized = (F.length("word") >= 3) & (F.length("word") <= LONGEST)
+    known = counts.filter(sized & (F.col("n") >= least_share * total) & (F.bit_count("groups") >= least_groups))
+    return [r["word"] for r in sorted(known.select("word", "n").collect(), key=lambda r: (-r["n"], r["word"]))]
 
 
 def dictionary(*lists: list[str]) -> dict[str, int]:
@@ -210,18 +218,20 @@ def redact(text: str, spans: list[tuple[str, int, int]], mask: str = "[secret]")
 def redact_texts(docs: DataFrame, ranks: dict[str, int] | None = None, min_cost: float = MIN_COST) -> DataFrame:
     """The documents with every secret of every text masked and n_chars brought up to date; null texts stay null.
 
-    All rows and columns stay, repeated ones too.
+    All rows and columns stay, repeated ones too, whatever the columns' names; an empty text stays empty, an
+    empty table too.  Texts are read whole, however long, in linear time.
     """
-
     send_package(docs.sparkSession)
+
     @F.pandas_udf("string")
     def masked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         guesses = GuessCost(ranks)
         for batch in texts:
             yield pd.Series([t if t is None else redact(t, find_secrets(t, guesses, min_cost)) for t in batch], dtype=object)
 
-    out = docs.withColumn("__masked", masked(F.col("text")))
+    (name,) = unused(docs, "__masked")
+    out = docs.withColumn(name, masked(F.col("text")))
     if "n_chars" in docs.columns:
-        changed = ~F.col("__masked").eqNullSafe(F.col("text"))
-        out = out.withColumn("n_chars", F.when(changed, F.length("__masked").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("__masked")).select(*(F.col(f"`{c}`") for c in docs.columns))
+        changed = ~F.col(name).eqNullSafe(F.col("text"))
+        out = out.withColumn("n_chars", F.when(changed, F.length(name).cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col(name)).select(*(F.col(f"`{c}`") for c in docs.columns))

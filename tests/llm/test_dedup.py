@@ -305,3 +305,10 @@ def test_passages_of_51_words_are_found(make_docs):
     for i, spans in found.items():
         a, b = map(int, spans.split(",")[0].split(":"))
         assert prose(5000 + i // 2, 51, "ab") in texts[i][a:b]
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    rows = [(1, prose(1, 40), 7, "x"), (2, prose(1, 40), 8, "y"), (3, prose(2, 40), 9, "z"), (4, None, 10, "n")]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id LONG, text STRING, __id LONG, __LEADER STRING"))
+    assert kept.columns == ["doc_id", "text", "__id", "__LEADER"]
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2], rows[3]]

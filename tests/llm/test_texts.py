@@ -12,7 +12,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rillflow.llm import chat, media, mixing, pieces, quality, registry, rules, secrets, toxicity
+from rillflow.llm import chat, labelled, media, mixing, pieces, quality, registry, rules, secrets, toxicity
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -260,6 +260,60 @@ def test_guesses_on_planted_values(spark):
     assert len(wrong) <= 0.05 * len(easy), wrong
 
 
+PLANTED = ("kqzjxvwpmtbn", "xw8!qLp2#vTz", "839201748392017483")
+
+
+@pytest.mark.parametrize("copies", [1, 12, 50])
+@pytest.mark.parametrize("alike", ["copies", "near copies"])
+@pytest.mark.parametrize("table", ["alone", "sf0.01"])
+def test_secrets_of_the_corpus_are_no_words(spark, make_docs, copies, alike, table):
+    """Values that stand in the corpus from which the dictionary is learned are found, however often."""
+    contexts = ("the password is {} now", "login: {} bye", "my api key -> api_key -> {} end")
+    rows = []
+    for k, (context, value) in enumerate(zip(contexts, PLANTED)):
+        for i in range(copies):
+            text = context.format(value) + (f" item {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" if alike == "near copies" else "")
+            rows.append((10_000_000 + 100 * k + i, text))
+    docs = make_docs(rows)
+    if table != "alone":
+        more = spark.read.parquet(f"/root/testdata/{table}/documents.parquet").select("doc_id", "text")
+        docs = docs.select("doc_id", "text").unionByName(more)
+    ranks = secrets.learn(docs, registry.word_vocabulary())
+    assert not ranks.keys() & {PLANTED[0]}
+    planted = docs.filter("doc_id >= 10000000")
+    assert {(r["doc_id"], r["n_guess"]) for r in secrets.scan(planted, ranks).collect()} == {(i, 1) for i, _ in rows}
+    assert all("[secret]" in r["text"] and not any(v in r["text"] for v in PLANTED) for r in secrets.redact_texts(planted, ranks).collect())
+
+
+def test_words_of_the_corpus_need_many_texts(make_docs):
+    rows = [(i, f"brumelow karsetti secret: vanterol text{'abcdefghijklmnopqrst'[i]}") for i in range(20)] + [(50 + i, "copied drissona line") for i in range(40)]
+    found = secrets.corpus_words(make_docs(rows))
+    assert {"brumelow", "karsetti"} <= set(found) and not {"vanterol", "drissona", "secret"} & set(found)
+    assert secrets.corpus_words(make_docs([])) == [] == secrets.corpus_words(make_docs([(1, None), (2, "")]))
+
+
+def test_masking_keeps_columns_of_any_name(spark):
+    table = spark.createDataFrame([(1, "token=abcdefgh12", "mine", 16)], "doc_id LONG, text STRING, __masked STRING, N_chars LONG")
+    assert [tuple(r) for r in secrets.redact_texts(table).select("doc_id", "text", "__masked").collect()] == [(1, "[secret]", "mine")]
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = "doc_id LONG, text STRING, lang STRING, source STRING, __source STRING, __lang STRING, __domain STRING, __last STRING"
+    rows = [(i, "some words of text " * 3, "en", f"s{i % 3}", "a", "b", "c", "d") for i in range(40)]
+    kept = mixing.keep_mixed(spark.createDataFrame(rows, names)).collect()
+    plain = mixing.keep_mixed(spark.createDataFrame([r[:4] for r in rows], "doc_id LONG, text STRING, lang STRING, source STRING")).collect()
+    assert kept and {tuple(r) for r in kept} == {(*r, "a", "b", "c", "d") for r in plain}
+
+
+def test_labelled_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i}", "x") for i in range(2000)] + [(None, "t", "x")], "doc_id LONG, text STRING, label STRING")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] * 3, "doc_id LONG, quality INT, toxic INT")
+    sample, sizes = labelled.labelled_sample(docs, labels, "quality", 3, 1, 5)
+    rows = sample.collect()
+    assert len(rows) == 10 and {r["label"] for r in rows} == {0, 1} and len({r["doc_id"] for r in rows}) == 10
+    assert all(r["text"] == min(f"text {i}" for i in range(2000) if i % 40 == r["doc_id"]) for r in rows)
+
+
 def test_context_values(make_docs):
     found = secrets.scan(make_docs([(1, "my passphrase is x8#Kq2!vLz. bye"), (2, "login: password1"), (3, "the password is required here")]), secrets.dictionary(list(secrets.COMMON), ["required"])).collect()
     by = {r["doc_id"]: r["spans"] for r in found}
