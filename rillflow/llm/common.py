@@ -52,6 +52,11 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEAN_SHUFFLES, before)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Helper names that no column has, in any case: the given ones, lengthened where they are taken."""
     taken, out = {c.lower() for c in df.columns}, []

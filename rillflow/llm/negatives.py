@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import send_package
-from .common import checkpoint_dir, cut, map_columns
+from .common import checkpoint_dir, cut, delete_folder, map_columns
 
 #: Rows of a block, anchors of a group, zone maps that are compared at once, scores kept from an anchor's own block.
 BLOCK, GROUP, ZONES, NEAR = 1024, 512, 256, 32
@@ -331,8 +331,7 @@ def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 3
     known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     result = mined.select("grp", "who", "window", "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")).join(paired, ["grp", "who", "window"])
     result = cut(result.select(known("anchor_id"), known("positive_id"), "rank", known("negative_id"), "positive_score", "negative_score"))
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    delete_folder(spark, folder)
     return result
 
 

@@ -4,9 +4,9 @@ A gear hash rolls over a text's UTF-8 bytes; where its high bits are all zero a
 follow content and an insertion moves only the cuts beside it.  Chunks are keyed by a 96-bit digest
 (10**12 chunks have a collision with a probability of 1e-5).
 Each digest's first place (smallest doc_id, then position) stays, all later ones are repeats.  Runs of
-repeated chunks are joined back to another place that holds them and extended, character by character, to
-what they share with it on either side.  Extended runs of at least ``MIN_WORDS`` whole words are a text's
-repeated passages.
+repeated chunks are extended, character by character, on either side to what they share with any other place
+of the chunk at their end: the texts beside all places of such a chunk are put in order, where the longest match
+of each is one of its neighbours.  Extended runs of at least ``MIN_WORDS`` whole words are a text's repeated passages.
 
 The rolling hash has a window of 32 bytes: the sum of 32 shifted table entries, which five doubling
 steps give for a whole text at once.
@@ -18,16 +18,19 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, cut, map_columns, texts_of
+from ..operators.scan import OWN, PART, along, with_halo
+from .common import checkpoint_dir, cut, delete_folder, map_columns, texts_of
 
 #: One byte in 2**MASK_BITS qualifies for a cut; a chunk has at least and at most so many bytes (about 40 on average).
 MASK_BITS, MIN_BYTES, MAX_BYTES = 4, 16, 96
 #: Whole words of a passage at least, and characters that a run is extended by on a side at most: a passage
 #: that goes on for longer holds a chunk, and so a part of the run, there.
 MIN_WORDS, EDGE = 40, 512
+#: Different texts beside one chunk that a task puts in order.
+NEIGHBOURS = 1 << 16
 NULL_ID = -(1 << 63)
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=77) for b in range(256)], dtype=np.uint32)
 
@@ -83,78 +86,145 @@ def chunks_of(text: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
-CHUNKS = "doc_id long, at long, hi long, lo int, size int"
-
-
-def _place(doc_id: str, at: str) -> Column:
-    return F.struct(F.col(doc_id), F.col(at))
+CHUNKS = "doc_id long, tid long, at int, hi long, lo int, size int"
+PLACE = ("doc_id", "tid", "at")
 
 
 def chunk_table(texts: DataFrame) -> DataFrame:
-    """doc_id, at, hi, lo, size: every chunk of every text (doc_id, tid, text).
-
-    ``at`` holds the text's ``tid`` above the chunk's start; the size of a text's last chunk is negative.
-    """
+    """doc_id, tid, at, hi, lo, size: every chunk of every text (doc_id, tid, text); the size of a text's last chunk is negative."""
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "at", "hi", "lo", "size")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "tid", "at", "hi", "lo", "size")}
         for doc_id, tid, text in zip(rows["doc_id"], rows["tid"], rows["text"]):
             for hi, lo, start, end in chunks_of(text):
-                for k, v in zip(out, (doc_id, tid << 32 | start, hi, lo, end - start if end < len(text) else start - end)):
+                for k, v in zip(out, (doc_id, tid, start, hi, lo, end - start if end < len(text) else start - end)):
                     out[k].append(v)
         return out
 
     return map_columns(texts.select("doc_id", "tid", "text"), work, CHUNKS, 128)
 
 
+RUNS = "array<struct<start: int, end: int, chunks: int, later: array<array<int>>, firsts: array<long>, left: struct<hi: long, lo: int>, right: struct<hi: long, lo: int>>>"
+
+
 def _runs(gathered: DataFrame) -> DataFrame:
-    """doc_id, tid, runs from each text's repeated chunks in order: a run's chunks adjoin."""
+    """doc_id, tid, runs from each text's repeated chunks in order: a run's chunks adjoin.
+
+    ``left`` and ``right`` are the digests at its ends, null where the text ends there.
+    """
 
     def work(rows: dict[str, list]) -> dict[str, list]:
         out: list[list[dict]] = []
         for chunks in rows["chunks"]:
             runs: list[dict] = []
             for c in chunks:
-                if not (runs and runs[-1]["end"] == c["start"]):
-                    runs.append({"start": c["start"], "left": (c["other_doc"], c["other_at"]) if c["start"] else None, "later": [], "chunks": 0, "firsts": []})
+                digest, end = {"hi": c["hi"], "lo": c["lo"]}, c["at"] + abs(c["size"])
+                if not (runs and runs[-1]["end"] == c["at"]):
+                    runs.append({"start": c["at"], "left": digest if c["at"] else None, "later": [], "chunks": 0, "firsts": []})
                 run = runs[-1]
-                end = c["start"] + abs(c["size"])
-                run["end"], run["right"] = end, None if c["size"] < 0 else (c["other_doc"], c["other_at"] + c["size"])
+                run["end"], run["right"] = end, None if c["size"] < 0 else digest
                 run["chunks"] += 1
                 if c["later"]:
                     if c["first_doc"] not in run["firsts"]:
                         run["firsts"].append(c["first_doc"])
-                    if run["later"] and run["later"][-1][1] == c["start"]:
+                    if run["later"] and run["later"][-1][1] == c["at"]:
                         run["later"][-1][1:] = [end, run["later"][-1][2] + 1]
                     else:
-                        run["later"].append([c["start"], end, 1])
-            out.append([{**r, "left": dict(zip(("doc", "at"), r["left"])) if r["left"] else None, "right": dict(zip(("doc", "at"), r["right"])) if r["right"] else None} for r in runs])
+                        run["later"].append([c["at"], end, 1])
+            out.append(runs)
         return {"doc_id": rows["doc_id"], "tid": rows["tid"], "runs": out}
 
-    run = "struct<start: int, end: int, chunks: int, later: array<array<int>>, firsts: array<long>, left: struct<doc: long, at: long>, right: struct<doc: long, at: long>>"
-    return map_columns(gathered, work, f"doc_id long, tid long, runs array<{run}>", 256)
+    return map_columns(gathered, work, f"doc_id long, tid long, runs {RUNS}", 256)
 
 
-def _edges(runs: DataFrame, texts: DataFrame) -> DataFrame:
-    """doc_id, tid, edges: for each run (number, side) the characters before or after it at another place that holds it."""
-    one = runs.select("doc_id", "tid", F.posexplode("runs").alias("run", "r"))
-    asked = one.select("doc_id", "tid", "run", F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"r.{side}").alias("p")) for i, side in enumerate(("left", "right"))))).alias("q")).filter("q.p IS NOT NULL")
-    wanted = asked.select(F.col("q.p.doc").alias("their_id"), F.shiftright("q.p.at", 32).alias("their_tid"), F.col("q.p.at").bitwiseAND((1 << 32) - 1).cast("int").alias("pos"), "q.side", "doc_id", "tid", "run")
-    theirs = texts.select(F.col("doc_id").alias("their_id"), F.col("tid").alias("their_tid"), "text")
-    first = F.when(F.col("side") == 0, F.greatest(F.col("pos") - EDGE, F.lit(0))).otherwise(F.col("pos"))
-    beside = F.substring("text", first + 1, F.when(F.col("side") == 0, F.col("pos") - first).otherwise(F.lit(EDGE)))
-    found = wanted.join(theirs, ["their_id", "their_tid"]).select("doc_id", "tid", F.struct("run", "side", beside.alias("beside")).alias("edge"))
-    return found.groupBy("doc_id", "tid").agg(F.collect_set("edge").alias("edges"))  # two for each run of one text
+def word_starts(text: str, start: int, end: int) -> int:
+    """Words of a text that begin within [start, end)."""
+    return len(text[start:end].split()) - (0 < start < end and not text[start].isspace() and not text[start - 1].isspace())
 
 
-def whole_words(text: str, start: int, end: int) -> int:
-    """Words of a text that lie within [start, end)."""
-    words = len(text[start:end].split())
-    if start < end and words:
-        cut_first = start > 0 and not text[start - 1].isspace() and not text[start].isspace()
-        cut_last = end < len(text) and not text[end].isspace() and not text[end - 1].isspace()
-        words -= 1 if words == 1 and (cut_first or cut_last) else cut_first + cut_last
-    return words
+def crosses(text: str, at: int) -> bool:
+    """Whether a word goes on over a place."""
+    return 0 < at < len(text) and not text[at - 1].isspace() and not text[at].isspace()
+
+
+MEASURED = "array<struct<start: int, end: int, chunks: int, words: int, later: array<array<int>>, firsts: array<long>>>"
+EDGES = "array<struct<run: int, side: int, hi: long, lo: int, at: int, inner: string, beside: string>>"
+
+
+def _beside(found: DataFrame) -> DataFrame:
+    """doc_id, tid, runs, edges from each text with its runs and the places asked of it.
+
+    Runs and their later parts get the number of words that begin in them; a later part also whether a word goes on
+    over its end.  An edge is a place's text on one side, away from it, up to one character more than is compared.
+    ``inner`` is the character on the other side, ``run`` the run whose end this is, or -1.
+    """
+
+    def work(rows: dict[str, list]) -> dict[str, list]:
+        all_runs, all_edges = [], []
+        for runs, asked, text in zip(rows["runs"], rows["asked"], rows["text"]):
+            measured, ends = [], {}
+            for i, r in enumerate(runs):
+                later = [[a, b, n, word_starts(text, a, b), int(crosses(text, b))] for a, b, n in r["later"]]
+                measured.append({k: r[k] for k in ("start", "end", "chunks", "firsts")} | {"words": word_starts(text, r["start"], r["end"]), "later": later})
+                ends |= {(0, r["start"]): i, (1, r["end"]): i}
+            edges = []
+            for q in asked:
+                at, side = q["at"], q["side"]
+                beside = text[max(0, at - EDGE - 1) : at][::-1] if side == 0 else text[at : at + EDGE + 1]
+                edges.append({**q, "run": ends.get((side, at), -1), "inner": text[at] if side == 0 else text[at - 1], "beside": beside})
+            all_runs.append(measured), all_edges.append(edges)
+        return {"doc_id": rows["doc_id"], "tid": rows["tid"], "runs": all_runs, "edges": all_edges}
+
+    return map_columns(found.select("doc_id", "tid", "runs", "asked", "text"), work, f"doc_id long, tid long, runs {MEASURED}, edges {EDGES}", 128)
+
+
+def _longest_matches(edges: DataFrame) -> DataFrame:
+    """hi, lo, side, beside, shared, first_shared and the first place of (hi, lo, side): for each text beside a chunk what it shares.
+
+    ``shared``: characters at most that it shares with the text beside another place of the chunk; ``first_shared``:
+    with that of the first place.  Equal texts are one row; of others the longest match is next to it in order.
+    """
+    digest = F.struct("hi", "lo", "side").alias("digest")
+    place = F.struct(*PLACE)
+    beside = cut(edges.groupBy(digest, "beside").agg(F.min(place).alias("lowest"), F.max(place).alias("highest")))
+    order = along("digest", ["beside"])
+    lined = with_halo(beside, "digest", ["beside"], 1, NEIGHBOURS).withColumns({"before": F.lag("beside").over(order), "after": F.lead("beside").over(order)}).filter(OWN).drop(PART, OWN)
+    first = beside.groupBy("digest").agg(F.min_by("beside", "lowest").alias("first_beside"), F.min("lowest").alias("first"))
+    both = lined.join(first, "digest")
+
+    def work(rows: dict[str, list]) -> dict[str, list]:
+        shared, firsts = [], []
+        for text, low, high, before, after, first in zip(*(rows[c] for c in ("beside", "lowest", "highest", "before", "after", "first_beside"))):
+            most = min(len(text), EDGE)
+            shared.append(most if low != high else min(most, max(_shared(text, before or ""), _shared(text, after or ""))))
+            firsts.append(min(most, _shared(text, first)))
+        digests = {k: [d[k] for d in rows["digest"]] for k in ("hi", "lo", "side")}
+        places = {f"first_{k}": [p[k] for p in rows["first"]] for k in PLACE}
+        return digests | places | {"beside": rows["beside"], "shared": shared, "first_shared": firsts}
+
+    return map_columns(both, work, "hi long, lo int, side int, beside string, shared int, first_shared int, first_doc_id long, first_tid long, first_at int")
+
+
+def _extensions(edges: DataFrame) -> DataFrame:
+    """doc_id, tid, ends: for each end of a run the characters by which it is extended, the words that begin in
+    them and whether a word goes on beyond, of the run and of its later part."""
+    own = edges.filter("run >= 0")
+    found = own.join(_longest_matches(edges), ["hi", "lo", "side", "beside"])
+
+    def work(rows: dict[str, list]) -> dict[str, list]:
+        out = []
+        for side, inner, beside, shared, first, itself in zip(*(rows[c] for c in ("side", "inner", "beside", "shared", "first_shared", "itself"))):
+            end = []
+            for n in (shared, 0 if itself else first):
+                text, at = (beside[::-1] + inner, len(beside)) if side == 0 else (inner + beside, 1)
+                a, b = (at - n, at) if side == 0 else (at, at + n)
+                end += [n, word_starts(text, a, b), int(side == 1 and crosses(text, b))]
+            out.append(end)
+        return {k: rows[k] for k in ("doc_id", "tid", "run", "side")} | {"end": out}
+
+    itself = F.struct(*PLACE) == F.struct(*(F.col(f"first_{c}") for c in PLACE))
+    ends = map_columns(found.withColumn("itself", itself), work, "doc_id long, tid long, run int, side int, end array<int>")
+    return ends.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("run", "side", "end")).alias("ends"))  # two for each run of one text
 
 
 def _shared(a: str, b: str) -> int:
@@ -168,54 +238,66 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     doc_id; n_repeated, repeated_chars: chunks and characters of its repeated passages; n_removed,
     removed_chars: those whose first place is elsewhere before it; spans: the passages as start:end
-    (code points), joined by commas; removed: those to cut; first_doc_ids: documents where they stand
-    first.  Passages need ``min_words`` whole words.
+    (code points), joined by commas; removed: those to cut, which reach as far as the first place does; first_doc_ids:
+    documents where they stand first.  Passages need ``min_words`` whole words.
 
     Null and empty texts have no chunks.  A null doc_id sorts first, as the smallest long.  Different texts
     of one doc_id, or of none, are documents of their own, each with a row; repeated rows are one document
     and do not count as a repeat.  The whole text is chunked, however long; further columns are not read; an
-    empty table gives none.  Texts are chunked once, into a table of numbers in the shared folder; a digest
-    that many texts hold, and a text that many ask for, are joined by Spark's skew join, not gathered.
+    empty table gives none.  Texts are chunked once, into a table of numbers in the shared folder, and read once more
+    for what stands beside the ends of runs; a digest that many texts hold is joined by Spark's skew join, and the
+    texts beside it are put in order by ranges: none is gathered.
     """
     spark = docs.sparkSession
-    texts = texts_of(docs).filter("text is not null").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.hash("text").cast("long").alias("tid"), "text")
+    texts = texts_of(docs).filter("text is not null").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("tid"), "text")
     folder = f"{checkpoint_dir(spark)}/chunks-{uuid.uuid4().hex}"
     # version 2 of the format writes places as small differences
     chunk_table(texts).write.option("compression", "zstd").option("parquet.writer.version", "v2").parquet(folder)
-    chunks = spark.read.schema(CHUNKS).parquet(folder)
-    places = chunks.groupBy("hi", "lo").agg(F.min(_place("doc_id", "at")).alias("first"), F.max(_place("doc_id", "at")).alias("last"))
+    chunks, place = spark.read.schema(CHUNKS).parquet(folder), F.struct(*PLACE)
+    places = chunks.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     # cut, so that the join can split a digest that many texts hold
-    shared = cut(places.filter("first < last").select("hi", "lo", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"), F.col("last.doc_id").alias("last_doc"), F.col("last.at").alias("last_at")))
-    later = _place("doc_id", "at") > _place("first_doc", "first_at")
-    start, tid = F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("start"), F.shiftright("at", 32).alias("tid")
-    other = [F.when(later, F.col(f"first_{c}")).otherwise(F.col(f"last_{c}")).alias(f"other_{c}") for c in ("doc", "at")]
-    marked = chunks.join(shared, ["hi", "lo"]).select("doc_id", tid, F.struct(start, "size", later.alias("later"), "first_doc", *other).alias("chunk"))
+    shared = cut(places.filter("first < last").select("hi", "lo", *(F.col(f"first.{c}").alias(f"first_{c}") for c in PLACE)))
+    later = place > F.struct(*(F.col(f"first_{c}") for c in PLACE))
+    marked = chunks.join(shared, ["hi", "lo"]).select("doc_id", "tid", F.struct("at", "size", "hi", "lo", later.alias("later"), F.col("first_doc_id").alias("first_doc")).alias("chunk"))
     gathered = marked.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set("chunk")).alias("chunks"))  # bounded by one text's chunks
     runs = cut(_runs(gathered))
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    edged = runs.join(cut(_edges(runs, texts)), ["doc_id", "tid"], "left")
-    found = map_columns(edged.join(texts, ["doc_id", "tid"]), _passages(min_words), "doc_id long, tid long, n_repeated long, repeated_chars long, n_removed long, removed_chars long, spans string, removed string, first_doc_ids array<long>", 256)
+
+    # the digests at the ends of runs, and all places that hold them
+    one = runs.select(F.explode("runs").alias("r"))
+    ends = cut(one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"r.{side}").alias("d")) for i, side in enumerate(("left", "right"))))).alias("e")).filter("e.d IS NOT NULL").select("e.d.hi", "e.d.lo", "e.side").distinct())
+    beyond = F.when(F.col("side") == 0, F.col("at") > 0).otherwise(F.col("size") > 0)
+    at = F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("at") + F.col("size"))
+    asked = chunks.join(ends, ["hi", "lo"]).filter(beyond).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("side", "hi", "lo", at.alias("at"))).alias("asked"))
+    with_asked = runs.join(asked, ["doc_id", "tid"], "left").select("doc_id", "tid", "runs", F.coalesce("asked", F.array().cast("array<struct<side: int, hi: long, lo: int, at: int>>")).alias("asked"))
+    measured = cut(_beside(with_asked.join(texts, ["doc_id", "tid"])))
+    delete_folder(spark, folder)
+
+    edges = measured.select("doc_id", "tid", F.explode("edges").alias("e")).select("doc_id", "tid", "e.*")
+    extended = measured.select("doc_id", "tid", "runs").join(_extensions(edges), ["doc_id", "tid"], "left")
+    found = map_columns(extended, _passages(min_words), "doc_id long, tid long, n_repeated long, repeated_chars long, n_removed long, removed_chars long, spans string, removed string, first_doc_ids array<long>", 256)
     return found.distinct().drop("tid")  # repeated rows
 
 
 def _passages(min_words: int):
     def work(rows: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("doc_id", "tid", "n_repeated", "repeated_chars", "n_removed", "removed_chars", "spans", "removed", "first_doc_ids")}
-        for doc_id, tid, runs, edges, text in zip(rows["doc_id"], rows["tid"], rows["runs"], rows["edges"], rows["text"]):
-            beside = {(e["run"], e["side"]): e["beside"] for e in edges or []}
+        none = [0] * 6
+        for doc_id, tid, runs, ends in zip(rows["doc_id"], rows["tid"], rows["runs"], rows["ends"]):
+            by_end = {(e["run"], e["side"]): e["end"] for e in ends or []}
             spans, gone, chunks, gone_chunks, firsts = [], [], 0, 0, set()
             for i, r in enumerate(runs):
-                a = r["start"] - _shared(text[max(0, r["start"] - EDGE) : r["start"]][::-1], beside.get((i, 0), "")[::-1])
-                b = r["end"] + _shared(text[r["end"] : r["end"] + EDGE], beside.get((i, 1), ""))
-                if whole_words(text, a, b) < min_words:
+                (left, left_words, _, first_left, first_left_words, _), (right, right_words, over, first_right, first_right_words, first_over) = (by_end.get((i, side), none) for side in (0, 1))
+                if max(0, r["words"] + left_words + right_words - over) < min_words:
                     continue
-                spans.append((a, b))
+                spans.append((r["start"] - left, r["end"] + right))
                 chunks += r["chunks"]
                 firsts |= set(r["firsts"])
-                for start, end, n in r["later"]:
-                    start, end = a if start == r["start"] else start, b if end == r["end"] else end
-                    if whole_words(text, start, end) >= min_words:
+                for start, end, n, words, crossed in r["later"]:
+                    if start == r["start"]:
+                        start, words = start - first_left, words + first_left_words
+                    if end == r["end"]:
+                        end, words, crossed = end + first_right, words + first_right_words, first_over
+                    if max(0, words - crossed) >= min_words:
                         gone.append((start, end))
                         gone_chunks += n
             if spans:

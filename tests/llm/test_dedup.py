@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from rillflow.llm import graph, neardup, substrings
 
@@ -219,22 +220,39 @@ def naive_chunks(text):
 
 
 def naive_repeats(rows, min_words):
-    """Every column of the result from chunks as plain texts, their places in lists, and loops over characters."""
+    """Every column of the result from chunks as plain texts, all places in lists, and loops over characters."""
     low = -(1 << 63)
     texts = {(low if i is None else i, substrings_tid(t), t) for i, t, *_ in rows if t}
+    by_key = {k[:2]: k[2] for k in texts}
     places: dict[str, list] = {}
     for key in texts:
         for a, b in naive_chunks(key[2]):
             places.setdefault(key[2][a:b], []).append((*key[:2], a))
-    by_key = {k[:2]: k[2] for k in texts}
+
+    def alike(side, text, at, their, pos):
+        k = 0
+        if side == 0:
+            while k < substrings.EDGE and at - k > 0 and pos - k > 0 and text[at - k - 1] == their[pos - k - 1]:
+                k += 1
+        else:
+            while k < substrings.EDGE and at + k < len(text) and pos + k < len(their) and text[at + k] == their[pos + k]:
+                k += 1
+        return k
+
+    def reach(side, own, text, a, b):
+        """(what the chunk's side shares with any other place, what with the first place that has text there)"""
+        at, shift = (a, 0) if side == 0 else (b, b - a)
+        beside = sorted(p for p in places[text[a:b]] if (p[2] > 0 if side == 0 else p[2] + shift < len(by_key[p[:2]])))
+        found = [(p, alike(side, text, at, by_key[p[:2]], p[2] + shift)) for p in beside if p != own]
+        return max((k for _, k in found), default=0), next((k for p, k in found if p == beside[0]), 0)
+
     out = []
     for doc_id, tid, text in texts:
         runs = []
         for a, b in naive_chunks(text):
             held = sorted(places[text[a:b]])
             if len(held) > 1:
-                own = (doc_id, tid, a)
-                chunk = (a, b, own != held[0], held[0], held[0] if own != held[0] else held[-1])
+                chunk = (a, b, (doc_id, tid, a) != held[0], held[0])
                 if runs and runs[-1][-1][1] == a:
                     runs[-1].append(chunk)
                 else:
@@ -243,24 +261,17 @@ def naive_repeats(rows, min_words):
         words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
         inside = lambda a, b: sum(a <= x and y <= b for x, y in words)
         for run in runs:
-            a, other = run[0][0], run[0][4]
-            their = by_key[other[:2]]
-            k = 0
-            while k < substrings.EDGE and a - k > 0 and other[2] - k > 0 and text[a - k - 1] == their[other[2] - k - 1]:
-                k += 1
-            left, b, other = a - k, run[-1][1], run[-1][4]
-            their, at, k = by_key[other[:2]], other[2] + run[-1][1] - run[-1][0], 0
-            while k < substrings.EDGE and b + k < len(text) and at + k < len(their) and text[b + k] == their[at + k]:
-                k += 1
-            right = b + k
-            if inside(left, right) < min_words:
+            a, b = run[0][0], run[-1][1]
+            before, first_before = reach(0, (doc_id, tid, a), text, *run[0][:2])
+            after, first_after = reach(1, (doc_id, tid, run[-1][0]), text, *run[-1][:2])
+            if inside(a - before, b + after) < min_words:
                 continue
-            spans |= set(range(left, right))
+            spans |= set(range(a - before, b + after))
             n += len(run)
             firsts |= {c[3][0] for c in run if c[2]}
             for later, part in itertools.groupby(run, key=lambda c: c[2]):
                 part = list(part)
-                x, y = left if part[0][0] == a else part[0][0], right if part[-1][1] == b else part[-1][1]
+                x, y = a - first_before if part[0][0] == a else part[0][0], b + first_after if part[-1][1] == b else part[-1][1]
                 if later and inside(x, y) >= min_words:
                     gone |= set(range(x, y))
                     n_gone += len(part)
@@ -278,15 +289,19 @@ def substrings_tid(text):
 TIDS: dict[str, int] = {}
 
 
-def test_repeats_match_brute_force(spark, make_docs, odd_rows):
+@pytest.mark.parametrize("neighbours", [None, 4])
+def test_repeats_match_brute_force(spark, make_docs, odd_rows, monkeypatch, neighbours):
     from pyspark.sql import functions as F
 
     shared = [prose(900 + k, 60) for k in range(4)]
     rows = odd_rows + [(i, prose(i % 3, 90)) for i in range(20, 26)]
     rows += [(30 + i, f"{prose(i + 60, 30)} {shared[i % 4]}é {shared[(i * 3) % 4][:200]}\n{prose(i + 90, 30)}") for i in range(16)]
     rows += [(50, shared[0] + " tail " + prose(200, 50)), (50, "head " + prose(201, 50) + shared[0]), (None, shared[1] + " x"), (None, "y " + shared[1])]
+    rows += [(60 + i, f"{prose(i + 300, 20)} {' '.join(shared[2].split()[: 50 - 4 * (i % 4)])} {prose(i + 320, 20)}") for i in range(9)]
     docs = make_docs(rows)
-    TIDS.update({r["text"]: r["tid"] for r in docs.filter("text IS NOT NULL").select("text", F.hash("text").alias("tid")).collect()})
+    TIDS.update({r["text"]: r["tid"] for r in docs.filter("text IS NOT NULL").select("text", F.xxhash64("text").alias("tid")).collect()})
+    if neighbours:
+        monkeypatch.setattr(substrings, "NEIGHBOURS", neighbours)
     for least in (substrings.MIN_WORDS, 12):
         found = sorted((*tuple(r)[:-1], tuple(r["first_doc_ids"])) for r in substrings.repeats(docs, least).collect())
         assert found == naive_repeats(rows, least)
@@ -312,3 +327,21 @@ def test_keep_one_keeps_columns_of_any_name(spark):
     kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id LONG, text STRING, __id LONG, __LEADER STRING"))
     assert kept.columns == ["doc_id", "text", "__id", "__LEADER"]
     assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2], rows[3]]
+
+
+@pytest.mark.parametrize("own, shared", [(42, 38), (44, 30)])
+def test_passages_reach_as_far_as_any_other_place(make_docs, own, shared):
+    """Two documents share a passage of which a third shares the beginning (or the end): all of it is found."""
+    rows, passages = [], {}
+    for k in range(150):
+        passage, ends = prose(50_000 + k, own, "p").split(), [prose(60_000 + 10 * k + j, 25, "q") for j in range(6)]
+        part = passage[:shared] if k % 2 else passage[-shared:]
+        for j, words in enumerate((passage, passage, part)):
+            rows.append((3 * k + (j + k) % 3, f"{ends[j]} {' '.join(words)} {ends[j + 3]}"))
+            passages.setdefault(" ".join(passage), []).append(3 * k + (j + k) % 3) if j < 2 else None
+    texts = dict(rows)
+    found = {r["doc_id"]: r["spans"] for r in substrings.repeats(make_docs(rows)).collect()}
+    for passage, ids in passages.items():
+        for i in ids:
+            at = texts[i].index(passage)
+            assert any(a <= at and at + len(passage) <= b for a, b in (map(int, s.split(":")) for s in found.get(i, "").split(",") if s)), (i, found.get(i))
