@@ -13,7 +13,7 @@ from .functions.records import output_record
 from .functions.smoothing import low_pass, savgol, savgol_weights
 from .functions.smoothing import savgol_mirrored as mirrored
 from .operators import aggregates, combine, exchange, filters, joins, maps
-from .plans import iterate, jobs, metrics, recovery
+from .plans import iterate, jobs, metrics, reach, recovery
 from .sources import tables
 from .sources.files import adjacency_from_edges
 
@@ -299,7 +299,27 @@ def epoch_collect(spark, d):
 
 @query(f"WITH RECURSIVE {EDGES}, reach AS (SELECT from_id, to_id FROM edge UNION SELECT reach.from_id, edge.to_id FROM reach JOIN edge ON reach.to_id = edge.from_id) SELECT from_id, to_id FROM reach")
 def reachability(spark, d):
-    return iterate.reachable(tables.edges(spark, d))
+    """All pairs, from the classes and their closure: as many rows as pairs, so for small graphs."""
+    edges = tables.edges(spark, d)
+    classes = reach.components(edges)
+    return reach.expanded(classes, reach.closure(edges, classes))
+
+
+REACH = f"{EDGES}, reach AS (SELECT from_id, to_id FROM edge UNION SELECT reach.from_id, edge.to_id FROM reach JOIN edge ON reach.to_id = edge.from_id), vertex AS (SELECT from_id AS vertex FROM edge UNION SELECT to_id FROM edge), class AS (SELECT vertex, least(vertex, coalesce(min(b.from_id), vertex)) AS component FROM vertex LEFT JOIN reach a ON a.from_id = vertex LEFT JOIN reach b ON b.from_id = a.to_id AND b.to_id = vertex GROUP BY vertex)"
+
+
+@query(f"WITH RECURSIVE {REACH} SELECT vertex, component FROM class")
+def reachability_classes(spark, d):
+    """The class of each vertex: vertices of one class reach each other."""
+    return reach.components(tables.edges(spark, d))
+
+
+@query(f"WITH RECURSIVE {REACH} SELECT f.component, count(DISTINCT t.component)::BIGINT AS reaches FROM reach JOIN class f ON f.vertex = from_id JOIN class t ON t.vertex = to_id GROUP BY f.component")
+def reachability_closure(spark, d):
+    """How many classes each class reaches, counted in the closure's bits."""
+    edges = tables.edges(spark, d)
+    closed = reach.closure(edges, reach.components(edges))
+    return closed.groupBy("component").agg(F.sum(F.bit_count("bits")).cast("long").alias("reaches"))
 
 
 @query(f"WITH {EDGES} SELECT from_id AS page_id, to_id FROM edge")
