@@ -12,6 +12,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -230,3 +231,55 @@ class LongestGap(Combinable):
             size, start = max(gaps)
             return [(pd.Timestamp(-start).to_pydatetime(), size / 1e9)]
         return []
+
+
+class Quantiles(Combinable):
+    """Approximate percentiles, as a sketch whose parts merge: percent, value.
+
+    A sketch has levels of at most ``size`` values; a value of level h stands for 2**h of them.  A level that is full is
+    put in order and every other value goes one level up, from the first or the second by turns.  Halving a level moves a
+    rank by at most half the weight that it passes on, and the turns cancel out: with ``size`` 1024 ranks are off by
+    under 0.5 % of the rows, whatever the values, as tested; up to ``size`` values are exact.  A state holds ``size``
+    values for each doubling of the rows.  Rows without a value do not count.
+    """
+
+    def __init__(self, value: str, percents: tuple[float, ...] = (50, 90, 95, 99), size: int = 1024):
+        self.columns, self.percents, self.size = [value], percents, size
+        self.result = "percent DOUBLE, value DOUBLE"
+
+    def zero(self):
+        return [], 0
+
+    def _settled(self, levels: list[np.ndarray], turn: int):
+        at = 0
+        while at < len(levels):
+            held = levels[at]
+            if len(held) > self.size:
+                held = np.sort(held)
+                last = held[len(held) & ~1 :]  # of an odd number one stays
+                if at + 1 == len(levels):
+                    levels.append(np.empty(0))
+                levels[at + 1] = np.concatenate([levels[at + 1], held[turn : len(held) & ~1 : 2]])
+                levels[at], turn = last, 1 - turn
+            at += 1
+        return levels, turn
+
+    def add(self, state, rows):
+        return self.merge(state, ([rows[self.columns[0]].dropna().to_numpy(np.float64)], 0))
+
+    def merge(self, a, b):
+        (one, turn), (two, other) = a, b
+        none = np.empty(0)
+        longest = max(len(one), len(two))
+        pad = lambda levels: [*levels, *[none] * (longest - len(levels))]
+        return self._settled([np.concatenate(pair) for pair in zip(pad(one), pad(two))], turn ^ other)
+
+    def finish(self, state):
+        values = np.concatenate([*state[0], np.empty(0)])
+        if not len(values):
+            return []
+        weights = np.repeat(2.0 ** np.arange(len(state[0])), [len(level) for level in state[0]])
+        order = np.argsort(values, kind="stable")
+        until = np.cumsum(weights[order])
+        places = np.searchsorted(until, np.array(self.percents) / 100 * until[-1], side="left")
+        return [(float(p), float(values[order[min(at, len(values) - 1)]])) for p, at in zip(self.percents, places)]

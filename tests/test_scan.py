@@ -205,3 +205,24 @@ def test_residual_ranks_are_page_rank(spark):
     exact = {x["page_id"]: x["rank"] for x in iterate.page_rank(edges, 50).collect()}
     assert max(abs(loose[p] - exact[p]) for p in exact) < 1e-2
     assert iterate.page_rank_by_residual(edges.limit(0), 3).collect() == []
+
+
+@pytest.mark.parametrize("name", ["outlier", "pareto", "sorted", "equal", "few"])
+def test_quantile_sketch_keeps_its_rank_error(spark, name):
+    """Parts of any sizes, merged in any order, whatever the values."""
+    r = np.random.default_rng(5)
+    values = {"outlier": np.append(r.normal(size=60_000), 1e300), "pareto": r.pareto(0.2, 80_000), "sorted": np.arange(100_000.0), "equal": np.full(5000, 2.0), "few": r.normal(size=700)}[name]
+    sketch = combine.Quantiles("v", tuple(range(1, 100)))
+    states = [sketch.add(sketch.zero(), pd.DataFrame({"v": part})) for part in np.array_split(values, 37)]
+    while len(states) > 1:
+        a, b = (states.pop(r.integers(len(states))) for _ in range(2))
+        states.append(sketch.merge(a, b))
+    ordered = np.sort(values)
+    for percent, value in sketch.finish(states[0]):
+        low, high = np.searchsorted(ordered, value, "left") / len(values), np.searchsorted(ordered, value, "right") / len(values)
+        off = max(low - percent / 100, percent / 100 - high, 0)
+        assert off < (0.005 if len(values) > sketch.size else 1.5 / len(values)), (percent, off)
+    assert sum(map(len, states[0][0])) <= sketch.size * max(1, np.log2(len(values) / sketch.size) + 2)
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "v": values[:20_000]})).repartition(5)
+    found = combine.combined(df, ["k"], combine.Quantiles("v", (50, 99))).collect()
+    assert [x["percent"] for x in found] == [50, 99]
