@@ -20,9 +20,10 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import send_package
@@ -34,6 +35,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}", re.A)
 HEX = re.compile(r"[0-9a-f]{32,}", re.A)
 #: A credential word, a link word or sign, and a value up to white space, quotes or brackets.
 CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|credentials?|login)["'`]?\x20*(?:[:=]>?|->|\x20(?:is|was)\x20)\x20*["'`]?([^\s"'`<>(){}\[\],;]{6,})""", re.I | re.A)
+#: What a credential context begins with, in lower case: texts without any have none.
+CREDENTIALS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "login")
 LONGEST = 32
 MIN_COST = 8.0
 #: A word of the corpus is in the dictionary if it is at least this share of all words: 50,000 words at most.
@@ -85,7 +88,8 @@ def corpus_words(docs: DataFrame, least_share: float = WORD_SHARE, least_groups:
     """
     texts = texts_of(docs).filter("text is not null")
     group = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("text"), F.lit(64)).cast("int"))
-    outside = F.lower(F.regexp_replace("text", f"(?i){CONTEXT.pattern}", " "))
+    held = reduce(Column.__or__, (F.contains(F.lower("text"), F.lit(c)) for c in CREDENTIALS))
+    outside = F.lower(F.when(held, F.regexp_replace("text", f"(?i){CONTEXT.pattern}", " ")).otherwise(F.col("text")))
     words = texts.select(group.alias("grp"), F.explode(F.split(outside, r"[^\p{L}]+")).alias("word"))
     counts = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.bit_or("grp").alias("groups")))
     total = counts.agg(F.sum("n")).first()[0] or 0
