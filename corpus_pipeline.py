@@ -6,10 +6,12 @@ of the token ids.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.llm import mixing, neardup, pieces, secrets, toxicity
-from rillflow.llm.common import checkpoint_dir, table
+from rillflow.llm.common import checkpoint_dir, cut, delete_folder, table
 from rillflow.llm.registry import MIXTURE, piece_model, word_vocabulary
 
 
@@ -48,7 +50,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids of whole texts and of what they decode to, one row for each row."""
+    """Token counts and digests of the ids of whole texts and of what they decode to, one row for each row.
+
+    A null text counts as empty; texts are encoded whole, however long; further columns go.  An empty table gives none.
+    """
     return pieces.round_trip_digests(docs, piece_model())
 
 
@@ -59,12 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written as Parquet and read again."""
-    import uuid
-
+    """All stages over documents; each result but the last is written as Parquet and read again, and deleted at the end."""
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    result = cut(STAGES[-1][1](spark, docs, sf_dir))
+    delete_folder(spark, folder)
+    return result

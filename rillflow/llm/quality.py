@@ -25,7 +25,7 @@ SHRINKAGE, FLOOR = 0.15, 1e-4
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 ENDS = re.compile(r"[.!?]")
 LETTER_CASE = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-FEATURES = ("length", "word_length", "symbols", "capitals", "repeats", "variety", "exclaims", "digits", "dup_lines", "ends", "bare_marks")
+FEATURES = ("length", "word_length", "symbols", "capitals", "repeats", "variety", "exclaims", "digits", "dup_lines", "ends")
 
 
 def statistics(text: str) -> list[float]:
@@ -46,7 +46,6 @@ def statistics(text: str) -> list[float]:
         root(sum(map(text.count, "0123456789")), chars),
         root(len(lines) - len(set(lines)), len(lines)),
         root(len(ENDS.findall(text)), n + 1),
-        root(words.count("|"), n),
     ]
 
 

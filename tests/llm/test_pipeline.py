@@ -28,4 +28,4 @@ def test_stages_on_odd_rows(make_docs, odd_rows, spark, small):
 
 
 def test_every_operator_is_registered():
-    assert [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 14))
