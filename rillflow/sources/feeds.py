@@ -5,6 +5,7 @@
 * ``kind``: ``cycle`` (sentences in turn), ``sentences`` (random, one to three words), ``path`` and ``edges`` (a
   path's and random edges), ``people``, ``auctions`` and ``bids``;
 * ``count``: rows in all; for the auction kinds rounds, which give 50 + count / 10 people, 50 + count auctions and 10 count bids;
+* ``combined``: rows that follow those of ``cycle``, each with all its sentences in one;
 * ``seed``, ``vertices`` (of ``edges``), ``partitions`` (of a batch);
 * ``rate`` and ``since``: rows a second from a time on, in seconds of the epoch; without them all rows are there at once.
 
@@ -55,7 +56,7 @@ def rows(kind: str, n: np.ndarray, count: int, seed: int, vertices: int) -> list
     """The columns of the rows with the given numbers."""
     draw = lambda k, below: drawn(n, seed * 100 + k, below)
     if kind == "cycle":
-        return [n, np.array(CYCLE, object)[n % len(CYCLE)]]
+        return [n, np.where(n < count, np.array(CYCLE, object)[n % len(CYCLE)], " ".join(CYCLE))]
     if kind == "sentences":
         words = np.array(WORDS, object)[np.stack([draw(k, len(WORDS)) for k in range(3)])]
         return [n, np.array([" ".join(w[:size]) for w, size in zip(words.T, draw(3, 3) + 1)], object)]
@@ -86,6 +87,7 @@ class _Reader:
             raise ValueError(f"kind must be one of {', '.join(SCHEMAS)}")
         self.count, self.seed = int(options.get("count", 200_000)), int(options.get("seed", 1))
         self.vertices, self.parts = int(options.get("vertices", 1000)), int(options.get("partitions", 4))
+        self.combined = int(options.get("combined", 0)) if self.kind == "cycle" else 0
         self.rate, self.since = float(options.get("rate", 0)), float(options.get("since", 0))
         if self.count < 0 or self.parts < 1 or self.vertices < 3:
             raise ValueError("count must not be negative, partitions at least 1, vertices at least 3")
@@ -94,7 +96,7 @@ class _Reader:
 
     def there(self) -> int:
         """Rows that are there by now."""
-        whole = total(self.kind, self.count)
+        whole = total(self.kind, self.count) + self.combined
         return min(whole, int(max(0.0, time.time() - self.since) * self.rate)) if self.rate else whole
 
     def split(self, first: int, last: int) -> list[_Part]:

@@ -24,6 +24,7 @@ def test_rows_follow_from_their_numbers(feed, kind, count, expected):
 
 def test_rows_are_of_their_kind(feed):
     assert [r["sentence"] for r in feed(kind="cycle", count=5).orderBy("id").collect()] == ["A", "A B", "A B C", "A B C D", "A"]
+    assert [r["sentence"] for r in feed(kind="cycle", count=2, combined=2, partitions=3).orderBy("id").collect()] == ["A", "A B", "A A B A B C A B C D", "A A B A B C A B C D"]
     assert all(1 <= len(r["sentence"].split()) <= 3 for r in feed(kind="sentences", count=200).collect())
     edges = feed(kind="edges", count=500, vertices=9).collect()
     assert all(r["from_id"] != r["to_id"] and 1 <= min(r["from_id"], r["to_id"]) and max(r["from_id"], r["to_id"]) < 9 for r in edges)
