@@ -32,6 +32,8 @@ MIN_WORDS, EDGE = 40, 512
 #: Different texts beside one chunk that a task puts in order.
 NEIGHBOURS = 1 << 16
 NULL_ID = -(1 << 63)
+#: doc_ids with several texts that are broadcast at most.
+LISTED = 100_000
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=77) for b in range(256)], dtype=np.uint32)
 
 
@@ -233,6 +235,14 @@ def _shared(a: str, b: str) -> int:
     return next((i for i in range(most) if a[i] != b[i]), most)
 
 
+def told_apart(texts: DataFrame) -> DataFrame:
+    """doc_id, tid, text: ``tid`` is a hash of the text where different texts share their doc_id, else 0, which costs nothing on its way."""
+    hashed = texts.select("doc_id", F.xxhash64("text").alias("tid")).groupBy("doc_id").agg(F.min("tid").alias("low"), F.max("tid").alias("high"))
+    several = cut(hashed.filter("low <> high").select("doc_id", F.lit(True).alias("several")))
+    listed = F.broadcast(several) if several.count() <= LISTED else several
+    return texts.join(listed, "doc_id", "left").select("doc_id", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("tid"), "text")
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each document with a repeated passage.
 
@@ -249,7 +259,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     texts beside it are put in order by ranges: none is gathered.
     """
     spark = docs.sparkSession
-    texts = texts_of(docs).filter("text is not null").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("tid"), "text")
+    texts = told_apart(texts_of(docs).filter("text is not null").withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))))
     folder = f"{checkpoint_dir(spark)}/chunks-{uuid.uuid4().hex}"
     # version 2 of the format writes places as small differences
     chunk_table(texts).write.option("compression", "zstd").option("parquet.writer.version", "v2").parquet(folder)
@@ -258,8 +268,10 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # cut, so that the join can split a digest that many texts hold
     shared = cut(places.filter("first < last").select("hi", "lo", *(F.col(f"first.{c}").alias(f"first_{c}") for c in PLACE)))
     later = place > F.struct(*(F.col(f"first_{c}") for c in PLACE))
-    marked = chunks.join(shared, ["hi", "lo"]).select("doc_id", "tid", F.struct("at", "size", "hi", "lo", later.alias("later"), F.col("first_doc_id").alias("first_doc")).alias("chunk"))
-    gathered = marked.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set("chunk")).alias("chunks"))  # bounded by one text's chunks
+    marked = cut(chunks.join(shared, ["hi", "lo"]).select("doc_id", "tid", "at", "size", "hi", "lo", later.alias("later"), F.col("first_doc_id").alias("first_doc")))
+    delete_folder(spark, folder)
+    chunk = F.struct("at", "size", "hi", "lo", "later", "first_doc")
+    gathered = marked.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set(chunk)).alias("chunks"))  # bounded by one text's chunks
     runs = cut(_runs(gathered))
 
     # the digests at the ends of runs, and all places that hold them
@@ -267,10 +279,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ends = cut(one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"r.{side}").alias("d")) for i, side in enumerate(("left", "right"))))).alias("e")).filter("e.d IS NOT NULL").select("e.d.hi", "e.d.lo", "e.side").distinct())
     beyond = F.when(F.col("side") == 0, F.col("at") > 0).otherwise(F.col("size") > 0)
     at = F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("at") + F.col("size"))
-    asked = chunks.join(ends, ["hi", "lo"]).filter(beyond).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("side", "hi", "lo", at.alias("at"))).alias("asked"))
+    asked = marked.join(ends, ["hi", "lo"]).filter(beyond).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("side", "hi", "lo", at.alias("at"))).alias("asked"))
     with_asked = runs.join(asked, ["doc_id", "tid"], "left").select("doc_id", "tid", "runs", F.coalesce("asked", F.array().cast("array<struct<side: int, hi: long, lo: int, at: int>>")).alias("asked"))
     measured = cut(_beside(with_asked.join(texts, ["doc_id", "tid"])))
-    delete_folder(spark, folder)
 
     edges = measured.select("doc_id", "tid", F.explode("edges").alias("e")).select("doc_id", "tid", "e.*")
     extended = measured.select("doc_id", "tid", "runs").join(_extensions(edges), ["doc_id", "tid"], "left")
