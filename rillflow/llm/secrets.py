@@ -90,7 +90,8 @@ def corpus_words(docs: DataFrame, least_share: float = WORD_SHARE, least_groups:
     group = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("text"), F.lit(64)).cast("int"))
     held = reduce(Column.__or__, (F.contains(F.lower("text"), F.lit(c)) for c in CREDENTIALS))
     outside = F.lower(F.when(held, F.regexp_replace("text", f"(?i){CONTEXT.pattern}", " ")).otherwise(F.col("text")))
-    words = texts.select(group.alias("grp"), F.explode(F.split(outside, r"[^\p{L}]+")).alias("word"))
+    split = texts.select(group.alias("grp"), F.split(outside, r"[^\p{L}]+").alias("words"))  # once a text, not once a word
+    words = split.select("grp", F.explode_outer("words").alias("word"))  # else Spark splits a second time to leave out empty arrays
     counts = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.bit_or("grp").alias("groups")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     sized = (F.length("word") >= 3) & (F.length("word") <= LONGEST)
