@@ -159,6 +159,30 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a LONG, b LONG")).collect() == []
 
 
+@pytest.mark.parametrize("edges_a_slice", (3, 16, graph.SLICE))
+def test_components_in_slices(spark, monkeypatch, edges_a_slice):
+    monkeypatch.setattr(graph, "SLICE", edges_a_slice)
+    r = np.random.default_rng(3)
+    pairs = [(int(a) - 60, int(b) - 60) for a, b in r.integers(0, 120, (70, 2))] + [(500 - i, 499 - i) for i in range(30)] + [(900, i) for i in range(880, 900)]
+    nodes = {x for a, b in pairs if a != b for x in (a, b)}
+    found = graph.components(spark.createDataFrame(pairs, "a LONG, b LONG").repartition(7)).collect()
+    assert {r["node"]: r["component"] for r in found} == union(pairs, nodes)
+    assert len(found) == len(nodes)
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a LONG, b LONG").repartition(50)
+    context = spark.sparkContext
+    context.setJobGroup("few-edges", "")
+    try:
+        assert {r["component"] for r in graph.components(edges).collect()} == {0}
+        tracker = context.statusTracker()
+        stages = {s for job in tracker.getJobIdsForGroup("few-edges") for s in tracker.getJobInfo(job).stageIds}
+        assert sum(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) < 200
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_chunks_cover_the_text_and_resist_shifts():
     text = prose(1, 3000) + " é😀" * 200
     chunks = substrings.chunks_of(text)
