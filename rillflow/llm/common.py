@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,18 +41,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder; the shuffle files that led to it go."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
+@contextmanager
+def _cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of frames that are made and executed within go when they are done."""
     before = spark.conf.get(CLEAN_SHUFFLES, "false")
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
-        return df.select("*").checkpoint(eager=True)  # a frame takes the setting up when it is made
+        yield
     finally:
         spark.conf.set(CLEAN_SHUFFLES, before)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder; the shuffle files that led to it go."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    with _cleaned_shuffles(spark):
+        return df.select("*").checkpoint(eager=True)  # a frame takes the setting up when it is made
+
+
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """Cut the lineage with a compressed table, which the caller deletes; the shuffle files that led to it go."""
+    with _cleaned_shuffles(df.sparkSession):
+        df.select("*").write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scan import OWN, PART, along, with_halo
-from .common import checkpoint_dir, cut, delete_folder, map_columns, texts_of
+from .common import checkpoint_dir, cut, delete_folder, map_columns, stored, texts_of
 
 #: One byte in 2**MASK_BITS qualifies for a cut; a chunk has at least and at most so many bytes (about 40 on average).
 MASK_BITS, MIN_BYTES, MAX_BYTES = 4, 16, 96
@@ -180,52 +180,57 @@ def _beside(found: DataFrame) -> DataFrame:
     return map_columns(found.select("doc_id", "tid", "runs", "asked", "text"), work, f"doc_id long, tid long, runs {MEASURED}, edges {EDGES}", 128)
 
 
-def _longest_matches(edges: DataFrame) -> DataFrame:
-    """hi, lo, side, beside, shared, first_shared and the first place of (hi, lo, side): for each text beside a chunk what it shares.
+def _longest_matches(edges: DataFrame, folder: str) -> DataFrame:
+    """hi, lo, side, key (of ``beside``), end, alone and the first place of (hi, lo, side): for each text beside a chunk what it shares.
 
-    ``shared``: characters at most that it shares with the text beside another place of the chunk; ``first_shared``:
-    with that of the first place.  Equal texts are one row; of others the longest match is next to it in order.
+    ``end``: characters at most that it shares with the text beside another place of the chunk, the words that begin in
+    them and whether a word goes on beyond, and the same for what it shares with the text beside the first place;
+    ``alone``: the same for no characters.  Equal texts are one row; of others the longest match is next to it in order.
+    A key's texts move once to be put in order, and what leaves is numbers.
     """
     digest = F.struct("hi", "lo", "side").alias("digest")
     place = F.struct(*PLACE)
-    beside = cut(edges.groupBy(digest, "beside").agg(F.min(place).alias("lowest"), F.max(place).alias("highest")))
-    order = along("digest", ["beside"])
-    lined = with_halo(beside, "digest", ["beside"], 1, NEIGHBOURS).withColumns({"before": F.lag("beside").over(order), "after": F.lead("beside").over(order)}).filter(OWN).drop(PART, OWN)
-    first = beside.groupBy("digest").agg(F.min_by("beside", "lowest").alias("first_beside"), F.min("lowest").alias("first"))
-    both = lined.join(first, "digest")
+    # ``inner`` is the same at all places of a chunk
+    beside = stored(edges.groupBy(digest, "beside").agg(F.min(place).alias("lowest"), F.max(place).alias("highest"), F.min("inner").alias("inner")), folder)
+    order, by_place = along("digest", ["beside"]), along("digest", ["lowest"])
+    neighbours = {"before": F.lag("beside").over(order), "after": F.lead("beside").over(order)}
+    lined = with_halo(beside, "digest", ["beside"], 1, NEIGHBOURS)
+    whole = lined.filter(F.col(PART) == 0).withColumns(neighbours | {"first_beside": F.first("beside").over(by_place), "first": F.first("lowest").over(by_place)})
+    ranges = lined.filter(F.col(PART) > 0)
+    firsts = ranges.groupBy("digest").agg(F.min_by("beside", "lowest").alias("first_beside"), F.min("lowest").alias("first"))
+    both = whole.unionByName(ranges.withColumns(neighbours).filter(OWN).join(firsts, "digest")).drop(PART, OWN)
 
     def work(rows: dict[str, list]) -> dict[str, list]:
-        shared, firsts = [], []
-        for text, low, high, before, after, first in zip(*(rows[c] for c in ("beside", "lowest", "highest", "before", "after", "first_beside"))):
+        ends, alone = [], []
+        for digest, inner, text, low, high, before, after, first in zip(*(rows[c] for c in ("digest", "inner", "beside", "lowest", "highest", "before", "after", "first_beside"))):
             most = min(len(text), EDGE)
-            shared.append(most if low != high else min(most, max(_shared(text, before or ""), _shared(text, after or ""))))
-            firsts.append(min(most, _shared(text, first)))
+            shared = most if low != high else min(most, max(_shared(text, before or ""), _shared(text, after or "")))
+            end, side = [], digest["side"]
+            along_run, at = (text[::-1] + inner, len(text)) if side == 0 else (inner + text, 1)
+            for n in (shared, min(most, _shared(text, first)), 0):
+                a, b = (at - n, at) if side == 0 else (at, at + n)
+                end += [n, word_starts(along_run, a, b), int(side == 1 and crosses(along_run, b))]
+            ends.append(end[:6]), alone.append(end[6:])
         digests = {k: [d[k] for d in rows["digest"]] for k in ("hi", "lo", "side")}
         places = {f"first_{k}": [p[k] for p in rows["first"]] for k in PLACE}
-        return digests | places | {"beside": rows["beside"], "shared": shared, "first_shared": firsts}
+        return digests | places | {"key": rows["key"], "end": ends, "alone": alone}
 
-    return map_columns(both, work, "hi long, lo int, side int, beside string, shared int, first_shared int, first_doc_id long, first_tid long, first_at int")
+    keyed = both.withColumn("key", _key("beside"))
+    return map_columns(keyed, work, "hi long, lo int, side int, key binary, end array<int>, alone array<int>, first_doc_id long, first_tid long, first_at int")
 
 
-def _extensions(edges: DataFrame) -> DataFrame:
-    """doc_id, tid, ends: for each end of a run the characters by which it is extended, the words that begin in
-    them and whether a word goes on beyond, of the run and of its later part."""
-    own = edges.filter("run >= 0")
-    found = own.join(_longest_matches(edges), ["hi", "lo", "side", "beside"])
+def _key(text: str):
+    return F.unhex(F.md5(text))
 
-    def work(rows: dict[str, list]) -> dict[str, list]:
-        out = []
-        for side, inner, beside, shared, first, itself in zip(*(rows[c] for c in ("side", "inner", "beside", "shared", "first_shared", "itself"))):
-            end = []
-            for n in (shared, 0 if itself else first):
-                text, at = (beside[::-1] + inner, len(beside)) if side == 0 else (inner + beside, 1)
-                a, b = (at - n, at) if side == 0 else (at, at + n)
-                end += [n, word_starts(text, a, b), int(side == 1 and crosses(text, b))]
-            out.append(end)
-        return {k: rows[k] for k in ("doc_id", "tid", "run", "side")} | {"end": out}
 
+def _extensions(edges: DataFrame, folder: str) -> DataFrame:
+    """doc_id, tid, ends: for each end of a run the characters by which it is extended, the words that begin in
+    them and whether a word goes on beyond, of the run and of its later part."""
+    matches = _longest_matches(edges, folder)
+    own = edges.filter("run >= 0").select("doc_id", "tid", "at", "run", "hi", "lo", "side", _key("beside").alias("key"))
     itself = F.struct(*PLACE) == F.struct(*(F.col(f"first_{c}") for c in PLACE))
-    ends = map_columns(found.withColumn("itself", itself), work, "doc_id long, tid long, run int, side int, end array<int>")
+    end = F.when(itself, F.concat(F.slice("end", 1, 3), "alone")).otherwise(F.col("end")).alias("end")
+    ends = own.join(matches, ["hi", "lo", "side", "key"]).select("doc_id", "tid", "run", "side", end)
     return ends.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("run", "side", "end")).alias("ends"))  # two for each run of one text
 
 
@@ -254,25 +259,26 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Null and empty texts have no chunks.  A null doc_id sorts first, as the smallest long.  Different texts
     of one doc_id, or of none, are documents of their own, each with a row; repeated rows are one document
     and do not count as a repeat.  The whole text is chunked, however long; further columns are not read; an
-    empty table gives none.  Texts are chunked once, into a table of numbers in the shared folder, and read once more
-    for what stands beside the ends of runs; a digest that many texts hold is joined by Spark's skew join, and the
+    empty table gives none.  Texts are chunked once, into a table of numbers in the shared folder, where compressed tables
+    take the place of checkpoints and go as soon as they are used, and read once more for what stands beside the ends of runs; a digest that many texts hold is joined by Spark's skew join, and the
     texts beside it are put in order by ranges: none is gathered.
     """
     spark = docs.sparkSession
     texts = told_apart(texts_of(docs).filter("text is not null").withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))))
-    folder = f"{checkpoint_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark)}/substrings-{uuid.uuid4().hex}"
     # version 2 of the format writes places as small differences
-    chunk_table(texts).write.option("compression", "zstd").option("parquet.writer.version", "v2").parquet(folder)
-    chunks, place = spark.read.schema(CHUNKS).parquet(folder), F.struct(*PLACE)
+    chunk_table(texts).write.option("compression", "zstd").option("parquet.writer.version", "v2").parquet(f"{folder}/chunks")
+    chunks, place = spark.read.schema(CHUNKS).parquet(f"{folder}/chunks"), F.struct(*PLACE)
     places = chunks.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    # cut, so that the join can split a digest that many texts hold
-    shared = cut(places.filter("first < last").select("hi", "lo", *(F.col(f"first.{c}").alias(f"first_{c}") for c in PLACE)))
+    # stored, so that the join can split a digest that many texts hold
+    shared = stored(places.filter("first < last").select("hi", "lo", *(F.col(f"first.{c}").alias(f"first_{c}") for c in PLACE)), f"{folder}/shared")
     later = place > F.struct(*(F.col(f"first_{c}") for c in PLACE))
-    marked = cut(chunks.join(shared, ["hi", "lo"]).select("doc_id", "tid", "at", "size", "hi", "lo", later.alias("later"), F.col("first_doc_id").alias("first_doc")))
-    delete_folder(spark, folder)
+    marked = stored(chunks.join(shared, ["hi", "lo"]).select("doc_id", "tid", "at", "size", "hi", "lo", later.alias("later"), F.col("first_doc_id").alias("first_doc")), f"{folder}/marked")
+    delete_folder(spark, f"{folder}/chunks")
+    delete_folder(spark, f"{folder}/shared")
     chunk = F.struct("at", "size", "hi", "lo", "later", "first_doc")
     gathered = marked.groupBy("doc_id", "tid").agg(F.sort_array(F.collect_set(chunk)).alias("chunks"))  # bounded by one text's chunks
-    runs = cut(_runs(gathered))
+    runs = stored(_runs(gathered), f"{folder}/runs")
 
     # the digests at the ends of runs, and all places that hold them
     one = runs.select(F.explode("runs").alias("r"))
@@ -281,12 +287,16 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     at = F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("at") + F.col("size"))
     asked = marked.join(ends, ["hi", "lo"]).filter(beyond).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("side", "hi", "lo", at.alias("at"))).alias("asked"))
     with_asked = runs.join(asked, ["doc_id", "tid"], "left").select("doc_id", "tid", "runs", F.coalesce("asked", F.array().cast("array<struct<side: int, hi: long, lo: int, at: int>>")).alias("asked"))
-    measured = cut(_beside(with_asked.join(texts, ["doc_id", "tid"])))
+    measured = stored(_beside(with_asked.join(texts, ["doc_id", "tid"])), f"{folder}/measured")
+    delete_folder(spark, f"{folder}/marked")
+    delete_folder(spark, f"{folder}/runs")
 
     edges = measured.select("doc_id", "tid", F.explode("edges").alias("e")).select("doc_id", "tid", "e.*")
-    extended = measured.select("doc_id", "tid", "runs").join(_extensions(edges), ["doc_id", "tid"], "left")
+    extended = measured.select("doc_id", "tid", "runs").join(_extensions(edges, f"{folder}/beside"), ["doc_id", "tid"], "left")
     found = map_columns(extended, _passages(min_words), "doc_id long, tid long, n_repeated long, repeated_chars long, n_removed long, removed_chars long, spans string, removed string, first_doc_ids array<long>", 256)
-    return found.distinct().drop("tid")  # repeated rows
+    result = cut(found.distinct().drop("tid"))  # repeated rows
+    delete_folder(spark, folder)
+    return result
 
 
 def _passages(min_words: int):

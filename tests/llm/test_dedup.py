@@ -369,3 +369,18 @@ def test_passages_reach_as_far_as_any_other_place(make_docs, own, shared):
         for i in ids:
             at = texts[i].index(passage)
             assert any(a <= at and at + len(passage) <= b for a, b in (map(int, s.split(":")) for s in found.get(i, "").split(",") if s)), (i, found.get(i))
+
+
+def test_repeats_leave_no_intermediate_tables(spark, make_docs):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+
+    def size():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+    shared, before = prose(77, 60), size()
+    docs = make_docs([(i, f"{prose(1000 + i, 30)} {shared} {prose(2000 + i, 30)}") for i in range(200)])
+    found = substrings.repeats(docs)
+    assert size() - before < 200_000  # of checkpoints; the texts beside chunks alone have about that many characters
+    assert found.count() == 200
