@@ -15,6 +15,7 @@ steps give for a whole text at once.
 from __future__ import annotations
 
 import uuid
+from itertools import accumulate
 
 import numpy as np
 import xxhash
@@ -78,14 +79,13 @@ def chunk_ends(data: bytes) -> list[int]:
 def chunks_of(text: str) -> list[tuple[int, int, int, int]]:
     """(64 and 32 bits of a digest, start, end) of each chunk; places in code points, end exclusive."""
     data = text.encode()
-    out, at, start = [], 0, 0
-    for end in chunk_ends(data):
-        piece = data[at:end]
-        digest = xxhash.xxh3_128_intdigest(piece)
-        part = piece.decode()
-        out.append(((digest >> 64) - (1 << 63), (digest & (1 << 32) - 1) - (1 << 31), start, start + len(part)))
-        at, start = end, start + len(part)
-    return out
+    ends = chunk_ends(data)
+    pieces = [data[a:b] for a, b in zip([0, *ends], ends)]
+    digests = b"".join(map(xxhash.xxh3_128_digest, pieces))
+    hi = (np.frombuffer(digests, ">u8")[::2].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+    lo = (np.frombuffer(digests, ">u4")[3::4].astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32)
+    stops = ends if len(data) == len(text) else list(accumulate(len(p.decode()) for p in pieces))
+    return list(zip(hi.tolist(), lo.tolist(), [0, *stops], stops))
 
 
 CHUNKS = "doc_id long, tid long, at int, hi long, lo int, size int"
@@ -98,9 +98,12 @@ def chunk_table(texts: DataFrame) -> DataFrame:
     def work(rows: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("doc_id", "tid", "at", "hi", "lo", "size")}
         for doc_id, tid, text in zip(rows["doc_id"], rows["tid"], rows["text"]):
-            for hi, lo, start, end in chunks_of(text):
-                for k, v in zip(out, (doc_id, tid, start, hi, lo, end - start if end < len(text) else start - end)):
-                    out[k].append(v)
+            if chunks := chunks_of(text):
+                hi, lo, starts, ends = zip(*chunks)
+                sizes = [end - start for start, end in zip(starts, ends)]
+                sizes[-1] = -sizes[-1]
+                for k, v in zip(out, ([doc_id] * len(chunks), [tid] * len(chunks), starts, hi, lo, sizes)):
+                    out[k].extend(v)
         return out
 
     return map_columns(texts.select("doc_id", "tid", "text"), work, CHUNKS, 128)
@@ -120,11 +123,11 @@ def _runs(gathered: DataFrame) -> DataFrame:
         for chunks in rows["chunks"]:
             runs: list[dict] = []
             for c in chunks:
-                digest, end = {"hi": c["hi"], "lo": c["lo"]}, c["at"] + abs(c["size"])
+                end = c["at"] + abs(c["size"])
                 if not (runs and runs[-1]["end"] == c["at"]):
-                    runs.append({"start": c["at"], "left": digest if c["at"] else None, "later": [], "chunks": 0, "firsts": []})
+                    runs.append({"start": c["at"], "left": {"hi": c["hi"], "lo": c["lo"]} if c["at"] else None, "later": [], "chunks": 0, "firsts": []})
                 run = runs[-1]
-                run["end"], run["right"] = end, None if c["size"] < 0 else digest
+                run["end"], run["right"] = end, c
                 run["chunks"] += 1
                 if c["later"]:
                     if c["first_doc"] not in run["firsts"]:
@@ -133,6 +136,9 @@ def _runs(gathered: DataFrame) -> DataFrame:
                         run["later"][-1][1:] = [end, run["later"][-1][2] + 1]
                     else:
                         run["later"].append([c["at"], end, 1])
+            for run in runs:
+                c = run["right"]
+                run["right"] = None if c["size"] < 0 else {"hi": c["hi"], "lo": c["lo"]}
             out.append(runs)
         return {"doc_id": rows["doc_id"], "tid": rows["tid"], "runs": out}
 
@@ -208,6 +214,9 @@ def _longest_matches(edges: DataFrame, folder: str) -> DataFrame:
             end, side = [], digest["side"]
             along_run, at = (text[::-1] + inner, len(text)) if side == 0 else (inner + text, 1)
             for n in (shared, min(most, _shared(text, first)), 0):
+                if end and n == end[0]:
+                    end += end[:3]
+                    continue
                 a, b = (at - n, at) if side == 0 else (at, at + n)
                 end += [n, word_starts(along_run, a, b), int(side == 1 and crosses(along_run, b))]
             ends.append(end[:6]), alone.append(end[6:])
@@ -236,8 +245,17 @@ def _extensions(edges: DataFrame, folder: str) -> DataFrame:
 
 def _shared(a: str, b: str) -> int:
     """Characters that two texts share from their beginning."""
-    most = min(len(a), len(b))
-    return next((i for i in range(most) if a[i] != b[i]), most)
+    most, low, step = min(len(a), len(b)), 0, 4
+    while low + step <= most and a[low : low + step] == b[low : low + step]:
+        low, step = low + step, 2 * step
+    high = min(most, low + step)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def told_apart(texts: DataFrame) -> DataFrame:
