@@ -109,6 +109,56 @@ def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[list]], schema: str, rows: int = 512, most: int = SLICE_BYTES) -> DataFrame:
+    """Run ``fn`` over Arrow slices of at most ``rows`` rows and ``most`` bytes of text, for work on whole columns.
+
+    It yields the columns (Arrow or NumPy arrays) of any number of batches.
+    """
+    spark = df.sparkSession
+    send_package(spark)
+    arrow_schema = _arrow_schema(spark, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch, rows, most):
+                for columns in fn(part):
+                    yield arrow_batch(columns, arrow_schema)
+
+    return df.mapInArrow(run, schema)
+
+
+def arrow_batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of Arrow or NumPy arrays, or None for a column of nulls."""
+    rows = next(len(c) for c in columns if c is not None)
+    arrays = [pa.nulls(rows, f.type) if c is None else c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def lists_of(counts: np.ndarray, fields: list, kind: pa.DataType) -> pa.Array:
+    """A column of lists of structs from the number of structs in each row, and their fields one after another."""
+    inner = kind.value_type
+    structs = pa.StructArray.from_arrays([pa.array(v, type=f.type) for v, f in zip(fields, inner)], fields=list(inner))
+    offsets = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(counts, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), structs, type=kind)
+
+
+def list_fields(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The number of structs in each row of a column of lists without nulls, and their fields one after another."""
+    counts = np.diff(column.offsets.to_numpy())
+    structs = column.flatten()
+    return counts, {f.name: v.to_numpy(zero_copy_only=False) for f, v in zip(structs.type, structs.flatten())}
+
+
+def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings without nulls, one after another, and the ends of the strings behind a 0."""
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, ends - ends[0]
+
+
 def row_slices(batch: pa.RecordBatch, rows: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most ``rows`` rows and ``most`` bytes of text; a row is never cut."""
     sizes = np.zeros(batch.num_rows, np.int64)

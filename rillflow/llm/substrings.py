@@ -14,16 +14,20 @@ steps give for a whole text at once.
 
 from __future__ import annotations
 
+import os
 import uuid
-from itertools import accumulate
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scan import OWN, PART, along, with_halo
-from .common import checkpoint_dir, cut, delete_folder, map_columns, stored, texts_of
+from ..operators.scan import OWN, PART, with_halo
+from ..session import send_package
+from .common import SLICE_BYTES, _arrow_schema, arrow_batch, checkpoint_dir, cut, delete_folder, list_fields, lists_of, map_slices, stored, texts_of, utf8_of
 
 #: One byte in 2**MASK_BITS qualifies for a cut; a chunk has at least and at most so many bytes (about 40 on average).
 MASK_BITS, MIN_BYTES, MAX_BYTES = 4, 16, 96
@@ -32,60 +36,89 @@ MASK_BITS, MIN_BYTES, MAX_BYTES = 4, 16, 96
 MIN_WORDS, EDGE = 40, 512
 #: Different texts beside one chunk that a task puts in order.
 NEIGHBOURS = 1 << 16
+#: Rows of texts that are decoded once and kept; of more, a group with very many texts, each stretch is decoded twice.
+DECODED = 20_000
 NULL_ID = -(1 << 63)
 #: doc_ids with several texts that are broadcast at most.
 LISTED = 100_000
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=77) for b in range(256)], dtype=np.uint32)
 
 
+#: Whether a code point is white space; the last entry stands for all later ones.
+SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
+
+
 def gear_hash(data: np.ndarray) -> np.ndarray:
-    """At each byte, the gear hash of the 32 bytes that end there."""
+    """At each byte, the gear hash of the 32 bytes that end there, along the last axis."""
     h = GEAR[data]
     for shift in (1, 2, 4, 8, 16):
-        if len(h) > shift:
-            later = h[shift:] + (h[:-shift] << np.uint32(shift))
-            h = np.concatenate((h[:shift], later))
+        h[..., shift:] += h[..., :-shift] << np.uint32(shift)
+    return h
+
+
+def _hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The gear hash at each byte of texts that stand one after another, each from its own bytes alone."""
+    h = gear_hash(raw)
+    heads = starts[:, None] + np.arange(31)
+    own = heads < stops[:, None]
+    h[heads[own]] = gear_hash(raw[np.minimum(heads, len(raw) - 1)])[own]
     return h
 
 
-def chunk_ends(data: bytes) -> list[int]:
-    """Ends of the chunks in bytes, each at the end of a code point; the last is the text's end.
+def chunk_ends(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Ends of the chunks in the bytes of texts one after another, each at the end of a code point; the last of a text is its end.
 
     A place qualifies by its hash alone, and cuts if none qualified in the ``MIN_BYTES`` before it: both
     depend on nearby bytes only, so two texts cut alike as soon as they share so many.
     """
-    if not data:
-        return []
-    raw = np.frombuffer(data, np.uint8)
-    top = np.uint32((1 << MASK_BITS) - 1) << np.uint32(32 - MASK_BITS)  # the high bits depend on all 32 bytes
-    starts_next = np.append((raw[1:] & 0xC0) != 0x80, True)
-    hashes = gear_hash(raw)
-    places = np.flatnonzero((hashes & top == 0) & starts_next) + 1
-    ends = places[np.diff(places, prepend=0) >= MIN_BYTES].tolist()
-    if not ends or ends[-1] < len(data):
-        ends.append(len(data))
-    out, last = [], 0
-    for end in ends:
-        while end - last > MAX_BYTES:  # as in a text of one repeated word: the last of the smallest hashes, so that cuts follow content here too
-            window = slice(last + MIN_BYTES - 1, last + MAX_BYTES)
-            ranked = np.where(starts_next[window], hashes[window], np.uint32(0xFFFFFFFF))
-            last += MAX_BYTES - int(ranked[::-1].argmin())
-            out.append(last)
-        out.append(end)
-        last = end
-    return out
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    hashes = _hashes(raw, starts, stops)
+    border = lambda ends: (raw[np.minimum(ends, len(raw) - 1)] & 0xC0 != 0x80) | (ends == len(raw))
+    places = np.flatnonzero(hashes < np.uint32(1 << (32 - MASK_BITS))) + 1  # the high bits depend on all 32 bytes
+    places = places[border(places)]
+    before = np.maximum(np.append(0, places[:-1]), starts[np.searchsorted(stops, places)])
+    ends = np.union1d(places[places - before >= MIN_BYTES], stops[stops > starts])
+    last = np.append(0, ends[:-1])
+    found = [ends]
+    long = ends - last > MAX_BYTES
+    ends, last = ends[long], last[long]
+    back = np.arange(MAX_BYTES, MIN_BYTES - 1, -1)
+    while len(ends):  # as in a text of one repeated word: the last of the smallest hashes, so that cuts follow content here too
+        window = last[:, None] + back
+        ranked = np.where(border(window), hashes[window - 1], np.uint32(0xFFFFFFFF))
+        last = last + MAX_BYTES - ranked.argmin(axis=1)
+        found.append(last)
+        long = ends - last > MAX_BYTES
+        ends, last = ends[long], last[long]
+    return np.sort(np.concatenate(found))
+
+
+def _chunks(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Number of the text, 64 and 32 bits of a digest, start, end, and whether it is the last, of each chunk of texts one after another.
+
+    Places in code points of the text, end exclusive.
+    """
+    starts, stops, data = bounds[:-1], bounds[1:], raw.tobytes()
+    ends = chunk_ends(raw, starts, stops)
+    begins = np.append(0, ends[:-1])[: len(ends)]
+    digests = b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(begins.tolist(), ends.tolist())])
+    hi = (np.frombuffer(digests, ">u8")[::2].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+    lo = (np.frombuffer(digests, ">u4")[3::4].astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32)
+    text = np.searchsorted(stops, ends)
+    last = stops[text] == ends
+    if len(raw) and raw.max() > 0x7F:
+        sizes = np.add.reduceat(raw & 0xC0 != 0x80, begins, dtype=np.int64)
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+    base = begins[np.searchsorted(text, text)]
+    return text, hi, lo, begins - base, ends - base, last
 
 
 def chunks_of(text: str) -> list[tuple[int, int, int, int]]:
     """(64 and 32 bits of a digest, start, end) of each chunk; places in code points, end exclusive."""
-    data = text.encode()
-    ends = chunk_ends(data)
-    pieces = [data[a:b] for a, b in zip([0, *ends], ends)]
-    digests = b"".join(map(xxhash.xxh3_128_digest, pieces))
-    hi = (np.frombuffer(digests, ">u8")[::2].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
-    lo = (np.frombuffer(digests, ">u4")[3::4].astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32)
-    stops = ends if len(data) == len(text) else list(accumulate(len(p.decode()) for p in pieces))
-    return list(zip(hi.tolist(), lo.tolist(), [0, *stops], stops))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return list(zip(*(c.tolist() for c in _chunks(raw, np.array([0, len(raw)]))[1:5])))
 
 
 CHUNKS = "doc_id long, tid long, at int, hi long, lo int, size int"
@@ -95,137 +128,265 @@ PLACE = ("doc_id", "tid", "at")
 def chunk_table(texts: DataFrame) -> DataFrame:
     """doc_id, tid, at, hi, lo, size: every chunk of every text (doc_id, tid, text); the size of a text's last chunk is negative."""
 
-    def work(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "tid", "at", "hi", "lo", "size")}
-        for doc_id, tid, text in zip(rows["doc_id"], rows["tid"], rows["text"]):
-            if chunks := chunks_of(text):
-                hi, lo, starts, ends = zip(*chunks)
-                sizes = [end - start for start, end in zip(starts, ends)]
-                sizes[-1] = -sizes[-1]
-                for k, v in zip(out, ([doc_id] * len(chunks), [tid] * len(chunks), starts, hi, lo, sizes)):
-                    out[k].extend(v)
-        return out
+    def work(part: pa.RecordBatch) -> Iterator[list]:
+        text, hi, lo, start, end, last = _chunks(*utf8_of(part.column("text")))
+        size = np.where(last, start - end, end - start)
+        yield [part.column("doc_id").to_numpy()[text], part.column("tid").to_numpy()[text], start.astype(np.int32), hi, lo, size.astype(np.int32)]
 
-    return map_columns(texts.select("doc_id", "tid", "text"), work, CHUNKS, 128)
+    return map_slices(texts.select("doc_id", "tid", "text"), work, CHUNKS, 512, SLICE_BYTES // 16)
 
 
-RUNS = "array<struct<start: int, end: int, chunks: int, later: array<array<int>>, firsts: array<long>, left: struct<hi: long, lo: int>, right: struct<hi: long, lo: int>>>"
+RUNS = "runs array<struct<start: int, end: int, chunks: int, left_hi: long, left_lo: int, right_hi: long, right_lo: int, last: boolean>>"
+LATER = "later array<struct<run: int, start: int, end: int, chunks: int>>, firsts array<struct<run: int, doc: long>>"
 
 
 def _runs(gathered: DataFrame) -> DataFrame:
-    """doc_id, tid, runs from each text's repeated chunks in order: a run's chunks adjoin.
+    """doc_id, tid, runs, later, firsts from each text's repeated chunks in order: a run's chunks adjoin.
 
-    ``left`` and ``right`` are the digests at its ends, null where the text ends there.
+    ``left`` and ``right`` are the digests at a run's ends; ``last``: the text ends there.  ``later``: parts of runs whose chunks
+    have their first place elsewhere, ``firsts``: the documents of those places.
     """
-
-    def work(rows: dict[str, list]) -> dict[str, list]:
-        out: list[list[dict]] = []
-        for chunks in rows["chunks"]:
-            runs: list[dict] = []
-            for c in chunks:
-                end = c["at"] + abs(c["size"])
-                if not (runs and runs[-1]["end"] == c["at"]):
-                    runs.append({"start": c["at"], "left": {"hi": c["hi"], "lo": c["lo"]} if c["at"] else None, "later": [], "chunks": 0, "firsts": []})
-                run = runs[-1]
-                run["end"], run["right"] = end, c
-                run["chunks"] += 1
-                if c["later"]:
-                    if c["first_doc"] not in run["firsts"]:
-                        run["firsts"].append(c["first_doc"])
-                    if run["later"] and run["later"][-1][1] == c["at"]:
-                        run["later"][-1][1:] = [end, run["later"][-1][2] + 1]
-                    else:
-                        run["later"].append([c["at"], end, 1])
-            for run in runs:
-                c = run["right"]
-                run["right"] = None if c["size"] < 0 else {"hi": c["hi"], "lo": c["lo"]}
-            out.append(runs)
-        return {"doc_id": rows["doc_id"], "tid": rows["tid"], "runs": out}
-
-    return map_columns(gathered, work, f"doc_id long, tid long, runs {RUNS}", 256)
-
-
-def word_starts(text: str, start: int, end: int) -> int:
-    """Words of a text that begin within [start, end)."""
-    return len(text[start:end].split()) - (0 < start < end and not text[start].isspace() and not text[start - 1].isspace())
+    schema = f"doc_id long, tid long, {RUNS}, {LATER}"
+    kinds = {f.name: f.type for f in _arrow_schema(gathered.sparkSession, schema)}
+
+    def work(part: pa.RecordBatch) -> Iterator[list]:
+        counts, c = list_fields(part.column("chunks"))
+        rows, n = len(counts), len(c["at"])
+        text = np.repeat(np.arange(rows), counts)
+        end = c["at"] + np.abs(c["size"])
+        new, beside = np.ones(n, bool), np.ones(n, bool)
+        beside[1:] = (text[1:] == text[:-1]) & (end[:-1] == c["at"][1:])
+        new[1:] = ~beside[1:]
+        run = np.cumsum(new) - 1
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], n)[: len(head)] - 1
+        of_text = text[head]
+        within = np.arange(len(head)) - np.searchsorted(of_text, of_text)  # a run's number in its text
+        runs = lists_of(np.bincount(of_text, minlength=rows), [c["at"][head], end[tail], tail - head + 1, c["hi"][head], c["lo"][head], c["hi"][tail], c["lo"][tail], c["size"][tail] < 0], kinds["runs"])
+        later = c["later"]
+        opens = later & (new | ~np.append(False, later[:-1])[:n])
+        closes = later & (np.append(new[1:], True)[:n] | ~np.append(later[1:], False)[:n])
+        a, b = np.flatnonzero(opens), np.flatnonzero(closes)
+        parts = lists_of(np.bincount(text[a], minlength=rows), [within[run[a]], c["at"][a], end[b], b - a + 1], kinds["later"])
+        of_run, doc = run[later], c["first_doc"][later]
+        order = np.lexsort((doc, of_run))
+        of_run, doc = of_run[order], doc[order]
+        once = np.append(True, (of_run[1:] != of_run[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)]
+        of_run, doc = of_run[once], doc[once]
+        firsts = lists_of(np.bincount(of_text[of_run], minlength=rows), [within[of_run], doc], kinds["firsts"])
+        yield [part.column("doc_id"), part.column("tid"), runs, parts, firsts]
+
+    return map_slices(gathered, work, schema, 1024)
+
+
+def _words(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts one after another: whether each code point is no white space, and how many words begin before it (and before the end)."""
+    solid = _solid(codes)
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    begins[starts] = solid[starts]
+    return solid, np.append(np.int32(0), np.cumsum(begins, dtype=np.int32))
+
+
+def _solid(codes: np.ndarray) -> np.ndarray:
+    """Whether each code point is no white space; some at a time, since looking them up takes more room than they do."""
+    out = np.empty(len(codes), bool)
+    for at in range(0, len(codes), 1 << 20):
+        out[at : at + (1 << 20)] = ~SPACES[np.minimum(codes[at : at + (1 << 20)], len(SPACES) - 1)]
+    return out
 
 
-def crosses(text: str, at: int) -> bool:
-    """Whether a word goes on over a place."""
-    return 0 < at < len(text) and not text[at - 1].isspace() and not text[at].isspace()
+def _decoded(column: pa.Array) -> tuple[str, np.ndarray, np.ndarray]:
+    """The texts of a column one after another, their code points, and the ends of the texts behind a 0."""
+    text = utf8_of(column)[0].tobytes().decode()
+    return text, np.frombuffer(text.encode("utf-32-le"), np.uint32), np.append(0, np.cumsum(pc.utf8_length(column).to_numpy(), dtype=np.int64))
 
 
-MEASURED = "array<struct<start: int, end: int, chunks: int, words: int, later: array<array<int>>, firsts: array<long>>>"
-EDGES = "array<struct<run: int, side: int, hi: long, lo: int, at: int, inner: string, beside: string>>"
+MEASURED = "runs array<struct<start: int, end: int, chunks: int, words: int>>, later array<struct<run: int, start: int, end: int, chunks: int, words: int, over: int>>, firsts array<struct<run: int, doc: long>>"
+EDGES = "run int, side int, hi long, lo int, at int, solid boolean, beside string"
 
 
 def _beside(found: DataFrame) -> DataFrame:
-    """doc_id, tid, runs, edges from each text with its runs and the places asked of it.
+    """doc_id, tid, and either runs, later and firsts, or an edge, from each text with its runs and the places asked of it.
 
     Runs and their later parts get the number of words that begin in them; a later part also whether a word goes on
     over its end.  An edge is a place's text on one side, away from it, up to one character more than is compared.
-    ``inner`` is the character on the other side, ``run`` the run whose end this is, or -1.
+    ``solid``: the character on the other side is no white space; ``run``: the run whose end this is, or -1.
     """
-
-    def work(rows: dict[str, list]) -> dict[str, list]:
-        all_runs, all_edges = [], []
-        for runs, asked, text in zip(rows["runs"], rows["asked"], rows["text"]):
-            measured, ends = [], {}
-            for i, r in enumerate(runs):
-                later = [[a, b, n, word_starts(text, a, b), int(crosses(text, b))] for a, b, n in r["later"]]
-                measured.append({k: r[k] for k in ("start", "end", "chunks", "firsts")} | {"words": word_starts(text, r["start"], r["end"]), "later": later})
-                ends |= {(0, r["start"]): i, (1, r["end"]): i}
-            edges = []
-            for q in asked:
-                at, side = q["at"], q["side"]
-                beside = text[max(0, at - EDGE - 1) : at][::-1] if side == 0 else text[at : at + EDGE + 1]
-                edges.append({**q, "run": ends.get((side, at), -1), "inner": text[at] if side == 0 else text[at - 1], "beside": beside})
-            all_runs.append(measured), all_edges.append(edges)
-        return {"doc_id": rows["doc_id"], "tid": rows["tid"], "runs": all_runs, "edges": all_edges}
-
-    return map_columns(found.select("doc_id", "tid", "runs", "asked", "text"), work, f"doc_id long, tid long, runs {MEASURED}, edges {EDGES}", 128)
+    schema = f"doc_id long, tid long, {MEASURED}, {EDGES}"
+    kinds = {f.name: f.type for f in _arrow_schema(found.sparkSession, schema)}
+
+    def work(part: pa.RecordBatch) -> Iterator[list]:
+        text, codes, base = _decoded(part.column("text"))
+        solid, words = _words(codes, base[:-1])
+        (n_runs, r), (n_later, p), (n_asked, q) = (list_fields(part.column(c)) for c in ("runs", "later", "asked"))
+        rows = np.arange(part.num_rows)
+        of_run, of_later, of_asked = (np.repeat(rows, n) for n in (n_runs, n_later, n_asked))
+        a, b = base[of_run] + r["start"], base[of_run] + r["end"]
+        runs = lists_of(n_runs, [r["start"], r["end"], r["chunks"], words[b] - words[a]], kinds["runs"])
+        a, b = base[of_later] + p["start"], base[of_later] + p["end"]
+        inside = np.minimum(b, len(text) - 1)
+        over = (b < base[of_later + 1]) & solid[b - 1] & solid[inside]
+        later = lists_of(n_later, [p["run"], p["start"], p["end"], p["chunks"], words[b] - words[a], over.astype(np.int32)], kinds["later"])
+        yield [part.column("doc_id"), part.column("tid"), runs, later, part.column("firsts"), *[None] * 7]
+
+        place = lambda row, at, side: row << 32 | at.astype(np.int64) << 1 | side
+        ends = np.concatenate((place(of_run, r["start"], 0), place(of_run, r["end"], 1)))
+        order = np.argsort(ends)
+        asked = place(of_asked, q["at"], q["side"].astype(np.int64))
+        near = order[np.minimum(np.searchsorted(ends, asked, sorter=order), len(ends) - 1)]
+        first = np.cumsum(n_runs) - n_runs
+        number = np.tile(np.arange(len(of_run)) - first[of_run], 2)
+        run = np.where(ends[near] == asked, number[near], -1)
+        low, high = base[of_asked], base[of_asked + 1]
+        at, left = low + q["at"], q["side"] == 0
+        a, b = np.where(left, np.maximum(low, at - EDGE - 1), at), np.where(left, at, np.minimum(high, at + EDGE + 1))
+        beside = [text[x:y][::-1] if back else text[x:y] for x, y, back in zip(a.tolist(), b.tolist(), left.tolist())]
+        ids = (part.column(c).to_numpy()[of_asked] for c in ("doc_id", "tid"))
+        yield [*ids, None, None, None, run, q["side"], q["hi"], q["lo"], q["at"], solid[np.where(left, at, at - 1)], beside]
+
+    return map_slices(found.select("doc_id", "tid", "runs", "later", "firsts", "asked", "text"), work, schema, 512, SLICE_BYTES // 4)
+
+
+ENDS = "first_doc_id long, first_tid long, first_at int, n int, words int, over int, first_n int, first_words int, first_over int, alone_over int"
 
 
 def _longest_matches(edges: DataFrame, folder: str) -> DataFrame:
-    """hi, lo, side, key (of ``beside``), end, alone and the first place of (hi, lo, side): for each text beside a chunk what it shares.
+    """hi, lo, side, key (of ``beside``) and ``ENDS``: for each text beside a chunk what it shares.
 
-    ``end``: characters at most that it shares with the text beside another place of the chunk, the words that begin in
-    them and whether a word goes on beyond, and the same for what it shares with the text beside the first place;
-    ``alone``: the same for no characters.  Equal texts are one row; of others the longest match is next to it in order.
+    ``n``: characters at most that it shares with the text beside another place of the chunk, the words that begin in
+    them and whether a word goes on beyond, and the same for what it shares with the text beside the first place of (hi, lo, side);
+    ``alone_over``: the last for no characters.  Equal texts are one row; of others the longest match is next to it in order.
     A key's texts move once to be put in order, and what leaves is numbers.
     """
     digest = F.struct("hi", "lo", "side").alias("digest")
     place = F.struct(*PLACE)
-    # ``inner`` is the same at all places of a chunk
-    beside = stored(edges.groupBy(digest, "beside").agg(F.min(place).alias("lowest"), F.max(place).alias("highest"), F.min("inner").alias("inner")), folder)
-    order, by_place = along("digest", ["beside"]), along("digest", ["lowest"])
-    neighbours = {"before": F.lag("beside").over(order), "after": F.lead("beside").over(order)}
+    # ``solid`` is the same at all places of a chunk
+    beside = stored(edges.groupBy(digest, "beside").agg(F.min(place).alias("lowest"), F.max(place).alias("highest"), F.min("solid").alias("solid")), folder)
     lined = with_halo(beside, "digest", ["beside"], 1, NEIGHBOURS)
-    whole = lined.filter(F.col(PART) == 0).withColumns(neighbours | {"first_beside": F.first("beside").over(by_place), "first": F.first("lowest").over(by_place)})
-    ranges = lined.filter(F.col(PART) > 0)
-    firsts = ranges.groupBy("digest").agg(F.min_by("beside", "lowest").alias("first_beside"), F.min("lowest").alias("first"))
-    both = whole.unionByName(ranges.withColumns(neighbours).filter(OWN).join(firsts, "digest")).drop(PART, OWN)
-
-    def work(rows: dict[str, list]) -> dict[str, list]:
-        ends, alone = [], []
-        for digest, inner, text, low, high, before, after, first in zip(*(rows[c] for c in ("digest", "inner", "beside", "lowest", "highest", "before", "after", "first_beside"))):
-            most = min(len(text), EDGE)
-            shared = most if low != high else min(most, max(_shared(text, before or ""), _shared(text, after or "")))
-            end, side = [], digest["side"]
-            along_run, at = (text[::-1] + inner, len(text)) if side == 0 else (inner + text, 1)
-            for n in (shared, min(most, _shared(text, first)), 0):
-                if end and n == end[0]:
-                    end += end[:3]
-                    continue
-                a, b = (at - n, at) if side == 0 else (at, at + n)
-                end += [n, word_starts(along_run, a, b), int(side == 1 and crosses(along_run, b))]
-            ends.append(end[:6]), alone.append(end[6:])
-        digests = {k: [d[k] for d in rows["digest"]] for k in ("hi", "lo", "side")}
-        places = {f"first_{k}": [p[k] for p in rows["first"]] for k in PLACE}
-        return digests | places | {"key": rows["key"], "end": ends, "alone": alone}
-
-    keyed = both.withColumn("key", _key("beside"))
-    return map_columns(keyed, work, "hi long, lo int, side int, key binary, end array<int>, alone array<int>, first_doc_id long, first_tid long, first_at int")
+    firsts = lined.filter(F.col(PART) > 0).groupBy("digest").agg(F.min_by("beside", "lowest").alias("first_beside"), F.min("lowest").alias("first"))
+    ranges = lined.filter(F.col(PART) > 0).join(firsts, "digest").select(*lined.columns, "first_beside", "first")
+    both = lined.filter(F.col(PART) == 0).withColumns({"first_beside": F.lit(None).cast("string"), "first": F.col("lowest")}).unionByName(ranges)
+    flat = both.select("digest.*", PART, OWN, "solid", (F.col("lowest") == F.col("highest")).alias("single"), *(F.col(f"first.{c}").alias(f"first_{c}") for c in PLACE), "first_beside", "beside")
+    group = ["hi", "lo", "side", PART]
+    ordered = flat.repartition(*group).sortWithinPartitions(*group, "beside").withColumn("key", _key("beside"))
+    schema = f"hi long, lo int, side int, key binary, {ENDS}"
+    send_package(edges.sparkSession)
+    types = _arrow_schema(edges.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in _whole_groups(batches, group):
+            columns = _shared_ends(groups)
+            if len(columns[0]):
+                yield arrow_batch(columns, types)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def _changes(rows: pa.RecordBatch | pa.Table, columns: list[str]) -> np.ndarray:
+    """Whether each row but the first differs from the one before it in any of the columns."""
+    values = [rows.column(c).to_numpy() for c in columns]
+    return np.any([v[1:] != v[:-1] for v in values], axis=0)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
+    """Rows in order, cut between groups of equal columns only; a group has about ``NEIGHBOURS`` rows at most."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if kept and _changes(pa.Table.from_batches([kept[-1].slice(kept[-1].num_rows - 1), batch.slice(0, 1)]), columns)[0]:
+            yield pa.Table.from_batches(kept)
+            kept = []
+        cuts = np.flatnonzero(_changes(batch, columns)) + 1
+        if len(cuts):
+            yield pa.Table.from_batches([*kept, batch.slice(0, int(cuts[-1]))])
+            kept = [batch.slice(int(cuts[-1]))]
+        else:
+            kept.append(batch)
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _lcp(codes: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Code points, up to ``most``, that what begins at ``a`` and at ``b`` shares."""
+    n, done, step = np.zeros(len(a), np.int64), 0, 16
+    rest = np.flatnonzero(most > 0)
+    while len(rest):
+        along = done + np.arange(step)
+        i, j = (np.minimum(x[rest][:, None] + along, len(codes) - 1) for x in (a, b))
+        same = codes[i] == codes[j]
+        whole = same.all(axis=1)
+        n[rest] = np.minimum(done + np.where(whole, step, same.argmin(axis=1)), most[rest])
+        done += step
+        rest = rest[whole & (most[rest] > done)]
+        step = 64
+    return n
+
+
+def _least_since(values: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The least of the values (0 to ``EDGE``) behind the last mark, up to each."""
+    marked = np.zeros(len(values), np.int64)
+    marked[marks] = 1
+    lowered = 2 * EDGE * np.cumsum(marked)  # so that what stands before a mark is never the least
+    return np.minimum.accumulate(np.where(marked, EDGE, values) - lowered) + lowered
+
+
+def _stretches(table: pa.Table, size: int = 1024) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row, code points of ``beside`` one after another, where each begins, and its length, some rows at a time: the last row
+    of a stretch is the first of the next."""
+    column = table.column("beside")
+    for at in range(0, max(1, table.num_rows - 1), size):
+        _, codes, base = _decoded(column.slice(at, size + 1).combine_chunks())
+        yield at, codes, base[:-1], np.diff(base)
+
+
+def _shared_ends(table: pa.Table) -> list:
+    """The columns of ``_longest_matches`` from whole groups of texts in order."""
+    rows, c = table.num_rows, {n: table.column(n).to_numpy() for n in ("hi", "lo", "side", PART, OWN, "solid", "single", *(f"first_{p}" for p in PLACE))}
+    new = np.append(True, _changes(table, ["hi", "lo", "side", PART]))
+    group = np.cumsum(new) - 1
+    several = rows <= DECODED and list(_stretches(table))
+    before, most = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    for at, codes, base, length in several or _stretches(table):
+        most[at : at + len(base)] = np.minimum(length, EDGE)
+        i = np.flatnonzero(~new[at + 1 : at + len(base)])
+        before[at + 1 + i] = _lcp(codes, base[i + 1], base[i], np.minimum(most[at + 1 + i], most[at + i]))
+    after = np.append(before[1:], 0)
+    shared = np.where(c["single"], np.maximum(before, after), most)
+
+    # what a text shares with the first place's is the least of what neighbours share on the way there
+    order = np.lexsort((c["first_at"], c["first_tid"], c["first_doc_id"], group))
+    firsts = order[new]  # groups have their rows at the same numbers in both orders
+    first = firsts[group]
+    number = np.arange(rows)
+    with_first = np.where(number == first, most, np.where(number > first, _least_since(before, firsts), _least_since(after[::-1], rows - 1 - firsts)[::-1]))
+    places = [c[f"first_{p}"][first] for p in PLACE]
+    hot = np.flatnonzero(c[PART] > 0)
+    if len(hot):  # a range of a key has its first place elsewhere
+        for k, name in enumerate(PLACE):
+            places[k] = np.where(c[PART] > 0, c[f"first_{name}"], places[k])
+        texts, theirs = (table.column(n).take(hot).to_pylist() for n in ("beside", "first_beside"))
+        with_first[hot] = [min(EDGE, len(os.path.commonprefix((x, y)))) for x, y in zip(texts, theirs)]
+
+    side, counted = c["side"], {k: np.zeros(rows, np.int32) for k in ("words", "over", "first_words", "first_over", "alone_over")}
+    for at, codes, base, length in several or _stretches(table):
+        span = slice(at, at + len(base))
+        solid = _solid(codes)
+        # away from a run's beginning, a word begins where white space or nothing follows; away from its end, where white space precedes
+        onto, back = np.append(solid[1:], False), np.append(False, solid[:-1])
+        back[base], onto[base + length - 1] = c["solid"][span], False
+        left = np.repeat(side[span] == 0, length)
+        begins = np.append(0, np.cumsum(solid & ~np.where(left, onto, back)))
+        goes_on = np.append(solid & back, False)  # over the place before a character
+        for n, words, over in ((shared, "words", "over"), (with_first, "first_words", "first_over"), (np.zeros(rows, np.int64), None, "alone_over")):
+            to = base + n[span]
+            if words:
+                counted[words][span] = begins[to] - begins[base]
+            counted[over][span] = (side[span] == 1) & (n[span] < length) & goes_on[to]
+    own = c[OWN]
+    numbers = [*places, shared, counted["words"], counted["over"], with_first, counted["first_words"], counted["first_over"], counted["alone_over"]]
+    return [c["hi"][own], c["lo"][own], side[own], table.column("key").combine_chunks().filter(pa.array(own)), *(x[own] for x in numbers)]
 
 
 def _key(text: str):
@@ -238,24 +399,10 @@ def _extensions(edges: DataFrame, folder: str) -> DataFrame:
     matches = _longest_matches(edges, folder)
     own = edges.filter("run >= 0").select("doc_id", "tid", "at", "run", "hi", "lo", "side", _key("beside").alias("key"))
     itself = F.struct(*PLACE) == F.struct(*(F.col(f"first_{c}") for c in PLACE))
-    end = F.when(itself, F.concat(F.slice("end", 1, 3), "alone")).otherwise(F.col("end")).alias("end")
-    ends = own.join(matches, ["hi", "lo", "side", "key"]).select("doc_id", "tid", "run", "side", end)
-    return ends.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("run", "side", "end")).alias("ends"))  # two for each run of one text
-
-
-def _shared(a: str, b: str) -> int:
-    """Characters that two texts share from their beginning."""
-    most, low, step = min(len(a), len(b)), 0, 4
-    while low + step <= most and a[low : low + step] == b[low : low + step]:
-        low, step = low + step, 2 * step
-    high = min(most, low + step)
-    while low < high:
-        middle = (low + high + 1) // 2
-        if a[low:middle] == b[low:middle]:
-            low = middle
-        else:
-            high = middle - 1
-    return low
+    end = [F.col(c) for c in ("run", "side", "n", "words", "over")]
+    end += [F.when(itself, alone).otherwise(F.col(c)).alias(c) for c, alone in (("first_n", F.lit(0)), ("first_words", F.lit(0)), ("first_over", F.col("alone_over")))]
+    ends = own.join(matches, ["hi", "lo", "side", "key"]).select("doc_id", "tid", F.struct(*end).alias("end"))
+    return ends.groupBy("doc_id", "tid").agg(F.collect_set("end").alias("ends"))  # two for each run of one text
 
 
 def told_apart(texts: DataFrame) -> DataFrame:
@@ -299,53 +446,72 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = stored(_runs(gathered), f"{folder}/runs")
 
     # the digests at the ends of runs, and all places that hold them
-    one = runs.select(F.explode("runs").alias("r"))
-    ends = cut(one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"r.{side}").alias("d")) for i, side in enumerate(("left", "right"))))).alias("e")).filter("e.d IS NOT NULL").select("e.d.hi", "e.d.lo", "e.side").distinct())
+    one = runs.select(F.explode("runs").alias("r")).select("r.*")
+    left = one.filter("start > 0").select(F.col("left_hi").alias("hi"), F.col("left_lo").alias("lo"), F.lit(0).alias("side"))
+    right = one.filter("NOT last").select(F.col("right_hi").alias("hi"), F.col("right_lo").alias("lo"), F.lit(1).alias("side"))
+    ends = cut(left.unionByName(right).distinct())
     beyond = F.when(F.col("side") == 0, F.col("at") > 0).otherwise(F.col("size") > 0)
     at = F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("at") + F.col("size"))
     asked = marked.join(ends, ["hi", "lo"]).filter(beyond).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("side", "hi", "lo", at.alias("at"))).alias("asked"))
-    with_asked = runs.join(asked, ["doc_id", "tid"], "left").select("doc_id", "tid", "runs", F.coalesce("asked", F.array().cast("array<struct<side: int, hi: long, lo: int, at: int>>")).alias("asked"))
+    with_asked = runs.join(asked, ["doc_id", "tid"], "left").select("doc_id", "tid", "runs", "later", "firsts", _or_empty("asked", asked))
     measured = stored(_beside(with_asked.join(texts, ["doc_id", "tid"])), f"{folder}/measured")
     delete_folder(spark, f"{folder}/marked")
     delete_folder(spark, f"{folder}/runs")
 
-    edges = measured.select("doc_id", "tid", F.explode("edges").alias("e")).select("doc_id", "tid", "e.*")
-    extended = measured.select("doc_id", "tid", "runs").join(_extensions(edges, f"{folder}/beside"), ["doc_id", "tid"], "left")
-    found = map_columns(extended, _passages(min_words), "doc_id long, tid long, n_repeated long, repeated_chars long, n_removed long, removed_chars long, spans string, removed string, first_doc_ids array<long>", 256)
+    edges = measured.filter("beside IS NOT NULL").select("doc_id", "tid", "run", "side", "hi", "lo", "at", "solid", "beside")
+    extensions = _extensions(edges, f"{folder}/beside")
+    extended = measured.filter("runs IS NOT NULL").join(extensions, ["doc_id", "tid"], "left").select("doc_id", "tid", "runs", "later", "firsts", _or_empty("ends", extensions))
+    found = map_slices(extended, _passages(min_words), "doc_id long, tid long, n_repeated long, repeated_chars long, n_removed long, removed_chars long, spans string, removed string, first_doc_ids array<long>", 1024)
     result = cut(found.distinct().drop("tid"))  # repeated rows
     delete_folder(spark, folder)
     return result
 
 
+def _or_empty(name: str, typed: DataFrame):
+    return F.coalesce(name, F.array().cast(typed.schema[name].dataType)).alias(name)
+
+
 def _passages(min_words: int):
-    def work(rows: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "tid", "n_repeated", "repeated_chars", "n_removed", "removed_chars", "spans", "removed", "first_doc_ids")}
-        none = [0] * 6
-        for doc_id, tid, runs, ends in zip(rows["doc_id"], rows["tid"], rows["runs"], rows["ends"]):
-            by_end = {(e["run"], e["side"]): e["end"] for e in ends or []}
-            spans, gone, chunks, gone_chunks, firsts = [], [], 0, 0, set()
-            for i, r in enumerate(runs):
-                (left, left_words, _, first_left, first_left_words, _), (right, right_words, over, first_right, first_right_words, first_over) = (by_end.get((i, side), none) for side in (0, 1))
-                if max(0, r["words"] + left_words + right_words - over) < min_words:
-                    continue
-                spans.append((r["start"] - left, r["end"] + right))
-                chunks += r["chunks"]
-                firsts |= set(r["firsts"])
-                for start, end, n, words, crossed in r["later"]:
-                    if start == r["start"]:
-                        start, words = start - first_left, words + first_left_words
-                    if end == r["end"]:
-                        end, words, crossed = end + first_right, words + first_right_words, first_over
-                    if max(0, words - crossed) >= min_words:
-                        gone.append((start, end))
-                        gone_chunks += n
-            if spans:
-                spans, gone = _united(spans), _united(gone)
-                size = lambda x: sum(b - a for a, b in x)
-                write = lambda x: ",".join(f"{a}:{b}" for a, b in x)
-                for k, v in zip(out, (doc_id, tid, chunks, size(spans), gone_chunks, size(gone), write(spans), write(gone), sorted(firsts - {doc_id}))):
-                    out[k].append(v)
-        return out
+    def work(part: pa.RecordBatch) -> Iterator[list]:
+        (n_runs, r), (n_later, p), (n_firsts, f), (n_ends, e) = (list_fields(part.column(c)) for c in ("runs", "later", "firsts", "ends"))
+        rows, first = np.arange(part.num_rows), np.cumsum(n_runs) - n_runs
+        of_run, of_later, of_first, of_end = (np.repeat(rows, n) for n in (n_runs, n_later, n_firsts, n_ends))
+        at_end = {}
+        for side, end in ((0, "left"), (1, "right")):
+            this = e["side"] == side
+            run = (first[of_end] + e["run"])[this]
+            for name in ("n", "words", "over", "first_n", "first_words", "first_over"):
+                at_end[end, name] = np.zeros(len(of_run), np.int64)
+                at_end[end, name][run] = e[name][this]
+        words = r["words"] + at_end["left", "words"] + at_end["right", "words"] - at_end["right", "over"]
+        kept = np.maximum(0, words) >= min_words
+        start, end = r["start"] - at_end["left", "n"], r["end"] + at_end["right", "n"]
+
+        run = first[of_later] + p["run"]
+        opens, closes = p["start"] == r["start"][run], p["end"] == r["end"][run]
+        cut_start = p["start"] - opens * at_end["left", "first_n"][run]
+        cut_end = p["end"] + closes * at_end["right", "first_n"][run]
+        words = p["words"] + opens * at_end["left", "first_words"][run] + closes * at_end["right", "first_words"][run]
+        words -= np.where(closes, at_end["right", "first_over"][run], p["over"])
+        gone = kept[run] & (np.maximum(0, words) >= min_words)
+        doc = f["doc"][kept[first[of_first] + f["run"]]]
+
+        ids, tids = part.column("doc_id").to_pylist(), part.column("tid").to_pylist()
+        in_doc = lambda of, chosen: np.append(0, np.cumsum(np.bincount(of[chosen], minlength=len(rows)))).tolist()
+        spans_at, gone_at, firsts_at = in_doc(of_run, kept), in_doc(of_later, gone), in_doc(of_first, kept[first[of_first] + f["run"]])
+        spans, chunks = list(zip(start[kept].tolist(), end[kept].tolist())), np.append(0, np.cumsum(r["chunks"][kept])).tolist()
+        removed, gone_chunks = list(zip(cut_start[gone].tolist(), cut_end[gone].tolist())), np.append(0, np.cumsum(p["chunks"][gone])).tolist()
+        firsts = doc.tolist()
+        out: list[list] = [[] for _ in range(9)]
+        size = lambda x: sum(b - a for a, b in x)
+        write = lambda x: ",".join(f"{a}:{b}" for a, b in x)
+        for i in np.flatnonzero(np.diff(spans_at)).tolist():
+            (a, b), (c, d) = spans_at[i : i + 2], gone_at[i : i + 2]
+            mine, cuts = _united(spans[a:b]), _united(removed[c:d])
+            theirs = sorted(set(firsts[firsts_at[i] : firsts_at[i + 1]]) - {ids[i]})
+            for column, value in zip(out, (ids[i], tids[i], chunks[b] - chunks[a], size(mine), gone_chunks[d] - gone_chunks[c], size(cuts), write(mine), write(cuts), theirs)):
+                column.append(value)
+        yield out
 
     return work
 

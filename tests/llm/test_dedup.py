@@ -1,9 +1,12 @@
 import hashlib
 import itertools
+import os
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rillflow.llm import graph, neardup, substrings
@@ -384,3 +387,77 @@ def test_repeats_leave_no_intermediate_tables(spark, make_docs):
     found = substrings.repeats(docs)
     assert size() - before < 200_000  # of checkpoints; the texts beside chunks alone have about that many characters
     assert found.count() == 200
+
+
+def naive_ends(rows):
+    """What ``_shared_ends`` gives for rows (group, place, single, solid, text) of whole groups: by comparing all pairs."""
+    out = []
+    for group, place, single, solid, text in rows:
+        others = [r for r in rows if r[0] == group]
+        alike = lambda a, b: min(len(os.path.commonprefix((a, b))), substrings.EDGE)
+        n = max((alike(text, r[4]) for r in others if single == 0 or r[1] != place), default=0)
+        first = min(others, key=lambda r: r[1])
+        side, found = group[2], []
+        for k in (n, alike(text, first[4]), 0):
+            shown = (text[::-1], len(text)) if side == 0 else (("x" if solid else " ") + text, 1)
+            a, b = (shown[1] - k, shown[1]) if side == 0 else (1, 1 + k)
+            starts = [m.start() for m in re.finditer(r"\S+", shown[0])]
+            over = side == 1 and b < len(shown[0]) and not shown[0][b - 1].isspace() and not shown[0][b].isspace()
+            found += [k, sum(a <= x < b for x in starts), int(over)]
+        out.append((*group[:3], text.encode(), *first[1], *found[:6], found[8]))
+    return out
+
+
+@pytest.mark.parametrize("decoded, batch", [(20_000, 7), (0, 7), (20_000, 5000), (0, 1)])
+def test_longest_matches_of_whole_groups(monkeypatch, decoded, batch):
+    """Neighbours in order give the longest match and what is shared with the first place, over batches and stretches of any size."""
+    r = random.Random(5)
+    monkeypatch.setattr(substrings, "DECODED", decoded)
+    stretches = substrings._stretches
+    monkeypatch.setattr(substrings, "_stretches", lambda table: stretches(table, 5))
+    groups = [(h, lo, side) for h in range(-3, 3) for lo in (1, 2) for side in (0, 1)]
+    rows = []
+    for group in groups:
+        solid, texts = r.random() < 0.5, set()
+        for _ in range(r.choice((1, 2, 9, 40))):
+            texts.add("".join(r.choice("ab é\u3000😀\x85") for _ in range(r.choice((1, 3, 8)))) * r.choice((1, 1, 90)))
+        texts = sorted({t[: substrings.EDGE + 1] for t in texts}, key=str.encode)
+        rows += [(group, (r.randrange(4), r.randrange(3), i), r.random() < 0.7, solid, t) for i, t in enumerate(texts)]
+    columns = {"hi": [g[0] for g, *_ in rows], "lo": [g[1] for g, *_ in rows], "side": [g[2] for g, *_ in rows], "__part": [0] * len(rows), "__own": [True] * len(rows)}
+    columns |= {"solid": [x[3] for x in rows], "single": [x[2] for x in rows], "first_beside": [None] * len(rows), "beside": [x[4] for x in rows], "key": [x[4].encode() for x in rows]}
+    columns |= {f"first_{c}": [x[1][k] for x in rows] for k, c in enumerate(substrings.PLACE)}
+    batches = pa.table(columns).to_batches(max_chunksize=batch)
+    found = []
+    for whole in substrings._whole_groups(iter(batches), ["hi", "lo", "side", "__part"]):
+        found += zip(*(c.tolist() if hasattr(c, "tolist") else c.to_pylist() for c in substrings._shared_ends(whole)))
+    assert found == naive_ends(rows)
+
+
+def test_python_work_of_repeats_goes_by_slices(make_docs, monkeypatch):
+    """Past a digest for each chunk and a slice of text for each edge, no Python call is made for a chunk, a run, a match or an end."""
+    import sys
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    calls, mapped = [], DataFrame.mapInArrow
+
+    def counted(self, fn, *args, **kwargs):
+        def called(frame, event, what):
+            calls.append(1) if event == "call" or event == "c_call" and what.__name__ != "xxh3_128_digest" else None
+
+        batches = self.toArrow().to_batches()
+        sys.setprofile(called)
+        try:
+            list(fn(iter(batches)))
+        finally:
+            sys.setprofile(None)
+        return mapped(self, fn, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", counted)
+    made = []
+    for n in (20, 120):
+        passages, before = [prose(7000 + k, 60) for k in range(4)], len(calls)
+        rows = [(i, " ".join(f"{prose(100 * i + k, 20)} {passages[(i + k) % 4]}" for k in range(4))) for i in range(n)]
+        assert substrings.repeats(make_docs(rows)).count() == n
+        made.append(len(calls) - before)
+    assert (made[1] - made[0]) / 100 < 60, made  # a text here has about 70 chunks and 8 edges
