@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.records import output_record
 from .functions.smoothing import low_pass, savgol, savgol_weights
 from .functions.smoothing import savgol_mirrored as mirrored
-from .operators import aggregates, combine, exchange, filters, joins, maps
+from .operators import aggregates, combine, exchange, filters, joins, maps, tallies
 from .plans import iterate, jobs, metrics, reach, recovery
 from .sources import tables
 from .sources.files import adjacency_from_edges
@@ -115,12 +115,24 @@ WINDOW_AGGREGATES = {
     "window_longest_gap": (combine.LongestGap("ts", 3600), ["user_id"], "7 days"),
     "window_quantiles": (combine.Quantiles("value", (50, 90, 99)), ["event_type"], "1 day"),
 }
+#: Tallies of such windows, likewise.
+WINDOW_TALLIES = {
+    "window_longest_gap": (tallies.LongestGaps("ts", 3600), ["user_id"], "7 days"),
+}
+
+
+def _placed(spark: SparkSession, d: str, size: str) -> DataFrame:
+    return tables.events(spark, d).withColumn("window_start", aggregates.window_of("ts", size)["start"])
 
 
 def _window_aggregate(spark: SparkSession, d: str, name: str) -> DataFrame:
     aggregate, keys, size = WINDOW_AGGREGATES[name]
-    placed = tables.events(spark, d).withColumn("window_start", aggregates.window_of("ts", size)["start"])
-    return combine.combined(placed, ["window_start", *keys], aggregate)
+    return combine.combined(_placed(spark, d, size), ["window_start", *keys], aggregate)
+
+
+def _window_tally(spark: SparkSession, d: str, name: str) -> DataFrame:
+    tally, keys, size = WINDOW_TALLIES[name]
+    return tallies.tallied(_placed(spark, d, size), ["window_start", *keys], tally)
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, (row_number() OVER w)::INT AS place, event_id, value FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type, time_bucket(INTERVAL 1 DAY, ts) ORDER BY value DESC, event_id) QUALIFY place <= 3")
@@ -143,7 +155,7 @@ def window_sessions(spark, d):
     "SELECT window_start, user_id, gap_start, (epoch_us(ts) - epoch_us(gap_start)) / 1e6::DOUBLE AS gap_seconds FROM g WHERE ts - gap_start >= INTERVAL 1 HOUR QUALIFY row_number() OVER (PARTITION BY window_start, user_id ORDER BY gap_seconds DESC, gap_start) = 1"
 )
 def window_longest_gap(spark, d):
-    return _window_aggregate(spark, d, "window_longest_gap")
+    return _window_tally(spark, d, "window_longest_gap")
 
 
 @query("WITH q AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, quantile_disc(value, [0.5, 0.9, 0.99]) AS v FROM events WHERE value IS NOT NULL GROUP BY ALL) SELECT window_start, event_type, unnest([50::DOUBLE, 90::DOUBLE, 99::DOUBLE]) AS percent, unnest(v) AS value FROM q")
