@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, combine, filters, joins, maps
+from ..operators import aggregates, combine, filters, joins, maps, tallies
 from ..plans import jobs
 from ..sources import tables
 from . import chained, run
@@ -114,3 +114,12 @@ def stream_window_aggregate(spark: SparkSession, d: str, aggregate: combine.Comb
     keys = ["window_start", *keys]
     states = run.run_changes(events, run.shared_folder(spark), lambda batch, _: combine.partial_states(placed(batch), keys, aggregate), lambda changes: combine.merged_states(changes, keys, aggregate))
     return combine.finished(states, keys, aggregate)
+
+
+def stream_window_tally(spark: SparkSession, d: str, tally: tallies.LongestGaps, keys: list[str], size: str) -> DataFrame:
+    """A tally of each window of events and ``keys``: batches add their parts, which are merged and finished."""
+    events = run.stream_table(spark, d, "events")
+    placed = lambda rows: rows.withColumn("window_start", aggregates.window_of("ts", size)["start"])
+    keys = ["window_start", *keys]
+    merged = run.run_changes(events, run.shared_folder(spark), lambda batch, _: tally.parts(placed(batch), keys), lambda changes: tally.merged(changes, keys))
+    return tally.finished(merged, keys)
