@@ -1,4 +1,4 @@
-"""Longest gaps of groups, as tables of tallies that add up, for batch and stream alike.
+"""Longest gaps and exact quantiles of groups, as tables of tallies that add up, for batch and stream alike.
 
 ``parts`` makes the tallies of some rows, ``merged`` makes those of all parts one row each, and ``finished`` gives what the
 merged ones of each group say.  All are Spark's own aggregates and windows, so many small groups cost no more than a few
@@ -7,11 +7,14 @@ large ones.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .aggregates import window_of
+from .scan import MOST, running_sums
 
 
 class LongestGaps:
@@ -44,6 +47,38 @@ def _seconds(span: Column) -> Column:
     return (((of("DAY") * 24 + of("HOUR").cast("long")) * 60 + of("MINUTE").cast("long")) * 60 + of("SECOND")).cast("double")
 
 
-def tallied(rows: DataFrame, keys: list[str], tally: LongestGaps) -> DataFrame:
+class Quantiles:
+    """Exact percentiles: percent, value; the smallest value that so many per cent of a group's rows don't exceed.
+
+    Equal values are counted, and a value's rank is the running sum of counts along its group's values, of which
+    groups of more than ``most`` are cut into ranges.  Rows without a value do not count.
+    """
+
+    def __init__(self, value: str, percents: tuple[float, ...] = (50, 90, 95, 99), most: int = MOST):
+        self.value, self.percents, self.most = value, percents, most
+
+    def parts(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.filter(F.col(self.value).isNotNull()).groupBy(*keys, F.col(self.value).alias("__value")).agg(F.count(F.lit(1)).alias("__rows"))
+
+    def merged(self, parts: DataFrame, keys: list[str]) -> DataFrame:
+        return parts.groupBy(*keys, "__value").agg(F.sum("__rows").alias("__rows"))
+
+    def finished(self, merged: DataFrame, keys: list[str]) -> DataFrame:
+        counts = merged.select(F.struct(*keys, F.lit(0).alias("__all")).alias("__group"), "__value", "__rows")
+        ranked = running_sums(counts, "__group", ["__value"], {"__upto": F.col("__rows")}, self.most)
+        sizes = counts.groupBy("__group").agg(F.sum("__rows").alias("__size"))
+        asked = F.array(*(F.struct(F.lit(float(p)).alias("percent"), self._rank(p).alias("rank")) for p in self.percents))
+        held = F.filter(asked, lambda a: (a["rank"] <= F.col("__upto")) & (a["rank"] > F.col("__upto") - F.col("__rows")))
+        found = ranked.join(sizes, "__group").select("__group", F.explode(held).alias("__asked"), F.col("__value").alias("value"))
+        return found.select(*(F.col(f"__group.{k}").alias(k) for k in keys), F.col("__asked.percent").alias("percent"), "value")
+
+    @staticmethod
+    def _rank(percent: float) -> Column:
+        """The rank, from 1, in whole numbers: the share of the rows, rounded up."""
+        share = Fraction(str(percent)) / 100
+        return F.greatest(F.lit(1), F.expr(f"(__size * {share.numerator} + {share.denominator - 1}) div {share.denominator}"))
+
+
+def tallied(rows: DataFrame, keys: list[str], tally: LongestGaps | Quantiles) -> DataFrame:
     """What a tally says of each key; put a window's start among the keys for windows."""
     return tally.finished(tally.parts(rows, keys), keys)

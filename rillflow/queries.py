@@ -112,11 +112,11 @@ def window_outliers(spark, d):
 WINDOW_AGGREGATES = {
     "window_top_rows": (combine.TopRows("value", "event_id", 3), ["event_type"], "1 day"),
     "window_sessions": (combine.Sessions("ts", 1800), ["event_type"], "1 day"),
-    "window_quantiles": (combine.Quantiles("value", (50, 90, 99)), ["event_type"], "1 day"),
 }
 #: Tallies of such windows, likewise.
 WINDOW_TALLIES = {
     "window_longest_gap": (tallies.LongestGaps("ts", 3600), ["user_id"], "7 days"),
+    "window_quantiles": (tallies.Quantiles("value", (50, 90, 99)), ["event_type"], "1 day"),
 }
 
 
@@ -159,8 +159,8 @@ def window_longest_gap(spark, d):
 
 @query("WITH q AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, quantile_disc(value, [0.5, 0.9, 0.99]) AS v FROM events WHERE value IS NOT NULL GROUP BY ALL) SELECT window_start, event_type, unnest([50::DOUBLE, 90::DOUBLE, 99::DOUBLE]) AS percent, unnest(v) AS value FROM q")
 def window_quantiles(spark, d):
-    """Percentiles from mergeable sketches: exact in windows of up to 1,024 rows, which those of the smaller tables are."""
-    return _window_aggregate(spark, d, "window_quantiles")
+    """Exact percentiles, from counts of values (``combine.Quantiles`` is the approximate sketch)."""
+    return _window_tally(spark, d, "window_quantiles")
 
 
 @query(f"WITH {SLIDING} SELECT window_start, user_id, count(*)::BIGINT AS n, max(ts) AS max_ts FROM win GROUP BY ALL")

@@ -116,7 +116,7 @@ def stream_window_aggregate(spark: SparkSession, d: str, aggregate: combine.Comb
     return combine.finished(states, keys, aggregate)
 
 
-def stream_window_tally(spark: SparkSession, d: str, tally: tallies.LongestGaps, keys: list[str], size: str) -> DataFrame:
+def stream_window_tally(spark: SparkSession, d: str, tally: tallies.LongestGaps | tallies.Quantiles, keys: list[str], size: str) -> DataFrame:
     """A tally of each window of events and ``keys``: batches add their parts, which are merged and finished."""
     events = run.stream_table(spark, d, "events")
     placed = lambda rows: rows.withColumn("window_start", aggregates.window_of("ts", size)["start"])

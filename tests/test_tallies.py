@@ -1,4 +1,4 @@
-"""Longest gaps of windows, against their SQL and brute force."""
+"""Longest gaps and exact quantiles of windows, against their SQL and brute force."""
 
 import datetime as dt
 import random
@@ -24,7 +24,7 @@ def folder(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["window_longest_gap", "stream_window_longest_gap"])
+@pytest.mark.parametrize("name", ["window_longest_gap", "stream_window_longest_gap", "window_quantiles"])
 def test_windows_match_their_sql(spark, folder, name):
     expected = duckdb.connect().execute(f"WITH events AS (FROM '{folder}/events.parquet/*.parquet') SELECT * FROM ({queries.SQL[name]}) WHERE window_start IS NOT NULL").fetchall()
     found = [tuple(r) for r in queries.QUERIES[name](spark, folder).collect()]
@@ -37,6 +37,23 @@ def test_no_python_for_each_group(spark, folder, name):
     assert "InArrow" not in plan and "Python" not in plan
 
 
+@pytest.mark.parametrize("most", [tallies.MOST, 50])
+def test_quantiles_by_brute_force(spark, most):
+    r = random.Random(2)
+    rows = [(k, r.choice([r.random(), r.randrange(4) / 4, float("nan")]), i) for k, n in (("a", 700), (None, 300), ("one", 1)) for i in range(n)] + [("none", None, 0), ("a", None, 1)]
+    df = spark.createDataFrame(rows, "k STRING, v DOUBLE, i LONG").repartition(5)
+    percents = (0, 0.1, 25, 50, 99.9, 100)
+    expected = set()
+    for k in ("a", None, "one"):
+        own = sorted((v for x, v, _ in rows if x == k and v is not None), key=lambda v: (v != v, v))
+        expected |= {(k, float(p), repr(own[max(1, -(-round(p * 10) * len(own) // 1000)) - 1])) for p in percents}
+    found = tallies.tallied(df, ["k"], tallies.Quantiles("v", percents, most)).collect()
+    assert {(x["k"], x["percent"], repr(x["value"])) for x in found} == expected and len(found) == len(expected)
+    whole = tallies.tallied(df.filter("v < 2"), [], tallies.Quantiles("v", (50,), most)).collect()
+    own = sorted(v for _, v, _ in rows if v is not None and v < 2)
+    assert [tuple(x) for x in whole] == [(50.0, own[-(-len(own) // 2) - 1])]
+
+
 def test_gaps_by_brute_force(spark):
     r = random.Random(3)
     rows = [(k, None if r.random() < 0.03 else T0 + dt.timedelta(seconds=r.choice([r.randrange(9000), 600, 4000]))) for k in (1, 2, None) for _ in range(60)] + [(9, T0)]
