@@ -24,7 +24,7 @@ def folder(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["window_longest_gap", "stream_window_longest_gap", "window_quantiles"])
+@pytest.mark.parametrize("name", ["window_longest_gap", "stream_window_longest_gap", "window_quantiles", "stream_window_quantiles"])
 def test_windows_match_their_sql(spark, folder, name):
     expected = duckdb.connect().execute(f"WITH events AS (FROM '{folder}/events.parquet/*.parquet') SELECT * FROM ({queries.SQL[name]}) WHERE window_start IS NOT NULL").fetchall()
     found = [tuple(r) for r in queries.QUERIES[name](spark, folder).collect()]
